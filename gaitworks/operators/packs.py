@@ -49,3 +49,56 @@ def merge_common_keys(keys: DataFrame, pack: str, key: str, config: str) -> Data
     return grouped.where(F.col("n_packs") == packs.scalar()).select(
         key, "n_packs", F.when(F.col(config) == F.col("_hi"), F.col(config)).otherwise(clash).alias(config)
     )
+
+
+def reindex(episodes: DataFrame, order: Sequence[str], rank: Column, name: str, packs_by: Sequence[str] = ()) -> DataFrame:
+    """Dense new episode numbers in source order, per output pack or over the whole table."""
+    if packs_by:
+        return ordering.row_index(episodes, packs_by, list(order), rank, name)
+    return ordering.global_index(episodes, list(order), rank, name)
+
+
+def episode_offsets(episodes: DataFrame, rank: Column, order: Sequence[str], length: str = "length") -> DataFrame:
+    """``offset`` = frames in all earlier episodes; works on the episode table only."""
+    dense = ordering.global_index(episodes, list(order), rank, "_ep")
+    return ordering.running_sum(dense, F.col(length), "offset", keys=(), index="_ep", inclusive=False).drop("_ep")
+
+
+def global_frame_index(frames: DataFrame, name: str = "index", length: str = "length") -> DataFrame:
+    eps = ordering.episode_lengths(frames, name=length)
+    offsets = episode_offsets(eps, F.col("episode_index"), ["episode_index"], length)
+    got = ordering.per_episode(frames, offsets, length=length)
+    return got.withColumn(name, F.col("offset") + F.col("frame_index")).drop("offset", length)
+
+
+def locate(points: DataFrame, offsets: DataFrame, point: str, keys: Sequence[str] = (), width: int = 1 << 16) -> DataFrame:
+    """Global index -> (episode, local frame) by an interval join on cumulative bounds."""
+    from gaitworks.operators.joins import interval_join
+
+    spans = offsets.withColumn("_end", F.col("offset") + F.col("length"))
+    got = interval_join(points, spans, keys, point, "offset", "_end", width)
+    return got.withColumn("frame_index", F.col(point) - F.col("offset")).drop("_end")
+
+
+def holdout_first(episodes: DataFrame, group: str, k: int) -> DataFrame:
+    return ordering.first_rows(episodes, [group], [F.col("episode_index")], k, F.col("episode_index")).drop("_rn")
+
+
+def holdout_random(episodes: DataFrame, group: str, k: int, seed: str) -> DataFrame:
+    from gaitworks.functions import hashing
+
+    order = [hashing.draw32(seed, F.col("episode_index")), F.col("episode_index")]
+    return ordering.first_rows(episodes, [group], order, k, F.col("episode_index")).drop("_rn")
+
+
+def holdout_near_median(episodes: DataFrame, group: str, k: int, length: str = "length") -> DataFrame:
+    """The k episodes nearest the median position by length; a group with at most k episodes is an error."""
+    placed = ordering.row_index(episodes, [group], [length, "episode_index"], F.col(length) , "_pos")
+    sizes = episodes.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    ok = F.when(F.col("_size") > k, F.col("_size")).otherwise(
+        F.raise_error(F.concat(F.lit("too few episodes to hold out in "), F.col(group))).cast("bigint")
+    )
+    near = placed.join(sizes, group).withColumn("_away", F.abs(F.col("_pos") - F.floor(ok / 2)))
+    kept = near.where(F.col("_away") <= k)  # at most 2k+1 positions per group can win
+    w = Window.partitionBy(group).orderBy("_away", length, "episode_index")
+    return kept.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k).drop("_pos", "_size", "_away", "_rk")

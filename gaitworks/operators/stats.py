@@ -46,7 +46,9 @@ def full_stats(
     n / accuracy, so the value at rank p*(n-1) lies between the sketch's
     p-2e and p+2e.  Pass 2 groups by (keys, segment, value-in-bracket): values
     outside every bracket collapse to a count, equal values to one row, so the
-    ranking window sees about 4 n / accuracy rows per quantile.
+    ranking window sees about 4 n / accuracy rows per quantile.  The sketch ranks
+    by p*n and interpolation by p*(n-1), so a wanted rank may sit one place
+    outside its bracket: the minimum and maximum of each outside run serve it.
 
     ``few_groups`` says that the number of key combinations is bounded by the
     schema (dimensions, registered embodiments); only then is the pass-1 result
@@ -67,9 +69,12 @@ def full_stats(
         seg = seg + (v > hi).cast("int")
     tagged = rows.join(F.broadcast(first) if few_groups else first, keys)
     counted = (
-        tagged.select(*keys, *MOMENTS, seg.alias("_seg"), F.when(inside, v).alias("_w"))
+        tagged.select(*keys, *MOMENTS, seg.alias("_seg"), F.when(inside, v).alias("_w"), "_v")
         .groupBy(*keys, "_seg", "_w")
-        .agg(F.count(F.lit(1)).alias("_c"), *[F.max(m).alias(m) for m in MOMENTS])
+        .agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+            *[F.max(m).alias(m) for m in MOMENTS],
+        )
     )
     order = Window.partitionBy(*keys).orderBy("_seg", F.col("_w").asc_nulls_first())
     ranked = counted.withColumn("_upto", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -78,7 +83,13 @@ def full_stats(
     for i, p in enumerate(probs):
         h = (F.col("count") - 1) * F.lit(float(p))
         for tag, r in (("a", F.floor(h)), ("b", F.ceil(h))):
-            picks.append(F.max(F.when((F.col("_from") <= r) & (r < F.col("_upto")), F.col("_w"))).alias(f"_{tag}{i}"))
+            at = (
+                F.when(F.col("_w").isNotNull(), F.col("_w"))
+                .when(r == F.col("_from"), F.col("_lo"))
+                .when(r == F.col("_upto") - 1, F.col("_hi"))
+                .otherwise(F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
+            )
+            picks.append(F.max(F.when((F.col("_from") <= r) & (r < F.col("_upto")), at)).alias(f"_{tag}{i}"))
     got = ranked.groupBy(*keys).agg(*[F.max(m).alias(m) for m in MOMENTS], *picks)
     out = []
     for i, (p, n) in enumerate(zip(probs, names)):

@@ -12,6 +12,7 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8, memory: str = "1
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("gaitworks")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
