@@ -41,8 +41,16 @@ def require_width(v: Column, width: int, label: str) -> Column:
     return F.when(F.size(v) == width, v).otherwise(bad)
 
 
+def let(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def permute(v: Column, order: Sequence[int]) -> Column:
-    return F.array(*[F.get(v, i) for i in order])
+    """``v[order]``; wide orders loop over one constant array to keep generated code small."""
+    if len(order) <= 12:
+        return F.array(*[F.get(v, i) for i in order])
+    return let(v, lambda x: F.transform(F.array(*[F.lit(int(i)) for i in order]), lambda i: F.get(x, i)))
 
 
 def zeros(n: Column | int) -> Column:

@@ -35,7 +35,7 @@ def nearest_asof(
         .select(*keys, index, F.col("_m._p").alias("_p"))
     )
     matched = left.join(near, [*keys, index], "left")
-    carried = ordering.fill_forward(matched, F.col("_p"), "_c", keys, index)
+    carried = ordering.fill(matched, F.col("_p"), keys, index, forward="_c")
     first_right = right.groupBy(*keys).agg(
         F.min_by(F.struct(*payload), F.struct(right_time, right_order)).alias("_f"), F.min(right_time).alias("_fu")
     )
@@ -62,7 +62,7 @@ def forward_asof(
     both = f.unionByName(m, allowMissingColumns=True)
     # 2*index + kind keeps frames before marks and gives the blocks a single order column
     both = both.withColumn("_pos", F.col(index) * 2 + F.col("_kind"))
-    filled = ordering.fill_forward(both, F.col("_mark"), "_next", keys, "_pos", backward=True)
+    filled = ordering.fill(both, F.col("_mark"), keys, "_pos", backward="_next")
     return filled.where("_kind = 0").withColumn(value, F.coalesce("_next", fallback)).drop("_kind", "_mark", "_pos", "_next")
 
 

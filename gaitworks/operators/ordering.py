@@ -9,7 +9,7 @@ ordered in this package goes through the helpers below instead:
 * ``with_blocks``   once a dense position exists, cuts a group into blocks of
                     ``BLOCK`` rows and copies only the halo rows that a
                     lag / lead / chunk window needs across a block edge;
-* ``running_sum`` / ``fill_forward``  block-local window plus a carry computed
+* ``running_sum`` / ``fill``  block-local window plus a carry computed
                     on one row per block;
 * ``per_episode``   joins one-row-per-episode attributes on (episode, block),
                     which spreads a hot episode over as many tasks as it has
@@ -30,23 +30,26 @@ SEGMENTS = 16          # quantile segments of a hot group
 CELL_ROWS = 1 << 18    # aimed rows per cell
 
 
-def split_hot(
-    df: DataFrame, keys: Sequence[str], rank: Column, hot_rows: int = HOT_ROWS, cell_rows: int = CELL_ROWS
-) -> DataFrame:
+def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """The at most HOT_GROUPS largest groups above ``hot_rows``, or None when there are none.
+
+    One aggregate job over the key columns; its answer decides between the
+    plain window plan and the cell plan, and bounds what is broadcast.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    if sizes.isEmpty():
+        return None
+    return sizes.orderBy(F.col("_n").desc(), *keys).limit(HOT_GROUPS)
+
+
+def split_hot(df: DataFrame, keys: Sequence[str], rank: Column, sizes: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Add ``_cell`` (0 in ordinary groups) and ``_hot``.
 
     ``rank`` is a number that never decreases along the wanted order.  Cells of
     a hot group follow ``rank``: quantile segments, each with an even grid.
-    The broadcast tables hold the at most HOT_GROUPS largest groups above
-    ``hot_rows``; when no group is hot AQE drops both joins.
     """
     keys = list(keys)
     ranked = df.withColumn("_rank", rank.cast("double"))
-    sizes = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > hot_rows)
-        .orderBy(F.col("_n").desc(), *keys).limit(HOT_GROUPS)
-    )
     probs = [i / SEGMENTS for i in range(SEGMENTS + 1)]
     bounds = (
         ranked.select(*keys, "_rank").join(F.broadcast(sizes), keys, "inner")
@@ -82,7 +85,11 @@ def row_index(
 ) -> DataFrame:
     """Dense 0-based position inside each group; ``order`` must be a total order."""
     keys = list(keys)
-    cells = split_hot(df, keys, rank, hot_rows, cell_rows)
+    sizes = hot_groups(df, keys, hot_rows)
+    if sizes is None:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(name, F.row_number().over(w).cast("long") - 1)
+    cells = split_hot(df, keys, rank, sizes, cell_rows)
     w = Window.partitionBy(*keys, "_cell").orderBy(*order)
     local = cells.withColumn("_local", F.row_number().over(w).cast("long") - 1)
     counts = cells.where("_hot").groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_c"))
@@ -216,31 +223,36 @@ def running_sum(
     )
 
 
-def fill_forward(
-    df: DataFrame, value: Column, name: str, keys: Sequence[str] = ("episode_index",), index: str = "frame_index",
-    block: int = BLOCK, backward: bool = False,
+def fill(
+    df: DataFrame, value: Column, keys: Sequence[str] = ("episode_index",), index: str = "frame_index",
+    forward: str | None = None, backward: str | None = None, block: int = BLOCK,
 ) -> DataFrame:
-    """Last (or, ``backward``, next) non-null value along ``index``."""
+    """Last non-null value at or before each row (``forward``), next one at or after it (``backward``).
+
+    Inside a block by a window; across blocks by one row per block.
+    """
     keys = list(keys)
     cut = with_blocks(df, index, block=block).drop("_home").withColumn("_v", value)
+    w = block_window(keys, index)
+    present = F.when(F.col("_v").isNotNull(), F.col(index))
+    edges = cut.groupBy(*keys, "_blk").agg(F.max_by("_v", present).alias("_end"), F.min_by("_v", present).alias("_start"))
+    wb = Window.partitionBy(*keys).orderBy("_blk")
+    carry = edges.select(
+        *keys, "_blk",
+        F.last("_end", ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_start", ignorenulls=True).over(wb.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    ).where("_before is not null or _after is not null")
+    local = {}
+    if forward:
+        local["_f"] = F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     if backward:
-        frame = (Window.currentRow, Window.unboundedFollowing)
-        pick, edge = F.first, F.min_by
-        outside = (1, Window.unboundedFollowing)
-    else:
-        frame = (Window.unboundedPreceding, Window.currentRow)
-        pick, edge = F.last, F.max_by
-        outside = (Window.unboundedPreceding, -1)
-    local = pick("_v", ignorenulls=True).over(block_window(keys, index).rowsBetween(*frame))
-    edges = cut.where(F.col("_v").isNotNull()).groupBy(*keys, "_blk").agg(edge("_v", index).alias("_e"))
-    # one row per block; blocks without any value stay so that the carry passes through them
-    spine = cut.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_c")).join(edges, [*keys, "_blk"], "left")
-    wb = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(*outside)
-    carry = spine.select(*keys, "_blk", pick("_e", ignorenulls=True).over(wb).alias("_carry")).where("_carry is not null")
-    return (
-        cut.withColumn("_l", local).join(carry, [*keys, "_blk"], "left")
-        .withColumn(name, F.coalesce("_l", "_carry")).drop("_v", "_l", "_carry", "_blk")
-    )
+        local["_g"] = F.first("_v", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    got = cut.withColumns(local).join(carry, [*keys, "_blk"], "left")
+    if forward:
+        got = got.withColumn(forward, F.coalesce("_f", "_before"))
+    if backward:
+        got = got.withColumn(backward, F.coalesce("_g", "_after"))
+    return got.drop("_v", "_f", "_g", "_before", "_after", "_blk")
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | Column, salt: Column, salts: int = 64,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaitworks.operators import ordering
@@ -12,10 +12,7 @@ from gaitworks.operators import ordering
 
 def monotone(df: DataFrame, keys: Sequence[str], time: str, order: str, index: str) -> DataFrame:
     """Drop rows whose time does not exceed every earlier time of the recording."""
-    seen = ordering.over_frames  # block-local step; the carry of a running maximum follows
     cut = ordering.with_blocks(df, index).drop("_home")
-    from pyspark.sql import Window
-
     local = F.max(time).over(ordering.block_window(keys, index).rowsBetween(Window.unboundedPreceding, -1))
     tops = cut.groupBy(*keys, "_blk").agg(F.max(time).alias("_t"))
     wb = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
@@ -42,8 +39,7 @@ def at_times(
     q = targets.select(*keys, time, F.lit(1).alias("_kind"), target_id)
     both = s.unionByName(q, allowMissingColumns=True)
     both = ordering.row_index(both, keys, [time, "_kind", target_id], F.col(time), "_pos")
-    both = ordering.fill_forward(both, F.col("_s"), "_a", keys, "_pos")
-    both = ordering.fill_forward(both, F.col("_s"), "_b", keys, "_pos", backward=True)
+    both = ordering.fill(both, F.col("_s"), keys, "_pos", forward="_a", backward="_b")
     got = both.where("_kind = 1")
     t, a, b = F.col(time), F.col("_a"), F.col("_b")
     exact = a["t"] == t

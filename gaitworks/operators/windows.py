@@ -190,16 +190,19 @@ def temporal_ensemble(chunks: DataFrame, chunk: str, coeff: float, keys: Sequenc
 
 def resample_linear(seq: Column, points: int) -> Column:
     """Linear resampling of an array of vectors to ``points`` rows spread evenly over its length."""
-    t = F.size(seq)
 
-    def at(i):
-        pos = i * (t - 1) / F.lit(float(max(points - 1, 1)))
-        lo = F.least(F.floor(pos), t - 1).cast("int")
-        hi = F.least(lo + 1, t - 1)
-        f = pos - lo
-        return F.zip_with(F.get(seq, lo), F.get(seq, hi), lambda a, b: a + (b - a) * f)
+    def made(s):
+        t = F.size(s)
 
-    return F.when(t == points, seq).otherwise(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), at))
+        def at(i):
+            pos = i * (t - 1) / F.lit(float(max(points - 1, 1)))
+            lo = F.least(F.floor(pos), t - 1).cast("int")
+            hi = F.least(lo + 1, t - 1)
+            return F.zip_with(F.get(s, lo), F.get(s, hi), lambda a, b: a + (b - a) * (pos - lo))
+
+        return F.when(t == points, s).otherwise(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), at))
+
+    return V.let(seq, made)
 
 
 def wrap_angle(x: Column) -> Column:
