@@ -102,3 +102,12 @@ def holdout_near_median(episodes: DataFrame, group: str, k: int, length: str = "
     kept = near.where(F.col("_away") <= k)  # at most 2k+1 positions per group can win
     w = Window.partitionBy(group).orderBy("_away", length, "episode_index")
     return kept.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k).drop("_pos", "_size", "_away", "_rk")
+
+
+def classify(text: Column, rules: Mapping[str, str], default: str = "UNGROUPED") -> Column:
+    """Group of the first substring rule that matches."""
+    items = list(rules.items())
+    chain = F.when(F.contains(text, F.lit(items[0][0])), F.lit(items[0][1]))
+    for k, g in items[1:]:
+        chain = chain.when(F.contains(text, F.lit(k)), F.lit(g))
+    return chain.otherwise(F.lit(default))
