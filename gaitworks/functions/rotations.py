@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gaitworks.functions import vectors as V
-from gaitworks.functions.vectors import let
+from gaitworks.functions.vectors import bound, let
 
 
 def _at(v: Column, n: int) -> list[Column]:
@@ -36,6 +36,7 @@ def unit(v: Sequence[Column]) -> list[Column]:
     return [x / n for x in v]
 
 
+@bound
 def quat_to_matrix(q: Column) -> Column:
     """Any-norm wxyz quaternion; the zero quaternion is the identity."""
 
@@ -76,6 +77,7 @@ def matrix_to_rot6d(m: Column) -> Column:
     return V.permute(m, [0, 3, 6, 1, 4, 7])
 
 
+@bound
 def rot6d_from_unit_quat(q: Column) -> Column:
     w, x, y, z = _at(q, 4)
     return F.array(
@@ -84,6 +86,7 @@ def rot6d_from_unit_quat(q: Column) -> Column:
     )
 
 
+@bound
 def rot6d_to_matrix(v: Column) -> Column:
     """Gram-Schmidt on the two columns, the third is their cross product."""
     a, b = _at(v, 3), [F.get(v, i) for i in (3, 4, 5)]
@@ -101,6 +104,7 @@ def rot6d_to_matrix(v: Column) -> Column:
     return let(F.array(*unit(a)), second)
 
 
+@bound
 def euler_to_matrix(e: Column) -> Column:
     """(yaw, pitch, roll) -> Rz(yaw) Ry(pitch) Rx(roll)."""
     y, p, r = _at(e, 3)
@@ -171,6 +175,7 @@ def convert(v: Column, source: str, target: str) -> Column:
 
 # --- rigid transforms, 16 doubles row-major -------------------------------------------------
 
+@bound
 def pose(rotation: Column, translation: Column) -> Column:
     r, t = _at(rotation, 9), _at(translation, 3)
     zero, one = F.lit(0.0), F.lit(1.0)
@@ -216,17 +221,20 @@ def compose(a: Column, b: Column) -> Column:
     return let(F.array(a, b), made)
 
 
+@bound
 def transform_point(m: Column, p: Column) -> Column:
     x, q = _at(m, 12), _at(p, 3)
     return F.array(*[dot(x[4 * i : 4 * i + 3], q) + x[4 * i + 3] for i in range(3)])
 
 
+@bound
 def multiply3(a: Column, b: Column, transpose_b: bool = False) -> Column:
     x, y = _at(a, 9), _at(b, 9)
     idx = (lambda k, j: 3 * j + k) if transpose_b else (lambda k, j: 3 * k + j)
     return F.array(*[dot(x[3 * i : 3 * i + 3], [y[idx(k, j)] for k in range(3)]) for i in range(3) for j in range(3)])
 
 
+@bound
 def rotate_by_quat(q: Column, p: Column) -> Column:
     """v + 2 w (u x v) + 2 u x (u x v) for a unit quaternion."""
     w, u, v = F.get(q, 0), [F.get(q, i) for i in (1, 2, 3)], _at(p, 3)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -46,10 +47,22 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def bound(fn):
+    """Decorator: evaluate each vector argument once however often ``fn`` reads it."""
+
+    @functools.wraps(fn)
+    def go(*vectors, **options):
+        if len(vectors) == 1:
+            return let(vectors[0], lambda x: fn(x, **options))
+        return let(F.array(*vectors), lambda p: fn(*[F.get(p, i) for i in range(len(vectors))], **options))
+
+    return go
+
+
 def permute(v: Column, order: Sequence[int]) -> Column:
     """``v[order]``; wide orders loop over one constant array to keep generated code small."""
     if len(order) <= 12:
-        return F.array(*[F.get(v, i) for i in order])
+        return let(v, lambda x: F.array(*[F.get(x, i) for i in order]))
     return let(v, lambda x: F.transform(F.array(*[F.lit(int(i)) for i in order]), lambda i: F.get(x, i)))
 
 
