@@ -111,3 +111,126 @@ def classify(text: Column, rules: Mapping[str, str], default: str = "UNGROUPED")
     for k, g in items[1:]:
         chain = chain.when(F.contains(text, F.lit(k)), F.lit(g))
     return chain.otherwise(F.lit(default))
+
+
+def merge_packs(packs: Mapping[str, DataFrame], tasks: DataFrame | None = None) -> DataFrame:
+    """Union of packs: new episode, frame and task numbers, provenance columns.
+
+    Episodes are numbered by (pack order, old number) on the episode table; the
+    task dictionary is the distinct text in order of first appearance.
+    """
+    parts = [f.withColumns({"source_dataset": F.lit(n), "_pack": F.lit(i)}) for i, (n, f) in enumerate(packs.items())]
+    both = reduce(lambda a, b: a.unionByName(b), parts)
+    eps = both.groupBy("_pack", "episode_index").agg((F.max("frame_index") + 1).alias("length"))
+    rank = F.col("_pack") * F.lit(float(1 << 40)) + F.col("episode_index")
+    eps = ordering.global_index(eps, ["_pack", "episode_index"], rank, "new_episode_index")
+    eps = ordering.running_sum(eps, F.col("length"), "offset", (), "new_episode_index", inclusive=False)
+    got = ordering.per_episode(both, eps, ["_pack", "episode_index"], "frame_index", "length")
+    got = got.withColumn("index", F.col("offset") + F.col("frame_index"))
+    texts = stable_order(got, "task", "index", "new_task_index")
+    return got.join(texts, "task").select(
+        "source_dataset", F.col("episode_index").alias("source_episode_index"), F.col("new_episode_index").alias("episode_index"),
+        "frame_index", "index", F.col("new_task_index").alias("task_index"), "task",
+    )
+
+
+def stable_order(df: DataFrame, text: str, position: str, name: str) -> DataFrame:
+    """Distinct values numbered by first appearance."""
+    first = df.groupBy(text).agg(F.min(position).alias("_p"))
+    return ordering.global_index(first, ["_p", text], F.col("_p"), name).drop("_p")
+
+
+def union_common(sources: Mapping[str, DataFrame]) -> tuple[DataFrame, dict[str, list[str]]]:
+    """Union over the columns common to all sources, and what each source lost."""
+    names = list(sources)
+    common = [c for c in sources[names[0]].columns if all(c in sources[n].columns for n in names)]
+    if not common:
+        raise ValueError("the sources have no column in common")
+    dropped = {n: [c for c in sources[n].columns if c not in common] for n in names}
+    parts = [sources[n].select(*common, F.lit(n).alias("source")) for n in names]
+    return reduce(lambda a, b: a.unionByName(b), parts), dropped
+
+
+def split_train_val(episodes: DataFrame, val: DataFrame, key: str = "episode_index") -> DataFrame:
+    """Both splits with dense new numbers; the given validation episodes must be a subset."""
+    v = val.select(key).distinct().withColumn("_v", F.lit(True))
+    t = episodes.join(v, key, "left").withColumn("split", F.when(F.col("_v"), "val").otherwise("train")).drop("_v")
+    return ordering.row_index(t, ["split"], [key], F.col(key), "new_index")
+
+
+def split_by_task(frames: DataFrame, tasks: DataFrame, task: str = "task_index", key: str = "episode_index") -> tuple[DataFrame, DataFrame]:
+    """Frames of the listed tasks and the remapped task table."""
+    kept = tasks.select(task).distinct()
+    remap = ordering.global_index(kept, [task], F.col(task), "new_task_index")
+    return frames.join(remap, task), remap
+
+
+def group_name(name: Column, aliases: Mapping[str, str] | None = None) -> Column:
+    """Source name without trailing ``_<n>``, then without ``_new`` / ``_clean``, aliases applied."""
+    base = F.regexp_replace(F.regexp_replace(name, r"_\d+$", ""), r"_(new|clean)$", "")
+    if not aliases:
+        return base
+    table = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, base), base)
+
+
+def split_modulo(episodes: DataFrame, ratio: float, key: str = "episode_index") -> DataFrame:
+    every = max(1, round(1 / ratio))
+    return episodes.withColumn("split", F.when(F.col(key) % every == 0, "val").otherwise("train"))
+
+
+def split_seeded(names: DataFrame, name: str, ratio: float, seed: str) -> DataFrame:
+    """``max(1, int(n * ratio))`` names by hash order go to validation."""
+    from gaitworks.functions import hashing
+
+    n = names.agg(F.count(F.lit(1))).scalar()
+    t = ordering.global_index(names.withColumn("_h", hashing.draw32(seed, F.col(name))), ["_h", name], F.col("_h"), "_i")
+    k = F.greatest(F.lit(1), F.floor(n * F.lit(ratio)))
+    return t.withColumn("split", F.when(F.col("_i") < k, "val").otherwise("train")).drop("_h", "_i")
+
+
+def nested_subsets(items: DataFrame, key: str, shares: Sequence[float], seed: str) -> DataFrame:
+    """One hash order; an item belongs to every prefix of size int(N*p) that reaches it."""
+    from gaitworks.functions import hashing
+
+    n = items.agg(F.count(F.lit(1))).scalar()
+    t = ordering.global_index(items.withColumn("_h", hashing.draw32(seed, F.col(key))), ["_h", key], F.col("_h"), "_i")
+    t = t.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
+    return t.where(F.col("_i") < F.floor(n * F.col("share"))).select(key, "share", F.col("_i").alias("rank"))
+
+
+def even_chunks(items: DataFrame, key: str, k: int) -> DataFrame:
+    """k contiguous parts of ceil(n/k)."""
+    n = items.agg(F.count(F.lit(1))).scalar()
+    t = ordering.global_index(items, [key], F.col(key), "_i")
+    return t.withColumn("chunk", F.floor(F.col("_i") / F.ceil(n / F.lit(float(k)))).cast("bigint")).withColumnRenamed("_i", "position")
+
+
+def name_diff(source: DataFrame, reference: DataFrame, name: str) -> DataFrame:
+    a, b = source.select(name), reference.select(name)
+    return a.exceptAll(b).withColumn("side", F.lit("source_only")).unionByName(b.exceptAll(a).withColumn("side", F.lit("reference_only")))
+
+
+def intersect_ranges(ranges: DataFrame, low: str, high: str, lo: Column, hi: Column) -> DataFrame:
+    """Half-open ranges cut to [lo, hi); empty ones are dropped."""
+    a, b = F.greatest(F.col(low), lo), F.least(F.col(high), hi)
+    return ranges.withColumns({"from_index": a, "to_index": b}).where(F.col("from_index") < F.col("to_index"))
+
+
+def prune_features(frames: DataFrame, features: DataFrame, unread: Sequence[str], name: str = "name") -> tuple[DataFrame, DataFrame]:
+    return frames.drop(*unread), features.where(~F.col(name).isin(*unread))
+
+
+def backfill_names(features: DataFrame, feature: str, groups: Mapping[str, Sequence[str]], order: Sequence[str], width: int) -> DataFrame:
+    names = [n for g in order for n in groups[g]]
+    if len(names) != width:
+        raise ValueError(f"{feature}: {len(names)} names for {width} dimensions")
+    return features.withColumn("names", F.when(F.col("name") == feature, F.array(*[F.lit(n) for n in names])).otherwise(F.col("names")))
+
+
+def group_spans(joints: DataFrame, keys: Sequence[str], index: str, group: str) -> DataFrame:
+    """Contiguous runs of the same group with start and (exclusive) end."""
+    flagged = ordering.over_frames(joints, {"_prev": lambda w: F.lag(group, 1).over(w)}, keys, index, before=1)
+    new = F.when(F.col("_prev").isNull() | (F.col("_prev") != F.col(group)), 1).otherwise(0)
+    runs = ordering.running_sum(flagged, new, "_run", keys, index)
+    return runs.groupBy(*keys, "_run", group).agg(F.min(index).alias("start"), (F.max(index) + 1).alias("end")).drop("_run")

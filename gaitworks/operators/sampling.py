@@ -29,3 +29,189 @@ def boost_share(weighted: DataFrame, weight: str = "weight", digits: int = 6) ->
         F.round(F.avg(F.when(boosted, 1.0).otherwise(0.0)), digits).alias("frame_share"),
         F.round(F.sum(F.when(boosted, w).otherwise(0.0)) / F.sum(w), digits).alias("draw_share"),
     )
+
+
+def mixture_weights(episodes: DataFrame, weights: DataFrame, dataset: str, balanced: bool = True, balance_episodes: bool = True) -> DataFrame:
+    """Dataset weight (times length when balanced, normalised) and episode weight.
+
+    ``episodes`` has ``usable`` steps and a ``bad`` flag; bad episodes weigh 0.
+    """
+    w = F.col("usable") if balance_episodes else F.lit(1.0)
+    e = episodes.withColumn("_w", F.when(F.col("bad"), F.lit(0.0)).otherwise(w.cast("double")))
+    per = e.groupBy(dataset).agg(F.sum("_w").alias("_t"), F.sum("length").alias("_len")).join(weights, dataset)
+    scaled = F.col("weight") * (F.col("_len") if balanced else F.lit(1.0))
+    per = per.withColumn("_d", scaled)
+    total = per.agg(F.sum("_d")).scalar()
+    per = per.select(dataset, "_t", (F.col("_d") / total).alias("dataset_weight"))
+    return e.join(per, dataset).select(
+        dataset, "episode_index", "dataset_weight", F.try_divide(F.col("_w"), F.col("_t")).alias("episode_weight")
+    )
+
+
+def cumulative(options: DataFrame, keys: Sequence[str], order: str, weight: str) -> DataFrame:
+    """Half-open [_lo, _hi) bounds of integer weights along ``order``; zero weights get no span."""
+    live = options.where(F.col(weight) > 0)
+    keys = list(keys)
+    idx = ordering.row_index(live, keys, [order], F.col(order), "_i") if keys else ordering.global_index(live, [order], F.col(order), "_i")
+    got = ordering.running_sum(idx, F.col(weight), "_lo", keys, "_i", inclusive=False)
+    return got.withColumns({"_hi": F.col("_lo") + F.col(weight)}).drop("_i")
+
+
+def pick_weighted(draws: DataFrame, bounds: DataFrame, keys: Sequence[str], u: Column, width: int = 1 << 14) -> DataFrame:
+    """The option whose span holds floor(u * total); an interval join, no all-pairs step."""
+    keys = list(keys)
+    totals = bounds.groupBy(*keys).agg(F.max("_hi").alias("_total")) if keys else bounds.agg(F.max("_hi").alias("_total"))
+    if keys:
+        at = draws.join(totals, keys)  # one row per dataset: AQE broadcasts it
+    else:
+        at = draws.withColumn("_total", totals.scalar())
+    at = at.withColumn("_p", F.floor(u * F.col("_total")).cast("bigint")).drop("_total")
+    return joins.interval_join(at, bounds, keys, "_p", "_lo", "_hi", width).drop("_p", "_lo", "_hi")
+
+
+def mixture_sample(draws: DataFrame, draw: str, datasets: DataFrame, episodes: DataFrame, seed: str) -> DataFrame:
+    """Dataset by weight, episode by usable steps, step uniform in [0, usable)."""
+    d = pick_weighted(draws, cumulative(datasets, [], "dataset", "weight"), [], hashing.uniform(f"{seed}-d", F.col(draw)))
+    bounds = cumulative(episodes, ["dataset"], "episode_index", "usable").withColumn("_n", F.col("_hi") - F.col("_lo"))
+    e = pick_weighted(d.select(draw, "dataset"), bounds.select("dataset", "episode_index", "_n", "_lo", "_hi"), ["dataset"], hashing.uniform(f"{seed}-e", F.col(draw)))
+    step = F.floor(hashing.uniform(f"{seed}-s", F.col(draw)) * F.col("_n")).cast("bigint")
+    return e.select(draw, "dataset", "episode_index", step.alias("step"))
+
+
+def batch_mixture(draws: DataFrame, draw: str, datasets: DataFrame, seed: str, batch: int, world: int) -> DataFrame:
+    """Dataset by ratio, uniform local index, rank = draw % world, batches of B inside a rank."""
+    d = pick_weighted(draws, cumulative(datasets, [], "dataset", "weight"), [], hashing.uniform(f"{seed}-d", F.col(draw)))
+    local = F.floor(hashing.uniform(f"{seed}-i", F.col(draw)) * F.col("length")).cast("bigint")
+    i = F.col(draw)
+    return d.select(draw, "dataset", local.alias("local_index"), (i % world).alias("rank"), F.expr(f"({draw} div {world}) div {batch}").alias("batch"))
+
+
+def token_batches(batches: DataFrame, batch: str, datasets: DataFrame, budget: int, world: int, seed: str, epoch: int = 0) -> DataFrame:
+    """Per batch one dataset on every rank; batch size fits the token budget; samples differ by rank and epoch."""
+    d = pick_weighted(batches, cumulative(datasets, [], "dataset", "weight"), [], hashing.uniform(f"{seed}-d-{epoch}", F.col(batch)))
+    size = F.greatest(F.lit(1), F.expr(f"{budget} div tokens")).cast("int")
+    t = d.withColumn("batch_size", size).withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(world - 1))))
+    t = t.withColumn("slot", F.explode(F.expr("sequence(0, batch_size - 1)")))
+    local = F.floor(hashing.uniform(f"{seed}-s-{epoch}", F.col(batch), F.col("rank"), F.col("slot")) * F.col("length")).cast("bigint")
+    return t.select(batch, "dataset", "batch_size", "rank", "slot", local.alias("local_index"))
+
+
+def balanced_shards(steps: DataFrame, key: Sequence[str], shards: int, seed: str) -> DataFrame:
+    """Hash order dealt round-robin: shard sizes differ by at most one."""
+    h = hashing.draw32(seed, *[F.col(k) for k in key])
+    t = ordering.global_index(steps.withColumn("_h", h), ["_h", *key], F.col("_h"), "_i")
+    return t.withColumn("shard", F.col("_i") % shards).drop("_h", "_i")
+
+
+def shard_schedule_train(draws: DataFrame, draw: str, shards: DataFrame, weights: DataFrame, seed: str) -> DataFrame:
+    """Datasets drawn by weight / mean shard size; within a dataset shards come in hash-shuffled rounds."""
+    per = shards.groupBy("dataset").agg(F.avg("length").alias("_mean"), F.count(F.lit(1)).alias("_n")).join(weights, "dataset")
+    ratio = per.select("dataset", F.round(F.col("weight") / F.col("_mean") * 1e9).cast("bigint").alias("weight"), "_n")
+    d = pick_weighted(draws, cumulative(ratio, [], "dataset", "weight"), [], hashing.uniform(f"{seed}-d", F.col(draw)))
+    d = ordering.row_index(d.select(draw, "dataset", "_n"), ["dataset"], [draw], F.col(draw), "_k")
+    d = d.withColumns({"round": F.expr("_k div _n"), "_place": F.expr("_k % _n")}).drop("_n")
+    rounds = d.groupBy("dataset").agg(F.max("round").alias("_r"))
+    order = shards.select("dataset", "shard").join(rounds, "dataset").withColumn("round", F.explode(F.expr("sequence(0L, _r)"))).drop("_r")
+    order = order.withColumn("_h", hashing.draw32(f"{seed}-o", F.col("dataset"), F.col("round"), F.col("shard")))
+    order = ordering.row_index(order, ["dataset", "round"], ["_h", "shard"], F.col("_h"), "_place")
+    return d.join(order, ["dataset", "round", "_place"]).select(draw, "dataset", "round", "shard")
+
+
+def shard_schedule_eval(shards: DataFrame) -> DataFrame:
+    """Every shard once, round-robin over datasets."""
+    t = ordering.row_index(shards.select("dataset", "shard"), ["dataset"], ["shard"], F.col("shard"), "_turn")
+    return ordering.global_index(t, ["_turn", "dataset"], F.col("_turn"), "position").drop("_turn")
+
+
+def assign_slots(schedule: DataFrame, position: str, world: int, workers: int) -> DataFrame:
+    """Slot = position % (world * workers); a schedule shorter than the slots is repeated to fill them."""
+    slots = world * workers
+    n = schedule.agg(F.count(F.lit(1))).scalar()
+    copies = F.greatest(F.ceil(F.lit(float(slots)) / n), F.lit(1)).cast("bigint")
+    t = schedule.withColumn("_n", n).withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), copies - 1)))
+    pos = F.col(position) + F.col("_copy") * F.col("_n")
+    keep = (F.col("_copy") == 0) | (pos < slots)
+    slot = pos % slots
+    return t.withColumn("_pos", pos).where(keep).select(
+        *schedule.columns, F.col("_pos").alias("turn"), (slot % world).alias("rank"), F.floor(slot / world).alias("worker")
+    )
+
+
+def chunk_shuffle(items: DataFrame, index: str, chunk: int, seed: str) -> DataFrame:
+    """Ranges of ``chunk`` items shuffled as wholes and inside; ``position`` is the new order."""
+    t = items.withColumn("_c", F.expr(f"{index} div {chunk}"))
+    h = hashing.draw32(f"{seed}-c", F.col("_c"))
+    t = t.withColumns({"_hc": h, "_hi": hashing.draw32(f"{seed}-i", F.col(index))})
+    rank = F.col("_hc") * F.lit(float(1 << 20)) + F.floor(F.col("_hi") / 4096)
+    return ordering.global_index(t, ["_hc", "_c", "_hi", index], rank, "position").drop("_hc", "_hi").withColumnRenamed("_c", "chunk")
+
+
+def sample_fraction(df: DataFrame, keys: Sequence[str], key: str, rate: Column, seed: str) -> DataFrame:
+    """Exactly ``int(n * rate)`` rows of each source, chosen by hash order."""
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    t = ordering.row_index(df.withColumn("_h", hashing.draw32(seed, F.col(key))), keys, ["_h", key], F.col("_h"), "_i")
+    return t.join(n, list(keys)).where(F.col("_i") < F.floor(F.col("_n") * rate)).drop("_h", "_i", "_n")
+
+
+def parse_suffix(name: Column) -> tuple[Column, Column]:
+    """``name%NN`` -> name and NN / 100; no suffix means 1."""
+    digits = F.regexp_extract(name, r"%(\d+)$", 1)
+    return F.regexp_replace(name, r"%\d+$", ""), F.when(digits == "", F.lit(1.0)).otherwise(F.nullif(digits, F.lit("")).cast("double") / 100)
+
+
+def mix_ratio_weights(shards: DataFrame, ratios: DataFrame, group: str, dataset: str) -> DataFrame:
+    """Group mix ratio times the dataset's share of shards inside its group."""
+    per = shards.groupBy(group, dataset).agg(F.count(F.lit(1)).alias("_n"))
+    total = per.groupBy(group).agg(F.sum("_n").alias("_t"))
+    return per.join(total, group).join(ratios, group).select(group, dataset, (F.col("ratio") * F.col("_n") / F.col("_t")).alias("weight"))
+
+
+# --- sequential packing -----------------------------------------------------------------------
+
+FOLD_SHARDS = 1024  # shard sizes per fold block: bounds one pandas group
+
+
+def pack_sequential(episodes: DataFrame, pack: str, size: int, length: str = "length", episode: str = "episode_index",
+                    fold_shards: int = FOLD_SHARDS) -> DataFrame:
+    """Sequential shard packing of whole episodes, exact and without one task per pack.
+
+    A shard closes once it holds ``size`` steps, or before an episode that would
+    take it above 2 * size.  The fold's state between episodes is the current
+    fill, so a block of episodes is a step function from fill-in to
+    (shards closed, fill-out).  Blocks hold about ``fold_shards * size`` steps.
+    Pass 1 tabulates that function per block, pass 2 chains the small tables per
+    pack, pass 3 numbers the shards inside each block.
+    """
+    import pandas as pd
+
+    from gaitworks.operators import fold
+
+    idx = ordering.row_index(episodes, [pack], [episode], F.col(episode), "_i")
+    cum = ordering.running_sum(idx, F.col(length), "_off", [pack], "_i", inclusive=False)
+    rows = cum.withColumn("_b", F.expr(f"_off div {size * fold_shards}")).select(pack, "_b", episode, F.col(length).alias("_len"), "_i")
+    kind = dict(rows.dtypes)[pack]
+
+    def tabulate(key, pdf):
+        t = fold.tabulate(pdf.sort_values("_i")["_len"].to_numpy(), size)
+        t.insert(0, "_b", key[1])
+        t.insert(0, pack, key[0])
+        return t
+
+    tables = rows.groupBy(pack, "_b").applyInPandas(
+        tabulate, f"`{pack}` {kind}, _b long, f_lo long, f_hi long, closed long, f_out long")
+
+    def chain(key, pdf):
+        t = fold.chain(pdf)
+        t.insert(0, pack, key[0])
+        return t
+
+    starts = tables.groupBy(pack).applyInPandas(chain, f"`{pack}` {kind}, _b long, f_in long, base long")
+
+    def number(key, pdf):
+        pdf = pdf.sort_values("_i")
+        ids = fold.number(pdf["_len"].to_numpy(), size, int(pdf["f_in"].iloc[0]), int(pdf["base"].iloc[0]))
+        return pd.DataFrame({pack: pdf[pack].to_numpy(), episode: pdf[episode].to_numpy(), length: pdf["_len"].to_numpy(), "shard": ids})
+
+    ek = dict(rows.dtypes)[episode]
+    return rows.join(starts, [pack, "_b"]).groupBy(pack, "_b").applyInPandas(
+        number, f"`{pack}` {kind}, `{episode}` {ek}, `{length}` long, shard long")

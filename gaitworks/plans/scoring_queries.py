@@ -113,7 +113,7 @@ def distinct_tasks(spark, d):
 
 CH = f"""WITH {FRAMES}, n AS (SELECT *, count(*) OVER (PARTITION BY episode_index) AS n FROM frames), d(step) AS (VALUES (0),(1),(2)), k(dim) AS (VALUES (2),(3)),
  c AS (SELECT b.episode_index, b.frame_index, d.step, CASE k.dim WHEN 2 THEN 'amount' ELSE 'price' END AS modality,
-  abs(CASE k.dim WHEN 2 THEN t.a2 ELSE t.a3/1000 END * 0.0131713*(d.step+1)) AS err FROM n b, d, k, frames t WHERE t.episode_index=b.episode_index AND t.frame_index=least(b.frame_index+d.step,b.n-1))"""
+  abs(CASE k.dim WHEN 2 THEN t.a2 ELSE t.a3/1000 END * 0.0131713717*(d.step+1)) AS err FROM n b, d, k, frames t WHERE t.episode_index=b.episode_index AND t.frame_index=least(b.frame_index+d.step,b.n-1))"""
 
 
 @query("chunk_error_report", CH + """ SELECT 'modality' AS level, modality AS label, round(avg(err),6) AS l1, round(avg(CASE WHEN step=0 THEN err END),6) AS first_step_l1 FROM c GROUP BY modality
@@ -127,7 +127,7 @@ def chunk_error_report(spark, d):
     t = w.select("episode_index", "frame_index", F.posexplode("chunk").alias("step", "a"))
     both = F.array(F.struct(F.lit("amount").alias("m"), F.get("a", 2).alias("x")), F.struct(F.lit("price").alias("m"), (F.get("a", 3) / 1000).alias("x")))
     t = t.select("episode_index", "frame_index", "step", F.explode(both).alias("z"))
-    e = t.select("episode_index", "frame_index", "step", F.col("z.m").alias("modality"), F.abs(F.col("z.x") * 0.0131713 * (F.col("step") + 1)).alias("err"))
+    e = t.select("episode_index", "frame_index", "step", F.col("z.m").alias("modality"), F.abs(F.col("z.x") * 0.0131713717 * (F.col("step") + 1)).alias("err"))
     g = X.chunk_report(e, ["episode_index", "frame_index"])
     # grouping id bits: episode, frame, modality, step
     level = F.when(F.col("_g") == 13, "modality").when(F.col("_g") == 14, "step").when(F.col("_g") == 1, "frame").otherwise("all")

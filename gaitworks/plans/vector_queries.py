@@ -51,12 +51,12 @@ def split_vector(spark, d):
     return t.select("vec_id", "p.part", F.size("p.v").cast("bigint").alias("width"), F.round(V.vector_sum(F.col("p.v")), 4).alias("total"))
 
 
-@query("repack_columns", """SELECT l_orderkey AS "obs.episode", l_quantity AS "obs.pose.x", l_tax AS "obs.pose.y", l_returnflag AS body FROM lineitem""")
+@query("repack_columns", """SELECT l_orderkey AS obs_episode, l_quantity AS obs_pose_x, l_tax AS obs_pose_y, l_returnflag AS body FROM lineitem""")
 def repack_columns(spark, d):
     t = P.repack(table(spark, d, "lineitem"), {
         "obs/episode": "l_orderkey", "obs/pose/x": "l_quantity", "obs/pose/y": "l_tax", "body": "l_returnflag"})
     flat = P.flatten_struct(t, "obs")
-    return flat.select(F.col("`episode`").alias("obs.episode"), F.col("`pose.x`").alias("obs.pose.x"), F.col("`pose.y`").alias("obs.pose.y"), "body")
+    return flat.select(F.col("`episode`").alias("obs_episode"), F.col("`pose.x`").alias("obs_pose_x"), F.col("`pose.y`").alias("obs_pose_y"), "body")
 
 
 @query("rename_by_pattern", """SELECT p_partkey AS key, p_name AS part_name, p_brand AS part_brand, p_size AS part_size FROM part""")
@@ -64,12 +64,12 @@ def rename_by_pattern(spark, d):
     return P.rename_by_patterns(table(spark, d, "part"), {"p_partkey": "key", "p_(name|brand|size)": r"part_\1", "p_.*": None})
 
 
-@query("flatten_nested_action", """SELECT event_id, value AS "arm.left", json_extract(props,'$.k')::bigint AS "arm.right.k", user_id AS base FROM events""")
+@query("flatten_nested_action", """SELECT event_id, value AS arm_left, json_extract(props,'$.k')::bigint AS arm_right_k, user_id AS base FROM events""")
 def flatten_nested_action(spark, d):
     k = F.struct(F.from_json("props", "k bigint").getField("k").alias("k"))
     t = table(spark, d, "events").select(
         "event_id", F.struct(F.struct(F.col("value").alias("left"), k.alias("right")).alias("arm"), F.col("user_id").alias("base")).alias("action"))
-    return P.flatten_struct(t, "action")
+    return P.flatten_struct(t, "action", sep="_")
 
 
 BODY = "CASE label % 3 WHEN 0 THEN 'g1' WHEN 1 THEN 'g1neck' ELSE 'h1' END"
