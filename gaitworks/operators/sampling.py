@@ -48,39 +48,49 @@ def mixture_weights(episodes: DataFrame, weights: DataFrame, dataset: str, balan
     )
 
 
-def cumulative(options: DataFrame, keys: Sequence[str], order: str, weight: str) -> DataFrame:
-    """Half-open [_lo, _hi) bounds of integer weights along ``order``; zero weights get no span."""
+def pick_registered(draws: DataFrame, options: DataFrame, order: str, weight: str, u: Column) -> DataFrame:
+    """Weighted choice among registered datasets: the registry travels as one literal array, no join.
+
+    A registry has one row per dataset, so its running total is a small window.
+    """
     live = options.where(F.col(weight) > 0)
-    keys = list(keys)
-    idx = ordering.row_index(live, keys, [order], F.col(order), "_i") if keys else ordering.global_index(live, [order], F.col(order), "_i")
-    got = ordering.running_sum(idx, F.col(weight), "_lo", keys, "_i", inclusive=False)
-    return got.withColumns({"_hi": F.col("_lo") + F.col(weight)}).drop("_i")
+    rest = [c for c in options.columns if c != weight]
+    w = Window.partitionBy(F.lit(0)).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = live.select(F.sum(weight).over(w).alias("_hi"), *rest)
+    table = rows.agg(F.sort_array(F.collect_list(F.struct("_hi", *rest))).alias("_t")).scalar()
+    got = draws.withColumn("_t", table)
+    p = F.floor(u * F.element_at("_t", -1)["_hi"])
+    got = got.withColumn("_p", p).withColumn("_o", F.get(F.filter("_t", lambda x: x["_hi"] > F.col("_p")), 0))
+    return got.select(*draws.columns, *[F.col(f"_o.{c}").alias(c) for c in rest])
+
 
+def pick_weighted(draws: DataFrame, options: DataFrame, key: str, order: str, weight: str, u: Column, width: int = 1 << 14) -> DataFrame:
+    """Weighted choice among many options of the draw's own ``key`` (integer weights).
 
-def pick_weighted(draws: DataFrame, bounds: DataFrame, keys: Sequence[str], u: Column, width: int = 1 << 14) -> DataFrame:
-    """The option whose span holds floor(u * total); an interval join, no all-pairs step."""
-    keys = list(keys)
-    totals = bounds.groupBy(*keys).agg(F.max("_hi").alias("_total")) if keys else bounds.agg(F.max("_hi").alias("_total"))
-    if keys:
-        at = draws.join(totals, keys)  # one row per dataset: AQE broadcasts it
-    else:
-        at = draws.withColumn("_total", totals.scalar())
-    at = at.withColumn("_p", F.floor(u * F.col("_total")).cast("bigint")).drop("_total")
-    return joins.interval_join(at, bounds, keys, "_p", "_lo", "_hi", width).drop("_p", "_lo", "_hi")
+    floor(u * total) is located among cumulative spans by an interval join; no
+    all-pairs step, and a key holding most options is cut into cells.
+    """
+    live = options.where(F.col(weight) > 0)
+    totals = live.groupBy(key).agg(F.sum(weight).alias("_total"))
+    idx = ordering.row_index(live, [key], [order], F.col(order), "_i")
+    spans = ordering.running_sum(idx, F.col(weight), "_lo", [key], "_i", inclusive=False).withColumn("_hi", F.col("_lo") + F.col(weight))
+    at = draws.join(totals, key).withColumn("_p", F.floor(u * F.col("_total")).cast("bigint")).drop("_total")
+    return joins.interval_join(at, spans.drop("_i"), [key], "_p", "_lo", "_hi", width).drop("_p", "_lo", "_hi")
 
 
 def mixture_sample(draws: DataFrame, draw: str, datasets: DataFrame, episodes: DataFrame, seed: str) -> DataFrame:
     """Dataset by weight, episode by usable steps, step uniform in [0, usable)."""
-    d = pick_weighted(draws, cumulative(datasets, [], "dataset", "weight"), [], hashing.uniform(f"{seed}-d", F.col(draw)))
-    bounds = cumulative(episodes, ["dataset"], "episode_index", "usable").withColumn("_n", F.col("_hi") - F.col("_lo"))
-    e = pick_weighted(d.select(draw, "dataset"), bounds.select("dataset", "episode_index", "_n", "_lo", "_hi"), ["dataset"], hashing.uniform(f"{seed}-e", F.col(draw)))
-    step = F.floor(hashing.uniform(f"{seed}-s", F.col(draw)) * F.col("_n")).cast("bigint")
+    d = pick_registered(draws, datasets, "dataset", "weight", hashing.uniform(f"{seed}-d", F.col(draw)))
+    e = pick_weighted(
+        d.select(draw, "dataset"), episodes.select("dataset", "episode_index", "usable"), "dataset", "episode_index", "usable",
+        hashing.uniform(f"{seed}-e", F.col(draw)))
+    step = F.floor(hashing.uniform(f"{seed}-s", F.col(draw)) * F.col("usable")).cast("bigint")
     return e.select(draw, "dataset", "episode_index", step.alias("step"))
 
 
 def batch_mixture(draws: DataFrame, draw: str, datasets: DataFrame, seed: str, batch: int, world: int) -> DataFrame:
     """Dataset by ratio, uniform local index, rank = draw % world, batches of B inside a rank."""
-    d = pick_weighted(draws, cumulative(datasets, [], "dataset", "weight"), [], hashing.uniform(f"{seed}-d", F.col(draw)))
+    d = pick_registered(draws, datasets, "dataset", "weight", hashing.uniform(f"{seed}-d", F.col(draw)))
     local = F.floor(hashing.uniform(f"{seed}-i", F.col(draw)) * F.col("length")).cast("bigint")
     i = F.col(draw)
     return d.select(draw, "dataset", local.alias("local_index"), (i % world).alias("rank"), F.expr(f"({draw} div {world}) div {batch}").alias("batch"))
@@ -88,7 +98,7 @@ def batch_mixture(draws: DataFrame, draw: str, datasets: DataFrame, seed: str, b
 
 def token_batches(batches: DataFrame, batch: str, datasets: DataFrame, budget: int, world: int, seed: str, epoch: int = 0) -> DataFrame:
     """Per batch one dataset on every rank; batch size fits the token budget; samples differ by rank and epoch."""
-    d = pick_weighted(batches, cumulative(datasets, [], "dataset", "weight"), [], hashing.uniform(f"{seed}-d-{epoch}", F.col(batch)))
+    d = pick_registered(batches, datasets, "dataset", "weight", hashing.uniform(f"{seed}-d-{epoch}", F.col(batch)))
     size = F.greatest(F.lit(1), F.expr(f"{budget} div tokens")).cast("int")
     t = d.withColumn("batch_size", size).withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(world - 1))))
     t = t.withColumn("slot", F.explode(F.expr("sequence(0, batch_size - 1)")))
@@ -107,7 +117,7 @@ def shard_schedule_train(draws: DataFrame, draw: str, shards: DataFrame, weights
     """Datasets drawn by weight / mean shard size; within a dataset shards come in hash-shuffled rounds."""
     per = shards.groupBy("dataset").agg(F.avg("length").alias("_mean"), F.count(F.lit(1)).alias("_n")).join(weights, "dataset")
     ratio = per.select("dataset", F.round(F.col("weight") / F.col("_mean") * 1e9).cast("bigint").alias("weight"), "_n")
-    d = pick_weighted(draws, cumulative(ratio, [], "dataset", "weight"), [], hashing.uniform(f"{seed}-d", F.col(draw)))
+    d = pick_registered(draws, ratio, "dataset", "weight", hashing.uniform(f"{seed}-d", F.col(draw)))
     d = ordering.row_index(d.select(draw, "dataset", "_n"), ["dataset"], [draw], F.col(draw), "_k")
     d = d.withColumns({"round": F.expr("_k div _n"), "_place": F.expr("_k % _n")}).drop("_n")
     rounds = d.groupBy("dataset").agg(F.max("round").alias("_r"))

@@ -6,7 +6,7 @@ by one block window (see ``ordering``): no join, one exchange, bounded tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,10 +27,6 @@ def neighbourhood(df: DataFrame, columns: dict[str, str], before: int, after: in
     return got.withColumn("_at", F.least(F.col("frame_index"), F.lit(before)).cast("int"))
 
 
-def _indices(deltas: Sequence[int]) -> Column:
-    return F.array(*[F.lit(int(x)) for x in deltas])
-
-
 def delta_window(
     df: DataFrame, column: str, deltas: Sequence[int], name: str = "window", keys: Sequence[str] = EP, pad: str = "clamp"
 ) -> DataFrame:
@@ -41,16 +37,17 @@ def delta_window(
     """
     before, after = max(0, -min(deltas)), max(0, max(deltas))
     got = neighbourhood(df, {"_list": column}, before, after, keys)
-    raw = F.transform(_indices(deltas), lambda d: d + F.col("_at"))
-    got = got.withColumn("_raw", raw).withColumn("_n", F.size("_list"))
-    is_pad = F.transform("_raw", lambda r: (r < 0) | (r >= F.col("_n")))
-    inside = lambda r: F.get(F.col("_list"), F.least(F.greatest(r, F.lit(0)), F.col("_n") - 1))
-    if pad == "clamp":
-        values = F.transform("_raw", inside)
-    else:
-        empty = V.zeros(F.size(F.get("_list", 0)))
-        values = F.transform("_raw", lambda r: F.when((r < 0) | (r >= F.col("_n")), empty).otherwise(inside(r)))
-    return got.withColumns({name: values, "is_pad": is_pad}).drop("_list", "_at", "_raw", "_n")
+    at, n = F.col("_at"), F.col("_n")
+    got = got.withColumn("_n", F.size("_list"))
+    empty = V.zeros(F.size(F.get("_list", 0)))
+    values, pads = [], []
+    for d in deltas:
+        raw = at + int(d)
+        out = (raw < 0) | (raw >= n)
+        value = F.get("_list", F.least(F.greatest(raw, F.lit(0)), n - 1))
+        values.append(value if pad == "clamp" else F.when(out, empty).otherwise(value))
+        pads.append(out)
+    return got.withColumns({name: F.array(*values), "is_pad": F.array(*pads)}).drop("_list", "_at", "_n")
 
 
 def action_chunk(
@@ -109,14 +106,21 @@ def _shift_chunk(chunk: Column, anchor: Column, mask, sign: float) -> Column:
     return F.transform(chunk, lambda a: F.zip_with(a, used, lambda x, y: x + F.lit(sign) * y))
 
 
-def relative_pairs(df: DataFrame, action: str, state: str, deltas: Iterable[int], keys: Sequence[str] = EP) -> DataFrame:
-    """(horizon, action[t+d] - state[t]) over base steps with a full horizon."""
-    deltas = list(deltas)
-    got = delta_window(df, action, deltas, "_w", keys).where(~F.exists("is_pad", lambda p: p))
-    pairs = got.select(*keys, "frame_index", F.col(state).alias("_s"), F.posexplode("_w").alias("horizon", "_a"))
+def relative_pairs(df: DataFrame, action: str, state: str, horizon: int, keys: Sequence[str] = EP) -> DataFrame:
+    """(horizon, action[t+d] - state[t]) for d < horizon, over base steps with a full horizon."""
+    full = action_chunk(df, action, horizon, "_w", keys, pad=False)
+    pairs = full.select(*keys, "frame_index", F.col(state).alias("_s"), F.posexplode("_w").alias("horizon", "_a"))
     return pairs.select(*keys, "frame_index", "horizon", V.subtract(F.col("_a"), F.col("_s")).alias("relative"))
 
 
+def relative_long(df: DataFrame, action: str, state: str, horizon: int, keys: Sequence[str] = EP) -> DataFrame:
+    """The same, one row per dimension: (horizon, dim, value); explodes instead of lambdas keep it in generated code."""
+    full = action_chunk(df.select(*keys, "frame_index", action, state), action, horizon, "_w", keys, pad=False)
+    pairs = full.select(F.col(state).alias("_s"), F.posexplode("_w").alias("horizon", "_a"))
+    cells = pairs.select("horizon", F.posexplode(F.arrays_zip("_a", "_s")).alias("dim", "_c"))
+    return cells.select("horizon", "dim", (F.col("_c._a") - F.col("_c._s")).alias("value"))
+
+
 def previous_or(df: DataFrame, column: str, default: Column, name: str, keys: Sequence[str] = EP) -> DataFrame:
     """The previous frame's value, ``default`` on the first frame."""
     got = over_frames(df, {name: lambda w: F.lag(column, 1).over(w)}, keys, before=1)

@@ -92,7 +92,7 @@ SELECT episode_index, frame_index, p.horizon::bigint AS horizon, round(least(gre
 def normalise_per_horizon(spark, d):
     from gaitworks.operators import windows
 
-    pairs = windows.relative_pairs(frames(spark, d), "action", "state", range(2))
+    pairs = windows.relative_pairs(frames(spark, d), "action", "state", 2)
     long = pairs.select("horizon", F.posexplode("relative").alias("dim", "value"))
     st = S.stats_vectors(S.moment_stats(long, ["horizon", "dim"]), ["horizon"], columns=("min", "max"))
     t = N.with_stats(pairs, st, ["horizon"]).withColumn("y", N.min_max("relative"))

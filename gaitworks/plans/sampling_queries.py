@@ -43,8 +43,10 @@ CUM = "cw AS (SELECT dataset, sum(weight) OVER (ORDER BY dataset)-weight AS lo,
 
 
 @query("mixture_sample", f"""WITH {EPS}, {W_SQL}, {CUM}, ce AS (SELECT dataset, episode_index, usable, sum(usable) OVER (PARTITION BY dataset ORDER BY episode_index)-usable AS lo, sum(usable) OVER (PARTITION BY dataset ORDER BY episode_index) AS hi, sum(usable) OVER (PARTITION BY dataset) AS t FROM ep WHERE usable>0),
- a AS (SELECT event_id, dataset FROM events JOIN cw ON floor({H('mix-d','event_id')}/4294967296.0*t) >= lo AND floor({H('mix-d','event_id')}/4294967296.0*t) < hi)
-SELECT event_id, a.dataset, episode_index, floor({H('mix-s','event_id')}/4294967296.0*usable)::bigint AS step FROM a JOIN ce ON a.dataset=ce.dataset AND floor({H('mix-e','event_id')}/4294967296.0*ce.t) >= ce.lo AND floor({H('mix-e','event_id')}/4294967296.0*ce.t) < ce.hi""")
+ tt AS (SELECT dataset, max(hi) AS t FROM ce GROUP BY 1),
+ a AS (SELECT event_id, dataset FROM events JOIN cw ON floor({H('mix-d','event_id')}/4294967296.0*t) >= lo AND floor({H('mix-d','event_id')}/4294967296.0*t) < hi),
+ b AS (SELECT a.*, floor({H('mix-e','event_id')}/4294967296.0*t)::bigint AS p FROM a JOIN tt ON a.dataset=tt.dataset)
+SELECT event_id, b.dataset, episode_index, floor({H('mix-s','event_id')}/4294967296.0*usable)::bigint AS step FROM b ASOF JOIN ce ON b.dataset=ce.dataset AND b.p >= ce.lo""")
 def mixture_sample(spark, d):
     """One draw per event row; steps are drawn below n - max_delta."""
     return K.mixture_sample(table(spark, d, "events").select("event_id"), "event_id", _weights(spark, d), _episodes(spark, d), "mix")

@@ -171,8 +171,7 @@ def relative_action_stats(spark, d):
 def _relative(spark, d):
     from gaitworks.operators import windows
 
-    pairs = windows.relative_pairs(frames(spark, d), "action", "state", deltas=range(H))
-    return pairs.select("episode_index", "horizon", F.posexplode("relative").alias("dim", "value"))
+    return windows.relative_long(frames(spark, d), "action", "state", H)
 
 
 @query("relative_action_stats_per_horizon", f"""WITH {FRAMES}, n AS (SELECT *, count(*) OVER (PARTITION BY episode_index) AS n FROM frames),
