@@ -18,14 +18,14 @@ def nearest_asof(
 
     Before the first match: null when the right stream starts after the left
     one, else its first row.  Time is cut into cells of twice the tolerance; a
-    right row is copied into the one or two cells it can reach, so the join is
+    right row is copied into the two (on an edge three) cells it can reach, so the join is
     an equi-join whose cells hold only what arrives in that span.
     """
     keys = list(keys)
     cell = 2.0 * tolerance
     t, u = F.col(left_time), F.col(right_time)
     body = F.struct(*payload).alias("_p")
-    spans = F.array_distinct(F.array(F.floor((u - tolerance) / cell), F.floor((u + tolerance) / cell)))
+    spans = F.sequence(F.floor((u - tolerance) / cell), F.floor((u + tolerance) / cell))
     r = right.select(*keys, u.alias("_u"), F.col(right_order).alias("_o"), body, F.explode(spans).alias("_cell"))
     probe = left.select(*keys, index, t.alias("_t"), F.floor(t / cell).alias("_cell"))
     near = (

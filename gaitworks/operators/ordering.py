@@ -30,19 +30,19 @@ SEGMENTS = 16          # quantile segments of a hot group
 CELL_ROWS = 1 << 18    # aimed rows per cell
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame | None:
     """The at most HOT_GROUPS largest groups above ``hot_rows``, or None when there are none.
 
     One aggregate job over the key columns; its answer decides between the
     plain window plan and the cell plan, and bounds what is broadcast.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > (hot_rows or HOT_ROWS))
     if sizes.isEmpty():
         return None
     return sizes.orderBy(F.col("_n").desc(), *keys).limit(HOT_GROUPS)
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], rank: Column, sizes: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+def split_hot(df: DataFrame, keys: Sequence[str], rank: Column, sizes: DataFrame, cell_rows: int | None = None) -> DataFrame:
     """Add ``_cell`` (0 in ordinary groups) and ``_hot``.
 
     ``rank`` is a number that never decreases along the wanted order.  Cells of
@@ -57,7 +57,7 @@ def split_hot(df: DataFrame, keys: Sequence[str], rank: Column, sizes: DataFrame
         .agg(F.percentile_approx("_rank", probs, 10000).alias("_b"), F.max("_n").alias("_n"))
     )
     r, b = F.col("_rank"), F.col("_b")
-    per_segment = F.greatest(F.lit(1), F.ceil(F.col("_n") / (SEGMENTS * cell_rows)))
+    per_segment = F.greatest(F.lit(1), F.ceil(F.col("_n") / (SEGMENTS * (cell_rows or CELL_ROWS))))
     seg = F.least(F.greatest(F.size(F.filter(b, lambda x: x <= r)) - 1, F.lit(0)), F.lit(SEGMENTS - 1))
     joined = ranked.join(F.broadcast(bounds), keys, "left").withColumn("_hot", b.isNotNull())
     joined = joined.withColumn("_seg", F.when(F.col("_hot"), seg))
@@ -80,8 +80,8 @@ def row_index(
     order: Sequence[Column | str],
     rank: Column,
     name: str = "frame_index",
-    hot_rows: int = HOT_ROWS,
-    cell_rows: int = CELL_ROWS,
+    hot_rows: int | None = None,
+    cell_rows: int | None = None,
 ) -> DataFrame:
     """Dense 0-based position inside each group; ``order`` must be a total order."""
     keys = list(keys)
@@ -132,13 +132,14 @@ def global_index(df: DataFrame, order: Sequence[Column | str], rank: Column, nam
 
 
 def with_blocks(
-    df: DataFrame, index: str = "frame_index", before: int = 0, after: int = 0, block: int = BLOCK
+    df: DataFrame, index: str = "frame_index", before: int = 0, after: int = 0, block: int | None = None
 ) -> DataFrame:
     """Add ``_blk`` and ``_home``; rows needed by a neighbour block are copied.
 
     ``before`` / ``after`` is how far a window reaches back / ahead of a row.
     Use ``Window.partitionBy(*keys, "_blk")`` and then ``home_rows``.
     """
+    block = block or BLOCK
     if max(before, after) > block:
         raise ValueError("window reaches further than one block; raise block")
     i = F.col(index)
@@ -168,7 +169,7 @@ def over_frames(
     index: str = "frame_index",
     before: int = 0,
     after: int = 0,
-    block: int = BLOCK,
+    block: int | None = None,
 ) -> DataFrame:
     """Add ordered-window columns; each value is a function of the window spec."""
     blocks = with_blocks(df, index, before, after, block)
@@ -189,9 +190,10 @@ def per_episode(
     index: str = "frame_index",
     length: str = "length",
     how: str = "inner",
-    block: int = BLOCK,
+    block: int | None = None,
 ) -> DataFrame:
     """Join one row per episode onto frames on (episode, block)."""
+    block = block or BLOCK
     last = F.greatest(F.floor((F.col(length) - 1) / F.lit(block)), F.lit(0)).cast("long")
     spread = episodes.withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     cut = frames.withColumn("_blk", F.floor(F.col(index) / F.lit(block)).cast("long"))
@@ -200,14 +202,14 @@ def per_episode(
 
 def with_length(
     frames: DataFrame, keys: Sequence[str] = ("episode_index",), index: str = "frame_index", name: str = "length",
-    block: int = BLOCK,
+    block: int | None = None,
 ) -> DataFrame:
     return per_episode(frames, episode_lengths(frames, keys, index, name), keys, index, name, block=block)
 
 
 def running_sum(
     df: DataFrame, value: Column, name: str, keys: Sequence[str] = ("episode_index",), index: str = "frame_index",
-    inclusive: bool = True, block: int = BLOCK,
+    inclusive: bool = True, block: int | None = None,
 ) -> DataFrame:
     """Cumulative sum along ``index``: block-local sum plus the sum of earlier blocks."""
     keys = list(keys)
@@ -225,7 +227,7 @@ def running_sum(
 
 def fill(
     df: DataFrame, value: Column, keys: Sequence[str] = ("episode_index",), index: str = "frame_index",
-    forward: str | None = None, backward: str | None = None, block: int = BLOCK,
+    forward: str | None = None, backward: str | None = None, block: int | None = None,
 ) -> DataFrame:
     """Last non-null value at or before each row (``forward``), next one at or after it (``backward``).
 

@@ -94,11 +94,11 @@ def holdout_random(episodes: DataFrame, group: str, k: int, seed: str) -> DataFr
 def holdout_near_median(episodes: DataFrame, group: str, k: int, length: str = "length") -> DataFrame:
     """The k episodes nearest the median position by length; a group with at most k episodes is an error."""
     placed = ordering.row_index(episodes, [group], [length, "episode_index"], F.col(length) , "_pos")
-    sizes = episodes.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    placed = ordering.with_length(placed, [group], "_pos", "_size")
     ok = F.when(F.col("_size") > k, F.col("_size")).otherwise(
         F.raise_error(F.concat(F.lit("too few episodes to hold out in "), F.col(group))).cast("bigint")
     )
-    near = placed.join(sizes, group).withColumn("_away", F.abs(F.col("_pos") - F.floor(ok / 2)))
+    near = placed.withColumn("_away", F.abs(F.col("_pos") - F.floor(ok / 2)))
     kept = near.where(F.col("_away") <= k)  # at most 2k+1 positions per group can win
     w = Window.partitionBy(group).orderBy("_away", length, "episode_index")
     return kept.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k).drop("_pos", "_size", "_away", "_rk")

@@ -74,7 +74,11 @@ def pick_weighted(draws: DataFrame, options: DataFrame, key: str, order: str, we
     totals = live.groupBy(key).agg(F.sum(weight).alias("_total"))
     idx = ordering.row_index(live, [key], [order], F.col(order), "_i")
     spans = ordering.running_sum(idx, F.col(weight), "_lo", [key], "_i", inclusive=False).withColumn("_hi", F.col("_lo") + F.col(weight))
-    at = draws.join(totals, key).withColumn("_p", F.floor(u * F.col("_total")).cast("bigint")).drop("_total")
+    # draws of a popular key are many and its total is one row: salt both sides
+    salts = 32
+    totals = totals.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = draws.withColumn("_salt", F.pmod(F.xxhash64(*draws.columns), F.lit(salts)).cast("int"))
+    at = salted.join(totals, [key, "_salt"]).drop("_salt").withColumn("_p", F.floor(u * F.col("_total")).cast("bigint")).drop("_total")
     return joins.interval_join(at, spans.drop("_i"), [key], "_p", "_lo", "_hi", width).drop("_p", "_lo", "_hi")
 
 
@@ -158,9 +162,8 @@ def chunk_shuffle(items: DataFrame, index: str, chunk: int, seed: str) -> DataFr
 
 def sample_fraction(df: DataFrame, keys: Sequence[str], key: str, rate: Column, seed: str) -> DataFrame:
     """Exactly ``int(n * rate)`` rows of each source, chosen by hash order."""
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     t = ordering.row_index(df.withColumn("_h", hashing.draw32(seed, F.col(key))), keys, ["_h", key], F.col("_h"), "_i")
-    return t.join(n, list(keys)).where(F.col("_i") < F.floor(F.col("_n") * rate)).drop("_h", "_i", "_n")
+    return ordering.with_length(t, keys, "_i", "_n").where(F.col("_i") < F.floor(F.col("_n") * rate)).drop("_h", "_i", "_n")
 
 
 def parse_suffix(name: Column) -> tuple[Column, Column]:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Q01_Q99 = (0.01, 0.99)
+SALTS = 32
 
 
 def moments(value: str = "value") -> list[Column]:
@@ -52,7 +53,7 @@ def full_stats(
 
     ``few_groups`` says that the number of key combinations is bounded by the
     schema (dimensions, registered embodiments); only then is the pass-1 result
-    broadcast, otherwise Catalyst and AQE choose the join.
+    broadcast, otherwise the join is salted and Catalyst and AQE choose its form.
     """
     keys, probs = list(keys), sorted(probs)
     e = 2.0 / accuracy
@@ -67,7 +68,12 @@ def full_stats(
     for lo, hi in zip(lows, highs):
         inside = inside | v.between(lo, hi)
         seg = seg + (v > hi).cast("int")
-    tagged = rows.join(F.broadcast(first) if few_groups else first, keys)
+    if few_groups:
+        tagged = rows.join(F.broadcast(first), keys)
+    else:
+        # a key holding much of the table is spread over SALTS join partitions; equal values stay together
+        salted = first.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        tagged = rows.withColumn("_salt", F.pmod(F.hash("_v"), F.lit(SALTS))).join(salted, [*keys, "_salt"])
     counted = (
         tagged.select(*keys, *MOMENTS, seg.alias("_seg"), F.when(inside, v).alias("_w"), "_v")
         .groupBy(*keys, "_seg", "_w")
