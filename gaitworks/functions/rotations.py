@@ -227,6 +227,13 @@ def transform_point(m: Column, p: Column) -> Column:
     return F.array(*[dot(x[4 * i : 4 * i + 3], q) + x[4 * i + 3] for i in range(3)])
 
 
+@bound
+def rotate_vector(m: Column, p: Column) -> Column:
+    """Rotation part of a 4x4 applied to a direction."""
+    x, q = _at(m, 12), _at(p, 3)
+    return F.array(*[dot(x[4 * i : 4 * i + 3], q) for i in range(3)])
+
+
 @bound
 def multiply3(a: Column, b: Column, transpose_b: bool = False) -> Column:
     x, y = _at(a, 9), _at(b, 9)

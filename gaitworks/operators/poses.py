@@ -82,22 +82,24 @@ def delta_chunk_inverse(chunk: Column, base: Column) -> Column:
 
 def pose_delta_48(action: Column, previous: Column, extrinsics: Column) -> Column:
     """Consecutive 48-D delta in the camera frame: per hand xyz step, R2 R1^T as roll, pitch, yaw, three zeros, tip steps."""
-    parts = []
-    for b in (0, 24):
-        now = to_camera(d9_to_pose(V.take_span(action, b, b + 9)), extrinsics)
-        was = to_camera(d9_to_pose(V.take_span(previous, b, b + 9)), extrinsics)
-        turn = V.let(
-            F.array(now, was),
-            lambda p: R.matrix_to_euler(R.multiply3(R.rotation_of(F.get(p, 0)), R.rotation_of(F.get(p, 1)), transpose_b=True)),
-        )
-        parts += [
-            V.subtract(R.translation_of(now), R.translation_of(was)),
-            V.let(turn, lambda e: V.permute(e, [2, 1, 0])), V.zeros(3),
-        ]
-        for t in range(5):
-            a, z = b + 9 + 3 * t, b + 12 + 3 * t
-            parts.append(V.subtract(point_to_camera(V.take_span(action, a, z), extrinsics), point_to_camera(V.take_span(previous, a, z), extrinsics)))
-    return F.concat(*parts)
+
+    def made(inv: Column) -> Column:
+        parts = []
+        for b in (0, 24):
+            now = R.compose(inv, d9_to_pose(V.take_span(action, b, b + 9)))
+            was = R.compose(inv, d9_to_pose(V.take_span(previous, b, b + 9)))
+
+            def wrist(p: Column) -> Column:
+                turn = R.matrix_to_euler(R.multiply3(R.rotation_of(F.get(p, 0)), R.rotation_of(F.get(p, 1)), transpose_b=True))
+                return F.concat(V.subtract(R.translation_of(F.get(p, 0)), R.translation_of(F.get(p, 1))), F.reverse(turn))
+
+            parts += [V.let(F.array(now, was), wrist), V.zeros(3)]
+            for t in range(5):
+                a, z = b + 9 + 3 * t, b + 12 + 3 * t
+                parts.append(R.rotate_vector(inv, V.subtract(V.take_span(action, a, z), V.take_span(previous, a, z))))
+        return F.concat(*parts)
+
+    return V.let(R.invert(extrinsics), made)
 
 
 def bimanual_relative(chunk: Column, left: Column, right: Column) -> Column:

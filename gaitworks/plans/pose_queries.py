@@ -180,9 +180,27 @@ def bimanual_relative_actions(spark, d):
     return out(t.select("vec_id", F.get(P.bimanual_relative(F.col("chunk"), F.col("left"), F.col("right")), 0).alias("m")), "m")
 
 
-@query("pose_delta_actions")
+def _delta48() -> str:
+    """Prior vector: the same row rotated by 16 places."""
+    ctes = QCTE + ",".join([gs_cte("g", "m", 3), gs_cte("h", "g", 19), gs_cte("k", "h", 27), gs_cte("o", "k", 43)])
+    turns, cells = [], []
+    for tag, (n, p) in (("l", ("g", "h")), ("r", ("k", "o"))):
+        t = mul(mul(tr(EX), gs_m(n)), tr(mul(tr(EX), gs_m(p))))
+        turns += [f"{c} AS {tag}t{i}" for i, c in enumerate(t)]
+    ctes += ", t AS (SELECT *, " + ", ".join(turns) + " FROM o),"
+    for tag, b in (("l", 0), ("r", 24)):
+        def step(a):
+            return mv(tr(EX), [f"v[{a + i + 1}]-v[{a + i + 17}]" for i in range(3)])
+
+        cells += step(b) + euler_of([f"{tag}t{i}" for i in range(9)])[::-1] + ["0", "0", "0"]
+        for k in range(5):
+            cells += step(b + 9 + 3 * k)
+    return emit(ctes, "t", cells)
+
+
+@query("pose_delta_actions", _delta48())
 def pose_delta_actions(spark, d):
-    """48-D delta between the vector and its rotation by 16 places; brute-force checked in the tests."""
+    """48-D delta between the vector and its rotation by 16 places, also compared with brute force in the tests."""
     prev = F.concat(F.slice("embedding", 17, 48), F.slice("embedding", 1, 16))
     t = emb(spark, d).select("vec_id", F.slice("embedding", 1, 48).alias("a"), F.slice(prev, 1, 48).alias("p"), ext().alias("ext"))
     return out(t.withColumn("m", P.pose_delta_48(F.col("a"), F.col("p"), F.col("ext"))), "m")

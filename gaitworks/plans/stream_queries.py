@@ -108,9 +108,27 @@ def chunk_replay_by_tick(spark, d):
     return t.select("episode_index", F.col("frame_index").alias("tick"), F.get("steps", (F.col("frame_index") % 3).cast("int")).alias("value"))
 
 
-@query("stream_confirmed_switch")
+VOTES = """WITH RECURSIVE n AS MATERIALIZED (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, upper(event_type) AS txt, event_type AS k,
+  CASE WHEN event_id%97=0 THEN 'done' WHEN event_type='error' THEN 'continue' ELSE 'switch' END AS decision, (event_id%50)::varchar AS cap, event_id%9<>0 AS fresh FROM events),
+ f AS (SELECT DISTINCT user_id, 0::bigint AS i, NULL::bigint AS event_id, '' AS cur, false AS done, '' AS cand, '' AS spell, []::varchar[] AS caps, NULL::varchar AS out FROM events
+  UNION ALL
+  SELECT user_id, i, event_id, CASE WHEN win AND kind<>'done' THEN spell1 ELSE cur END, done OR (win AND kind='done'),
+   CASE WHEN kind='stop' THEN cand WHEN kind='' OR win THEN '' ELSE ck END, CASE WHEN kind='stop' THEN spell WHEN kind='' OR win THEN '' ELSE spell1 END,
+   CASE WHEN kind='stop' THEN caps WHEN kind='' OR win THEN [] ELSE caps1 END, CASE WHEN win THEN CASE kind WHEN 'done' THEN 'done' ELSE spell1 END END
+  FROM (SELECT *, kind NOT IN ('','stop') AND len(caps1)>=2 AS win FROM (
+   SELECT *, CASE WHEN fresh AND NOT list_contains(caps0,cap) THEN list_append(caps0,cap) ELSE caps0 END AS caps1, txt AS spell1 FROM (
+    SELECT *, CASE WHEN ck=cand THEN caps ELSE [] END AS caps0 FROM (
+     SELECT *, kind||'|'||CASE kind WHEN 'done' THEN '' ELSE k END AS ck FROM (
+      SELECT n.*, f.cur, f.done, f.cand, f.spell, f.caps, CASE WHEN f.done THEN 'stop' WHEN decision='done' THEN 'done' WHEN f.cur='' THEN 'first' WHEN decision='switch' AND txt<>f.cur THEN 'switch' ELSE '' END AS kind
+      FROM f JOIN n ON n.user_id=f.user_id AND n.i=f.i+1))))))
+SELECT user_id, event_id, out AS committed FROM f WHERE out IS NOT NULL"""
+
+
+@query("stream_confirmed_switch", VOTES)
 def stream_confirmed_switch(spark, d):
-    """Two votes for the same event type from distinct captures; odd keys of the payload count as inconsistent."""
+    """Two votes from distinct fresh captures commit a subtask."""
+    k = F.col("event_id")
     e = events(spark, d).select(
-        "user_id", "event_id", F.concat(F.lit(" "), F.upper("event_type"), F.lit(" ")).alias("proposal"), (F.col("event_id") % 50).alias("capture"), (F.col("event_id") % 9 != 0).alias("consistent"))
+        "user_id", "event_id", F.when(k % 97 == 0, "done").when(F.col("event_type") == "error", "continue").otherwise("switch").alias("decision"),
+        F.concat(F.lit(" "), F.upper("event_type"), F.lit(" ")).alias("next_subtask"), (k % 50).cast("string").alias("capture_key"), (k % 9 != 0).alias("capture_fresh"))
     return N.run_available(N.confirmed_switch(e, "user_id", "event_id", 2), "append")

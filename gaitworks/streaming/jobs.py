@@ -128,35 +128,53 @@ def fold_key(text: str) -> str:
     return " ".join(text.split()).casefold()
 
 
-def vote_step(state: tuple, proposal: str, capture: str, consistent: bool, votes: int) -> tuple[tuple, str | None]:
-    """One vote.  State is (committed, candidate, captures so far); returns the newly committed text or None."""
-    committed, candidate, captures = state
-    if committed == "done":
+def vote_step(state: tuple, decision: str, text: str | None, capture: str, fresh: bool, votes: int) -> tuple[tuple, str | None]:
+    """One prediction of the next subtask.
+
+    State: (current, done, candidate, spelling, captures).  A candidate is
+    "done", the first subtask, or a switch to another one; anything else clears
+    it and another candidate starts over.  Only a fresh capture not yet used for
+    the candidate counts.  Returns the new state and what was committed, if
+    anything, in the spelling of the latest counted vote.
+    """
+    current, done, candidate, spelling, captures = state
+    if done:
         return state, None
-    p = fold_key(proposal)
-    if not consistent or p == committed:
-        return (committed, "", []), None
-    captures = captures if p == candidate else []
-    if capture not in captures:
-        captures = captures + [capture]
-    if len(captures) >= votes:
-        return (p, "", []), p
-    return (committed, p, captures), None
+    text = (text or "").strip()
+    kind = None
+    if decision == "done":
+        kind, text = "done", ""
+    elif text and not current and decision in ("switch", "continue"):
+        kind = "first"
+    elif text and decision == "switch" and fold_key(text) != fold_key(current):
+        kind = "switch"
+    if kind is None:
+        return (current, done, "", "", []), None
+    key = f"{kind}|{fold_key(text)}"
+    if key != candidate:
+        spelling, captures = text, []
+    if fresh and capture not in captures:
+        spelling, captures = text, [*captures, capture]
+    if len(captures) < votes:
+        return (current, done, key, spelling, captures), None
+    if kind == "done":
+        return (current, True, "", "", []), "done"
+    return (spelling, False, "", "", []), spelling
 
 
 def confirmed_switch(stream: DataFrame, key: str, order: str, votes: int) -> DataFrame:
-    """A proposed subtask is committed after ``votes`` votes from distinct captures.
+    """A proposed subtask is committed after ``votes`` votes from distinct fresh captures.
 
-    Columns: proposal, capture, consistent.  State per episode is bounded by the
-    number of votes.
+    Columns: decision, next_subtask, capture_key, capture_fresh.  State per
+    episode is bounded by the number of votes.
     """
 
     def step(key_, frames, state: GroupState):
-        s = (state.get[0], state.get[1], list(state.get[2])) if state.exists else ("", "", [])
+        s = (*state.get[:4], list(state.get[4])) if state.exists else ("", False, "", "", [])
         pdf = pd.concat(list(frames)).sort_values(order)
         rows = []
-        for at, p, c, ok in zip(pdf[order], pdf["proposal"], pdf["capture"], pdf["consistent"]):
-            s, new = vote_step(s, p, str(c), bool(ok), votes)
+        for at, d, t, c, f in zip(pdf[order], pdf["decision"], pdf["next_subtask"], pdf["capture_key"], pdf["capture_fresh"]):
+            s, new = vote_step(s, d, t, str(c), bool(f), votes)
             if new is not None:
                 rows.append((key_[0], at, new))
         state.update(s)
@@ -164,5 +182,5 @@ def confirmed_switch(stream: DataFrame, key: str, order: str, votes: int) -> Dat
 
     kinds = dict(stream.dtypes)
     return stream.groupBy(key).applyInPandasWithState(
-        step, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, committed string", "committed string, candidate string, captures array<string>",
-        "append", GroupStateTimeout.NoTimeout)
+        step, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, committed string",
+        "current string, done boolean, candidate string, spelling string, captures array<string>", "append", GroupStateTimeout.NoTimeout)
