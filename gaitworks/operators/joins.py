@@ -66,8 +66,13 @@ def forward_asof(
     return filled.where("_kind = 0").withColumn(value, F.coalesce("_next", fallback)).drop("_kind", "_mark", "_pos", "_next")
 
 
+def span_width(spans: DataFrame, length: Column) -> Column:
+    """Cell width for tiling spans: sixteen mean lengths, so a point meets about sixteen spans."""
+    return spans.agg(F.greatest(F.lit(16), F.ceil(F.avg(length) * 16)).cast("bigint")).scalar()
+
+
 def interval_join(
-    points: DataFrame, spans: DataFrame, keys: Sequence[str], point: str, low: str, high: str, width: int, how: str = "inner"
+    points: DataFrame, spans: DataFrame, keys: Sequence[str], point: str, low: str, high: str, width: int | Column, how: str = "inner"
 ) -> DataFrame:
     """Equi-join on (keys, point div width) plus ``low <= point < high``.
 

@@ -71,12 +71,12 @@ def global_frame_index(frames: DataFrame, name: str = "index", length: str = "le
     return got.withColumn(name, F.col("offset") + F.col("frame_index")).drop("offset", length)
 
 
-def locate(points: DataFrame, offsets: DataFrame, point: str, keys: Sequence[str] = (), width: int = 1 << 16) -> DataFrame:
+def locate(points: DataFrame, offsets: DataFrame, point: str, keys: Sequence[str] = ()) -> DataFrame:
     """Global index -> (episode, local frame) by an interval join on cumulative bounds."""
-    from gaitworks.operators.joins import interval_join
+    from gaitworks.operators.joins import interval_join, span_width
 
     spans = offsets.withColumn("_end", F.col("offset") + F.col("length"))
-    got = interval_join(points, spans, keys, point, "offset", "_end", width)
+    got = interval_join(points, spans, keys, point, "offset", "_end", span_width(offsets, F.col("length")))
     return got.withColumn("frame_index", F.col(point) - F.col("offset")).drop("_end")
 
 

@@ -64,7 +64,7 @@ def pick_registered(draws: DataFrame, options: DataFrame, order: str, weight: st
     return got.select(*draws.columns, *[F.col(f"_o.{c}").alias(c) for c in rest])
 
 
-def pick_weighted(draws: DataFrame, options: DataFrame, key: str, order: str, weight: str, u: Column, width: int = 1 << 14) -> DataFrame:
+def pick_weighted(draws: DataFrame, options: DataFrame, key: str, order: str, weight: str, u: Column) -> DataFrame:
     """Weighted choice among many options of the draw's own ``key`` (integer weights).
 
     floor(u * total) is located among cumulative spans by an interval join; no
@@ -79,7 +79,7 @@ def pick_weighted(draws: DataFrame, options: DataFrame, key: str, order: str, we
     totals = totals.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = draws.withColumn("_salt", F.pmod(F.xxhash64(*draws.columns), F.lit(salts)).cast("int"))
     at = salted.join(totals, [key, "_salt"]).drop("_salt").withColumn("_p", F.floor(u * F.col("_total")).cast("bigint")).drop("_total")
-    return joins.interval_join(at, spans.drop("_i"), [key], "_p", "_lo", "_hi", width).drop("_p", "_lo", "_hi")
+    return joins.interval_join(at, spans.drop("_i"), [key], "_p", "_lo", "_hi", joins.span_width(live, F.col(weight))).drop("_p", "_lo", "_hi")
 
 
 def mixture_sample(draws: DataFrame, draw: str, datasets: DataFrame, episodes: DataFrame, seed: str) -> DataFrame:
