@@ -101,6 +101,12 @@ def row_index(
     )
 
 
+def text_rank(text: Column) -> Column:
+    """The first six bytes of a text as a number: never decreases along byte order."""
+    head = F.substring(F.hex(F.encode(F.substring(text, 1, 6), "UTF-8")), 1, 12)
+    return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("bigint")
+
+
 def global_index(df: DataFrame, order: Sequence[Column | str], rank: Column, name: str, cells: int = 4096) -> DataFrame:
     """Dense 0-based position over the whole table without a one-task window.
 

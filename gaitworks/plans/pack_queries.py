@@ -167,7 +167,7 @@ def split_skip(spark, d):
 def sort_episodes(spark, d):
     """Numeric episode order inside case-folded task order: tasks are numbered first, then both become one rank."""
     p = table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("task"), F.format_string("episode_%d", "p_partkey").alias("folder"))
-    tasks = ordering.row_index(p.select("task").distinct().withColumn("g", F.lit(0)), ["g"], ["task"], F.lit(0), "t").drop("g")
+    tasks = ordering.global_index(p.select("task").distinct(), ["task"], ordering.text_rank(F.col("task")), "t")
     n = F.regexp_extract("folder", r"(\d+)$", 1).cast("bigint")
     t = p.withColumn("n", n).join(tasks, "task")
     return ordering.global_index(t, ["t", "n"], F.col("t") * F.lit(1e9) + F.col("n"), "position").select("p_partkey", "position")

@@ -233,13 +233,12 @@ def invert_repack_spans(spark, d):
     return long(model.withColumn("r", V.permute(F.col("m"), P.recorded_order(spans, 48))), "r")
 
 
-ALOHA = [1, -1, -1, 1, 1, 1, 1, 1, -1, -1, 1, 1, 1, 1]
-FLIP_SQL = ", ".join(f"{s}*v[{i + 1}]" for i, s in enumerate(ALOHA))
+FLIP_SQL = ", ".join(f"{s}*v[{i + 1}]" for i, s in enumerate(P.JOINT_FLIP))
 
 
 def flip_sql(expr: str) -> str:
     cells = []
-    for i, s in enumerate(ALOHA):
+    for i, s in enumerate(P.JOINT_FLIP):
         x = f"({s}*v[{i + 1}])"
         cells.append(expr.replace("$", x) if i in (6, 13) else x)
     return long_sql("[" + ", ".join(cells) + "]")

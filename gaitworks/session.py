@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -30,6 +31,4 @@ def scratch_dir(spark: SparkSession, prefix: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         return tempfile.mkdtemp(prefix=f"{prefix}-")
-    import uuid
-
     return f"{shared.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"

@@ -127,3 +127,10 @@ def test_forward_asof_and_spans(tiny_blocks, spark):
     spans = spark.createDataFrame([(1, 2, 8, 1, "x"), (1, 5, 9, 0, "y")], "episode_index long, a long, z long, o long, text string")
     got = {r.frame_index: r.text for r in joins.first_span(frames, spans, ["episode_index"], "frame_index", "a", "z", "o", "text", width=4).collect()}
     assert got == {i: "y" if 5 <= i <= 9 else "x" if 2 <= i <= 8 else "" for i in range(23)}
+
+
+def test_text_rank_follows_byte_order(spark):
+    words = ["", "a", "ab", "abcdefgh", "abcdefgz", "b", "Zed", "\u00e9t\u00e9", "z\u00fcrich", "~"]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", ordering.text_rank(F.col("w")).alias("r")).collect()
+    ranks = [r.r for r in sorted(got, key=lambda r: r.w.encode())]
+    assert ranks == sorted(ranks)
