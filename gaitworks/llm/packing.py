@@ -81,10 +81,10 @@ def pack_along_curve(
         enc, projection = encoder(tokenizer), _projection(dims, seed)
 
         def rows(t):
-            for episode, text in zip(t.column(0).to_pylist(), t.column(1)):
-                ids = enc(text.as_py())
-                key = curve_key(np.frombuffer(ids, enc.dtype), projection, bits)
-                yield (episode, key, len(ids) // enc.dtype.itemsize + 1, ids), len(ids)
+            flat, border = enc.column(t.column(1))
+            for k, episode in enumerate(t.column(0).to_pylist()):
+                ids = flat[border[k]:border[k + 1]]
+                yield (episode, curve_key(ids, projection, bits), len(ids) + 1, ids.tobytes()), ids.nbytes
 
         for t in tables:
             yield from batches(rows(t), encode_schema)

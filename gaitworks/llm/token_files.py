@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaitworks.llm.common import text_rows
-from gaitworks.llm.tokens import batches, encoder, wide
+from gaitworks.llm.tokens import batches, encoder
 
 MAGIC = b"GWPLANE1"
 _TAIL = struct.Struct("<QQ8s")  # length of the chunk index, length of the episode table, magic
@@ -143,13 +143,14 @@ def write_token_files(episodes: DataFrame, path: str, tokenizer: str, end_id: in
         enc = encoder(tokenizer)
         end = np.array([end_id], "<u4")
         for t in tables:
-            for episode, text in zip(t.column(0).to_pylist(), t.column(1)):
+            ids, border = enc.column(t.column(1))
+            for k, episode in enumerate(t.column(0).to_pylist()):
                 if writer is None:
                     system, base = filesystem(path)
                     name = f"{base}/tokens-{uuid.uuid4().hex}.planes"
                     out = system.open_output_stream(name)
                     writer = Writer(out, block, bits)
-                writer.add(episode, np.concatenate([np.frombuffer(enc(text.as_py()), enc.dtype).astype("<u4"), end]))
+                writer.add(episode, np.concatenate([ids[border[k]:border[k + 1]].astype("<u4"), end]))
         if writer is not None:
             writer.close()
             out.close()

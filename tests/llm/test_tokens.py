@@ -1,7 +1,9 @@
+import functools
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gaitworks.llm import packing, token_files
@@ -9,24 +11,39 @@ from gaitworks.llm.common import scratch
 from gaitworks.llm.tokens import Encoder
 
 
-def whole(vocabulary, text):
+@functools.cache
+def tokenizer(path):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(vocabulary)
+    t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return t
+
+
+def whole(vocabulary, text):
+    return tokenizer(vocabulary).encode(text or "", add_special_tokens=False).ids
 
 
-def test_words_give_the_ids_of_whole_texts(vocabulary):
+def test_pieces_give_the_ids_of_whole_texts(vocabulary):
     rnd = random.Random(3)
-    enc = Encoder(vocabulary, limit=40)
-    alphabet = ["a", "b", "é", "1", "2", "'s", "'", " ", "  ", "\n", "\t", "　", "\x85", "\x1c", ".", "!!", "東", "\U0001f600", "<|endoftext|>"]
-    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60))) for _ in range(1500)]
-    for t in texts:
-        assert np.frombuffer(enc(t), enc.dtype).tolist() == whole(vocabulary, t), repr(t)
-    long = " ".join(texts * 3)
-    enc._parts = lambda text: Encoder._parts(enc, text, 500)
-    assert np.frombuffer(enc(long), enc.dtype).tolist() == whole(vocabulary, long)
+    alphabet = ["a", "b", "é", "ß", "×", "1", "²", "'s", "'", " ", "  ", "\n", "\t", "\u3000", "\x85", "\x1c", ".", "!!", "東", "か", "\U0001f600", "<|endoftext|>", "don't", "Œ"]
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60))) for _ in range(4000)] + [None, "", " ", "a"]
+    want = [whole(vocabulary, t) for t in texts]
+    for segment in (1, 300, 1 << 22):
+        enc = Encoder(vocabulary, limit=2000, segment=segment)
+        ids, border = enc.column(pa.array(["skipped", *texts])[1:])
+        assert [ids[a:b].tolist() for a, b in zip(border, border[1:])] == want
+    long = " ".join(t or "" for t in texts)
+    assert Encoder(vocabulary, segment=500)(long).tolist() == whole(vocabulary, long)
+    assert len(Encoder(vocabulary).column(pa.array([], pa.string()))[0]) == 0
+
+
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc = Encoder(path)
+    assert not enc.by_piece and enc("A tall  robot.").tolist() == whole(path, "A tall  robot.")
 
 
 @pytest.mark.parametrize("bits", [False, True])
