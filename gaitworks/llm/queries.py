@@ -128,6 +128,6 @@ def op10_block_mixing(spark: SparkSession, d: str) -> DataFrame:
 
 @query("pipeline")
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
-    import corpus_pipeline
+    import corpus_pipeline  # it imports this module
 
     return corpus_pipeline.run(spark, d)
