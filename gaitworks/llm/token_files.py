@@ -179,4 +179,5 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     index = spark.read.parquet(f"{path}/index")
     before = Window.orderBy(F.col("first_episode").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     files = index.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long").alias("base"))
-    return files.repartition("file").mapInArrow(read, "episode_index long, start long, n_tokens long, input_ids binary")
+    # a task per file: the rows are small and would be coalesced, the files are not
+    return files.repartition(max(1, index.count()), "file").mapInArrow(read, "episode_index long, start long, n_tokens long, input_ids binary")
