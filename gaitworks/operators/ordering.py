@@ -4,8 +4,9 @@ A plain ``Window.partitionBy(episode)`` sends every frame of an episode to one
 task, so one episode holding a third of the table stalls the job.  Everything
 ordered in this package goes through the helpers below instead:
 
-* ``row_index``     dense 0-based position, groups above ``hot_rows`` are cut
-                    into value-ordered cells and stitched with cell offsets;
+* ``row_index``     dense 0-based position; one plan, in which groups above
+                    ``HOT_ROWS`` are cut into value-ordered cells that are
+                    stitched with cell offsets, and all others are one cell;
 * ``with_blocks``   once a dense position exists, cuts a group into blocks of
                     ``BLOCK`` rows and copies only the halo rows that a
                     lag / lead / chunk window needs across a block edge;
@@ -25,21 +26,14 @@ from pyspark.sql import functions as F
 
 BLOCK = 1 << 16        # rows of one block of an indexed episode
 HOT_ROWS = 1 << 20     # groups above this are cut into cells
-HOT_GROUPS = 1 << 16   # at most this many groups are cut: bounds the broadcast
 SEGMENTS = 16          # quantile segments of a hot group
 CELL_ROWS = 1 << 18    # aimed rows per cell
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame | None:
-    """The at most HOT_GROUPS largest groups above ``hot_rows``, or None when there are none.
-
-    One aggregate job over the key columns; its answer decides between the
-    plain window plan and the cell plan, and bounds what is broadcast.
-    """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > (hot_rows or HOT_ROWS))
-    if sizes.isEmpty():
-        return None
-    return sizes.orderBy(F.col("_n").desc(), *keys).limit(HOT_GROUPS)
+def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame:
+    """Groups above ``hot_rows``, of which a table of n rows has fewer than n / hot_rows: about 200 bytes to
+    broadcast for each million rows of the table. Nothing runs before the query does."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > (HOT_ROWS if hot_rows is None else hot_rows))
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], rank: Column, sizes: DataFrame, cell_rows: int | None = None) -> DataFrame:
@@ -83,19 +77,19 @@ def row_index(
     hot_rows: int | None = None,
     cell_rows: int | None = None,
 ) -> DataFrame:
-    """Dense 0-based position inside each group; ``order`` must be a total order."""
+    """Dense 0-based position inside each group.
+
+    ``order`` must be a total order, and ``rank`` a number that never decreases along it; rows of equal rank share a
+    cell.
+    """
     keys = list(keys)
-    sizes = hot_groups(df, keys, hot_rows)
-    if sizes is None:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(w).cast("long") - 1)
-    cells = split_hot(df, keys, rank, sizes, cell_rows)
+    cells = split_hot(df, keys, rank, hot_groups(df, keys, hot_rows), cell_rows)
     w = Window.partitionBy(*keys, "_cell").orderBy(*order)
     local = cells.withColumn("_local", F.row_number().over(w).cast("long") - 1)
     counts = cells.where("_hot").groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_c"))
     offsets = _prefix(counts, keys, "_cell", "_c", "_off").select(*keys, "_cell", "_off")
     return (
-        local.join(offsets, [*keys, "_cell"], "left")
+        local.join(F.broadcast(offsets), [*keys, "_cell"], "left")  # a row per cell of a hot group
         .withColumn(name, F.col("_local") + F.coalesce("_off", F.lit(0)))
         .drop("_local", "_off", "_cell", "_hot")
     )

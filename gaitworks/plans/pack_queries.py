@@ -170,7 +170,7 @@ def sort_episodes(spark, d):
     tasks = ordering.global_index(p.select("task").distinct(), ["task"], ordering.text_rank(F.col("task")), "t")
     n = F.regexp_extract("folder", r"(\d+)$", 1).cast("bigint")
     t = p.withColumn("n", n).join(tasks, "task")
-    return ordering.global_index(t, ["t", "n"], F.col("t") * F.lit(1e9) + F.col("n"), "position").select("p_partkey", "position")
+    return ordering.global_index(t, ["t", "n"], F.col("t"), "position").select("p_partkey", "position")
 
 
 @query("limit_episodes", """SELECT l_suppkey, l_orderkey FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem) QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) <= 10""")

@@ -44,7 +44,7 @@ def frames(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     indexed = ordering.row_index(
         li, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"],
-        rank=F.col("l_linenumber") * F.lit(1e10) + F.col("l_partkey"),
+        rank=F.col("l_linenumber"),
     )
     return indexed.select(
         F.col("l_orderkey").alias("episode_index"), "frame_index", state().alias("state"), action().alias("action"),

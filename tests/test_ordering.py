@@ -26,10 +26,24 @@ def test_row_index_survives_outlier_ranks(tiny_blocks, skewed):
     assert all(r.pos == r.frame_index for r in got.collect())
 
 
-def test_row_index_plain_when_nothing_is_hot(skewed):
-    got = ordering.row_index(skewed, ["episode_index"], ["frame_index"], F.col("frame_index"), "pos")
-    assert "percentile_approx" not in got._jdf.queryExecution().toString()
-    assert all(r.pos == r.frame_index for r in got.collect())
+def test_positions_are_the_same_hot_or_not_and_nothing_runs_early(spark, skewed, monkeypatch):
+    t = skewed.withColumn("t", F.col("frame_index") - F.col("frame_index") % 5)  # ties in the rank
+    want = {(r.episode_index, r.frame_index) for r in skewed.collect()}
+    for hot in (1 << 20, 10, 0):
+        monkeypatch.setattr(ordering, "HOT_ROWS", hot)
+        spark.sparkContext.setJobGroup(f"build-{hot}", "")
+        got = ordering.row_index(t, ["episode_index"], ["t", "frame_index"], F.col("t"), "pos")
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup(f"build-{hot}")
+        assert {(r.episode_index, r.pos) for r in got.collect()} == want
+        assert all(r.pos == r.frame_index for r in got.collect())
+
+
+def test_large_keys_keep_their_order(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "HOT_ROWS", 10)
+    rows = [(1, k % 7, 10**11 + 37 * k) for k in range(500)]
+    df = spark.createDataFrame(rows, "g long, line int, part long")
+    got = ordering.row_index(df, ["g"], ["line", "part"], F.col("line"), "pos").collect()
+    assert [(r.line, r.part) for r in sorted(got, key=lambda r: r.pos)] == sorted((b, c) for _, b, c in rows)
 
 
 def test_global_index(skewed):
