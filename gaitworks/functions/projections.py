@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Mapping, Sequence
 
@@ -135,25 +136,39 @@ JOINT_RANGE = (-0.6213, 1.4910)
 ARM_LENGTH, HORN_RADIUS = 0.036, 0.022
 
 
-def gripper_to_angle(x: Column) -> Column:
-    lo, hi = LINEAR_RANGE
-    p = x * (hi - lo) + lo
-    ratio = (p * p + (HORN_RADIUS**2 - ARM_LENGTH**2)) / (p * (2 * HORN_RADIUS))
-    return (F.asin(V.clip(ratio, -1, 1)) - ANGULAR_RANGE[0]) / (ANGULAR_RANGE[1] - ANGULAR_RANGE[0])
+def linear_map(x: Column, source: tuple[float, float], target: tuple[float, float]) -> Column:
+    """The point of ``target`` that divides it as x divides ``source``."""
+    return (x - source[0]) * ((target[1] - target[0]) / (source[1] - source[0])) + target[0]
 
 
-def gripper_from_angle(x: Column) -> Column:
-    return (x + ANGULAR_RANGE[0] - JOINT_RANGE[0]) / (JOINT_RANGE[1] - JOINT_RANGE[0])
+def crank_angle(reach: Column) -> Column:
+    """Angle of the crank of a slider: horn, rod and slider distance form a triangle, and the law of cosines gives the
+    angle between horn and slider; the crank is measured from the slider's normal."""
+    between = (HORN_RADIUS**2 - ARM_LENGTH**2) / reach / (2 * HORN_RADIUS) + reach / (2 * HORN_RADIUS)
+    return math.pi / 2 - F.acos(V.clip(between, -1, 1))
 
 
-def gripper_from_angle_inverse(x: Column) -> Column:
-    return x * (JOINT_RANGE[1] - JOINT_RANGE[0]) + JOINT_RANGE[0] - ANGULAR_RANGE[0]
+def stroke_to_turn(x: Column) -> Column:
+    """Gripper opening as a share of the linear stroke, to the share of the angular range."""
+    return linear_map(crank_angle(linear_map(x, (0, 1), LINEAR_RANGE)), ANGULAR_RANGE, (0, 1))
 
 
-def flip_joints(v: Column, gripper) -> Column:
-    """Sign flips everywhere, ``gripper`` mapping on the two gripper dimensions."""
-    signs = V.literal(JOINT_FLIP)
-    return F.transform(v, lambda x, i: F.when(i.isin(*GRIPPER_DIMS), gripper(x * F.get(signs, i))).otherwise(x * F.get(signs, i)))
+def turn_to_joint(x: Column) -> Column:
+    """Angle above the angular range's start, to the share of the joint range."""
+    return linear_map(x + ANGULAR_RANGE[0], JOINT_RANGE, (0, 1))
+
+
+def joint_to_turn(x: Column) -> Column:
+    return linear_map(x, (0, 1), JOINT_RANGE) - ANGULAR_RANGE[0]
+
+
+def mirrored(v: Column, signs: Sequence[int] = tuple(JOINT_FLIP)) -> Column:
+    return F.zip_with(v, V.literal(list(signs)), lambda x, s: x * s)
+
+
+def on_dims(v: Column, dims: Sequence[int], fn) -> Column:
+    """``fn`` on the listed dimensions, the others as they are."""
+    return F.transform(v, lambda x, i: F.when(i.isin(*dims), fn(x)).otherwise(x))
 
 
 def permutation(names: Sequence[str], reference: Sequence[str]) -> list[int]:
@@ -198,10 +213,12 @@ def keypoints_to_48(kp: Column, body: Column) -> Column:
     return F.concat(arm(0), arm(70))
 
 
-def arm_24(wrist: Column, tips: Sequence[Column]) -> Column:
-    """4x4 wrist transform and fingertip transforms (row-major) -> xyz, two rotation columns, tip xyz."""
-    pick = lambda m, ids: [F.get(m, i) for i in ids]
-    cells = pick(wrist, (3, 7, 11)) + pick(wrist, (0, 4, 8)) + pick(wrist, (1, 5, 9))
-    for t in tips:
-        cells += pick(t, (3, 7, 11))
-    return F.array(*cells)
+def matrix_column(m: Column, j: int) -> Column:
+    """The upper three entries of column ``j`` of a row-major 4x4 matrix: an axis, or (3) the position."""
+    return F.filter(m, lambda _, i: (i % 4 == j) & (i < 12))
+
+
+def hand_vector(wrist: Column, tips: Column) -> Column:
+    """Wrist position, its first two axes, and the positions of an array of fingertip transforms."""
+    points = F.flatten(F.transform(tips, lambda t: matrix_column(t, 3)))
+    return F.concat(matrix_column(wrist, 3), matrix_column(wrist, 0), matrix_column(wrist, 1), points)

@@ -15,7 +15,16 @@ def uniform_bin(x: Column, lo, hi, n: int) -> Column:
     """1-based index on ``linspace(lo, hi, n)`` of the clipped value (right edges open, as ``digitize``)."""
     lo, hi = (c if isinstance(c, Column) else F.lit(float(c)) for c in (lo, hi))
     y = V.clip(x, lo, hi)
-    return F.least(F.floor((y - lo) / (hi - lo) * (n - 1) + 1e-9) + 1, F.lit(n)).cast("int")
+    step = (hi - lo) / (n - 1)
+    edge = lambda k: F.when(k >= n - 1, hi).otherwise(k * step + lo)
+    return _edges_passed(y, F.floor((y - lo) / step), edge, n).cast("int")
+
+
+def _edges_passed(y: Column, guess: Column, edge, n: int) -> Column:
+    """How many of ``n`` rising edges are at or below y; ``guess`` is the last one's number give or take one."""
+    g = V.clip(guess, 0, n - 1)
+    at = F.when(y < edge(g), g - 1).when((g + 1 < n) & (y >= edge(g + 1)), g + 1).otherwise(g)
+    return at + 1
 
 
 def uniform_token(x: Column, lo, hi, n: int, vocab: int, valid: Column | None = None, invalid: int = -1) -> Column:
@@ -40,9 +49,9 @@ def quantile_decode(token: Column, thresholds: Column) -> Column:
 
 
 def state_prompt(text: Column, state: Column, bins: int = 256) -> Column:
-    """``Task: ..., State: b1 b2 ...;`` with the state in [-1, 1] cut into ``bins`` bins."""
-    ids = F.transform(state, lambda x: F.floor((V.clip(x, -1, 1) + 1) / 2 * bins + 1e-9).cast("int"))
-    ids = F.transform(ids, lambda i: F.least(i, F.lit(bins - 1)).cast("string"))
+    """``Task: ..., State: b1 b2 ...;`` with the state in [-1, 1] cut into ``bins`` bins; below -1 the bin is -1."""
+    edge = lambda k: k * (2 / bins) - 1
+    ids = F.transform(state, lambda x: (_edges_passed(x, F.floor((x + 1) * (bins / 2)), edge, bins) - 1).cast("int").cast("string"))
     clean = F.replace(F.replace(F.trim(text), F.lit("_"), F.lit(" ")), F.lit("\n"), F.lit(" "))
     return F.concat(F.lit("Task: "), clean, F.lit(", State: "), F.array_join(ids, " "), F.lit(";"))
 

@@ -83,8 +83,16 @@ def pick_weighted(draws: DataFrame, options: DataFrame, key: str, order: str, we
 
 
 def mixture_sample(draws: DataFrame, draw: str, datasets: DataFrame, episodes: DataFrame, seed: str) -> DataFrame:
-    """Dataset by weight, episode by usable steps, step uniform in [0, usable)."""
-    d = pick_registered(draws, datasets, "dataset", "weight", hashing.uniform(f"{seed}-d", F.col(draw)))
+    """Dataset by weight times length, episode by usable steps, step uniform in [0, usable).
+
+    The weights are those of ``mixture_weights``: a dataset's weight counts all its steps, and bad episodes are never
+    drawn (integers stand for the normalised shares). A dataset without a usable episode is not drawn either.
+    """
+    e = episodes.withColumn("usable", F.when(F.col("bad"), F.lit(0)).otherwise(F.col("usable")).cast("bigint"))
+    per = e.groupBy("dataset").agg(F.sum("length").alias("_len"), F.sum("usable").alias("_use")).join(datasets, "dataset")
+    per = per.where("_use > 0").select("dataset", (F.col("weight") * F.col("_len")).cast("bigint").alias("weight"))
+    episodes = e
+    d = pick_registered(draws, per, "dataset", "weight", hashing.uniform(f"{seed}-d", F.col(draw)))
     e = pick_weighted(
         d.select(draw, "dataset"), episodes.select("dataset", "episode_index", "usable"), "dataset", "episode_index", "usable",
         hashing.uniform(f"{seed}-e", F.col(draw)))

@@ -132,14 +132,15 @@ def done_flag(df: DataFrame, name: str = "done", keys: Sequence[str] = EP) -> Da
 
 
 def future_goal(df: DataFrame, column: str, low: int, high: int, seed: str | None, name: str = "goal", keys=EP) -> DataFrame:
-    """Goal row at t+d, d drawn by hash from [low, high); with no seed d is pinned to
+    """Goal row at t+d, d drawn by hash from what the episode leaves of [low, high); with no seed d is pinned to
     min(low, n-1-t) and at least one step where the episode has one."""
     got = neighbourhood(df, {"_l": column}, 0, max(high - 1, low, 1), keys)
     left = F.size("_l") - 1
     if seed is None:
         d = F.least(F.lit(low), F.greatest(left, F.lit(1)))
     else:
-        d = (F.lit(low) + F.floor(hashing.uniform(seed, *[F.col(k) for k in keys], F.col("frame_index")) * (high - low))).cast("int")
+        first, end = F.least(F.lit(low), left), F.least(F.lit(high), left + 1)
+        d = (first + F.floor(hashing.uniform(seed, *[F.col(k) for k in keys], F.col("frame_index")) * (end - first))).cast("int")
     step = F.least(d, left).cast("int")
     return got.withColumns({"goal_offset": step, name: F.get("_l", step)}).drop("_l", "_at")
 

@@ -42,7 +42,9 @@ def mixture_weights(spark, d):
 CUM = "cw AS (SELECT dataset, sum(weight) OVER (ORDER BY dataset)-weight AS lo, sum(weight) OVER (ORDER BY dataset) AS hi, sum(weight) OVER () AS t FROM w)"
 
 
-@query("mixture_sample", f"""WITH {EPS}, {W_SQL}, {CUM}, ce AS (SELECT dataset, episode_index, usable, sum(usable) OVER (PARTITION BY dataset ORDER BY episode_index)-usable AS lo, sum(usable) OVER (PARTITION BY dataset ORDER BY episode_index) AS hi, sum(usable) OVER (PARTITION BY dataset) AS t FROM ep WHERE usable>0),
+@query("mixture_sample", f"""WITH {EPS}, {W_SQL}, k AS (SELECT ep.dataset, weight*sum(length) AS weight FROM ep JOIN w ON ep.dataset=w.dataset GROUP BY ep.dataset, w.weight HAVING sum(CASE WHEN bad THEN 0 ELSE usable END)>0),
+ cw AS (SELECT dataset, sum(weight) OVER (ORDER BY dataset)-weight AS lo, sum(weight) OVER (ORDER BY dataset) AS hi, sum(weight) OVER () AS t FROM k),
+ ce AS (SELECT dataset, episode_index, usable, sum(usable) OVER (PARTITION BY dataset ORDER BY episode_index)-usable AS lo, sum(usable) OVER (PARTITION BY dataset ORDER BY episode_index) AS hi, sum(usable) OVER (PARTITION BY dataset) AS t FROM ep WHERE usable>0 AND NOT bad),
  tt AS (SELECT dataset, max(hi) AS t FROM ce GROUP BY 1),
  a AS (SELECT event_id, dataset FROM events JOIN cw ON floor({H('mix-d','event_id')}/4294967296.0*t) >= lo AND floor({H('mix-d','event_id')}/4294967296.0*t) < hi),
  b AS (SELECT a.*, floor({H('mix-e','event_id')}/4294967296.0*t)::bigint AS p FROM a JOIN tt ON a.dataset=tt.dataset)

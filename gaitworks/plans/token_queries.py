@@ -16,7 +16,8 @@ def emb_long(spark, d):
     return V.explode_vector(emb(spark, d), "embedding", ["vec_id"])
 
 
-BIN = "least(floor((least(greatest(value,-0.3),0.3)+0.3)/0.6*255+1e-9)+1,256)::int"
+# edges at or below the clipped value, counted one by one
+BIN = """len(list_filter(range(256), lambda k: CASE WHEN k = 255 THEN 0.3::double ELSE k*((0.3::double+0.3::double)/255) - 0.3::double END <= least(greatest(value,-0.3::double),0.3::double)))::int"""
 
 
 @query("uniform_bins", f"WITH {EMB_LONG} SELECT vec_id, dim, CASE WHEN dim%5=4 THEN -1 ELSE 32000-1-{BIN} END AS token FROM emb_long")
@@ -32,7 +33,7 @@ def uniform_bins_decode(spark, d):
 
 
 @query("uniform_bins_per_dim", f"""WITH {EMB_LONG}, s AS (SELECT dim, min(value) AS lo, max(value) AS hi FROM emb_long GROUP BY dim)
-SELECT vec_id, e.dim, least(floor((value-lo)/(hi-lo)*31+1e-9)+1,32)::int AS bin FROM emb_long e JOIN s ON e.dim=s.dim""")
+SELECT vec_id, e.dim, len(list_filter(range(32), lambda k: CASE WHEN k = 31 THEN hi ELSE k*((hi-lo)/31) + lo END <= value))::int AS bin FROM emb_long e JOIN s ON e.dim=s.dim""")
 def uniform_bins_per_dim(spark, d):
     long = emb_long(spark, d)
     st = S.moment_stats(long, ["dim"]).select("dim", "min", "max")
@@ -63,12 +64,16 @@ def quantile_bins_decode(spark, d):
     return _quantile_rows(spark, d).select("vec_id", F.col("dim").cast("bigint").alias("dim"), F.round(K.quantile_decode(F.col("token"), F.col("q")), 5).alias("value"))
 
 
-@query("state_prompt", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'Task: ' || replace(replace(trim(p_name),'_',' '),chr(10),' ') || ', State: ' ||
- least(floor((least(greatest(l_quantity/50*2-1,-1),1)+1)/2*256+1e-9)::int,255)::varchar || ' ' || least(floor((least(greatest(l_tax*20-1,-1),1)+1)/2*256+1e-9)::int,255)::varchar || ';' AS prompt
+STATE_BIN = "(len(list_filter(range(256), lambda k: k/128.0::double - 1 <= {x})) - 1)::varchar"
+
+
+@query("state_prompt", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'Task: ' || replace(replace(trim(p_name),'_',' '),chr(10),' ') || ', State: ' ||
+ {STATE_BIN.format(x="l_quantity/25::double-1.5::double")} || ' ' || {STATE_BIN.format(x="l_tax*20-1")} || ';' AS prompt
 FROM lineitem JOIN part ON l_partkey=p_partkey""")
 def state_prompt(spark, d):
+    """The first state runs from below -1 to 0.5, the second over the whole range."""
     t = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    s = F.array(F.col("l_quantity") / 50 * 2 - 1, F.col("l_tax") * 20 - 1)
+    s = F.array(F.col("l_quantity") / 25 - 1.5, F.col("l_tax") * 20 - 1)
     return t.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", K.state_prompt(F.col("p_name"), s).alias("prompt"))
 
 

@@ -214,7 +214,7 @@ def build_48d_action(spark, d):
     cells = F.transform(F.sequence(F.lit(0), F.lit(191)), lambda i: F.get(F.col("embedding"), (i * 5) % 64))
     t = emb(spark, d).select("vec_id", cells.alias("k"))
     mats = [F.slice("k", 16 * i + 1, 16) for i in range(12)]
-    both = F.concat(P.arm_24(mats[0], mats[1:6]), P.arm_24(mats[6], mats[7:12]))
+    both = F.concat(*[P.hand_vector(mats[h], F.array(*mats[h + 1:h + 6])) for h in (0, 6)])
     return long(t.withColumn("c", both), "c")
 
 
@@ -247,19 +247,19 @@ def flip_sql(expr: str) -> str:
 @query("joint_flip_and_gripper", flip_sql("((asin(least(greatest((0.022*0.022 + (($)*(0.05800-0.01844)+0.01844)*(($)*(0.05800-0.01844)+0.01844) - 0.036*0.036)/(2*0.022*(($)*(0.05800-0.01844)+0.01844)),-1),1)) - 0.5476)/(1.6296-0.5476))"))
 def joint_flip_and_gripper(spark, d):
     t = emb(spark, d).select("vec_id", F.slice("embedding", 1, 14).alias("v"))
-    return long(t.withColumn("f", P.flip_joints(F.col("v"), P.gripper_to_angle)), "f")
+    return long(t.withColumn("f", P.on_dims(P.mirrored(F.col("v")), P.GRIPPER_DIMS, P.stroke_to_turn)), "f")
 
 
 @query("gripper_from_angle", flip_sql("((($)+0.5476+0.6213)/(1.4910+0.6213))"))
 def gripper_from_angle(spark, d):
     t = emb(spark, d).select("vec_id", F.slice("embedding", 1, 14).alias("v"))
-    return long(t.withColumn("f", P.flip_joints(F.col("v"), P.gripper_from_angle)), "f")
+    return long(t.withColumn("f", P.on_dims(P.mirrored(F.col("v")), P.GRIPPER_DIMS, P.turn_to_joint)), "f")
 
 
 @query("gripper_from_angle_inverse", flip_sql("(($)*(1.4910+0.6213)-0.6213-0.5476)"))
 def gripper_from_angle_inverse(spark, d):
     t = emb(spark, d).select("vec_id", F.slice("embedding", 1, 14).alias("v"))
-    return long(t.withColumn("f", P.flip_joints(F.col("v"), P.gripper_from_angle_inverse)), "f")
+    return long(t.withColumn("f", P.on_dims(P.mirrored(F.col("v")), P.GRIPPER_DIMS, P.joint_to_turn)), "f")
 
 
 @query("zero_tail_shift", long_sql("v[6:64] || [0,0,0,0,0]::double[]"))

@@ -245,7 +245,7 @@ def resample_angles(spark, d):
 HASH = "('0x'||substr(sha256('{s}-'||b.episode_index::varchar||'-'||b.frame_index::varchar),1,8))::bigint"
 
 
-@query("future_goal_step", f"""WITH {NFR}, g AS (SELECT b.*, least(1+floor({HASH.format(s='goal')}/4294967296.0*4)::bigint, n-1-frame_index) AS goal_offset FROM n b)
+@query("future_goal_step", f"""WITH {NFR}, g AS (SELECT b.*, least(1,n-1-frame_index)+floor({HASH.format(s='goal')}/4294967296.0*(least(5,n-frame_index)-least(1,n-1-frame_index)))::bigint AS goal_offset FROM n b)
 SELECT g.episode_index, g.frame_index, g.goal_offset, t.s1 AS goal FROM g JOIN frames t ON t.episode_index=g.episode_index AND t.frame_index=g.frame_index+g.goal_offset""")
 def future_goal_step(spark, d):
     g = windows.future_goal(frames(spark, d), "state", 1, 5, "goal")

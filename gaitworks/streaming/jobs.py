@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -124,63 +124,64 @@ def weighted_filter(stream: DataFrame, key: str, order: str, value: str, weights
         step, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, filtered double", "queue array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def fold_key(text: str) -> str:
-    return " ".join(text.split()).casefold()
+def proposals(votes: pd.DataFrame, current: str) -> pd.Series:
+    """What each vote proposes while ``current`` is the subtask: "done", a folded subtask after ">", or nothing ("")."""
+    text = votes["next_subtask"].fillna("").str.split().str.join(" ").str.casefold()
+    held = " ".join(current.split()).casefold()
+    moves = votes["decision"].eq("switch") & text.ne(held) if current else votes["decision"].isin(["switch", "continue"])
+    return (">" + text).where(moves & text.ne(""), "").mask(votes["decision"].eq("done"), "done")
 
 
-def vote_step(state: tuple, decision: str, text: str | None, capture: str, fresh: bool, votes: int) -> tuple[tuple, str | None]:
-    """One prediction of the next subtask.
+def count_votes(votes: pd.DataFrame, state: tuple, need: Mapping[str, int]) -> tuple[tuple, list[tuple[int, str]]]:
+    """Commits among an episode's votes in order, as (row, subtask), and the new state (current, done, run, captures).
 
-    State: (current, done, candidate, spelling, captures).  A candidate is
-    "done", the first subtask, or a switch to another one; anything else clears
-    it and another candidate starts over.  Only a fresh capture not yet used for
-    the candidate counts.  Returns the new state and what was committed, if
-    anything, in the spelling of the latest counted vote.
+    A run is a stretch of votes with one proposal. Its count is the number of distinct captures among its fresh votes.
+    The row at which the count reaches what its kind needs ("first", "switch", "done") commits the proposal as that row
+    spells it; then the rest is read anew against the new subtask. ``run`` and ``captures`` carry the last run on to the
+    next batch. Nothing follows "done".
     """
-    current, done, candidate, spelling, captures = state
-    if done:
-        return state, None
-    text = (text or "").strip()
-    kind = None
-    if decision == "done":
-        kind, text = "done", ""
-    elif text and not current and decision in ("switch", "continue"):
-        kind = "first"
-    elif text and decision == "switch" and fold_key(text) != fold_key(current):
-        kind = "switch"
-    if kind is None:
-        return (current, done, "", "", []), None
-    key = f"{kind}|{fold_key(text)}"
-    if key != candidate:
-        spelling, captures = text, []
-    if fresh and capture not in captures:
-        spelling, captures = text, [*captures, capture]
-    if len(captures) < votes:
-        return (current, done, key, spelling, captures), None
-    if kind == "done":
-        return (current, True, "", "", []), "done"
-    return (spelling, False, "", "", []), spelling
-
-
-def confirmed_switch(stream: DataFrame, key: str, order: str, votes: int) -> DataFrame:
-    """A proposed subtask is committed after ``votes`` votes from distinct fresh captures.
-
-    Columns: decision, next_subtask, capture_key, capture_fresh.  State per
-    episode is bounded by the number of votes.
+    current, done, run, captures = state
+    commits: list[tuple[int, str]] = []
+    at = 0
+    while at < len(votes) and not done:
+        rest = votes.iloc[at:]
+        what = proposals(rest, current)
+        number = what.ne(what.shift(fill_value=run)).cumsum()  # run 0 goes on from the batch before
+        capture = rest["capture_key"].astype(str)
+        fresh = rest["capture_fresh"].astype(bool) & ~((number == 0) & capture.isin(captures))
+        new = fresh & ~pd.DataFrame({"n": number, "c": capture.where(fresh)}).duplicated()
+        count = new.groupby(number).cumsum() + np.where(number == 0, len(captures), 0)
+        kind = np.where(what == "done", "done", "switch" if current else "first")
+        hits = np.flatnonzero(new & what.ne("") & (count >= pd.Series(kind, rest.index).map(need)))
+        if not len(hits):
+            last = number == number.iloc[-1]
+            kept = captures if number.iloc[-1] == 0 else []
+            run, captures = what.iloc[-1], [*kept, *capture[new & last]] if what.iloc[-1] else []
+            break
+        row = int(hits[0])
+        done = what.iloc[row] == "done"
+        current = current if done else rest["next_subtask"].iloc[row].strip()
+        commits.append((at + row, "done" if done else current))
+        run, captures, at = "", [], at + row + 1
+    return (current, bool(done), run, captures), commits
+
+
+def confirmed_switch(stream: DataFrame, key: str, order: str, votes: int | Mapping[str, int]) -> DataFrame:
+    """A proposed subtask is committed after so many votes from distinct fresh captures; ``votes`` may differ for the
+    first subtask, a switch and done.
+
+    Columns: decision, next_subtask, capture_key, capture_fresh.  State per episode is bounded by the number of votes.
     """
+    need = dict.fromkeys(("first", "switch", "done"), votes) if isinstance(votes, int) else dict(votes)
 
     def step(key_, frames, state: GroupState):
-        s = (*state.get[:4], list(state.get[4])) if state.exists else ("", False, "", "", [])
-        pdf = pd.concat(list(frames)).sort_values(order)
-        rows = []
-        for at, d, t, c, f in zip(pdf[order], pdf["decision"], pdf["next_subtask"], pdf["capture_key"], pdf["capture_fresh"]):
-            s, new = vote_step(s, d, t, str(c), bool(f), votes)
-            if new is not None:
-                rows.append((key_[0], at, new))
-        state.update(s)
-        yield pd.DataFrame(rows, columns=[key, order, "committed"])
+        pdf = pd.concat(list(frames)).sort_values(order).reset_index(drop=True)
+        held = (*state.get[:3], list(state.get[3])) if state.exists else ("", False, "", [])
+        held, commits = count_votes(pdf, held, need)
+        state.update(held)
+        yield pd.DataFrame([(key_[0], pdf[order].iloc[i], text) for i, text in commits], columns=[key, order, "committed"])
 
     kinds = dict(stream.dtypes)
     return stream.groupBy(key).applyInPandasWithState(
         step, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, committed string",
-        "current string, done boolean, candidate string, spelling string, captures array<string>", "append", GroupStateTimeout.NoTimeout)
+        "current string, done boolean, run string, captures array<string>", "append", GroupStateTimeout.NoTimeout)
