@@ -15,6 +15,11 @@ def events(spark, d):
     return e.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def landed_events(spark, d):
+    """The source in batch, for what a stream still holds when its input ends."""
+    return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def plain(c):
     return F.col(c).cast("timestamp_ntz")
 
@@ -27,21 +32,34 @@ def stream_running_stats(spark, d):
 
 @query("stream_merge_robot_ik", """WITH r AS (SELECT * FROM events WHERE event_type NOT IN ('purchase','signup')), k AS (SELECT * FROM events WHERE event_type IN ('purchase','signup')),
  m AS (SELECT r.event_id, arg_min(k.event_id, row(abs(epoch_us(k.ts)-epoch_us(r.ts)), k.event_id)) AS ik FROM r JOIN k ON r.user_id=k.user_id AND abs(epoch_us(k.ts)-epoch_us(r.ts)) <= 4*3600000000 GROUP BY 1),
- f AS (SELECT r.user_id, r.event_id, r.ts, m.ik FROM r LEFT JOIN m ON r.event_id=m.event_id WHERE m.ik IS NOT NULL OR epoch_us(r.ts)+4*3600000000 < (SELECT max(epoch_us(ts)) FROM k) - 600000000)
-SELECT user_id, event_id, last_value(ik IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ik_id FROM f""")
+ f AS (SELECT r.user_id, r.event_id, r.ts, m.ik, last_value(m.ik IGNORE NULLS) OVER (PARTITION BY r.user_id ORDER BY r.ts, r.event_id) AS c FROM r LEFT JOIN m ON r.event_id=m.event_id),
+ s AS (SELECT user_id, min(ts) AS t0 FROM r GROUP BY 1), g AS (SELECT user_id, min(ts) AS k0, arg_min(event_id, row(ts, event_id)) AS first_ik FROM k GROUP BY 1)
+SELECT f.user_id, event_id, coalesce(c, CASE WHEN k0 <= t0 THEN first_ik END) AS ik_id FROM f LEFT JOIN s ON f.user_id=s.user_id LEFT JOIN g ON f.user_id=g.user_id""")
 def stream_merge_robot_ik(spark, d):
     """The stream lands candidates behind the watermark; nearest match and carry-forward run on the landed table.
 
-    Unmatched rows younger than the watermark are still waiting for a partner and are not part of the result.
+    Robot rows that still wait for a partner when the input ends are added without one.  Before a user's first match
+    the first IK row stands in if it is not younger than the first robot row.
     """
-    e = events(spark, d)
-    robot = e.where(~F.col("event_type").isin("purchase", "signup")).select("user_id", "event_id", "ts")
-    ik = e.where(F.col("event_type").isin("purchase", "signup")).select("user_id", F.col("event_id").alias("ik_id"), F.col("ts").alias("arm_ts"))
+    def sides(e):
+        robot = e.where(~F.col("event_type").isin("purchase", "signup")).select("user_id", "event_id", "ts")
+        ik = e.where(F.col("event_type").isin("purchase", "signup")).select("user_id", F.col("event_id").alias("ik_id"), F.col("ts").alias("arm_ts"))
+        return robot, ik
+
+    robot, ik = sides(events(spark, d))
     landed = N.run_available(N.merge_candidates(robot, ik, "user_id", "ts", "arm_ts", "4 hours"), "append")
+    all_robot, all_ik = sides(landed_events(spark, d))
+    waiting = all_robot.withColumns({"ik_id": F.lit(None).cast("bigint"), "arm_ts": F.lit(None).cast("timestamp")})
+    landed = N.finished(landed, waiting, ["event_id"])
     gap = F.abs(F.unix_micros("arm_ts") - F.unix_micros("ts"))
     best = landed.groupBy("user_id", "event_id", "ts").agg(F.min_by("ik_id", F.when(F.col("ik_id").isNotNull(), F.struct(gap, "ik_id"))).alias("ik"))
     placed = ordering.row_index(best, ["user_id"], ["ts", "event_id"], F.unix_micros("ts"))
-    return ordering.fill(placed, F.col("ik"), ["user_id"], forward="ik_id").select("user_id", "event_id", "ik_id")
+    carried = ordering.fill(placed, F.col("ik"), ["user_id"], forward="c")
+    first = all_ik.groupBy("user_id").agg(F.min("arm_ts").alias("k0"), F.min_by("ik_id", F.struct("arm_ts", "ik_id")).alias("first_ik"))
+    start = all_robot.groupBy("user_id").agg(F.min("ts").alias("t0"), F.count(F.lit(1)).alias("length")).join(first, "user_id")
+    start = start.where("k0 <= t0").select("user_id", "length", "first_ik")
+    got = ordering.per_episode(carried, start, ["user_id"], how="left")
+    return got.select("user_id", "event_id", F.coalesce("c", "first_ik").alias("ik_id"))
 
 
 WMA = f"""WITH {SIGNAL}, v AS (SELECT user_id, event_id, ts, round(value/40)*40 AS x FROM signal), c AS (SELECT *, CASE WHEN x = lag(x) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS new FROM v),
@@ -77,18 +95,19 @@ def stream_episode_writer(spark, d):
     return t.groupBy(F.col("episode_group").cast("bigint").alias("episode_group")).agg(F.count(F.lit(1)).alias("rows"), F.max("event_id").alias("last_id"))
 
 
-@query("stream_latency_window", """SELECT event_type, date_trunc('day', ts)::timestamp AS start, count(*) AS count, round(avg(value),6) AS mean, quantile_disc(value,0.5) AS p50, quantile_disc(value,0.9) AS p90 FROM events
-WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1,2""")
+@query("stream_latency_window", """SELECT event_type, date_trunc('day', ts)::timestamp AS start, count(*) AS count, round(avg(value),6) AS mean, quantile_disc(value,0.5) AS p50, quantile_disc(value,0.9) AS p90 FROM events GROUP BY 1,2""")
 def stream_latency_window(spark, d):
-    t = N.run_available(N.latency_window(events(spark, d), "ts", ["event_type"], "value", "1 day"), "append")
+    windows = lambda e: N.latency_window(e, "ts", ["event_type"], "value", "1 day")
+    t = N.finished(N.run_available(windows(events(spark, d)), "append"), windows(landed_events(spark, d)), ["window", "event_type"])
     return t.select("event_type", plain("window.start").alias("start"), "count", F.round("mean", 6).alias("mean"), F.get("quantiles", 0).alias("p50"), F.get("quantiles", 1).alias("p90"))
 
 
 @query("stream_episode_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS f FROM events),
  r AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM g), s AS (SELECT user_id, run, min(ts) AS start, max(ts)+INTERVAL 6 HOUR AS stop, count(*) AS rows FROM r GROUP BY 1,2)
-SELECT user_id, start, stop, rows FROM s WHERE stop <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+SELECT user_id, start, stop, rows FROM s""")
 def stream_episode_sessions(spark, d):
-    t = N.run_available(N.episode_sessions(events(spark, d), "ts", ["user_id"], "6 hours"), "append")
+    sessions = lambda e: N.episode_sessions(e, "ts", ["user_id"], "6 hours")
+    t = N.finished(N.run_available(sessions(events(spark, d)), "append"), sessions(landed_events(spark, d)), ["session_window", "user_id"])
     return t.select("user_id", plain("session_window.start").alias("start"), plain("session_window.end").alias("stop"), "rows")
 
 

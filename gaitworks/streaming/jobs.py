@@ -15,37 +15,54 @@ from gaitworks.session import scratch_dir
 WATERMARK = "10 minutes"
 
 
-def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A Parquet file source with the schema of the landed files."""
+def file_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1000) -> DataFrame:
+    """A Parquet file source with the schema of the landed files; a trigger takes at most so many files."""
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    source = spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", files_per_trigger)
+    return source.parquet(folder)
 
 
-def run_available(df: DataFrame, mode: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Process what is there and stop; results land as Parquet in the shared folder.
+def run_available(df: DataFrame, mode: str, keys: Sequence[str] = (), path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Process what is there and stop; results land as Parquet under ``path``.
 
-    In update mode the newest row per key is kept: one aggregate over the landed
-    batches.
+    With the same ``path`` and ``checkpoint`` a later call goes on where the last one stopped, and each source row takes
+    part once.  Without them both are fresh folders in the shared folder.  In update mode the newest row per key is
+    kept: one aggregate over the landed batches.
     """
     spark = df.sparkSession
-    root = scratch_dir(spark, "stream")
-    writer = df.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+    if (path is None) != (checkpoint is None):
+        raise ValueError("give both path and checkpoint, or neither")
+    if path is None:
+        root = scratch_dir(spark, "stream")
+        path, checkpoint = f"{root}/out", f"{root}/checkpoint"
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
-        q = writer.format("parquet").option("path", f"{root}/out").start()
+        q = writer.format("parquet").option("path", path).start()
         q.awaitTermination()
-        return spark.read.schema(df.schema).parquet(f"{root}/out")
+        return spark.read.schema(df.schema).parquet(path)
 
     def land(batch: DataFrame, batch_id: int) -> None:
         # one folder per batch: a retried batch overwrites itself
-        batch.withColumn("_batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{root}/out/b={batch_id}")
+        batch.withColumn("_batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{path}/b={batch_id}")
 
     writer.foreachBatch(land).start().awaitTermination()
-    rows = spark.read.parquet(f"{root}/out").drop("b")
+    rows = spark.read.parquet(path).drop("b")
     rest = [c for c in df.columns if c not in keys]
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r"))
     return newest.select(*keys, "_r.*")
 
 
+def finished(landed: DataFrame, whole: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Append-mode results with what the stream still held back behind its watermark.
+
+    ``whole`` is the same query over the source in batch; its rows whose keys have not landed are added.
+    """
+    there = landed.select(*keys).distinct().withColumn("_there", F.lit(True))
+    # not an anti join: that would be pushed below a session window, where sessions are not merged yet
+    rest = whole.join(there, list(keys), "left").where("_there is null")
+    return landed.unionByName(rest.select(*landed.columns))
+
+
 def running_stats(stream: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Count, mean, mean of squares, std, min, max so far."""
     v = F.col(value)
@@ -85,29 +102,50 @@ def merge_candidates(robot: DataFrame, ik: DataFrame, key: str, robot_time: str,
     return r.join(k, near, "left_outer").drop("_k")
 
 
-def write_episodes(stream: DataFrame, partition: str) -> DataFrame:
-    """Append frames partitioned by episode group; the checkpoint makes restarts exact."""
+def write_episodes(stream: DataFrame, partition: str, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Append frames partitioned by episode group; a restart with the same folders adds each row once."""
     spark = stream.sparkSession
-    root = scratch_dir(spark, "episodes")
+    if path is None or checkpoint is None:
+        root = scratch_dir(spark, "episodes")
+        path, checkpoint = path or f"{root}/out", checkpoint or f"{root}/checkpoint"
     q = (
         stream.writeStream.outputMode("append").format("parquet").partitionBy(partition)
-        .option("checkpointLocation", f"{root}/checkpoint").option("path", f"{root}/out").trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+    return spark.read.parquet(path)
+
+
+def _timed(stream: DataFrame, time: str | None) -> DataFrame:
+    return stream.withWatermark(time, WATERMARK) if time else stream
+
+
+def _timeout(time: str | None) -> str:
+    """Event time only: with a processing-time timeout an ``availableNow`` run would wait for it for ever."""
+    return GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
+
+
+def _expire(state: GroupState, rows: pd.DataFrame, time: str | None, idle: str) -> None:
+    if time:
+        end = int((rows[time].max() + pd.Timedelta(idle)).timestamp() * 1000)
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
 
 
-def weighted_filter(stream: DataFrame, key: str, order: str, value: str, weights: Sequence[float]) -> DataFrame:
+def weighted_filter(stream: DataFrame, key: str, order: str, value: str, weights: Sequence[float], time: str | None = None, idle: str = "1 day") -> DataFrame:
     """Weighted moving average of the last W distinct-in-a-row values; newest value times weights[0].
 
-    State per key is the last W values.  Until W values are there the last value
-    passes; a repeated value keeps the previous output.
+    State per key is the last W values; with an event-time column ``time`` it
+    goes ``idle`` after the key's last row.  Until W values are there the last
+    value passes; a repeated value keeps the previous output.
     """
     w = np.asarray(weights, float)
     if not np.isclose(w.sum(), 1.0):
         raise ValueError("weights must sum to 1")
 
     def step(key_, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         queue = list(state.get[0]) if state.exists else []
         # rows of one trigger arrive unordered; a key's share of a trigger is bounded by the source's rate limit
         pdf = pd.concat(list(frames)).sort_values(order)
@@ -117,11 +155,12 @@ def weighted_filter(stream: DataFrame, key: str, order: str, value: str, weights
                 queue = (queue + [float(x)])[-len(w):]
             out.append(float(np.dot(w, queue[::-1])) if len(queue) == len(w) else queue[-1])
         state.update((queue,))
+        _expire(state, pdf, time, idle)
         yield pd.DataFrame({key: key_[0], order: pdf[order].to_numpy(), "filtered": out})
 
     kinds = dict(stream.dtypes)
-    return stream.groupBy(key).applyInPandasWithState(
-        step, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, filtered double", "queue array<double>", "append", GroupStateTimeout.NoTimeout)
+    return _timed(stream, time).groupBy(key).applyInPandasWithState(
+        step, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, filtered double", "queue array<double>", "append", _timeout(time))
 
 
 def proposals(votes: pd.DataFrame, current: str) -> pd.Series:
@@ -166,22 +205,27 @@ def count_votes(votes: pd.DataFrame, state: tuple, need: Mapping[str, int]) -> t
     return (current, bool(done), run, captures), commits
 
 
-def confirmed_switch(stream: DataFrame, key: str, order: str, votes: int | Mapping[str, int]) -> DataFrame:
+def confirmed_switch(stream: DataFrame, key: str, order: str, votes: int | Mapping[str, int], time: str | None = None, idle: str = "1 day") -> DataFrame:
     """A proposed subtask is committed after so many votes from distinct fresh captures; ``votes`` may differ for the
     first subtask, a switch and done.
 
-    Columns: decision, next_subtask, capture_key, capture_fresh.  State per episode is bounded by the number of votes.
+    Columns: decision, next_subtask, capture_key, capture_fresh.  State per episode is bounded by the number of votes;
+    with an event-time column ``time`` it goes ``idle`` after the episode's last vote.
     """
     need = dict.fromkeys(("first", "switch", "done"), votes) if isinstance(votes, int) else dict(votes)
 
     def step(key_, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         pdf = pd.concat(list(frames)).sort_values(order).reset_index(drop=True)
         held = (*state.get[:3], list(state.get[3])) if state.exists else ("", False, "", [])
         held, commits = count_votes(pdf, held, need)
         state.update(held)
+        _expire(state, pdf, time, idle)
         yield pd.DataFrame([(key_[0], pdf[order].iloc[i], text) for i, text in commits], columns=[key, order, "committed"])
 
     kinds = dict(stream.dtypes)
-    return stream.groupBy(key).applyInPandasWithState(
+    return _timed(stream, time).groupBy(key).applyInPandasWithState(
         step, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, committed string",
-        "current string, done boolean, run string, captures array<string>", "append", GroupStateTimeout.NoTimeout)
+        "current string, done boolean, run string, captures array<string>", "append", _timeout(time))
