@@ -123,14 +123,18 @@ def mse_by_dataset(errors: DataFrame, dataset: str, sample: str, digits: int = 4
 
 
 def frechet_moments(rows: DataFrame, keys: Sequence[str], predicted: Sequence[str], truth: Sequence[str]) -> DataFrame:
-    """Means, traces and covariance gap over time; the matrix root term only on the diagonal."""
+    """Means, traces and covariance gap over time; the matrix root term only on the diagonal.
+
+    The covariance of an episode of one frame is zero.
+    """
     aggs = []
     for i, (p, t) in enumerate(zip(predicted, truth)):
         aggs += [F.avg(p).alias(f"_mp{i}"), F.avg(t).alias(f"_mt{i}")]
         for j in range(i, len(predicted)):
-            aggs += [F.covar_samp(p, predicted[j]).alias(f"_cp{i}_{j}"), F.covar_samp(t, truth[j]).alias(f"_ct{i}_{j}")]
+            spread = lambda a, b: F.coalesce(F.nanvl(F.covar_samp(a, b), F.lit(None).cast("double")), F.lit(0.0))
+            aggs += [spread(p, predicted[j]).alias(f"_cp{i}_{j}"), spread(t, truth[j]).alias(f"_ct{i}_{j}")]
     n = len(predicted)
-    g = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("steps"), *aggs).where("steps > 1")
+    g = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("steps"), *aggs)
     total = lambda cs: sum(cs[1:], cs[0])
     dist = total([(F.col(f"_mp{i}") - F.col(f"_mt{i}")) ** 2 for i in range(n)])
     tp, tt = (total([F.col(f"_{c}{i}_{i}") for i in range(n)]) for c in ("cp", "ct"))

@@ -47,8 +47,8 @@ def split_by_task(spark, d):
     return packs.split_by_task(steps(spark, d), tasks)[0].select("episode_index", "l_linenumber", "task_index", "new_task_index")
 
 
-@query("split_by_task_stats", """SELECT u.dim::bigint AS dim, count(*) AS count, round(avg(CASE u.dim WHEN 0 THEN l_quantity ELSE l_extendedprice END),4) AS mean
-FROM lineitem JOIN part ON l_partkey=p_partkey, (VALUES (0),(1)) u(dim) WHERE p_type='PROMO' GROUP BY 1""")
+@query("split_by_task_stats", """SELECT u.dim::bigint AS dim, count(*) AS count, round(avg(CASE u.dim WHEN 0 THEN l_quantity WHEN 1 THEN l_extendedprice WHEN 2 THEN l_discount ELSE l_tax END),4) AS mean
+FROM lineitem JOIN part ON l_partkey=p_partkey, (VALUES (0),(1),(2),(3)) u(dim) WHERE p_type='PROMO' GROUP BY 1""")
 def split_by_task_stats(spark, d):
     """Statistics recomputed over the kept tasks."""
     from gaitworks.functions import vectors as V
@@ -56,7 +56,7 @@ def split_by_task_stats(spark, d):
 
     tasks = table(spark, d, "part").where("p_type = 'PROMO'").select(F.col("p_partkey").alias("task_index"))
     kept, _ = packs.split_by_task(steps(spark, d), tasks)
-    st = S.moment_stats(V.explode_vector(kept, "state").where("dim < 2"), ["dim"])
+    st = S.moment_stats(V.explode_vector(kept, "state"), ["dim"])
     return st.select(F.col("dim").cast("bigint").alias("dim"), "count", F.round("mean", 4).alias("mean"))
 
 

@@ -111,9 +111,9 @@ def distinct_tasks(spark, d):
     return per.unionByName(total)
 
 
-CH = f"""WITH {FRAMES}, n AS (SELECT *, count(*) OVER (PARTITION BY episode_index) AS n FROM frames), d(step) AS (VALUES (0),(1),(2)), k(dim) AS (VALUES (2),(3)),
- c AS (SELECT b.episode_index, b.frame_index, d.step, CASE k.dim WHEN 2 THEN 'amount' ELSE 'price' END AS modality,
-  abs(CASE k.dim WHEN 2 THEN t.a2 ELSE t.a3/1000 END * 0.0131713717*(d.step+1)) AS err FROM n b, d, k, frames t WHERE t.episode_index=b.episode_index AND t.frame_index=least(b.frame_index+d.step,b.n-1))"""
+CH = f"""WITH {FRAMES}, n AS (SELECT *, count(*) OVER (PARTITION BY episode_index) AS n FROM frames), d(step) AS (VALUES (0),(1),(2)), k(dim) AS (VALUES (0),(1),(2),(3)),
+ c AS (SELECT b.episode_index, b.frame_index, d.step, CASE k.dim WHEN 0 THEN 'discount' WHEN 1 THEN 'tax' WHEN 2 THEN 'amount' ELSE 'price' END AS modality,
+  abs(CASE k.dim WHEN 0 THEN t.a0*100 WHEN 1 THEN t.a1*100 WHEN 2 THEN t.a2 ELSE t.a3/1000 END * 0.0131713717*(d.step+1)) AS err FROM n b, d, k, frames t WHERE t.episode_index=b.episode_index AND t.frame_index=least(b.frame_index+d.step,b.n-1))"""
 
 
 @query("chunk_error_report", CH + """ SELECT 'modality' AS level, modality AS label, round(avg(err),6) AS l1, round(avg(CASE WHEN step=0 THEN err END),6) AS first_step_l1 FROM c GROUP BY modality
@@ -125,8 +125,9 @@ def chunk_error_report(spark, d):
 
     w = windows.action_chunk(frames(spark, d).select("episode_index", "frame_index", "action"), "action", 3)
     t = w.select("episode_index", "frame_index", F.posexplode("chunk").alias("step", "a"))
-    both = F.array(F.struct(F.lit("amount").alias("m"), F.get("a", 2).alias("x")), F.struct(F.lit("price").alias("m"), (F.get("a", 3) / 1000).alias("x")))
-    t = t.select("episode_index", "frame_index", "step", F.explode(both).alias("z"))
+    scaled = {"discount": F.get("a", 0) * 100, "tax": F.get("a", 1) * 100, "amount": F.get("a", 2), "price": F.get("a", 3) / 1000}
+    each = F.array(*[F.struct(F.lit(m).alias("m"), x.alias("x")) for m, x in scaled.items()])
+    t = t.select("episode_index", "frame_index", "step", F.explode(each).alias("z"))
     e = t.select("episode_index", "frame_index", "step", F.col("z.m").alias("modality"), F.abs(F.col("z.x") * 0.0131713717 * (F.col("step") + 1)).alias("err"))
     g = X.chunk_report(e, ["episode_index", "frame_index"])
     # grouping id bits: episode, frame, modality, step
@@ -142,35 +143,40 @@ def warm_latency(spark, d):
     return r(X.warm_latency(table(spark, d, "events"), "user_id", F.struct("ts", "event_id"), "value"), 5, "mean", "std")
 
 
-@query("sample_mse_by_dataset", f"""WITH {ERR}, p AS (SELECT dataset_id, episode_index, avg(err*err) AS m, avg(err/(abs(value)+1e-3)) AS l FROM er WHERE dim<>1 GROUP BY 1,2)
+@query("sample_mse_by_dataset", f"""WITH {ERR}, z AS (SELECT dataset_id, episode_index, CASE WHEN dim=1 THEN err/1000 ELSE err END AS err, CASE WHEN dim=1 THEN abs(value)/1000 ELSE abs(value) END AS norm FROM er),
+ p AS (SELECT dataset_id, episode_index, avg(err*err) AS m, avg(err/(norm+1e-3)) AS l FROM z GROUP BY 1,2)
 SELECT dataset_id, round(avg(m),4) AS mse, round(avg(l),4) AS l2, count(*) AS samples FROM p GROUP BY 1 UNION ALL SELECT NULL, round(avg(m),4), round(avg(l),4), count(*) FROM p""")
 def sample_mse_by_dataset(spark, d):
-    e = errors(spark, d).where("dim <> 1").withColumn("norm", F.abs("value"))
+    unit = F.when(F.col("dim") == 1, F.lit(1000.0)).otherwise(F.lit(1.0))  # the price in thousands
+    e = errors(spark, d).withColumns({"err": F.col("err") / unit, "norm": F.abs("value") / unit})
     return X.mse_by_dataset(e, "dataset_id", "episode_index")
 
 
-COV = ["l_quantity", "l_discount", "l_tax"]
-PR = ["l_quantity*1.1031717+1", "l_discount*0.9071317", "l_tax+0.01*l_linenumber"]
+COV = ["l_quantity", "l_extendedprice/1000", "l_discount", "l_tax"]
+PR = ["l_quantity*1.1031717+1", "l_extendedprice/1000*0.9533171+2", "l_discount*0.9071317", "l_tax+0.01*l_linenumber"]
 
 
 def frechet_sql() -> str:
     import itertools
 
-    aggs = [f"avg({PR[i]})-avg({COV[i]}) AS g{i}, var_samp({PR[i]}) AS vp{i}, var_samp({COV[i]}) AS vt{i}" for i in range(3)]
-    aggs += [f"covar_samp({PR[i]},{PR[j]})-covar_samp({COV[i]},{COV[j]}) AS c{i}{j}" for i, j in itertools.combinations(range(3), 2)]
-    dist, tp, tt = "+".join(f"g{i}*g{i}" for i in range(3)), "+".join(f"vp{i}" for i in range(3)), "+".join(f"vt{i}" for i in range(3))
-    gap = "+".join(f"(vp{i}-vt{i})*(vp{i}-vt{i})" for i in range(3)) + "+" + "+".join(f"2*c{i}{j}*c{i}{j}" for i, j in itertools.combinations(range(3), 2))
-    root = "+".join(f"sqrt(greatest(vp{i}*vt{i},0))" for i in range(3))
-    return f"""WITH g AS (SELECT l_orderkey AS episode_index, count(*) AS steps, {', '.join(aggs)} FROM lineitem GROUP BY 1 HAVING count(*) > 1)
-SELECT episode_index, steps, round({dist},6) AS mean_sq, round({tp},6) AS trace_pred, round({tt},6) AS trace_true, round(sqrt({gap}),6) AS cov_gap, round({dist}+{tp}+{tt}-2*({root}),6) AS frechet_diag FROM g"""
+    n = len(COV)
+    var, cov = (lambda f, *x: f"coalesce({f}({', '.join(x)}),0)"), list(itertools.combinations(range(n), 2))  # one frame: no spread
+    aggs = [f"avg({PR[i]})-avg({COV[i]}) AS g{i}, {var('var_samp', PR[i])} AS vp{i}, {var('var_samp', COV[i])} AS vt{i}" for i in range(n)]
+    aggs += [f"{var('covar_samp', PR[i], PR[j])}-{var('covar_samp', COV[i], COV[j])} AS c{i}{j}" for i, j in cov]
+    dist, tp, tt = "+".join(f"g{i}*g{i}" for i in range(n)), "+".join(f"vp{i}" for i in range(n)), "+".join(f"vt{i}" for i in range(n))
+    gap = "+".join(f"(vp{i}-vt{i})*(vp{i}-vt{i})" for i in range(n)) + "+" + "+".join(f"2*c{i}{j}*c{i}{j}" for i, j in cov)
+    root = "+".join(f"sqrt(greatest(vp{i}*vt{i},0))" for i in range(n))
+    return f"""WITH g AS (SELECT l_orderkey AS episode_index, count(*) AS steps, {', '.join(aggs)} FROM lineitem GROUP BY 1)
+SELECT episode_index, steps, round({dist},5) AS mean_sq, round({tp},5) AS trace_pred, round({tt},5) AS trace_true, round(sqrt({gap}),5) AS cov_gap, round({dist}+{tp}+{tt}-2*({root}),5) AS frechet_diag FROM g"""
 
 
 @query("frechet_moments", frechet_sql())
 def frechet_moments(spark, d):
+    n = range(len(COV))
     t = table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("episode_index"), *[F.expr(e).alias(f"p{i}") for i, e in enumerate(PR)], *[F.col(c).alias(f"t{i}") for i, c in enumerate(COV)])
-    m = X.frechet_moments(t, ["episode_index"], ["p0", "p1", "p2"], ["t0", "t1", "t2"])
-    return r(m, 6, "mean_sq", "trace_pred", "trace_true", "cov_gap", "frechet_diag")
+        F.col("l_orderkey").alias("episode_index"), *[F.expr(e).alias(f"p{i}") for i, e in enumerate(PR)], *[F.expr(c).alias(f"t{i}") for i, c in enumerate(COV)])
+    m = X.frechet_moments(t, ["episode_index"], [f"p{i}" for i in n], [f"t{i}" for i in n])
+    return r(m, 5, "mean_sq", "trace_pred", "trace_true", "cov_gap", "frechet_diag")
 
 
 @query("sample_density_kl", """WITH s AS (SELECT vec_id, unnest(range(4)) AS m, embedding::double[] AS v FROM embeddings),

@@ -78,40 +78,44 @@ def state_prompt(spark, d):
 
 
 T = 4
+# the four action dimensions, scaled to a like range
+ACTION_SCALES = (13.1771371, 7.3190731, 0.1371317, 0.0007131)
+_X = ", ".join(f"x.a{i}*{f} AS x{i}" for i, f in enumerate(ACTION_SCALES))
+_Y = ", ".join(f"round_even(10*sum(x{i}*sqrt((CASE WHEN k=0 THEN 1 ELSE 2 END)/4.0)*cos(pi()*(2*t+1)*k/8.0)),0) AS y{i}" for i in range(4))
 DCT = f"""WITH {FRAMES}, n AS (SELECT *, count(*) OVER (PARTITION BY episode_index) AS n FROM frames), ti(t) AS (VALUES (0),(1),(2),(3)), ki(k) AS (VALUES (0),(1),(2),(3)),
- c AS (SELECT b.episode_index, b.frame_index, ti.t, x.a2*0.1371317 AS x0, x.a1*7.3190731 AS x1 FROM n b, ti, frames x WHERE b.frame_index+3 < b.n AND x.episode_index=b.episode_index AND x.frame_index=b.frame_index+ti.t),
- q AS (SELECT episode_index, frame_index, k, round_even(10*sum(x0*sqrt((CASE WHEN k=0 THEN 1 ELSE 2 END)/4.0)*cos(pi()*(2*t+1)*k/8.0)),0) AS y0,
-  round_even(10*sum(x1*sqrt((CASE WHEN k=0 THEN 1 ELSE 2 END)/4.0)*cos(pi()*(2*t+1)*k/8.0)),0) AS y1 FROM c, ki GROUP BY 1,2,3)"""
+ c AS (SELECT b.episode_index, b.frame_index, ti.t, {_X} FROM n b, ti, frames x WHERE b.frame_index+3 < b.n AND x.episode_index=b.episode_index AND x.frame_index=b.frame_index+ti.t),
+ q AS (SELECT episode_index, frame_index, k, {_Y} FROM c, ki GROUP BY 1,2,3)"""
 
 
 def _chunks(spark, d):
-    f = frames(spark, d).select("episode_index", "frame_index", F.array(F.get("action", 2) * 0.1371317, F.get("action", 1) * 7.3190731).alias("a"))
+    scaled = F.array(*[F.get("action", i) * f for i, f in enumerate(ACTION_SCALES)])
+    f = frames(spark, d).select("episode_index", "frame_index", scaled.alias("a"))
     w = windows.action_chunk(f, "a", T, pad=False)
     return w.withColumn("sym", K.dct_quantise(F.col("chunk"), T))
 
 
-@query("dct_quantise", DCT + " SELECT episode_index, frame_index, k::bigint AS k, y0::bigint AS y0, y1::bigint AS y1 FROM q")
+@query("dct_quantise", DCT + " SELECT episode_index, frame_index, k::bigint AS k, " + ", ".join(f"y{i}::bigint AS y{i}" for i in range(4)) + " FROM q")
 def dct_quantise(spark, d):
     t = _chunks(spark, d).select("episode_index", "frame_index", F.posexplode("sym").alias("k", "y"))
-    return t.select("episode_index", "frame_index", F.col("k").cast("bigint").alias("k"), F.get("y", 0).cast("bigint").alias("y0"), F.get("y", 1).cast("bigint").alias("y1"))
+    return t.select("episode_index", "frame_index", F.col("k").cast("bigint").alias("k"), *[F.get("y", i).cast("bigint").alias(f"y{i}") for i in range(4)])
 
 
-@query("dct_reconstruct", DCT + """ SELECT episode_index, frame_index, t::bigint AS t, round(sum(y0/10*sqrt((CASE WHEN k=0 THEN 1 ELSE 2 END)/4.0)*cos(pi()*(2*t+1)*k/8.0)),5)+0.0 AS x0,
- round(sum(y1/10*sqrt((CASE WHEN k=0 THEN 1 ELSE 2 END)/4.0)*cos(pi()*(2*t+1)*k/8.0)),5)+0.0 AS x1 FROM q, ti GROUP BY 1,2,3""")
+@query("dct_reconstruct", DCT + " SELECT episode_index, frame_index, t::bigint AS t, "
+       + ", ".join(f"round(sum(y{i}/10*sqrt((CASE WHEN k=0 THEN 1 ELSE 2 END)/4.0)*cos(pi()*(2*t+1)*k/8.0)),5)+0.0 AS x{i}" for i in range(4)) + " FROM q, ti GROUP BY 1,2,3")
 def dct_reconstruct(spark, d):
     w = _chunks(spark, d).withColumn("rec", K.dct_reconstruct(F.col("sym"), T))
     t = w.select("episode_index", "frame_index", F.posexplode("rec").alias("t", "x"))
-    return t.select("episode_index", "frame_index", F.col("t").cast("bigint").alias("t"), (F.round(F.get("x", 0), 5) + 0.0).alias("x0"), (F.round(F.get("x", 1), 5) + 0.0).alias("x1"))
+    return t.select("episode_index", "frame_index", F.col("t").cast("bigint").alias("t"), *[(F.round(F.get("x", i), 5) + 0.0).alias(f"x{i}") for i in range(4)])
 
 
-@query("dct_symbol_range", DCT + """, s AS (SELECT y0 AS y FROM q UNION ALL SELECT y1 FROM q) SELECT min(y)::bigint AS low, max(y)::bigint AS high, max(y)-min(y) <= 1024 AS fits FROM s""")
+@query("dct_symbol_range", DCT + ", s AS (" + " UNION ALL ".join(f"SELECT y{i} AS y FROM q" for i in range(4)) + ") SELECT min(y)::bigint AS low, max(y)::bigint AS high, max(y)-min(y) <= 1024 AS fits FROM s")
 def dct_symbol_range(spark, d):
     y = F.flatten("sym")
     t = _chunks(spark, d).agg(F.min(F.array_min(y)).cast("bigint").alias("low"), F.max(F.array_max(y)).cast("bigint").alias("high"))
     return t.withColumn("fits", F.col("high") - F.col("low") <= 1024)
 
 
-@query("symbol_pair_counts", DCT + """, s AS (SELECT episode_index, frame_index, 2*k AS pos, y0::bigint AS y FROM q UNION ALL SELECT episode_index, frame_index, 2*k+1, y1::bigint FROM q),
+@query("symbol_pair_counts", DCT + ", s AS (" + " UNION ALL ".join(f"SELECT episode_index, frame_index, 4*k+{i} AS pos, y{i}::bigint AS y FROM q" for i in range(4)) + """),
  p AS (SELECT y AS a, lead(y) OVER (PARTITION BY episode_index, frame_index ORDER BY pos) AS b FROM s)
 SELECT a AS left_symbol, b AS right_symbol, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY 1,2""")
 def symbol_pair_counts(spark, d):
