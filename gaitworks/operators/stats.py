@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 Q01_Q99 = (0.01, 0.99)
 SALTS = 32
+CELLS = 256  # even cells of a bracket
 
 
 def moments(value: str = "value") -> list[Column]:
@@ -46,9 +47,10 @@ def full_stats(
     Pass 1 takes the moments and a sketch whose rank error is at most
     n / accuracy, so the value at rank p*(n-1) lies between the sketch's
     p-2e and p+2e.  Pass 2 groups by (keys, segment, value-in-bracket): values
-    outside every bracket collapse to a count, equal values to one row, so the
-    ranking window sees about 4 n / accuracy rows per quantile.  The sketch ranks
-    by p*n and interpolation by p*(n-1), so a wanted rank may sit one place
+    outside every bracket collapse to a count, equal values to one row, which
+    leaves about 4 n / accuracy rows per quantile.  They are ranked per cell, of
+    which a bracket has ``CELLS``, and a cell's start is added from one row per
+    cell.  The sketch ranks by p*n and interpolation by p*(n-1), so a wanted rank may sit one place
     outside its bracket: the minimum and maximum of each outside run serve it.
 
     ``few_groups`` says that the number of key combinations is bounded by the
@@ -68,6 +70,10 @@ def full_stats(
     for lo, hi in zip(lows, highs):
         inside = inside | v.between(lo, hi)
         seg = seg + (v > hi).cast("int")
+    # never falls as v rises within a segment; what no bracket holds comes first
+    lo, hi = F.get(F.array(*lows), F.col("_seg")), F.get(F.array(*highs), F.col("_seg"))
+    part = F.when(hi > lo, F.floor((v - lo) / (hi - lo) * CELLS)).otherwise(0)
+    cell = F.when(F.col("_in"), F.least(F.greatest(F.coalesce(part, F.lit(0)), F.lit(0)), F.lit(CELLS - 1))).otherwise(-1).cast("int")
     if few_groups:
         tagged = rows.join(F.broadcast(first), keys)
     else:
@@ -75,15 +81,22 @@ def full_stats(
         salted = first.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         tagged = rows.withColumn("_salt", F.pmod(F.hash("_v"), F.lit(SALTS))).join(salted, [*keys, "_salt"])
     counted = (
-        tagged.select(*keys, *MOMENTS, seg.alias("_seg"), F.when(inside, v).alias("_w"), "_v")
-        .groupBy(*keys, "_seg", "_w")
+        tagged.select(*keys, *MOMENTS, "_br", seg.alias("_seg"), inside.alias("_in"), "_v")
+        .select(*keys, *MOMENTS, "_seg", cell.alias("_cell"), F.when(F.col("_in"), v).alias("_w"), "_v")
+        .groupBy(*keys, "_seg", "_cell", "_w")
         .agg(
             F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
             *[F.max(m).alias(m) for m in MOMENTS],
         )
     )
-    order = Window.partitionBy(*keys).orderBy("_seg", F.col("_w").asc_nulls_first())
-    ranked = counted.withColumn("_upto", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    before = Window.partitionBy(*keys).orderBy("_seg", "_cell").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counted.groupBy(*keys, "_seg", "_cell").agg(F.sum("_c").alias("_s"))
+    starts = sums.select(*keys, "_seg", "_cell", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start"))
+    # a null key is a key like any other
+    at = [F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in (*keys, "_seg", "_cell")]
+    placed = counted.alias("_l").join(starts.alias("_r"), at).select("_l.*", "_start")
+    order = Window.partitionBy(*keys, "_seg", "_cell").orderBy(F.col("_w").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.withColumn("_upto", F.col("_start") + F.sum("_c").over(order))
     ranked = ranked.withColumn("_from", F.col("_upto") - F.col("_c"))
     picks = []
     for i, p in enumerate(probs):
