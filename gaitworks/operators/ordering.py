@@ -257,14 +257,10 @@ def fill(
     return got.drop("_v", "_f", "_g", "_before", "_after", "_blk")
 
 
-def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | Column, salt: Column, salts: int = 64,
-               name: str = "_rn") -> DataFrame:
-    """The first ``k`` rows of each group: local top-k per salt, then top-k of at most salts*k rows."""
-    if isinstance(k, int):
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)))
-        w1 = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        kept = salted.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k).drop("_r", "_salt")
-    else:
-        kept = df
-    w2 = Window.partitionBy(*keys).orderBy(*order)
-    return kept.withColumn(name, F.row_number().over(w2)).where(F.col(name) <= k)
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | Column, name: str = "_rn") -> DataFrame:
+    """The first ``k`` rows of each group.
+
+    With a number, Spark limits each group below the exchange, so that a task gets k rows of a group from each map task.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= k)

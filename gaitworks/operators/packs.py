@@ -81,14 +81,14 @@ def locate(points: DataFrame, offsets: DataFrame, point: str, keys: Sequence[str
 
 
 def holdout_first(episodes: DataFrame, group: str, k: int) -> DataFrame:
-    return ordering.first_rows(episodes, [group], [F.col("episode_index")], k, F.col("episode_index")).drop("_rn")
+    return ordering.first_rows(episodes, [group], [F.col("episode_index")], k).drop("_rn")
 
 
 def holdout_random(episodes: DataFrame, group: str, k: int, seed: str) -> DataFrame:
     from gaitworks.functions import hashing
 
     order = [hashing.draw32(seed, F.col("episode_index")), F.col("episode_index")]
-    return ordering.first_rows(episodes, [group], order, k, F.col("episode_index")).drop("_rn")
+    return ordering.first_rows(episodes, [group], order, k).drop("_rn")
 
 
 def holdout_near_median(episodes: DataFrame, group: str, k: int, length: str = "length") -> DataFrame:

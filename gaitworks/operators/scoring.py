@@ -17,14 +17,22 @@ def segment_of(dim: Column, segments: Mapping[str, tuple[int, int]]) -> Column:
     return chain
 
 
-def success_rates(scores: DataFrame, task: str, score: str, order: Sequence[str]) -> DataFrame:
-    """Mean score per task in a given order, then the mean over tasks."""
+def success_rates(scores: DataFrame, task: str, score: str, order: Sequence[str], progress: str | None = None) -> DataFrame:
+    """Mean score per task in a given order, then the mean over tasks; with ``progress`` its means as well."""
     rank = F.array_position(F.array(*[F.lit(t) for t in order]), F.col(task))
-    per = scores.groupBy(task).agg(F.avg(score).alias("_m"))
-    both = per.rollup(task).agg(F.avg("_m").alias("rate"), F.grouping(task).alias("_all"))
+    names = {"rate": score} | ({"progress_rate": progress} if progress else {})
+    per = scores.groupBy(task).agg(*[F.avg(c).alias(n) for n, c in names.items()])
+    both = per.rollup(task).agg(*[F.avg(n).alias(n) for n in names], F.grouping(task).alias("_all"))
     place = F.when(F.col("_all") == 1, F.lit(len(order) + 2)).otherwise(F.coalesce(F.nullif(rank, F.lit(0)), F.lit(len(order) + 1)))
     name = F.when(F.col("_all") == 1, F.lit("mean")).otherwise(F.col(task))
-    return both.select(name.alias(task), place.cast("bigint").alias("place"), "rate")
+    return both.select(name.alias(task), place.cast("bigint").alias("place"), *names)
+
+
+def subtask_progress(steps: Column, threshold: float = 0.5) -> Column:
+    """Share of a trial's subtasks that have begun, by the scores ``steps`` (the first is the trial's success): all of
+    them once the trial has succeeded."""
+    begun = F.size(F.filter(steps, lambda x: x > 0)) / F.size(steps)
+    return F.when(F.get(steps, 0) >= threshold, F.lit(1.0)).otherwise(begun)
 
 
 def l1_by_group(errors: DataFrame, groups: Mapping[str, tuple[int, int]], dim: str = "dim", error: str = "err") -> DataFrame:
@@ -47,7 +55,7 @@ def denormalised_l1(errors: DataFrame, bounds: DataFrame, segments: Mapping[str,
     real = 0.5 * F.col(error) * (F.col("hi") - F.col("lo"))
     if mask:
         real = F.when(F.col(mask), real)
-    t = errors.join(F.broadcast(bounds), dim).withColumn("_r", real).withColumn("segment", segment_of(F.col(dim), segments))
+    t = errors.join(bounds, dim).withColumn("_r", real).withColumn("segment", segment_of(F.col(dim), segments))
     return t.where("segment is not null").groupBy("segment").agg(F.avg("_r").alias("l1"))
 
 

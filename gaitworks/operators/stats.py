@@ -196,7 +196,7 @@ def histogram_quantiles(
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     bin_id = F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(bins - 1)).cast("long")
     hist = (
-        rows.join(F.broadcast(span), keys)
+        rows.join(span, keys)
         .groupBy(*keys, bin_id.alias("bin"))
         .agg(F.count(F.lit(1)).alias("_c"), F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.max("count").alias("count"))
     )

@@ -176,7 +176,7 @@ def sort_episodes(spark, d):
 @query("limit_episodes", """SELECT l_suppkey, l_orderkey FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem) QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) <= 10""")
 def limit_episodes(spark, d):
     e = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey").distinct()
-    return ordering.first_rows(e, ["l_suppkey"], [F.col("l_orderkey")], 10, F.col("l_orderkey")).drop("_rn")
+    return ordering.first_rows(e, ["l_suppkey"], [F.col("l_orderkey")], 10).drop("_rn")
 
 
 @query("worst_dims_topk", """WITH l AS (SELECT unnest(range(64)) AS dim, unnest(embedding::double[]) AS x FROM embeddings) SELECT dim, round(avg(abs(x*0.1-0.01)),6) AS err FROM l GROUP BY 1 ORDER BY avg(abs(x*0.1-0.01)) DESC, dim LIMIT 5""")

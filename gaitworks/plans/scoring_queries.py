@@ -26,12 +26,18 @@ def r(df, digits, *cols):
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
 
-@query("success_rate_by_task", """WITH t AS (SELECT event_type AS task, avg(CASE WHEN value > 40 THEN 1.0 ELSE 0.0 END) AS m FROM events GROUP BY 1),
+@query("success_rate_by_task", """WITH e AS (SELECT event_type AS task, CASE WHEN value > 40 THEN 1.0 ELSE 0.0 END AS s,
+  CASE WHEN value > 40 THEN 3 ELSE 0 + (CASE WHEN value > 20 THEN 1 ELSE 0 END) + (CASE WHEN event_id % 3 > 0 THEN 1 ELSE 0 END) END / 3.0::double AS p FROM events),
+ t AS (SELECT task, avg(s) AS m, avg(p) AS q FROM e GROUP BY 1),
  o AS (SELECT * FROM (VALUES ('view',1),('purchase',2),('click',3)) o(task,place))
-SELECT t.task, coalesce(place,4)::bigint AS place, round(m*100,4) AS rate FROM t LEFT JOIN o ON t.task=o.task UNION ALL SELECT 'mean', 5, round(avg(m)*100,4) FROM t""")
+SELECT t.task, coalesce(place,4)::bigint AS place, round(m*100,4) AS rate, round(q*100,4) AS progress_rate FROM t LEFT JOIN o ON t.task=o.task
+UNION ALL SELECT 'mean', 5, round(avg(m)*100,4), round(avg(q)*100,4) FROM t""")
 def success_rate_by_task(spark, d):
-    e = table(spark, d, "events").select(F.col("event_type").alias("task"), F.when(F.col("value") > 40, 100.0).otherwise(0.0).alias("score"))
-    return r(X.success_rates(e, "task", "score", ["view", "purchase", "click"]), 4, "rate")
+    """A trial's scores: success, and two subtasks that may have begun without it."""
+    won = F.when(F.col("value") > 40, 1.0).otherwise(0.0)
+    steps = F.array(won, F.when(F.col("value") > 20, 0.5).otherwise(0.0), (F.col("event_id") % 3).cast("double"))
+    e = table(spark, d, "events").select(F.col("event_type").alias("task"), (won * 100).alias("score"), (X.subtask_progress(steps) * 100).alias("progress"))
+    return r(X.success_rates(e, "task", "score", ["view", "purchase", "click"], "progress"), 4, "rate", "progress_rate")
 
 
 @query("l1_error_by_group", f"""WITH {ERR}, p AS (SELECT dim, avg(err) AS m, max(err) AS x FROM er GROUP BY dim)

@@ -305,7 +305,7 @@ def first_k_poses(spark, d):
     li = table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("episode_index"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount")
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    top = ordering.first_rows(li, ["episode_index"], [F.col(c) for c in order], 3, F.col("l_partkey"))
+    top = ordering.first_rows(li, ["episode_index"], [F.col(c) for c in order], 3)
     return top.select("episode_index", (F.col("_rn") - 1).cast("bigint").alias("frame_index"), F.col("l_quantity").alias("v0"), F.col("l_discount").alias("v1"))
 
 
