@@ -33,7 +33,7 @@ CELL_ROWS = 1 << 18    # aimed rows per cell
 def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame:
     """Groups above ``hot_rows``, of which a table of n rows has fewer than n / hot_rows: about 200 bytes to
     broadcast for each million rows of the table. Nothing runs before the query does."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > (HOT_ROWS if hot_rows is None else hot_rows))
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_hot_n")).where(F.col("_hot_n") > (HOT_ROWS if hot_rows is None else hot_rows))
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], rank: Column, sizes: DataFrame, cell_rows: int | None = None) -> DataFrame:
@@ -43,15 +43,15 @@ def split_hot(df: DataFrame, keys: Sequence[str], rank: Column, sizes: DataFrame
     a hot group follow ``rank``: quantile segments, each with an even grid.
     """
     keys = list(keys)
-    ranked = df.withColumn("_rank", rank.cast("double"))
+    ranked = df.withColumn("_hot_r", rank.cast("double"))
     probs = [i / SEGMENTS for i in range(SEGMENTS + 1)]
     bounds = (
-        ranked.select(*keys, "_rank").join(F.broadcast(sizes), keys, "inner")
+        ranked.select(*keys, "_hot_r").join(F.broadcast(sizes), keys, "inner")
         .groupBy(*keys)
-        .agg(F.percentile_approx("_rank", probs, 10000).alias("_b"), F.max("_n").alias("_n"))
+        .agg(F.percentile_approx("_hot_r", probs, 10000).alias("_hot_b"), F.max("_hot_n").alias("_hot_n"))
     )
-    r, b = F.col("_rank"), F.col("_b")
-    per_segment = F.greatest(F.lit(1), F.ceil(F.col("_n") / (SEGMENTS * (cell_rows or CELL_ROWS))))
+    r, b = F.col("_hot_r"), F.col("_hot_b")
+    per_segment = F.greatest(F.lit(1), F.ceil(F.col("_hot_n") / (SEGMENTS * (cell_rows or CELL_ROWS))))
     seg = F.least(F.greatest(F.size(F.filter(b, lambda x: x <= r)) - 1, F.lit(0)), F.lit(SEGMENTS - 1))
     joined = ranked.join(F.broadcast(bounds), keys, "left").withColumn("_hot", b.isNotNull())
     joined = joined.withColumn("_seg", F.when(F.col("_hot"), seg))
@@ -59,7 +59,7 @@ def split_hot(df: DataFrame, keys: Sequence[str], rank: Column, sizes: DataFrame
     step = F.when(hi > lo, F.floor((r - lo) / (hi - lo) * per_segment)).otherwise(F.lit(0))
     cell = F.col("_seg") * per_segment + F.least(F.greatest(step, F.lit(0)), per_segment - 1)
     return joined.withColumn("_cell", F.when(F.col("_hot"), cell).otherwise(F.lit(0)).cast("long")).drop(
-        "_rank", "_b", "_n", "_seg"
+        "_hot_r", "_hot_b", "_hot_n", "_seg"
     )
 
 

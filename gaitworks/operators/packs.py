@@ -80,15 +80,28 @@ def locate(points: DataFrame, offsets: DataFrame, point: str, keys: Sequence[str
     return got.withColumn("frame_index", F.col(point) - F.col("offset")).drop("_end")
 
 
+def _checked(picked: DataFrame, episodes: DataFrame, group: str, k: int) -> DataFrame:
+    """``picked``, or an error for a group of at most ``k`` episodes or for episodes without a group."""
+    sizes = episodes.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    name = F.coalesce(F.col(group), F.lit("UNGROUPED"))
+    told = F.when(name == "UNGROUPED", F.lit("episodes without a group")).when(F.col("_n") <= k, F.concat(F.lit("too few episodes to hold out in "), name))
+    bad = sizes.withColumn("_t", told).where("_t is not null")
+    kinds = dict(picked.dtypes)
+    rows = bad.select(*[F.raise_error(F.col("_t")).cast(kinds[c]).alias(c) for c in picked.columns])
+    return picked.unionByName(rows)
+
+
 def holdout_first(episodes: DataFrame, group: str, k: int) -> DataFrame:
-    return ordering.first_rows(episodes, [group], [F.col("episode_index")], k).drop("_rn")
+    """The first k episodes of each group; a group with at most k episodes is an error, as are ungrouped episodes."""
+    return _checked(ordering.first_rows(episodes, [group], [F.col("episode_index")], k).drop("_rn"), episodes, group, k)
 
 
 def holdout_random(episodes: DataFrame, group: str, k: int, seed: str) -> DataFrame:
+    """As ``holdout_first``, in hash order."""
     from gaitworks.functions import hashing
 
     order = [hashing.draw32(seed, F.col("episode_index")), F.col("episode_index")]
-    return ordering.first_rows(episodes, [group], order, k).drop("_rn")
+    return _checked(ordering.first_rows(episodes, [group], order, k).drop("_rn"), episodes, group, k)
 
 
 def holdout_near_median(episodes: DataFrame, group: str, k: int, length: str = "length") -> DataFrame:

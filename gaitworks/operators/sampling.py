@@ -168,6 +168,29 @@ def chunk_shuffle(items: DataFrame, index: str, chunk: int, seed: str) -> DataFr
     return ordering.global_index(t, ["_hc", "_c", "_hi", index], rank, "position").drop("_hc", "_hi").withColumnRenamed("_c", "chunk")
 
 
+def replica_of(index: Column, n: Column, world: int) -> Column:
+    """Which of ``world`` contiguous ranges, even to one item, holds an index of 0 .. n - 1."""
+    return F.floor(((index + 1) * world - 1) / n).cast("bigint")
+
+
+def chunk_shuffle_replicas(items: DataFrame, index: str, chunk: int, world: int, seed: str) -> DataFrame:
+    """Each replica has one contiguous range of a dense ``index`` and shuffles that in chunks; positions count per replica."""
+    n = items.agg(F.count(F.lit(1))).scalar()
+    t = items.withColumn("replica", replica_of(F.col(index), n, world))
+    start = F.floor(n * F.col("replica") / world)
+    t = t.withColumn("chunk", F.floor((F.col(index) - start) / chunk).cast("bigint"))
+    t = t.withColumns({"_hc": hashing.draw32(f"{seed}-c", F.col("replica"), F.col("chunk")), "_hi": hashing.draw32(f"{seed}-i", F.col(index))})
+    return ordering.row_index(t, ["replica"], ["_hc", "chunk", "_hi", index], F.col("_hc"), "position").drop("_hc", "_hi")
+
+
+def epoch_length(lengths: DataFrame, total_weight: float) -> DataFrame:
+    """Epoch length of a mixture (length, weight, primary): the longest of the primary datasets' length by share of the
+    weight; without a usable primary, the longest usable dataset; 0 if none is usable."""
+    usable = F.when((F.col("weight") > 0) & (F.col("length") > 0) & ~F.isnan(F.col("weight").cast("double")), F.lit(True))
+    by_share = F.max(F.when(usable & F.col("primary"), F.col("length") / (F.col("weight") / F.lit(float(total_weight)))))
+    return lengths.agg(F.coalesce(by_share, F.max(F.when(usable, F.col("length").cast("double"))), F.lit(0.0)).alias("epoch_length"))
+
+
 def sample_fraction(df: DataFrame, keys: Sequence[str], key: str, rate: Column, seed: str) -> DataFrame:
     """Exactly ``int(n * rate)`` rows of each source, chosen by hash order."""
     t = ordering.row_index(df.withColumn("_h", hashing.draw32(seed, F.col(key))), keys, ["_h", key], F.col("_h"), "_i")

@@ -145,13 +145,15 @@ def future_goal(df: DataFrame, column: str, low: int, high: int, seed: str | Non
     return got.withColumns({"goal_offset": step, name: F.get("_l", step)}).drop("_l", "_at")
 
 
-def state_jitter(df: DataFrame, column: str, reach: int, seed: str, name: str = "jittered", keys=EP, training: bool = True) -> DataFrame:
-    """The row at t+k, k in [-reach, reach] by hash, clamped to the episode; identity outside training."""
+def state_jitter(df: DataFrame, column: str, reach: int, seed: str, name: str = "jittered", keys=EP, training: bool = True, p: float = 1.0) -> DataFrame:
+    """The row at t+k, k in [-reach, reach] by hash with probability ``p`` (else k = 0), clamped to the episode;
+    identity outside training."""
     if not training:
         return df.withColumn(name, F.col(column))
     got = neighbourhood(df, {"_l": column}, reach, reach, keys)
     u = hashing.uniform(seed, *[F.col(k) for k in keys], F.col("frame_index"))
-    k = (F.floor(u * (2 * reach + 1)) - reach).cast("int")
+    moved = hashing.uniform(f"{seed}-p", *[F.col(k) for k in keys], F.col("frame_index")) < p
+    k = F.when(moved, F.floor(u * (2 * reach + 1)) - reach).otherwise(0).cast("int")
     at = F.least(F.greatest(F.col("_at") + k, F.lit(0)), F.size("_l") - 1)
     return got.withColumns({"jitter": k, name: F.get("_l", at)}).drop("_l", "_at")
 

@@ -86,8 +86,15 @@ def task_weighted_sampling(spark, d):
 @query("mixture_length", f"""WITH {W_SQL}, {LEN} SELECT max(length/(weight/12.0)) AS epoch_length FROM ln JOIN w ON ln.dataset=w.dataset WHERE weight=1""")
 def mixture_length(spark, d):
     """Primary datasets are those with the base weight."""
-    t = _weights(spark, d).join(_lengths(spark, d), "dataset").where("weight = 1")
-    return t.agg(F.max(F.col("length") / (F.col("weight") / 12.0)).alias("epoch_length"))
+    t = _weights(spark, d).join(_lengths(spark, d), "dataset").withColumn("primary", F.col("weight") == 1)
+    return K.epoch_length(t, 12.0)
+
+
+@query("mixture_length_no_primary", f"""WITH {LEN} SELECT max(length)::double AS epoch_length FROM ln WHERE dataset <> 4""")
+def mixture_length_no_primary(spark, d):
+    """The only primary dataset has no weight: the longest of the others counts."""
+    t = _weights(spark, d).join(_lengths(spark, d), "dataset").withColumn("primary", F.col("dataset") == 4)
+    return K.epoch_length(t.withColumn("weight", F.when(F.col("primary"), 0).otherwise(F.col("weight"))), 12.0)
 
 
 S = 20
@@ -148,6 +155,16 @@ def chunk_shuffle(spark, d):
     return K.chunk_shuffle(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 256, "shuf")
 
 
+@query("chunk_shuffle_replicas", f"""WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders), n AS (SELECT count(*) AS n FROM orders), r AS (SELECT *, unnest(range(3)) AS replica FROM n),
+ c AS (SELECT o_orderkey, i, replica, (i - n*replica//3)//256 AS chunk FROM o JOIN r ON i >= n*replica//3 AND i < n*(replica+1)//3)
+SELECT o_orderkey, i, replica, chunk, row_number() OVER (PARTITION BY replica ORDER BY {H('rep-c','replica','chunk')}, chunk, {H('rep-i','i')}, i) - 1 AS position FROM c""")
+def chunk_shuffle_replicas(spark, d):
+    from gaitworks.operators import ordering
+
+    o = ordering.global_index(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], F.col("o_orderkey"), "i")
+    return K.chunk_shuffle_replicas(o, "i", 256, 3, "rep")
+
+
 @query("sample_fraction", f"""WITH r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY {H('frac','doc_id')}, doc_id)-1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents)
 SELECT lang, doc_id FROM r WHERE i < floor(n*CASE WHEN lang='en' THEN 0.5 ELSE 0.2 END)""")
 def sample_fraction(spark, d):

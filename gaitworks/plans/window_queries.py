@@ -246,24 +246,24 @@ HASH = "('0x'||substr(sha256('{s}-'||b.episode_index::varchar||'-'||b.frame_inde
 
 
 @query("future_goal_step", f"""WITH {NFR}, g AS (SELECT b.*, least(1,n-1-frame_index)+floor({HASH.format(s='goal')}/4294967296.0*(least(5,n-frame_index)-least(1,n-1-frame_index)))::bigint AS goal_offset FROM n b)
-SELECT g.episode_index, g.frame_index, g.goal_offset, t.s1 AS goal FROM g JOIN frames t ON t.episode_index=g.episode_index AND t.frame_index=g.frame_index+g.goal_offset""")
+SELECT g.episode_index, g.frame_index, g.goal_offset, t.s0 AS g0, t.s1 AS g1, t.s2 AS g2, t.s3 AS g3 FROM g JOIN frames t ON t.episode_index=g.episode_index AND t.frame_index=g.frame_index+g.goal_offset""")
 def future_goal_step(spark, d):
     g = windows.future_goal(frames(spark, d), "state", 1, 5, "goal")
-    return g.select("episode_index", "frame_index", F.col("goal_offset").cast("bigint").alias("goal_offset"), F.get("goal", 1).alias("goal"))
+    return g.select("episode_index", "frame_index", F.col("goal_offset").cast("bigint").alias("goal_offset"), *[F.get("goal", i).alias(f"g{i}") for i in range(4)])
 
 
 @query("future_goal_pinned", f"""WITH {NFR}, g AS (SELECT b.*, least(least(3, greatest(n-1-frame_index,1)), n-1-frame_index) AS goal_offset FROM n b)
-SELECT g.episode_index, g.frame_index, g.goal_offset, t.s1 AS goal FROM g JOIN frames t ON t.episode_index=g.episode_index AND t.frame_index=g.frame_index+g.goal_offset""")
+SELECT g.episode_index, g.frame_index, g.goal_offset, t.s0 AS g0, t.s1 AS g1, t.s2 AS g2, t.s3 AS g3 FROM g JOIN frames t ON t.episode_index=g.episode_index AND t.frame_index=g.frame_index+g.goal_offset""")
 def future_goal_pinned(spark, d):
     g = windows.future_goal(frames(spark, d), "state", 3, 4, None)
-    return g.select("episode_index", "frame_index", F.col("goal_offset").cast("bigint").alias("goal_offset"), F.get("goal", 1).alias("goal"))
+    return g.select("episode_index", "frame_index", F.col("goal_offset").cast("bigint").alias("goal_offset"), *[F.get("goal", i).alias(f"g{i}") for i in range(4)])
 
 
-@query("state_jitter", f"""WITH {NFR}, g AS (SELECT b.*, floor({HASH.format(s='jit')}/4294967296.0*5)::bigint-2 AS jitter FROM n b)
-SELECT g.episode_index, g.frame_index, g.jitter, t.s1 AS value FROM g JOIN frames t ON t.episode_index=g.episode_index AND t.frame_index=least(greatest(g.frame_index+g.jitter,0),g.n-1)""")
+@query("state_jitter", f"""WITH {NFR}, g AS (SELECT b.*, CASE WHEN {HASH.format(s='jit-p')}/4294967296.0 < 0.7 THEN floor({HASH.format(s='jit')}/4294967296.0*5)::bigint-2 ELSE 0 END AS jitter FROM n b)
+SELECT g.episode_index, g.frame_index, g.jitter, t.s0 AS v0, t.s1 AS v1, t.s2 AS v2, t.s3 AS v3 FROM g JOIN frames t ON t.episode_index=g.episode_index AND t.frame_index=least(greatest(g.frame_index+g.jitter,0),g.n-1)""")
 def state_jitter(spark, d):
-    g = windows.state_jitter(frames(spark, d), "state", 2, "jit")
-    return g.select("episode_index", "frame_index", F.col("jitter").cast("bigint").alias("jitter"), F.get("jittered", 1).alias("value"))
+    g = windows.state_jitter(frames(spark, d), "state", 2, "jit", p=0.7)
+    return g.select("episode_index", "frame_index", F.col("jitter").cast("bigint").alias("jitter"), *[F.get("jittered", i).alias(f"v{i}") for i in range(4)])
 
 
 @query("chunked_sequence", f"""WITH {NFR}, m AS (SELECT *, least(ceil((n-frame_index)/2.0),3)::bigint AS k FROM n), s AS (SELECT *, unnest(range(0, k*2)) AS step FROM m)
