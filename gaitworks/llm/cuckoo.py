@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,7 +18,7 @@ KICKS = 64  # moves before a filter counts as full
 class CuckooIndex:
     """Cuckoo filter over digests, with the entries kept in the buckets beside their fingerprints.
 
-    A digest has two buckets; the second is the first xor a hash of its 16-bit fingerprint. ``find`` answers most
+    A digest's hash gives a 16-bit fingerprint and two buckets; the second is the first xor a hash of the fingerprint. ``find`` answers most
     misses from the fingerprints and verifies each hit against the stored digest. ``add`` moves entries when both
     buckets are full; after ``KICKS`` moves the table doubles and is built anew from the stored digests. ``remove``
     frees the slot. Entries are lists that start with the digest; the rest is the caller's.
@@ -32,8 +34,8 @@ class CuckooIndex:
         self.entries: list[list | None] = [None] * (buckets * SLOTS)
 
     def _places(self, digest: bytes) -> tuple[int, int, int]:
-        mark = int.from_bytes(digest[:2], "little") or 1
-        first = int.from_bytes(digest[2:10], "little") & self.buckets - 1
+        h = int.from_bytes(blake2b(digest, digest_size=12).digest(), "little")  # keys may differ in their last bytes only
+        mark, first = h & 0xFFFF or 1, h >> 16 & self.buckets - 1
         return mark, first, self._other(first, mark)
 
     def _other(self, bucket: int, mark: int) -> int:

@@ -25,12 +25,13 @@ def test_cuckoo_index_against_a_dict():
     assert index.buckets > 2
 
 
-def test_cuckoo_index_with_one_fingerprint():
+@pytest.mark.parametrize("order", ["little", "big"])
+def test_cuckoo_index_of_keys_that_start_or_end_alike(order):
     index = CuckooIndex(1)
-    keys = [b"\x01\x00" + i.to_bytes(30, "little") for i in range(300)]
+    keys = [b"\x01\x00" + i.to_bytes(30, order) for i in range(300)]
     for k in keys:
         index.add([k])
-    assert all(index.find(k) for k in keys) and index.find(b"\x01\x00" + b"\xff" * 30) is None
+    assert index.buckets < 1024 and all(index.find(k) for k in keys) and index.find(b"\x01\x00" + b"\xff" * 30) is None
 
 
 def brute_exact(rows):
@@ -51,6 +52,12 @@ def test_exact_duplicates(spark, odd, none):
     assert exact_duplicates(none).count() == 0
 
 
+def test_a_text_that_most_rows_share(spark):
+    rows = [(i, "same  text" if i % 3 else f"text {i % 40}") for i in range(900)]
+    df = spark.createDataFrame(rows, "episode_index long, instruction string")
+    assert sorted(map(tuple, exact_duplicates(df).collect()), key=repr) == brute_exact(rows)
+
+
 def test_withdrawn_episodes_leave_the_index(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "a  b"), (4, "c")], "episode_index long, instruction string")
     gone = spark.createDataFrame([(1,), (4,)], "episode_index long")
