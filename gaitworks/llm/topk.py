@@ -16,39 +16,59 @@ def scaled(vector: Column | str, scale: int = 1024) -> Column:
 
 
 def _matrix(vectors, width: int) -> np.ndarray:
+    if all(len(v) == width for v in vectors):
+        return np.stack(list(vectors)).astype(np.int64)
     out = np.zeros((len(vectors), width), np.int64)
     for i, v in enumerate(vectors):
         out[i, :len(v)] = v
     return out
 
 
+def exact_numbers(base: np.ndarray, queries: np.ndarray) -> np.dtype:
+    """A type whose products and sums are exact here: doubles while every score stays below 2**53, else 64-bit integers."""
+    top = float(np.abs(base).max(initial=0)) * float(np.abs(queries).max(initial=0)) * base.shape[1]
+    return np.dtype(np.float64 if top < 2**53 else np.int64)
+
+
 def threshold_search(base: np.ndarray, ids: np.ndarray, lists: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and scores of one block's best ``k`` for a query, best first, ties to the smaller id.
 
     ``lists`` has each dimension's rows in rising order of their component; a query reads them from the top where its
     component is positive, else from the bottom, skipping dimensions in which it is 0. Each step reads every list
     further, scores the rows not seen yet, and stops once the sum of the query over the components read last is below
-    the kth score: an equal bound could still hide a smaller id.
+    the kth score (an equal bound could still hide a smaller id) or no row is unseen.
     """
     n = len(base)
     dims = np.flatnonzero(query)
     q = query[dims]
+    down = q > 0
     seen = np.zeros(n, bool)
-    rows, scores = np.empty(0, np.int64), np.empty(0, np.int64)
+    rows, scores = np.empty(0, np.int64), np.empty(0, base.dtype)
     depth, step = 0, max(16, 2 * k)
     while depth < n:
         to = min(n, depth + step)
-        part = np.where((q > 0)[:, None], lists[dims, ::-1][:, depth:to], lists[dims, depth:to]) if len(dims) else np.arange(depth, to)[None, :]
-        fresh = np.unique(part)
-        fresh = fresh[~seen[fresh]]
-        seen[fresh] = True
+        met = seen.copy()
+        if len(dims):
+            met[lists[dims[~down], depth:to]] = True
+            met[lists[dims[down], n - to:n - depth]] = True
+        else:
+            met[:] = True
+        fresh = np.flatnonzero(met & ~seen)
+        seen = met
         fresh = fresh[ids[fresh] != own]
-        rows, scores = np.concatenate([rows, fresh]), np.concatenate([scores, base[fresh] @ query])
+        found = base[fresh] @ query
+        if len(rows) == k:
+            fresh, found = fresh[found >= scores[-1]], found[found >= scores[-1]]
+        rows, scores = np.concatenate([rows, fresh]), np.concatenate([scores, found])
         best = np.lexsort((ids[rows], -scores))[:k]
         rows, scores = rows[best], scores[best]
-        depth, step = to, step * 2
-        if len(rows) == k and len(dims) and int(q @ base[part[:, -1], dims]) < scores[-1]:
+        depth, step = to, step * 3
+        if seen.all():
             break
+        if len(rows) == k:
+            last = lists[dims, np.where(down, n - to, to - 1)]
+            if q @ base[last, dims] < scores[-1]:
+                break
     return rows, scores
 
 
@@ -82,13 +102,15 @@ def top_k(frames: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024,
             ids = base["index"].to_numpy(np.int64)
             m = _matrix(base["v"], width)
             lists = np.argsort(m, axis=0, kind="stable").T.astype(np.int32)
-            wide = max(width, max(map(len, qs["v"])))
-            for index, no, v in zip(qs["index"], qs["query_no"], _matrix(qs["v"], wide)[:, :width]):
+            asked = _matrix(qs["v"], max(width, max(map(len, qs["v"]))))[:, :width]
+            kind = exact_numbers(m, asked)
+            m, asked = m.astype(kind), asked.astype(kind)
+            for index, no, v in zip(qs["index"], qs["query_no"], asked):
                 found, scores = threshold_search(m, ids, lists, v, index, k)
                 out["query_index"] += [index] * len(found)
                 out["query_no"] += [no] * len(found)
                 out["index"] += ids[found].tolist()
-                out["score"] += scores.tolist()
+                out["score"] += scores.astype(np.int64).tolist()
         return pd.DataFrame({c: pd.Series(v, dtype="int64") for c, v in out.items()})
 
     near = left.groupBy("b", "p").cogroup(right.groupBy("b", "p")).applyInPandas(search, "query_index long, query_no long, index long, score long")

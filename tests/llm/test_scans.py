@@ -109,22 +109,36 @@ def test_top_k_against_brute_force(spark, block, query_block):
     assert topk.top_k(df.limit(0), df, 10).count() == 0 and topk.top_k(df, df.limit(0), 10).count() == 0
 
 
-def test_threshold_search_stops_early():
+@pytest.mark.parametrize("kind", [np.int64, np.float64])
+def test_threshold_search_stops_early(kind):
     rng = np.random.default_rng(1)
-    base = rng.integers(-50, 50, (5000, 3))
+    base = rng.integers(-50, 50, (5000, 3)).astype(kind)
     base[:20] += 1000
     lists = np.argsort(base, axis=0, kind="stable").T
-    reads = []
+    scored = []
 
     class Counted(np.ndarray):
-        def __getitem__(self, at):
-            if isinstance(at, np.ndarray) and at.ndim == 1 and at.dtype == np.int64:
-                reads.append(len(at))
-            return super().__getitem__(at)
-
-    rows, scores = topk.threshold_search(base.view(Counted), np.arange(5000), lists, np.array([2, 3, 1]), -1, 10)
-    best = np.sort(base @ np.array([2, 3, 1]))[::-1][:10]
-    assert np.asarray(scores).tolist() == best.tolist() and sum(reads) < 1000
+        def __matmul__(self, other):
+            scored.append(len(self))
+            return np.asarray(self) @ np.asarray(other)
+
+    for query in ([2, 3, 1], [2, 0, 1], [-3, 1, 0]):
+        query = np.array(query, kind)
+        rows, scores = topk.threshold_search(base.view(Counted), np.arange(5000), lists, query, -1, 10)
+        want = sorted(zip((-(base @ query)).tolist(), range(5000)))[:10]
+        assert [(-s, r) for s, r in zip(np.asarray(scores).tolist(), rows.tolist())] == want
+    assert scored[0] + scored[1] < 1000
+
+
+def test_large_components_are_exact(spark):
+    rows = [(i, [float(2**29 + i), float(2**30 - 3 * i)]) for i in range(50)]
+    df = spark.createDataFrame(rows, "index long, states array<double>")
+    got = topk.top_k(df, df.where("index < 3"), 10, scale=1).collect()
+    want = []
+    for q in range(3):
+        scored = sorted((-sum(int(a) * int(b) for a, b in zip(rows[q][1], v)), i) for i, v in rows if i != q)[:10]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    assert sorted(map(tuple, got)) == want
 
 
 def test_features_are_those_of_a_plain_loop():
