@@ -112,8 +112,11 @@ def mix_sources(
     drew = targets.where("slots > 0").join(shard_counts.groupBy("source_no").agg(F.sum("c").alias("drew")), "source_no", "left").fillna(0, ["drew"])
     over = drew.select("source_no", (F.col("drew") - F.col("slots")).alias("d"))
     to_shard = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    # the slots of a source in a shard are one run of its numbers; those beyond its total are surplus
+    # the slots of a source in a shard are one run of its numbers; those beyond its total are surplus. The runs are few
+    # and small and what is made of them is not, so they are spread by number of slots, not by their bytes
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_slots // 500_000)
     runs = shard_counts.withColumn("from", F.coalesce(F.sum("c").over(to_shard), F.lit(0))).join(targets.select("source_no", "blocks", "slots"), "source_no")
+    runs = runs.repartition(tasks, "shard", "source_no")
     own = runs.withColumn("to", F.least(F.col("from") + F.col("c"), F.col("slots"))).where("`from` < `to`").select(
         "source_no", "blocks", "shard", F.explode(F.sequence("from", F.col("to") - 1)).alias("j"))
     line = Window.orderBy("source_no").rowsBetween(Window.unboundedPreceding, -1)
