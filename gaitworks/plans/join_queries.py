@@ -111,8 +111,12 @@ def catalogue_gap_report(spark, d):
     return J.gap_report(cat, local, "episode")
 
 
-@query("stats_join_normalise", """WITH s AS (SELECT l_returnflag AS embodiment, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY 1)
-SELECT l_orderkey AS episode_index, l_linenumber, l_partkey AS task_index, embodiment, round(2*(l_extendedprice-lo)/(hi-lo)-1,6) AS value FROM lineitem JOIN s ON l_returnflag=embodiment""")
+STATE_COLUMNS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query("stats_join_normalise", "WITH s AS (SELECT l_returnflag AS embodiment, " + ", ".join(f"min({c}) AS lo{i}, max({c}) AS hi{i}" for i, c in enumerate(STATE_COLUMNS))
+       + " FROM lineitem GROUP BY 1) SELECT l_orderkey AS episode_index, l_linenumber, l_partkey AS task_index, embodiment, "
+       + ", ".join(f"round(2*({c}-lo{i})/(hi{i}-lo{i})-1,6) AS v{i}" for i, c in enumerate(STATE_COLUMNS)) + " FROM lineitem JOIN s ON l_returnflag=embodiment")
 def stats_join_normalise(spark, d):
     from gaitworks.functions import vectors as V
     from gaitworks.operators import normalise as N
@@ -122,7 +126,7 @@ def stats_join_normalise(spark, d):
     long = V.explode_vector(f, "state", ["embodiment"])
     st = S.stats_vectors(S.moment_stats(long, ["embodiment", "dim"]), ["embodiment"], columns=("min", "max"))
     t = N.with_stats(f, st, ["embodiment"]).withColumn("y", N.min_max("state"))
-    return t.select("episode_index", "l_linenumber", "task_index", "embodiment", F.round(F.get("y", 1), 6).alias("value"))
+    return t.select("episode_index", "l_linenumber", "task_index", "embodiment", *[F.round(F.get("y", i), 6).alias(f"v{i}") for i in range(4)])
 
 
 @query("compare_runs_join", """WITH a AS (SELECT event_id AS tick, value FROM events WHERE event_id % 10 <> 3), b AS (SELECT event_id AS tick, value*1.01 AS value FROM events WHERE event_id % 10 <> 7),
@@ -137,17 +141,17 @@ def compare_runs_join(spark, d):
 
 
 @query("pred_truth_join", f"""WITH {FRAMES}, n AS (SELECT *, count(*) OVER (PARTITION BY episode_index) AS n FROM frames), d(h) AS (VALUES (0),(1),(2)),
- p AS (SELECT b.episode_index, b.frame_index, d.h, t.a2*1.01+d.h AS pred FROM n b, d, frames t WHERE t.episode_index=b.episode_index AND t.frame_index=least(b.frame_index+d.h,b.n-1))
-SELECT p.episode_index, p.frame_index, p.h::bigint AS horizon, round(abs(p.pred-f.a2),6) AS err FROM p JOIN frames f ON f.episode_index=p.episode_index AND f.frame_index=p.frame_index+p.h""")
+ p AS (SELECT b.episode_index, b.frame_index, d.h, t.a0*1.01+d.h AS p0, t.a1*1.01+d.h AS p1, t.a2*1.01+d.h AS p2, t.a3*1.01+d.h AS p3 FROM n b, d, frames t WHERE t.episode_index=b.episode_index AND t.frame_index=least(b.frame_index+d.h,b.n-1))
+SELECT p.episode_index, p.frame_index, p.h::bigint AS horizon, round(abs(p.p0-f.a0),6) AS err0, round(abs(p.p1-f.a1),6) AS err1, round(abs(p.p2-f.a2),6) AS err2, round(abs(p.p3-f.a3),6) AS err3 FROM p JOIN frames f ON f.episode_index=p.episode_index AND f.frame_index=p.frame_index+p.h""")
 def pred_truth_join(spark, d):
     from gaitworks.operators import windows
 
     f = frames(spark, d).select("episode_index", "frame_index", "action")
     pred = windows.action_chunk(f, "action", 3).select("episode_index", F.col("frame_index").alias("base"), F.posexplode("chunk").alias("horizon", "a"))
-    pred = pred.select("episode_index", "base", "horizon", (F.col("base") + F.col("horizon")).alias("frame_index"), (F.get("a", 2) * 1.01 + F.col("horizon")).alias("pred"))
-    truth = f.select("episode_index", "frame_index", F.get("action", 2).alias("truth"))
+    pred = pred.select("episode_index", "base", "horizon", (F.col("base") + F.col("horizon")).alias("frame_index"), F.transform("a", lambda x: x * 1.01 + F.col("horizon")).alias("pred"))
+    truth = f.select("episode_index", "frame_index", F.col("action").alias("truth"))
     t = pred.join(truth, ["episode_index", "frame_index"])
-    return t.select("episode_index", F.col("base").alias("frame_index"), F.col("horizon").cast("bigint").alias("horizon"), F.round(F.abs(F.col("pred") - F.col("truth")), 6).alias("err"))
+    return t.select("episode_index", F.col("base").alias("frame_index"), F.col("horizon").cast("bigint").alias("horizon"), *[F.round(F.abs(F.get("pred", i) - F.get("truth", i)), 6).alias(f"err{i}") for i in range(4)])
 
 
 @query("paraphrase_join", """WITH t AS (SELECT lower(trim(p_type)) AS k, list_sort(list(DISTINCT p_type || ' ' || p_size::varchar)) AS c FROM part GROUP BY 1),

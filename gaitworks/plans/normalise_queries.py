@@ -86,9 +86,9 @@ query("perturb_state", sql(clip(f"x + CASE WHEN flat THEN 0 ELSE 0.05*sqrt(-2*ln
 
 
 @query("normalise_per_horizon", f"""WITH {FRAMES}, n AS (SELECT *, count(*) OVER (PARTITION BY episode_index) AS n FROM frames), d(horizon) AS (VALUES (0),(1)),
- p AS (SELECT b.episode_index, b.frame_index, d.horizon, t.a2-b.s2 AS x FROM n b, d, frames t WHERE t.episode_index=b.episode_index AND t.frame_index=b.frame_index+d.horizon AND b.frame_index < b.n-1),
- s AS (SELECT horizon, min(x) AS lo, max(x) AS hi FROM p GROUP BY horizon)
-SELECT episode_index, frame_index, p.horizon::bigint AS horizon, round(least(greatest(2*(x-lo)/(hi-lo)-1,-1),1),6) AS value FROM p JOIN s ON p.horizon=s.horizon""")
+ p AS (SELECT b.episode_index, b.frame_index, d.horizon, t.a0-b.s0 AS x0, t.a1-b.s1 AS x1, t.a2-b.s2 AS x2, t.a3-b.s3 AS x3 FROM n b, d, frames t WHERE t.episode_index=b.episode_index AND t.frame_index=b.frame_index+d.horizon AND b.frame_index < b.n-1),
+ s AS (SELECT horizon, """ + ", ".join(f"min(x{i}) AS lo{i}, max(x{i}) AS hi{i}" for i in range(4)) + " FROM p GROUP BY horizon) SELECT episode_index, frame_index, p.horizon::bigint AS horizon, "
+       + ", ".join(f"round(least(greatest(2*(x{i}-lo{i})/(hi{i}-lo{i})-1,-1),1),6) AS v{i}" for i in range(4)) + " FROM p JOIN s ON p.horizon=s.horizon")
 def normalise_per_horizon(spark, d):
     from gaitworks.operators import windows
 
@@ -96,7 +96,7 @@ def normalise_per_horizon(spark, d):
     long = pairs.select("horizon", F.posexplode("relative").alias("dim", "value"))
     st = S.stats_vectors(S.moment_stats(long, ["horizon", "dim"]), ["horizon"], columns=("min", "max"))
     t = N.with_stats(pairs, st, ["horizon"]).withColumn("y", N.min_max("relative"))
-    return t.select("episode_index", "frame_index", F.col("horizon").cast("bigint").alias("horizon"), F.round(F.get("y", 2), 6).alias("value"))
+    return t.select("episode_index", "frame_index", F.col("horizon").cast("bigint").alias("horizon"), *[F.round(F.get("y", i), 6).alias(f"v{i}") for i in range(4)])
 
 
 @query("concat_bounds", f"""WITH {EMB_LONG}, {ST}, f AS (SELECT 'arm' AS feature, 1 AS r, dim, mean-std AS lo, mean+std AS hi FROM st WHERE dim < 10
@@ -115,7 +115,8 @@ def concat_bounds(spark, d):
 
 @query("fill_constant_episode", f"""WITH {STATE_LONG}, s AS (SELECT dim, (min(value)+max(value))/2 AS mid FROM state_long GROUP BY dim)
 SELECT l_orderkey AS episode_index, l_linenumber, l_partkey, CASE WHEN o_orderstatus='P' THEN (SELECT mid FROM s WHERE dim=0) ELSE l_quantity END AS v0,
- CASE WHEN o_orderstatus='P' THEN (SELECT mid FROM s WHERE dim=1) ELSE l_extendedprice END AS v1 FROM lineitem JOIN orders ON l_orderkey=o_orderkey""")
+ CASE WHEN o_orderstatus='P' THEN (SELECT mid FROM s WHERE dim=1) ELSE l_extendedprice END AS v1, CASE WHEN o_orderstatus='P' THEN (SELECT mid FROM s WHERE dim=2) ELSE l_discount END AS v2,
+ CASE WHEN o_orderstatus='P' THEN (SELECT mid FROM s WHERE dim=3) ELSE l_tax END AS v3 FROM lineitem JOIN orders ON l_orderkey=o_orderkey""")
 def fill_constant_episode(spark, d):
     from gaitworks.plans.tables import table
 
@@ -123,7 +124,7 @@ def fill_constant_episode(spark, d):
     bad = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("episode_index"))
     st = S.stats_vectors(S.moment_stats(V.explode_vector(f, "state"), ["dim"]), [], columns=("min", "max"))
     t = N.fill_constant(f, bad, st, "state")
-    return t.select("episode_index", "l_linenumber", "l_partkey", F.get("state", 0).alias("v0"), F.get("state", 1).alias("v1"))
+    return t.select("episode_index", "l_linenumber", "l_partkey", *[F.get("state", i).alias(f"v{i}") for i in range(4)])
 
 
 @query("fill_constant_stats", f"""WITH {STATE_LONG}, s AS (SELECT dim, (min(value)+max(value))/2 AS mid FROM state_long GROUP BY dim),

@@ -189,13 +189,13 @@ def timestamp_sync_check(spark, d):
     return got.where(F.abs(F.col("gap_us") - 36_000_000_000) > 18_000_000_000).select("episode_index", "frame_index", "gap_us")
 
 
-@query("resample_linear", f"""WITH {NFR}, c AS (SELECT b.episode_index, b.frame_index, list(t.a2 ORDER BY t.frame_index) AS l FROM n b JOIN frames t ON t.episode_index=b.episode_index AND t.frame_index BETWEEN b.frame_index AND b.frame_index+3 WHERE b.frame_index+3 < b.n GROUP BY 1,2),
+@query("resample_linear", f"""WITH {NFR}, c AS (SELECT b.episode_index, b.frame_index, list([t.a0, t.a1, t.a2, t.a3] ORDER BY t.frame_index) AS l FROM n b JOIN frames t ON t.episode_index=b.episode_index AND t.frame_index BETWEEN b.frame_index AND b.frame_index+3 WHERE b.frame_index+3 < b.n GROUP BY 1,2),
  p AS (SELECT episode_index, frame_index, l, unnest(range(0,7)) AS step FROM c), q AS (SELECT *, step*3/6.0 AS pos FROM p)
-SELECT episode_index, frame_index, step, round(l[floor(pos)::int+1] + (l[least(floor(pos)::int+1,3)+1]-l[floor(pos)::int+1])*(pos-floor(pos)),6) AS value FROM q""")
+SELECT episode_index, frame_index, step, """ + ", ".join(f"round(l[floor(pos)::int+1][{i + 1}] + (l[least(floor(pos)::int+1,3)+1][{i + 1}]-l[floor(pos)::int+1][{i + 1}])*(pos-floor(pos)),6) AS v{i}" for i in range(4)) + " FROM q")
 def resample_linear(spark, d):
     w = windows.action_chunk(frames(spark, d), "action", 4, pad=False)
     t = w.select("episode_index", "frame_index", F.posexplode(windows.resample_linear(F.col("chunk"), 7)).alias("step", "v"))
-    return t.select("episode_index", "frame_index", F.col("step").cast("bigint").alias("step"), F.round(F.get("v", 2), 6).alias("value"))
+    return t.select("episode_index", "frame_index", F.col("step").cast("bigint").alias("step"), *[F.round(F.get("v", i), 6).alias(f"v{i}") for i in range(4)])
 
 
 @query("resample_at_times", f"""WITH {SIGNAL}, b AS (SELECT user_id, min(us) AS lo, max(us) AS hi FROM signal GROUP BY 1),
@@ -267,17 +267,17 @@ def state_jitter(spark, d):
 
 
 @query("chunked_sequence", f"""WITH {NFR}, m AS (SELECT *, least(ceil((n-frame_index)/2.0),3)::bigint AS k FROM n), s AS (SELECT *, unnest(range(0, k*2)) AS step FROM m)
-SELECT s.episode_index, s.frame_index, s.k AS n_blocks, s.step, s.step//2 AS block, t.a2 AS v2, t.a3 AS v3
+SELECT s.episode_index, s.frame_index, s.k AS n_blocks, s.step, s.step//2 AS block, t.a0 AS v0, t.a1 AS v1, t.a2 AS v2, t.a3 AS v3
 FROM s JOIN frames t ON t.episode_index=s.episode_index AND t.frame_index=least(s.frame_index+s.step, s.n-1)""")
 def chunked_sequence(spark, d):
     w = windows.chunked_sequence(frames(spark, d), "action", 3, 2)
     t = w.select("episode_index", "frame_index", "n_blocks", F.posexplode("blocks").alias("step", "v"))
     return t.select("episode_index", "frame_index", F.col("n_blocks").cast("bigint").alias("n_blocks"), F.col("step").cast("bigint").alias("step"),
-                    F.expr("step div 2").alias("block"), F.get("v", 2).alias("v2"), F.get("v", 3).alias("v3"))
+                    F.expr("step div 2").alias("block"), *[F.get("v", i).alias(f"v{i}") for i in range(4)])
 
 
 @query("pad_to_max_chunks", f"""WITH {NFR}, m AS (SELECT *, least(ceil((n-frame_index)/2.0),3)::bigint AS k FROM n), s AS (SELECT *, unnest(range(0, 6)) AS step FROM m)
-SELECT s.episode_index, s.frame_index, s.step, s.step//2 < k AS chunk_mask, CASE WHEN s.step//2 < k THEN t.a2 ELSE 0.0 END AS v2
+SELECT s.episode_index, s.frame_index, s.step, s.step//2 < k AS chunk_mask, CASE WHEN s.step//2 < k THEN t.a2 ELSE 0.0 END AS v2, CASE WHEN s.step//2 < k THEN t.a0 ELSE 0.0 END AS v0, CASE WHEN s.step//2 < k THEN t.a1 ELSE 0.0 END AS v1, CASE WHEN s.step//2 < k THEN t.a3 ELSE 0.0 END AS v3
 FROM s JOIN frames t ON t.episode_index=s.episode_index AND t.frame_index=least(s.frame_index+s.step, s.n-1)""")
 def pad_to_max_chunks(spark, d):
     w = windows.chunked_sequence(frames(spark, d), "action", 3, 2)
@@ -285,19 +285,20 @@ def pad_to_max_chunks(spark, d):
     w = w.withColumns({"p": padded, "m": mask})
     t = w.select("episode_index", "frame_index", "m", F.posexplode("p").alias("step", "v"))
     return t.select("episode_index", "frame_index", F.col("step").cast("bigint").alias("step"),
-                    F.get("m", F.expr("int(step div 2)")).alias("chunk_mask"), F.get("v", 2).alias("v2"))
+                    F.get("m", F.expr("int(step div 2)")).alias("chunk_mask"), *[F.get("v", i).alias(f"v{i}") for i in range(4)])
 
 
 @query("temporal_ensemble", f"""WITH {NFR}, d(i) AS (VALUES (0),(1),(2)),
- p AS (SELECT b.episode_index, b.frame_index+d.i AS tick, b.frame_index AS made_at, t.a2*(1+0.01*b.frame_index) AS x FROM n b, d, frames t
+ p AS (SELECT b.episode_index, b.frame_index+d.i AS tick, b.frame_index AS made_at, [t.a0, t.a1, t.a2, t.a3] AS v, 1+0.01*b.frame_index AS f FROM n b, d, frames t
   WHERE t.episode_index=b.episode_index AND t.frame_index=least(b.frame_index+d.i,b.n-1)),
  r AS (SELECT *, row_number() OVER (PARTITION BY episode_index, tick ORDER BY made_at)-1 AS i FROM p)
-SELECT episode_index, tick, round(sum(exp(-0.01*i)*x)/sum(exp(-0.01*i)),6) AS value, count(*) AS votes FROM r GROUP BY 1,2""")
+SELECT episode_index, tick, dim, round(sum(exp(-0.01*i)*v[dim+1]*f)/sum(exp(-0.01*i)),6) AS value, count(*) AS votes
+FROM r, (VALUES (0::bigint),(1),(2),(3)) k(dim) GROUP BY 1,2,3""")
 def temporal_ensemble(spark, d):
     w = windows.action_chunk(frames(spark, d), "action", 3)
-    drift = F.transform("chunk", lambda a: F.array(F.get(a, 2) * (1 + 0.01 * F.col("frame_index"))))
+    drift = F.transform("chunk", lambda a: F.transform(a, lambda x: x * (1 + 0.01 * F.col("frame_index"))))
     got = windows.temporal_ensemble(w.withColumn("chunk", drift), "chunk", 0.01)
-    return got.select("episode_index", "tick", F.round("value", 6).alias("value"), "votes")
+    return got.select("episode_index", "tick", F.col("dim").cast("bigint").alias("dim"), F.round("value", 6).alias("value"), "votes")
 
 
 @query("first_k_poses", f"""WITH {FRAMES} SELECT episode_index, frame_index, s0 AS v0, s2 AS v1 FROM frames WHERE frame_index < 3""")
