@@ -62,9 +62,38 @@ def tabulate(lengths: np.ndarray, size: int) -> pd.DataFrame:
     return t
 
 
-def chain(tables: pd.DataFrame) -> pd.DataFrame:
-    """Walk the blocks of one pack in order: fill and shard number at each block start."""
-    fill, base, rows = 0, 0, []
+def compose(tables: pd.DataFrame) -> pd.DataFrame:
+    """The step function of several blocks run one after the other (columns _b and those of ``tabulate``).
+
+    A piece that closed something goes on from one fill, so it stays one piece; a piece that closed nothing is cut by
+    the next block's pieces. Neighbours that end alike are joined, so there are at most ``size`` pieces.
+    """
+    blocks = [t[["f_lo", "f_hi", "closed", "f_out"]].to_numpy(np.int64) for _, t in tables.sort_values(["_b", "f_lo"]).groupby("_b", sort=True)]
+    pieces = blocks[0].tolist()
+    for block in blocks[1:]:
+        new = []
+        for lo, hi, closed, out in pieces:
+            if out >= 0:
+                (_, _, more, end), = block[(block[:, 0] <= out) & (out <= block[:, 1])]
+                new.append([lo, hi, closed + more, end if end >= 0 else out - 1 - end])
+                continue
+            grown = -1 - out
+            for f_lo, f_hi, more, end in block:
+                x, y = max(lo, f_lo - grown), min(hi, f_hi - grown)
+                if x <= y:
+                    new.append([x, y, more, end if end >= 0 else end - grown])
+        pieces = []
+        for piece in map(lambda q: [int(v) for v in q], new):
+            if pieces and pieces[-1][2:] == piece[2:] and pieces[-1][1] + 1 == piece[0]:
+                pieces[-1][1] = piece[1]
+            else:
+                pieces.append(piece)
+    return pd.DataFrame(pieces, columns=["f_lo", "f_hi", "closed", "f_out"])
+
+
+def chain(tables: pd.DataFrame, fill: int = 0, base: int = 0) -> pd.DataFrame:
+    """Walk blocks in order from a fill and a shard number: those at each block's start."""
+    rows = []
     for b, t in tables.sort_values(["_b", "f_lo"]).groupby("_b", sort=True):
         rows.append((b, fill, base))
         hit = t[(t["f_lo"] <= fill) & (fill <= t["f_hi"])].iloc[0]

@@ -216,15 +216,18 @@ FOLD_SHARDS = 1024  # shard sizes per fold block: bounds one pandas group
 
 
 def pack_sequential(episodes: DataFrame, pack: str, size: int, length: str = "length", episode: str = "episode_index",
-                    fold_shards: int = FOLD_SHARDS) -> DataFrame:
+                    fold_shards: int = FOLD_SHARDS, fan_in: int = 256) -> DataFrame:
     """Sequential shard packing of whole episodes, exact and without one task per pack.
 
     A shard closes once it holds ``size`` steps, or before an episode that would
     take it above 2 * size.  The fold's state between episodes is the current
     fill, so a block of episodes is a step function from fill-in to
     (shards closed, fill-out).  Blocks hold about ``fold_shards * size`` steps.
-    Pass 1 tabulates that function per block, pass 2 chains the small tables per
-    pack, pass 3 numbers the shards inside each block.
+    Pass 1 tabulates that function per block; runs of ``fan_in`` blocks, and runs
+    of those, are composed to one function each, and the starts go down the same
+    levels again.  A task holds ``fan_in`` tables; only the top level, one table
+    for fan_in**2 blocks, is walked per pack.  The last pass numbers the shards
+    inside each block.
     """
     import pandas as pd
 
@@ -244,12 +247,33 @@ def pack_sequential(episodes: DataFrame, pack: str, size: int, length: str = "le
     tables = rows.groupBy(pack, "_b").applyInPandas(
         tabulate, f"`{pack}` {kind}, _b long, f_lo long, f_hi long, closed long, f_out long")
 
-    def chain(key, pdf):
-        t = fold.chain(pdf)
-        t.insert(0, pack, key[0])
-        return t
-
-    starts = tables.groupBy(pack).applyInPandas(chain, f"`{pack}` {kind}, _b long, f_in long, base long")
+    def above(level: DataFrame) -> DataFrame:
+        def compose(key, pdf):
+            t = fold.compose(pdf)
+            t.insert(0, "_b", key[1])
+            t.insert(0, pack, key[0])
+            return t
+
+        return level.groupBy(pack, F.expr(f"_b div {fan_in}").alias("_up")).applyInPandas(compose, level.schema)
+
+    def walk(level: DataFrame, tops: DataFrame | None) -> DataFrame:
+        """Start of each block of a level, from the starts of the level above."""
+        at_top = tops is None
+
+        def chain(key, pdf):
+            first = (0, 0) if at_top else (int(pdf["f_in"].iloc[0]), int(pdf["base"].iloc[0]))
+            t = fold.chain(pdf, *first)
+            t.insert(0, pack, key[0])
+            return t
+
+        out = f"`{pack}` {kind}, _b long, f_in long, base long"
+        if at_top:
+            return level.groupBy(pack).applyInPandas(chain, out)
+        joined = level.withColumn("_up", F.expr(f"_b div {fan_in}")).join(tops.withColumnRenamed("_b", "_up"), [pack, "_up"])
+        return joined.groupBy(pack, "_up").applyInPandas(chain, out)
+
+    middle = above(tables)
+    starts = walk(tables, walk(middle, walk(above(middle), None)))
 
     def number(key, pdf):
         pdf = pdf.sort_values("_i")

@@ -185,11 +185,12 @@ def frechet_moments(spark, d):
     return r(m, 5, "mean_sq", "trace_pred", "trace_true", "cov_gap", "frechet_diag")
 
 
-@query("sample_density_kl", """WITH s AS (SELECT vec_id, unnest(range(4)) AS m, embedding::double[] AS v FROM embeddings),
- p AS (SELECT a.vec_id, a.m AS i, b.m AS j, list_sum(list_transform(range(12), lambda k: (a.v[a.m*12+k+1]-a.v[b.m*12+k+1])*(a.v[a.m*12+k+1]-a.v[b.m*12+k+1]))) AS d2,
-  list_sum(list_transform(range(12), lambda k: (a.v[a.m*12+k+1]-a.v[48+k+1])*(a.v[a.m*12+k+1]-a.v[48+k+1]))) AS dt FROM s a JOIN s b ON a.vec_id=b.vec_id),
- q AS (SELECT vec_id, i, ln(sum(exp(-0.5*d2))/4) + 0.5*max(dt) AS x FROM p GROUP BY 1,2)
+@query("sample_density_kl", """WITH s AS (SELECT vec_id, unnest(range(3)) AS m, embedding::double[] AS v FROM embeddings),
+ p AS (SELECT a.vec_id, a.m AS i, b.m AS j, list_sum(list_transform(range(16), lambda k: (a.v[a.m*16+k+1]-a.v[b.m*16+k+1])*(a.v[a.m*16+k+1]-a.v[b.m*16+k+1]))) AS d2,
+  list_sum(list_transform(range(16), lambda k: (a.v[a.m*16+k+1]-a.v[48+k+1])*(a.v[a.m*16+k+1]-a.v[48+k+1]))) AS dt FROM s a JOIN s b ON a.vec_id=b.vec_id),
+ q AS (SELECT vec_id, i, ln(sum(exp(-0.5*d2))/3) + 0.5*max(dt) AS x FROM p GROUP BY 1,2)
 SELECT vec_id, round(avg(x),6) AS kl FROM q GROUP BY 1""")
 def sample_density_kl(spark, d):
-    e = emb(spark, d).select("vec_id", F.array(*[F.slice("embedding", 12 * i + 1, 12) for i in range(4)]).alias("s"), F.slice("embedding", 49, 12).alias("t"))
+    """Three samples and a target of 16 dimensions each: the whole vector."""
+    e = emb(spark, d).select("vec_id", F.array(*[F.slice("embedding", 16 * i + 1, 16) for i in range(3)]).alias("s"), F.slice("embedding", 49, 16).alias("t"))
     return e.select("vec_id", F.round(X.density_kl(F.col("s"), F.col("t")), 6).alias("kl"))
