@@ -45,15 +45,22 @@ def _projection(dims: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((BINS, dims))
 
 
-def curve_key(ids: np.ndarray, projection: np.ndarray, bits: int) -> int:
-    """Hilbert key of a document: hashed token counts, damped, projected, put on a grid of ``2**bits`` cells an axis."""
-    if not len(ids):
-        return 0
-    bins = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(55)).astype(np.int64)
-    v = np.sqrt(np.bincount(bins, minlength=BINS))
-    y = v @ projection / np.sqrt(v @ v)
-    cells = np.clip((np.tanh(y) + 1) * (1 << bits - 1), 0, (1 << bits) - 1)
-    return int(hilbert_keys(cells[None, :], bits)[0])
+def curve_keys(ids: np.ndarray, border: np.ndarray, projection: np.ndarray, bits: int, rows: int = 1024) -> np.ndarray:
+    """Hilbert key of each document, given flat ids and their borders.
+
+    Hashed token counts, damped by the root and brought to length 1, are projected and put on a grid of ``2**bits``
+    cells an axis. A document without ids has key 0. ``rows`` documents are worked on at a time.
+    """
+    out = np.zeros(len(border) - 1, np.int64)
+    for lo in range(0, len(out), rows):
+        hi = min(len(out), lo + rows)
+        n = np.diff(border[lo:hi + 1])
+        bins = (ids[border[lo]:border[hi]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(55)).astype(np.int64)
+        v = np.sqrt(np.bincount(np.repeat(np.arange(hi - lo) * BINS, n) + bins, minlength=(hi - lo) * BINS).reshape(hi - lo, BINS))
+        y = (v @ projection) / np.sqrt(np.maximum(n, 1))[:, None]  # the counts sum to n, so the root of n is v's length
+        cells = np.clip((np.tanh(y) + 1) * (1 << bits - 1), 0, (1 << bits) - 1)
+        out[lo:hi] = np.where(n > 0, hilbert_keys(cells, bits), 0)
+    return out
 
 
 def pack_along_curve(
@@ -82,9 +89,10 @@ def pack_along_curve(
 
         def rows(t):
             flat, border = enc.column(t.column(1))
+            keys = curve_keys(flat, border, projection, bits).tolist()
             for k, episode in enumerate(t.column(0).to_pylist()):
                 ids = flat[border[k]:border[k + 1]]
-                yield (episode, curve_key(ids, projection, bits), len(ids) + 1, ids.tobytes()), ids.nbytes
+                yield (episode, keys[k], len(ids) + 1, ids.tobytes()), ids.nbytes
 
         for t in tables:
             yield from batches(rows(t), encode_schema)
