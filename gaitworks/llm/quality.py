@@ -114,7 +114,7 @@ def learnable(episode_index: int | None) -> bool:
     return zlib.crc32(str(episode_index).encode()) % 4 != 2
 
 
-def fit(episodes: DataFrame, labels: DataFrame, sample: int = 4_000) -> SubwordModel:
+def fit(episodes: DataFrame, labels: DataFrame, sample: int = 1_500) -> SubwordModel:
     """Train on labelled episodes: instructions of ``episodes``, ``good`` (0 / 1) of ``labels``, joined by episode_index.
 
     At most ``sample`` rows of each class, the first in the order of a hash of their index, are drawn from the rows that
@@ -144,7 +144,7 @@ def fit(episodes: DataFrame, labels: DataFrame, sample: int = 4_000) -> SubwordM
     texts = text_rows(episodes, ("episode_index", "long", "episode_index"), ("instruction", "string", "instruction"))
     joined = texts.join(F.broadcast(drawn), "episode_index").select("label", "instruction", "episode_index")  # 2 * sample rows at most
     found = joined.select("label", "instruction").mapInArrow(count, "label int, f binary, c binary").toArrow()
-    bags = [(np.frombuffer(f, "<i4"), np.frombuffer(c, "<f4"), y) for y, f, c in zip(*[found.column(k).to_pylist() for k in ("label", "f", "c")])]
+    bags = [(np.frombuffer(f.as_buffer(), "<i4"), np.frombuffer(c.as_buffer(), "<f4"), y.as_py()) for y, f, c in zip(*[found.column(k) for k in ("label", "f", "c")])]
     bags.sort(key=lambda b: (zlib.crc32(b[0].tobytes()), zlib.crc32(b[1].tobytes()), b[2]))
     return train(bags)
 
