@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaitworks.llm.common import stored
 
-ROUNDS = 16
+ROUNDS = 12  # of the permutation
 
 
 def word_count(text: Column | str) -> Column:
@@ -50,7 +50,7 @@ def mix_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most:
 
 
 def mix_sources(
-    episodes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 64,
+    episodes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 32,
     shard_slots: int = 65_536, seed: int = 11,
 ) -> DataFrame:
     """Draw a mixture of datasets from ``episodes`` (episode_index, instruction, source_dataset).
