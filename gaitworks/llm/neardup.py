@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gaitworks.llm.common import components, spread, stored, text_rows
 
 K = 32  # signature coordinates
-MATCHES = 18  # of them that a candidate pair must share: at a similarity of 0.85 a pair has fewer once in 100,000 times
+MATCHES = 18  # of them that a candidate pair must share: at a similarity of 0.85 a pair has fewer once in 50,000 times
 BLOCK = 60_000  # shingles of the documents that are compared in one task
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 _FACTORS = np.random.default_rng(20).integers(1, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
