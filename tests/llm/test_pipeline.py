@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline as P
 from gaitworks.llm import mixing, quality, queries
 
-from test_dedup import brute_near
+from .test_dedup import brute_near
 
 D = "/root/testdata/sf0.001"
 
