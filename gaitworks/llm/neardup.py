@@ -54,7 +54,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def _links(percent: int):
+def _links(percent: int, matches: int = MATCHES):
     def link(rows: pd.DataFrame) -> pd.DataFrame:
         """A spanning forest of the links of side 0 with all rows: only pairs that nothing connects yet are confirmed."""
         rows = rows.sort_values(["side", "first", "row_no"], ascending=[True, False, True]).drop_duplicates("row_no")
@@ -67,7 +67,7 @@ def _links(percent: int):
         for i in range(left):
             other = np.flatnonzero(root != root[i])
             other = other[(other > i) & (100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i]))]
-            other = other[(sig[other] == sig[i]).sum(1) >= MATCHES]
+            other = other[(sig[other] == sig[i]).sum(1) >= matches]
             if not len(other):
                 continue
             flat = np.concatenate([sets[j] for j in other])

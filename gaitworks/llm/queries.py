@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaitworks.llm import cuckoo, licences, mixing, neardup, packing, pii, quality, token_files, topk
+from gaitworks.llm import cuckoo, licences, mixing, neardup, packing, pii, quality, substrings, token_files, topk
 from gaitworks.llm.common import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,6 +106,11 @@ def op6_cuckoo_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return cuckoo.exact_duplicates(documents(spark, d)).withColumnsRenamed({"episode_index": "doc_id", "keep_index": "keep_id"})
 
 
+@query("op7_paragraph_banding")
+def op7_paragraph_banding(spark: SparkSession, d: str) -> DataFrame:
+    return substrings.repeated_passages(documents(spark, d)).withColumnsRenamed({"episode_index": "doc_id", "component_index": "component_id"})
+
+
 @query("op8_bitplane_token_files")
 def op8_bitplane_token_files(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "token-files")
