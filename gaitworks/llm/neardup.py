@@ -57,12 +57,16 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 def _links(percent: int, matches: int = MATCHES):
     def link(rows: pd.DataFrame) -> pd.DataFrame:
         """A spanning forest of the links of side 0 with all rows: only pairs that nothing connects yet are confirmed."""
-        rows = rows.sort_values(["side", "first", "row_no"], ascending=[True, False, True]).drop_duplicates("row_no")
-        no, left = rows["row_no"].to_numpy(), int((rows["side"] == 0).sum())
-        sets = [np.frombuffer(s, "<u8") for s in rows["shingles"]]
+        # by side, the hub first, each row once; in numpy, as most groups are tiny
+        no, side = rows["row_no"].to_numpy(np.int64), rows["side"].to_numpy(np.int64)
+        order = np.lexsort((no, ~rows["first"].to_numpy(bool), side))
+        order = order[np.sort(np.unique(no[order], return_index=True)[1])]
+        no, left = no[order], int((side[order] == 0).sum())
+        shingles, sigs = rows["shingles"].to_numpy(), rows["sig"].to_numpy()
+        sets = [np.frombuffer(shingles[i], "<u8") for i in order]
         n = np.array([len(s) for s in sets])
-        sig = np.stack([np.frombuffer(s, "<u8") for s in rows["sig"]]) if len(rows) else np.empty((0, K), np.uint64)
-        root = np.arange(len(rows))
+        sig = np.stack([np.frombuffer(sigs[i], "<u8") for i in order]) if len(order) else np.empty((0, K), np.uint64)
+        root = np.arange(len(order))
         a, b = [], []
         for i in range(left):
             other = np.flatnonzero(root != root[i])
