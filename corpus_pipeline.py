@@ -6,7 +6,7 @@ returns packed pieces. A stage's result is written as Parquet and read again bef
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaitworks.llm import cuckoo, mixing, neardup, quality, queries
@@ -42,14 +42,33 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them: taken words by size, rounded (0, 1 or 2 times).
+    """Whole documents, each 0, 1 or 2 times, so that the words of each source meet its target to half a document.
 
-    Documents without words weigh nothing in a mixture and stay once.
+    A document is there as often as the mixture takes all of it. What its source then lacks is made up of documents of
+    which the mixture takes a part more, in the order of a hash draw divided by that part: the larger the part, the
+    likelier the document. Documents without words weigh nothing in a mixture and stay once.
     """
-    mixed = mixing.mix_sources(queries.episodes(docs)).groupBy("episode_index").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    times = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int")
-    mixed = mixed.select(F.col("episode_index").alias("id"), times.alias("times")).where("times > 0")
-    drawn = docs.select(*COLUMNS).join(mixed, F.col("doc_id").eqNullSafe(F.col("id")))
+    mixed = mixing.mix_sources(queries.episodes(docs)).groupBy("source_dataset", F.col("episode_index").alias("id")).agg(
+        F.sum("taken").alias("taken"), F.sum("size").alias("size"), F.first("target").alias("target"))
+    mixed = mixed.withColumn("whole", F.when(F.col("size") == 0, 1).otherwise(F.expr("taken div size")))
+    mixed = stored(mixed.withColumn("part", F.col("taken") - F.col("whole") * F.col("size")), "mixed")
+    lack = mixed.groupBy("source_dataset").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("lack"))
+    draw = (F.pmod(F.xxhash64(F.lit(11), F.lit("whole"), "id"), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52)) * F.col("size") / F.col("part")
+    # words before each document in that order, in cells of the draw as in mix_sources
+    cells = max(8, int(mixed.count() ** 0.5))
+    parts = mixed.where("part > 0").withColumn("draw", draw).withColumn("cell", F.floor(F.col("draw") / (F.col("draw") + 1) * cells))
+    to_cell = Window.partitionBy("source_dataset").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.groupBy("source_dataset", "cell").agg(F.sum("size").alias("words"))
+    base = base.select(F.col("source_dataset").alias("s"), F.col("cell").alias("c"), F.coalesce(F.sum("words").over(to_cell), F.lit(0)).alias("base"))
+    in_cell = Window.partitionBy("source_dataset", "cell").orderBy("draw", "id").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("within", F.coalesce(F.sum("size").over(in_cell), F.lit(0)))
+    parts = parts.join(base, F.col("source_dataset").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c")))
+    parts = parts.join(lack.withColumnRenamed("source_dataset", "s2"), F.col("source_dataset").eqNullSafe(F.col("s2")))
+    once_more = F.when(F.col("base") + F.col("within") + F.col("size") / 2 <= F.col("lack"), 1).otherwise(0)
+    times = parts.select("source_dataset", "id", (F.col("whole") + once_more).alias("times"))
+    times = times.unionByName(mixed.where("part <= 0 or size = 0").select("source_dataset", "id", F.col("whole").alias("times")))
+    times = times.where("times > 0").select(F.col("source_dataset").alias("s"), "id", F.col("times").cast("int").alias("times"))
+    drawn = docs.select(*COLUMNS).join(times, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("s")))
     return drawn.select(*COLUMNS, F.explode(F.sequence(F.lit(1), "times")).alias("time")).drop("time")
 
 

@@ -75,3 +75,18 @@ def test_stages_take_odd_and_no_rows(spark, keep):
         assert sorted(rows_of(P.exact_dedup(spark, docs, D)), key=repr) == sorted([rows[0], rows[3], rows[5]], key=repr)
     packed = P.pack(spark, docs, D).collect()
     assert {r.doc_id for r in packed} == {r[0] for r in rows if keep}
+
+
+def test_whole_documents_meet_the_targets(spark):
+    # documents of many blocks: all of a source lie close to one ratio of taken to size
+    rows = [(i, " ".join(f"w{k}" for k in range(400 + i % 7)), "en", ["a", "b", None][min(i % 8, 2)], i) for i in range(480)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").cache()
+    target = {r.source_dataset: r.target for r in mixing.mix_sources(queries.episodes(docs)).collect()}
+    out = rows_of(P.mix_to_targets(spark, docs, D))
+    words, times = collections.Counter(), collections.Counter(r[0] for r in out)
+    for r in out:
+        words[r[3]] += len(r[1].split())
+    assert set(out) <= set(rows) and max(times.values()) <= 2 and set(target) == {"a", "b", None}
+    for s, t in target.items():
+        assert abs(words[s] - t) <= 203, (s, words[s], t)
+    assert sorted(rows_of(P.mix_to_targets(spark, docs.repartition(5), D)), key=repr) == sorted(out, key=repr)
