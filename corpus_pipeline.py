@@ -37,8 +37,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest doc_id."""
-    return _chosen(docs, neardup.near_duplicates(queries.episodes(docs)).where("kept"))
+    """One document of each group of near-duplicates (Jaccard of 0.8 or more): the smallest doc_id."""
+    return _chosen(docs, neardup.near_duplicates(queries.episodes(docs), percent=80).where("kept"))
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

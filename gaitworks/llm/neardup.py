@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from hashlib import blake2b
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 from gaitworks.llm.common import components, spread, stored, text_rows
 
 K = 32  # signature coordinates
-MATCHES = 18  # of them that a candidate pair must share: at a similarity of 0.85 a pair has fewer once in 50,000 times
 BLOCK = 60_000  # shingles of the documents that are compared in one task
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 _FACTORS = np.random.default_rng(20).integers(1, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -54,7 +54,15 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def _links(percent: int, matches: int = MATCHES):
+def choose_matches(percent: int, miss: float = 2e-5) -> int:
+    """The most coordinates of ``K`` of which a pair at ``percent`` shares fewer no more often than ``miss``; one at least."""
+    p, matches, below = percent / 100, 0, 0.0
+    while matches < K and (below := below + comb(K, matches) * p**matches * (1 - p) ** (K - matches)) <= miss:
+        matches += 1
+    return max(1, matches)
+
+
+def _links(percent: int, matches: int):
     def link(rows: pd.DataFrame) -> pd.DataFrame:
         """A spanning forest of the links of side 0 with all rows: only pairs that nothing connects yet are confirmed."""
         # by side, the hub first, each row once; in numpy, as most groups are tiny
@@ -91,12 +99,13 @@ def near_duplicates(episodes: DataFrame, percent: int = 85, salts: int = 64) ->
     """Groups of near-equal instructions (episode_index, instruction): links at ``percent`` of Jaccard on 5-word shingles.
 
     1. Texts with the same shingle set form a class; one row stands for it.
-    2. A class is posted under each of its ``K`` MinHash coordinates. A posting of one class is of no use, and a class
-       with fewer than ``MATCHES`` useful ones has no partner. Of the others the ``r - MATCHES + 1`` rarest postings
-       are enough: two classes that agree in ``MATCHES`` coordinates meet in one of them. So a passage that many texts
-       share, being frequent, is merged last and mostly skipped.
+    2. A class is posted under each of its ``K`` MinHash coordinates. A candidate pair shares ``matches`` of them, as
+       many as ``choose_matches`` gives for ``percent``. A posting of one class is of no use, and a class with fewer
+       than ``matches`` useful ones has no partner. Of the others the ``r - matches + 1`` rarest postings are enough:
+       two classes that agree in ``matches`` coordinates meet in one of them. So a passage that many texts share,
+       being frequent, is merged last and mostly skipped.
     3. Postings with the same hub (the member whose coordinates are the most frequent) become one group; a pair in it is
-       kept if it agrees in ``MATCHES`` coordinates and the full sets confirm it. Groups up to ``BLOCK`` shingles are
+       kept if it agrees in ``matches`` coordinates and the full sets confirm it. Groups up to ``BLOCK`` shingles are
        compared in one task. A larger group is cut into blocks: first the hub against every block, then the members that
        the hub does not link, block by block, against all. Pairs that links already connect are left out, as the
        components cannot change; no pair list of a group is ever made.
@@ -108,6 +117,7 @@ def near_duplicates(episodes: DataFrame, percent: int = 85, salts: int = 64) ->
     is never the smallest beside others, and is kept only in a component of nulls. Repeated rows are equal texts. No
     rows: no rows. Further columns are ignored.
     """
+    matches = choose_matches(percent)
     schema = pa.schema([("episode_index", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sig", pa.list_(pa.int64()))])
 
     def sign(tables):
@@ -133,8 +143,8 @@ def near_duplicates(episodes: DataFrame, percent: int = 85, salts: int = 64) ->
     posted = reps.select("row_no", "n", F.posexplode("sig")).select("row_no", "n", F.xxhash64("pos", "col").alias("post"))
     useful = posted.groupBy("post").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     listed = posted.join(useful, "post").groupBy("row_no", "n").agg(F.sort_array(F.collect_list(F.struct("c", "post"))).alias("l"), F.sum("c").alias("weight"))
-    listed = listed.where(F.size("l") >= MATCHES)
-    prefix = stored(listed.select("row_no", "n", "weight", F.explode(F.slice("l", F.lit(1), F.size("l") - (MATCHES - 1))).alias("x")).select(
+    listed = listed.where(F.size("l") >= matches)
+    prefix = stored(listed.select("row_no", "n", "weight", F.explode(F.slice("l", F.lit(1), F.size("l") - (matches - 1))).alias("x")).select(
         "row_no", "n", "weight", "x.post"), "minhash-postings")
     hubs = prefix.groupBy("post").agg(F.max(F.struct("weight", (-F.col("row_no")).alias("no"))).alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1")
     members = prefix.join(hubs.select("post", (-F.col("h.no")).alias("hub")), "post").select("hub", "row_no", "n").distinct()
@@ -161,7 +171,7 @@ def near_duplicates(episodes: DataFrame, percent: int = 85, salts: int = 64) ->
 
     def compare(pairs: DataFrame, *by: str) -> DataFrame:
         """``pairs``: the columns ``by``, row_no, side, first."""
-        return pairs.join(sets, "row_no").groupBy(*by).applyInPandas(_links(percent), "a long, b long")
+        return pairs.join(sets, "row_no").groupBy(*by).applyInPandas(_links(percent, matches), "a long, b long")
 
     no_side = F.lit(0).alias("side")
     is_hub = (F.col("hub") == F.col("row_no")).alias("first")

@@ -128,3 +128,21 @@ def test_components_of_a_chain_and_a_star(spark):
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_matches_follow_the_threshold():
+    assert [neardup.choose_matches(p) for p in (80, 85, 100)] == [15, 18, 32]
+
+
+def test_near_duplicates_of_few_equal_coordinates(spark):
+    """Pairs at 0.80 or more whose signatures agree in 15 to 17 of 32 coordinates."""
+    rnd, rows = random.Random(8), []
+    while len(rows) < 6:
+        w = [f"w{rnd.randint(0, 10**9)}" for _ in range(54)]
+        v = w[:25] + [f"x{rnd.randint(0, 10**9)}"] + w[26:]
+        a, b = (neardup.shingle_set(" ".join(x)) for x in (w, v))
+        if 15 <= (neardup.signature(a) == neardup.signature(b)).sum() < 18:
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(v))]
+    df = spark.createDataFrame(rows, "episode_index long, instruction string")
+    assert sorted(map(tuple, neardup.near_duplicates(df, percent=80).collect())) == brute_near(rows, 80)
+    assert sum(r[3] for r in brute_near(rows, 80)) == 3

@@ -90,3 +90,10 @@ def test_whole_documents_meet_the_targets(spark):
     for s, t in target.items():
         assert abs(words[s] - t) <= 203, (s, words[s], t)
     assert sorted(rows_of(P.mix_to_targets(spark, docs.repartition(5), D)), key=repr) == sorted(out, key=repr)
+
+
+def test_near_dedup_from_80_percent(spark):
+    w = [f"w{k}" for k in range(54)]
+    texts = [w, w[:25] + ["x"] + w[26:], w[:20] + ["x"] + w[21:35] + ["y"] + w[36:]]  # 0.82 and 0.67 to the first
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r[0] for r in rows_of(P.near_dedup(spark, docs, D))) == [0, 2]
