@@ -99,7 +99,8 @@ def find_pii(episodes: DataFrame, rounds: int = 3, support: float = 3.0, confide
     patterns and the identifiers seen in them, each of ``rounds`` rounds scores a pattern for a kind by the known
     identifiers of that kind it holds: against those of other kinds in full, against unknown ones by a quarter. Patterns
     with ``support`` known identifiers and ``confidence`` score the unknown identifiers of fitting shape; those that
-    reach ``confidence`` are known in the next round, and all their occurrences become spans. Exact matches always stay.
+    reach ``confidence`` are known in the next round, and all their occurrences become spans. Exact matches always stay,
+    and other spellings of them (the same digits) become spans wherever they stand.
 
     Returns one row per episode: episode_index, n_email, n_ip, n_card, n_phone (exact matches), base_spans and spans
     (``kind:start:end`` by kind and start, comma-joined; code points, end exclusive). ``spans`` holds all of them.
@@ -156,7 +157,10 @@ def _discovered(found: DataFrame, rounds: int, support: float, confidence: float
         # an identifier that is known from an exact match stays with its kind
         more = more.join(seeds.select("value"), "value", "left_anti")
         known = seeds.unionByName(more)
-    best = more.groupBy("value").agg(F.max_by("k", F.struct("score", -F.col("k"))).alias("k")).select("*", copies)
+    # exact matches are known too, best of all; of them only those that an open slot repeats are copied
+    open_values = seen.where("k is null").select("value").distinct()
+    exact = seen.where("k is not null").select("value", "k").distinct().join(open_values, "value", "left_semi")
+    best = more.unionByName(exact.withColumn("score", F.lit(1.0))).groupBy("value").agg(F.max_by("k", F.struct("score", -F.col("k"))).alias("k")).select("*", copies)
     hits = seen.where("k is null").drop("k").withColumn("salt", F.pmod(F.xxhash64("row_no"), F.lit(salts)).cast("int")).join(best, ["value", "salt"])
     return hits.groupBy("row_no").agg(F.collect_list(F.struct("k", "s", "e")).alias("more"))
 

@@ -166,3 +166,12 @@ def test_quality_of_odd_rows(spark, odd, none):
         assert len(rows) == odd.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
         assert quality.score_quality(none, model).count() == 0
     assert hashlib.md5(quality.fit(odd, labels).logit.tobytes()).digest() == hashlib.md5(quality.fit(odd.repartition(3), labels).logit.tobytes()).digest()
+
+
+def test_other_spellings_of_exact_matches(spark):
+    rows = [(0, "call me at +1 555 123 4567 today"), (1, "call me at 1 555 123 4567 today"), (2, "+1 555 123 9999"), (3, "15551239999"),
+            (4, "card 4111 1111 1111 1111 ok"), (5, "the card 4111.1111.1111.1111 ok"), (6, "call me at 1 555 123 0000 today")]
+    df = spark.createDataFrame(rows, "episode_index long, instruction string")
+    got = {r.episode_index: (r.base_spans, r.spans) for r in pii.find_pii(df).collect()}
+    assert got[1] == ("", "phone:11:25") and got[3] == ("", "phone:0:11") and got[5] == ("", "card:9:28")
+    assert got[6] == ("", "") and all(got[i][0] == got[i][1] for i in (0, 2, 4))
