@@ -22,7 +22,8 @@ _PRIME = np.uint64(0x100000001B3)
 
 
 def features(text: str | None) -> np.ndarray:
-    """Hashed feature of every word, word pair and character n-gram of a whole text, repeats included.
+    """Hashed feature of every word and character n-gram of a whole text, repeats included; of each word pair, one of two
+    features: the second word equals the first or not.
 
     White space is a boundary: an n-gram may begin or end with it, but not hold it inside.
     """
