@@ -7,17 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaitworks.llm import cuckoo, licences, mixing, neardup, packing, pii, quality, substrings, token_files, topk
+from gaitworks.llm import alignment, cuckoo, licences, mixing, neardup, packing, pii, quality, runs, secrets, substrings, token_files, topk
 from gaitworks.llm.common import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def query(name: str, sql: str | None = None):
@@ -131,6 +131,58 @@ def op10_block_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, d)).select(F.col("episode_index").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+@query("op11_owned_secrets", """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, source AS lab, concat_ws('/', source, lang) AS repo FROM documents),
+p AS (FROM (VALUES (0, '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+  (1, 'AKIA[A-Z0-9]{12,}'), (2, '[0-9a-f]{32,}'), (3, '[A-Za-z0-9+/_=-]{16,}')) v(kind, pat)),
+s AS (SELECT r, lab, repo, kind, pat, regexp_extract_all(t, pat) AS m, string_split_regex(t, pat) AS g FROM d, p WHERE regexp_matches(t, pat)),
+u AS (SELECT r, lab, repo, kind, pat, unnest(m) AS match, unnest(g[:len(m)]) AS gap, generate_subscripts(m, 1) AS i FROM s),
+e AS (SELECT *, sum(length(gap) + length(match)) OVER (PARTITION BY r, kind ORDER BY i) AS e FROM u),
+f AS (SELECT r, lab, repo, kind, (e - length(match))::BIGINT AS s, e::BIGINT AS e, CASE WHEN kind = 0 THEN regexp_extract(match, pat, 1) ELSE match END AS v FROM e),
+h AS (SELECT * FROM f WHERE kind > 0 OR length(v) >= 8),
+n AS (SELECT *, max(CASE WHEN kind < 3 THEN e END) OVER (PARTITION BY r ORDER BY s RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS reach,
+  min(CASE WHEN kind < 3 THEN s END) OVER (PARTITION BY r ORDER BY s RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nxt FROM h),
+c AS (SELECT * FROM n WHERE kind < 3 OR (coalesce(reach <= s, true) AND coalesce(nxt >= e, true) AND regexp_matches(v, '[0-9]'))),
+k AS (SELECT v, count(DISTINCT lab) AS owners, bool_or(kind < 3) AS named FROM c GROUP BY 1),
+b AS (SELECT v, owners, named, owners <= 1 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
+  AND NOT regexp_matches(v, '(?i)example|sample|dummy|placeholder|changeme|your|xxxx|test|fake|123456|abcdef')
+  AND round(-list_sum([((length(v) - length(replace(v, x, ''))) / length(v)::DOUBLE) * log2((length(v) - length(replace(v, x, ''))) / length(v)::DOUBLE) for x in list_distinct(string_split(v, ''))]), 6) >= 3 AS live FROM k),
+o AS (SELECT r, kind, s, e, concat(['assign', 'access', 'hex', 'value'][kind + 1], ':', s, ':', e) AS span, owners, live FROM c JOIN b USING (v) WHERE kind < 3 OR live OR (owners <= 1 AND named)),
+a AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  coalesce(string_agg(span, ',' ORDER BY s, kind) FILTER (kind < 3), '') AS base, string_agg(span, ',' ORDER BY s, kind) AS spans,
+  count(*) FILTER (live) AS n_live, count(*) FILTER (owners >= 3) AS n_copied FROM o GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM d LEFT JOIN a USING (r)
+""")
+def op11_owned_secrets(spark: SparkSession, d: str) -> DataFrame:
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    held = docs.select(F.col("doc_id").alias("episode_index"), F.col("text").alias("instruction"), F.concat_ws("/", "source", "lang").alias("source_dataset"), F.col("source").alias("lab"))
+    return secrets.find_secrets(held).select(
+        F.col("episode_index").alias("doc_id"), "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_live", "n_copied")
+
+
+@query("op12_lockstep_alignment")
+def op12_lockstep_alignment(spark: SparkSession, d: str) -> DataFrame:
+    return alignment.align_tokens(documents(spark, d), vocabulary(), vocabulary("piece_bpe_32k.model")).withColumnRenamed("episode_index", "doc_id")
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    return runs.periodic_runs(looped(documents(spark, d))).drop("n_words").withColumnRenamed("episode_index", "doc_id")
+
+
+def looped(rows: DataFrame) -> DataFrame:
+    """Every tenth instruction, by the hash of its number, goes round in a loop from one of its words on."""
+    h = F.crc32(F.col("episode_index").cast("string").cast("binary"))
+    t = rows.withColumn("g", F.floor(h / 10)).withColumn("w", F.when(h % 10 == 0, F.regexp_extract_all("instruction", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))))
+    n = F.size("w").cast("long")
+    t = t.withColumn("a", F.when(n > 0, F.col("g") % n)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    a, p, left = F.col("a").cast("int"), F.col("p").cast("int"), (n - F.col("a")).cast("int")
+    loop = F.slice(F.flatten(F.array_repeat(F.slice("w", a + 1, p), F.ceil(left / p).cast("int"))), F.lit(1), left)
+    text = F.when(F.col("a").isNotNull(), F.array_join(F.concat(F.slice("w", F.lit(1), a), loop), " ")).otherwise(F.col("instruction"))
+    return t.select("episode_index", text.alias("instruction"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline  # it imports this module
