@@ -4,9 +4,10 @@ A plain ``Window.partitionBy(episode)`` sends every frame of an episode to one
 task, so one episode holding a third of the table stalls the job.  Everything
 ordered in this package goes through the helpers below instead:
 
-* ``row_index``     dense 0-based position; one plan, in which groups above
-                    ``HOT_ROWS`` are cut into value-ordered cells that are
-                    stitched with cell offsets, and all others are one cell;
+* ``row_index`` / ``global_index``  dense 0-based positions inside groups, or
+                    over the whole table: rows are range-partitioned by their
+                    order columns and written, then numbered inside their
+                    partition, and one row a partition gives the offsets;
 * ``with_blocks``   once a dense position exists, cuts a group into blocks of
                     ``BLOCK`` rows and copies only the halo rows that a
                     lag / lead / chunk window needs across a block edge;
@@ -19,48 +20,15 @@ ordered in this package goes through the helpers below instead:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1 << 16        # rows of one block of an indexed episode
-HOT_ROWS = 1 << 20     # groups above this are cut into cells
-SEGMENTS = 16          # quantile segments of a hot group
-CELL_ROWS = 1 << 18    # aimed rows per cell
-
-
-def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame:
-    """Groups above ``hot_rows``, of which a table of n rows has fewer than n / hot_rows: about 200 bytes to
-    broadcast for each million rows of the table. Nothing runs before the query does."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_hot_n")).where(F.col("_hot_n") > (HOT_ROWS if hot_rows is None else hot_rows))
-
+from gaitworks.session import stored
 
-def split_hot(df: DataFrame, keys: Sequence[str], rank: Column, sizes: DataFrame, cell_rows: int | None = None) -> DataFrame:
-    """Add ``_cell`` (0 in ordinary groups) and ``_hot``.
-
-    ``rank`` is a number that never decreases along the wanted order.  Cells of
-    a hot group follow ``rank``: quantile segments, each with an even grid.
-    """
-    keys = list(keys)
-    ranked = df.withColumn("_hot_r", rank.cast("double"))
-    probs = [i / SEGMENTS for i in range(SEGMENTS + 1)]
-    bounds = (
-        ranked.select(*keys, "_hot_r").join(F.broadcast(sizes), keys, "inner")
-        .groupBy(*keys)
-        .agg(F.percentile_approx("_hot_r", probs, 10000).alias("_hot_b"), F.max("_hot_n").alias("_hot_n"))
-    )
-    r, b = F.col("_hot_r"), F.col("_hot_b")
-    per_segment = F.greatest(F.lit(1), F.ceil(F.col("_hot_n") / (SEGMENTS * (cell_rows or CELL_ROWS))))
-    seg = F.least(F.greatest(F.size(F.filter(b, lambda x: x <= r)) - 1, F.lit(0)), F.lit(SEGMENTS - 1))
-    joined = ranked.join(F.broadcast(bounds), keys, "left").withColumn("_hot", b.isNotNull())
-    joined = joined.withColumn("_seg", F.when(F.col("_hot"), seg))
-    lo, hi = F.get(b, F.col("_seg")), F.get(b, F.col("_seg") + 1)
-    step = F.when(hi > lo, F.floor((r - lo) / (hi - lo) * per_segment)).otherwise(F.lit(0))
-    cell = F.col("_seg") * per_segment + F.least(F.greatest(step, F.lit(0)), per_segment - 1)
-    return joined.withColumn("_cell", F.when(F.col("_hot"), cell).otherwise(F.lit(0)).cast("long")).drop(
-        "_hot_r", "_hot_b", "_hot_n", "_seg"
-    )
+BLOCK = 1 << 16        # rows of one block of an indexed episode
 
 
 def _prefix(blocks: DataFrame, keys: Sequence[str], position: str, value: str, name: str) -> DataFrame:
@@ -68,67 +36,48 @@ def _prefix(blocks: DataFrame, keys: Sequence[str], position: str, value: str, n
     return blocks.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
 
 
-def row_index(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column | str],
-    rank: Column,
-    name: str = "frame_index",
-    hot_rows: int | None = None,
-    cell_rows: int | None = None,
-) -> DataFrame:
-    """Dense 0-based position inside each group.
+def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str = "frame_index") -> DataFrame:
+    """Dense 0-based position inside each group of ``keys``; ``order`` must be a total order in a group.
 
-    ``order`` must be a total order, and ``rank`` a number that never decreases along it; rows of equal rank share a
-    cell.
+    Rows are range-partitioned by ``keys`` and ``order`` together, so that a group of any size, whatever its values share,
+    is cut where the partition is full, and are written once with their partition. A window numbers a group's rows of a
+    partition. At most one group goes on from a partition to the next, so the rows of groups in earlier partitions are
+    at most one row a partition, which is broadcast. The input is read once beside the sample for the ranges.
     """
     keys = list(keys)
-    cells = split_hot(df, keys, rank, hot_groups(df, keys, hot_rows), cell_rows)
-    w = Window.partitionBy(*keys, "_cell").orderBy(*order)
-    local = cells.withColumn("_local", F.row_number().over(w).cast("long") - 1)
-    counts = cells.where("_hot").groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_c"))
-    offsets = _prefix(counts, keys, "_cell", "_c", "_off").select(*keys, "_cell", "_off")
+    ranged = stored(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    pieces = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_c"))
+    before = _prefix(pieces, keys, "_part", "_c", "_off").where("_off > 0").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_of_part"), "_off")
+    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)).cast("long") - 1)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_part") == F.col("_of_part"))
     return (
-        local.join(F.broadcast(offsets), [*keys, "_cell"], "left")  # a row per cell of a hot group
+        local.join(F.broadcast(before), same, "left")
         .withColumn(name, F.col("_local") + F.coalesce("_off", F.lit(0)))
-        .drop("_local", "_off", "_cell", "_hot")
+        .drop("_local", "_off", "_part", "_of_part", *[f"_k{i}" for i in range(len(keys))])
     )
 
 
-def text_rank(text: Column) -> Column:
-    """The first six bytes of a text as a number: never decreases along byte order."""
-    head = F.substring(F.hex(F.encode(F.substring(text, 1, 6), "UTF-8")), 1, 12)
-    return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("bigint")
+def global_index(df: DataFrame, order: Sequence[Column | str], name: str, sums: Mapping[str, Column] | None = None) -> DataFrame:
+    """Dense 0-based position over the whole table; ``order`` must be total. No task sees more than its range.
 
-
-def global_index(df: DataFrame, order: Sequence[Column | str], rank: Column, name: str, cells: int = 4096) -> DataFrame:
-    """Dense 0-based position over the whole table without a one-task window.
-
-    The table is treated as one hot group: quantile segments times an even
-    grid, so a task sorts about rows / ``cells``.
+    Rows are range-partitioned by ``order``, sorted and written once with their place in the partition; one row a
+    partition, broadcast, gives the offset. ``sums`` adds running totals of values over all earlier rows the same way.
     """
-    probs = [i / SEGMENTS for i in range(SEGMENTS + 1)]
-    one = df.withColumn("_rank", rank.cast("double"))
-    bounds = one.agg(F.percentile_approx("_rank", probs, 10000).alias("_b"))  # one row
-    r, b = F.col("_rank"), F.col("_b")
-    per_segment = max(1, cells // SEGMENTS)
-    seg = F.least(F.greatest(F.size(F.filter(b, lambda x: x <= r)) - 1, F.lit(0)), F.lit(SEGMENTS - 1))
-    cut = one.withColumn("_b", bounds.scalar()).withColumn("_seg", seg)
-    lo, hi = F.get(b, F.col("_seg")), F.get(b, F.col("_seg") + 1)
-    step = F.when(hi > lo, F.floor((r - lo) / (hi - lo) * per_segment)).otherwise(F.lit(0))
-    cut = cut.withColumn(
-        "_cell", (F.col("_seg") * per_segment + F.least(F.greatest(step, F.lit(0)), F.lit(per_segment - 1))).cast("long")
-    ).drop("_rank", "_b", "_seg")
-    local = cut.withColumn("_local", F.row_number().over(Window.partitionBy("_cell").orderBy(*order)).cast("long") - 1)
-    counts = cut.groupBy("_cell").agg(F.count(F.lit(1)).alias("_c"))
-    # at most ``cells`` rows: the single-partition window is bounded
-    w = Window.partitionBy(F.lit(0)).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_cell", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
-    return (
-        local.join(F.broadcast(offsets), "_cell")
-        .withColumn(name, F.col("_local") + F.col("_off"))
-        .drop("_local", "_off", "_cell")
-    )
+    sums = dict(sums or {})
+    values = {f"_v{i}": v for i, v in enumerate(sums.values())}
+    placed = df.withColumns(values) if values else df
+    ranged = stored(placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    ranged = ranged.withColumn("_part", F.shiftright("_at", 33))
+    parts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"), *[F.sum(v).alias(v) for v in values])
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition
+    before = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}_off")
+    offsets = parts.select(F.col("_part").alias("_of_part"), before("_c"), *[before(v) for v in values])
+    got = ranged.join(F.broadcast(offsets), F.col("_part") == F.col("_of_part"))
+    got = got.withColumn(name, F.col("_c_off") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    within = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    for v, total in zip(values, sums):
+        got = got.withColumn(total, F.coalesce(F.sum(v).over(within), F.lit(0)) + F.col(f"{v}_off"))
+    return got.drop("_at", "_part", "_of_part", "_c_off", *values, *[f"{v}_off" for v in values])
 
 
 def with_blocks(
@@ -191,13 +140,18 @@ def per_episode(
     length: str = "length",
     how: str = "inner",
     block: int | None = None,
+    on: Column | None = None,
 ) -> DataFrame:
-    """Join one row per episode onto frames on (episode, block)."""
+    """Join one row per episode onto frames on (episode, block); with ``on``, one row per episode and whatever it compares."""
     block = block or BLOCK
     last = F.greatest(F.floor((F.col(length) - 1) / F.lit(block)), F.lit(0)).cast("long")
     spread = episodes.withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     cut = frames.withColumn("_blk", F.floor(F.col(index) / F.lit(block)).cast("long"))
-    return cut.join(spread, [*keys, "_blk"], how).drop("_blk")
+    if on is None:
+        return cut.join(spread, [*keys, "_blk"], how).drop("_blk")
+    spread = spread.withColumnsRenamed({k: f"_of_{k}" for k in (*keys, "_blk")})
+    same = reduce(lambda a, k: a & (F.col(k) == F.col(f"_of_{k}")), (*keys, "_blk"), on)
+    return cut.join(spread, same, how).drop("_blk", *[f"_of_{k}" for k in (*keys, "_blk")])
 
 
 def with_length(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaitworks.operators import ordering
+from gaitworks.session import stored
 
 
 def pack_counts(frames: DataFrame, pack: str, cameras: int = 1, chunk: int = 1000) -> DataFrame:
@@ -51,22 +52,21 @@ def merge_common_keys(keys: DataFrame, pack: str, key: str, config: str) -> Data
     )
 
 
-def reindex(episodes: DataFrame, order: Sequence[str], rank: Column, name: str, packs_by: Sequence[str] = ()) -> DataFrame:
+def reindex(episodes: DataFrame, order: Sequence[str], name: str, packs_by: Sequence[str] = ()) -> DataFrame:
     """Dense new episode numbers in source order, per output pack or over the whole table."""
     if packs_by:
-        return ordering.row_index(episodes, packs_by, list(order), rank, name)
-    return ordering.global_index(episodes, list(order), rank, name)
+        return ordering.row_index(episodes, packs_by, list(order), name)
+    return ordering.global_index(episodes, list(order), name)
 
 
-def episode_offsets(episodes: DataFrame, rank: Column, order: Sequence[str], length: str = "length") -> DataFrame:
+def episode_offsets(episodes: DataFrame, order: Sequence[str], length: str = "length") -> DataFrame:
     """``offset`` = frames in all earlier episodes; works on the episode table only."""
-    dense = ordering.global_index(episodes, list(order), rank, "_ep")
-    return ordering.running_sum(dense, F.col(length), "offset", keys=(), index="_ep", inclusive=False).drop("_ep")
+    return ordering.global_index(episodes, list(order), "_ep", {"offset": F.col(length)}).drop("_ep")
 
 
 def global_frame_index(frames: DataFrame, name: str = "index", length: str = "length") -> DataFrame:
     eps = ordering.episode_lengths(frames, name=length)
-    offsets = episode_offsets(eps, F.col("episode_index"), ["episode_index"], length)
+    offsets = episode_offsets(eps, ["episode_index"], length)
     got = ordering.per_episode(frames, offsets, length=length)
     return got.withColumn(name, F.col("offset") + F.col("frame_index")).drop("offset", length)
 
@@ -106,7 +106,7 @@ def holdout_random(episodes: DataFrame, group: str, k: int, seed: str) -> DataFr
 
 def holdout_near_median(episodes: DataFrame, group: str, k: int, length: str = "length") -> DataFrame:
     """The k episodes nearest the median position by length; a group with at most k episodes is an error."""
-    placed = ordering.row_index(episodes, [group], [length, "episode_index"], F.col(length) , "_pos")
+    placed = ordering.row_index(episodes, [group], [length, "episode_index"], "_pos")
     placed = ordering.with_length(placed, [group], "_pos", "_size")
     ok = F.when(F.col("_size") > k, F.col("_size")).otherwise(
         F.raise_error(F.concat(F.lit("too few episodes to hold out in "), F.col(group))).cast("bigint")
@@ -126,31 +126,33 @@ def classify(text: Column, rules: Mapping[str, str], default: str = "UNGROUPED")
     return chain.otherwise(F.lit(default))
 
 
-def merge_packs(packs: Mapping[str, DataFrame], tasks: DataFrame | None = None) -> DataFrame:
+def merge_packs(packs: Mapping[str, DataFrame]) -> DataFrame:
     """Union of packs: new episode, frame and task numbers, provenance columns.
 
     Episodes are numbered by (pack order, old number) on the episode table; the
-    task dictionary is the distinct text in order of first appearance.
+    task dictionary is the distinct text in order of first appearance; frames
+    without a task share the number of the null task.
     """
     parts = [f.withColumns({"source_dataset": F.lit(n), "_pack": F.lit(i)}) for i, (n, f) in enumerate(packs.items())]
     both = reduce(lambda a, b: a.unionByName(b), parts)
-    eps = both.groupBy("_pack", "episode_index").agg((F.max("frame_index") + 1).alias("length"))
-    rank = F.col("_pack") * F.lit(float(1 << 40)) + F.col("episode_index")
-    eps = ordering.global_index(eps, ["_pack", "episode_index"], rank, "new_episode_index")
-    eps = ordering.running_sum(eps, F.col("length"), "offset", (), "new_episode_index", inclusive=False)
-    got = ordering.per_episode(both, eps, ["_pack", "episode_index"], "frame_index", "length")
-    got = got.withColumn("index", F.col("offset") + F.col("frame_index"))
-    texts = stable_order(got, "task", "index", "new_task_index")
-    return got.join(texts, "task").select(
+    # a row for each task of an episode holds all that is numbered; frames are read for it, and once more for the join
+    seen = stored(both.groupBy("_pack", "episode_index", "task").agg(F.min("frame_index").alias("_first"), (F.max("frame_index") + 1).alias("_n")), "merged-tasks")
+    eps = seen.groupBy("_pack", "episode_index").agg(F.max("_n").alias("length"))
+    eps = ordering.global_index(eps, ["_pack", "episode_index"], "new_episode_index", {"offset": F.col("length")})
+    first = seen.groupBy("task").agg(F.min(F.struct("_pack", "episode_index", "_first")).alias("_p")).select("task", "_p.*")
+    texts = ordering.global_index(first, ["_pack", "episode_index", "_first", "task"], "new_task_index").select(F.col("task").alias("_t"), "new_task_index")
+    told = seen.join(eps, ["_pack", "episode_index"]).join(texts, F.col("task").eqNullSafe(F.col("_t"))).drop("_t", "_first", "_n")
+    got = ordering.per_episode(both, told.withColumnRenamed("task", "_t"), ["_pack", "episode_index"], "frame_index", "length", on=F.col("task").eqNullSafe(F.col("_t")))
+    return got.select(
         "source_dataset", F.col("episode_index").alias("source_episode_index"), F.col("new_episode_index").alias("episode_index"),
-        "frame_index", "index", F.col("new_task_index").alias("task_index"), "task",
+        "frame_index", (F.col("offset") + F.col("frame_index")).alias("index"), F.col("new_task_index").alias("task_index"), "task",
     )
 
 
 def stable_order(df: DataFrame, text: str, position: str, name: str) -> DataFrame:
     """Distinct values numbered by first appearance."""
     first = df.groupBy(text).agg(F.min(position).alias("_p"))
-    return ordering.global_index(first, ["_p", text], F.col("_p"), name).drop("_p")
+    return ordering.global_index(first, ["_p", text], name).drop("_p")
 
 
 def union_common(sources: Mapping[str, DataFrame]) -> tuple[DataFrame, dict[str, list[str]]]:
@@ -168,13 +170,13 @@ def split_train_val(episodes: DataFrame, val: DataFrame, key: str = "episode_ind
     """Both splits with dense new numbers; the given validation episodes must be a subset."""
     v = val.select(key).distinct().withColumn("_v", F.lit(True))
     t = episodes.join(v, key, "left").withColumn("split", F.when(F.col("_v"), "val").otherwise("train")).drop("_v")
-    return ordering.row_index(t, ["split"], [key], F.col(key), "new_index")
+    return ordering.row_index(t, ["split"], [key], "new_index")
 
 
 def split_by_task(frames: DataFrame, tasks: DataFrame, task: str = "task_index", key: str = "episode_index") -> tuple[DataFrame, DataFrame]:
     """Frames of the listed tasks and the remapped task table."""
     kept = tasks.select(task).distinct()
-    remap = ordering.global_index(kept, [task], F.col(task), "new_task_index")
+    remap = ordering.global_index(kept, [task], "new_task_index")
     return frames.join(remap, task), remap
 
 
@@ -197,7 +199,7 @@ def split_seeded(names: DataFrame, name: str, ratio: float, seed: str) -> DataFr
     from gaitworks.functions import hashing
 
     n = names.agg(F.count(F.lit(1))).scalar()
-    t = ordering.global_index(names.withColumn("_h", hashing.draw32(seed, F.col(name))), ["_h", name], F.col("_h"), "_i")
+    t = ordering.global_index(names.withColumn("_h", hashing.draw32(seed, F.col(name))), ["_h", name], "_i")
     k = F.greatest(F.lit(1), F.floor(n * F.lit(ratio)))
     return t.withColumn("split", F.when(F.col("_i") < k, "val").otherwise("train")).drop("_h", "_i")
 
@@ -207,7 +209,7 @@ def nested_subsets(items: DataFrame, key: str, shares: Sequence[float], seed: st
     from gaitworks.functions import hashing
 
     n = items.agg(F.count(F.lit(1))).scalar()
-    t = ordering.global_index(items.withColumn("_h", hashing.draw32(seed, F.col(key))), ["_h", key], F.col("_h"), "_i")
+    t = ordering.global_index(items.withColumn("_h", hashing.draw32(seed, F.col(key))), ["_h", key], "_i")
     t = t.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
     return t.where(F.col("_i") < F.floor(n * F.col("share"))).select(key, "share", F.col("_i").alias("rank"))
 
@@ -215,7 +217,7 @@ def nested_subsets(items: DataFrame, key: str, shares: Sequence[float], seed: st
 def even_chunks(items: DataFrame, key: str, k: int) -> DataFrame:
     """k contiguous parts of ceil(n/k)."""
     n = items.agg(F.count(F.lit(1))).scalar()
-    t = ordering.global_index(items, [key], F.col(key), "_i")
+    t = ordering.global_index(items, [key], "_i")
     return t.withColumn("chunk", F.floor(F.col("_i") / F.ceil(n / F.lit(float(k)))).cast("bigint")).withColumnRenamed("_i", "position")
 
 

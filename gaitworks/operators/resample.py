@@ -31,14 +31,14 @@ def at_times(
     a forward and a backward fill bring the bracketing samples to each target.
     """
     keys = list(keys)
-    s = ordering.row_index(signal, keys, [order], F.col(order), "_rec")
+    s = ordering.row_index(signal, keys, [order], "_rec")
     s = monotone(s, keys, time, order, "_rec").select(
         *keys, time, F.lit(0).alias("_kind"), F.lit(None).cast(dict(targets.dtypes)[target_id]).alias(target_id),
         F.struct(F.col(time).alias("t"), F.col(value).alias("v")).alias("_s"),
     )
     q = targets.select(*keys, time, F.lit(1).alias("_kind"), target_id)
     both = s.unionByName(q, allowMissingColumns=True)
-    both = ordering.row_index(both, keys, [time, "_kind", target_id], F.col(time), "_pos")
+    both = ordering.row_index(both, keys, [time, "_kind", target_id], "_pos")
     both = ordering.fill(both, F.col("_s"), keys, "_pos", forward="_a", backward="_b")
     got = both.where("_kind = 1")
     t, a, b = F.col(time), F.col("_a"), F.col("_b")

@@ -72,7 +72,7 @@ def pick_weighted(draws: DataFrame, options: DataFrame, key: str, order: str, we
     """
     live = options.where(F.col(weight) > 0)
     totals = live.groupBy(key).agg(F.sum(weight).alias("_total"))
-    idx = ordering.row_index(live, [key], [order], F.col(order), "_i")
+    idx = ordering.row_index(live, [key], [order], "_i")
     spans = ordering.running_sum(idx, F.col(weight), "_lo", [key], "_i", inclusive=False).withColumn("_hi", F.col("_lo") + F.col(weight))
     # draws of a popular key are many and its total is one row: salt both sides
     salts = 32
@@ -121,7 +121,7 @@ def token_batches(batches: DataFrame, batch: str, datasets: DataFrame, budget: i
 def balanced_shards(steps: DataFrame, key: Sequence[str], shards: int, seed: str) -> DataFrame:
     """Hash order dealt round-robin: shard sizes differ by at most one."""
     h = hashing.draw32(seed, *[F.col(k) for k in key])
-    t = ordering.global_index(steps.withColumn("_h", h), ["_h", *key], F.col("_h"), "_i")
+    t = ordering.global_index(steps.withColumn("_h", h), ["_h", *key], "_i")
     return t.withColumn("shard", F.col("_i") % shards).drop("_h", "_i")
 
 
@@ -130,19 +130,19 @@ def shard_schedule_train(draws: DataFrame, draw: str, shards: DataFrame, weights
     per = shards.groupBy("dataset").agg(F.avg("length").alias("_mean"), F.count(F.lit(1)).alias("_n")).join(weights, "dataset")
     ratio = per.select("dataset", F.round(F.col("weight") / F.col("_mean") * 1e9).cast("bigint").alias("weight"), "_n")
     d = pick_registered(draws, ratio, "dataset", "weight", hashing.uniform(f"{seed}-d", F.col(draw)))
-    d = ordering.row_index(d.select(draw, "dataset", "_n"), ["dataset"], [draw], F.col(draw), "_k")
+    d = ordering.row_index(d.select(draw, "dataset", "_n"), ["dataset"], [draw], "_k")
     d = d.withColumns({"round": F.expr("_k div _n"), "_place": F.expr("_k % _n")}).drop("_n")
     rounds = d.groupBy("dataset").agg(F.max("round").alias("_r"))
     order = shards.select("dataset", "shard").join(rounds, "dataset").withColumn("round", F.explode(F.expr("sequence(0L, _r)"))).drop("_r")
     order = order.withColumn("_h", hashing.draw32(f"{seed}-o", F.col("dataset"), F.col("round"), F.col("shard")))
-    order = ordering.row_index(order, ["dataset", "round"], ["_h", "shard"], F.col("_h"), "_place")
+    order = ordering.row_index(order, ["dataset", "round"], ["_h", "shard"], "_place")
     return d.join(order, ["dataset", "round", "_place"]).select(draw, "dataset", "round", "shard")
 
 
 def shard_schedule_eval(shards: DataFrame) -> DataFrame:
     """Every shard once, round-robin over datasets."""
-    t = ordering.row_index(shards.select("dataset", "shard"), ["dataset"], ["shard"], F.col("shard"), "_turn")
-    return ordering.global_index(t, ["_turn", "dataset"], F.col("_turn"), "position").drop("_turn")
+    t = ordering.row_index(shards.select("dataset", "shard"), ["dataset"], ["shard"], "_turn")
+    return ordering.global_index(t, ["_turn", "dataset"], "position").drop("_turn")
 
 
 def assign_slots(schedule: DataFrame, position: str, world: int, workers: int) -> DataFrame:
@@ -164,8 +164,7 @@ def chunk_shuffle(items: DataFrame, index: str, chunk: int, seed: str) -> DataFr
     t = items.withColumn("_c", F.expr(f"{index} div {chunk}"))
     h = hashing.draw32(f"{seed}-c", F.col("_c"))
     t = t.withColumns({"_hc": h, "_hi": hashing.draw32(f"{seed}-i", F.col(index))})
-    rank = F.col("_hc") * F.lit(float(1 << 20)) + F.floor(F.col("_hi") / 4096)
-    return ordering.global_index(t, ["_hc", "_c", "_hi", index], rank, "position").drop("_hc", "_hi").withColumnRenamed("_c", "chunk")
+    return ordering.global_index(t, ["_hc", "_c", "_hi", index], "position").drop("_hc", "_hi").withColumnRenamed("_c", "chunk")
 
 
 def replica_of(index: Column, n: Column, world: int) -> Column:
@@ -180,7 +179,7 @@ def chunk_shuffle_replicas(items: DataFrame, index: str, chunk: int, world: int,
     start = F.floor(n * F.col("replica") / world)
     t = t.withColumn("chunk", F.floor((F.col(index) - start) / chunk).cast("bigint"))
     t = t.withColumns({"_hc": hashing.draw32(f"{seed}-c", F.col("replica"), F.col("chunk")), "_hi": hashing.draw32(f"{seed}-i", F.col(index))})
-    return ordering.row_index(t, ["replica"], ["_hc", "chunk", "_hi", index], F.col("_hc"), "position").drop("_hc", "_hi")
+    return ordering.row_index(t, ["replica"], ["_hc", "chunk", "_hi", index], "position").drop("_hc", "_hi")
 
 
 def epoch_length(lengths: DataFrame, total_weight: float) -> DataFrame:
@@ -193,7 +192,7 @@ def epoch_length(lengths: DataFrame, total_weight: float) -> DataFrame:
 
 def sample_fraction(df: DataFrame, keys: Sequence[str], key: str, rate: Column, seed: str) -> DataFrame:
     """Exactly ``int(n * rate)`` rows of each source, chosen by hash order."""
-    t = ordering.row_index(df.withColumn("_h", hashing.draw32(seed, F.col(key))), keys, ["_h", key], F.col("_h"), "_i")
+    t = ordering.row_index(df.withColumn("_h", hashing.draw32(seed, F.col(key))), keys, ["_h", key], "_i")
     return ordering.with_length(t, keys, "_i", "_n").where(F.col("_i") < F.floor(F.col("_n") * rate)).drop("_h", "_i", "_n")
 
 
@@ -233,7 +232,7 @@ def pack_sequential(episodes: DataFrame, pack: str, size: int, length: str = "le
 
     from gaitworks.operators import fold
 
-    idx = ordering.row_index(episodes, [pack], [episode], F.col(episode), "_i")
+    idx = ordering.row_index(episodes, [pack], [episode], "_i")
     cum = ordering.running_sum(idx, F.col(length), "_off", [pack], "_i", inclusive=False)
     rows = cum.withColumn("_b", F.expr(f"_off div {size * fold_shards}")).select(pack, "_b", episode, F.col(length).alias("_len"), "_i")
     kind = dict(rows.dtypes)[pack]

@@ -46,7 +46,7 @@ def _streams(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", "event_type", "value", (micros("ts") / 1e6).alias("t"))
     ik = e.where(F.col("event_type").isin("purchase", "signup"))
     robot = e.where(~F.col("event_type").isin("purchase", "signup"))
-    robot = ordering.row_index(robot, ["user_id"], ["t", "event_id"], F.col("t"))
+    robot = ordering.row_index(robot, ["user_id"], ["t", "event_id"])
     return robot, ik.select("user_id", F.col("t").alias("armtime"), F.col("event_id").alias("ik_id"), F.col("value").alias("ik_value"))
 
 

@@ -107,7 +107,7 @@ def name_set_diff(spark, d):
 @query("intersect_index_ranges", f"""WITH {EPS}, o AS (SELECT episode_index, (sum(length) OVER (ORDER BY episode_index)-length)::bigint AS a, (sum(length) OVER (ORDER BY episode_index))::bigint AS z FROM eps),
  w AS (SELECT count(*) AS n FROM lineitem) SELECT episode_index, greatest(a, n//4)::bigint AS from_index, least(z, n//2)::bigint AS to_index FROM o, w WHERE greatest(a, n//4) < least(z, n//2)""")
 def intersect_index_ranges(spark, d):
-    o = packs.episode_offsets(_episodes(spark, d), F.col("episode_index"), ["episode_index"])
+    o = packs.episode_offsets(_episodes(spark, d), ["episode_index"])
     n = table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("n"))
     lo, hi = n.select(F.expr("n div 4")).scalar(), n.select(F.expr("n div 2")).scalar()
     r = o.select("episode_index", F.col("offset").alias("a"), (F.col("offset") + F.col("length")).alias("z"))
@@ -157,7 +157,7 @@ def even_chunks(spark, d):
 
 @query("split_skip", """WITH h AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey)-1 AS i FROM orders) SELECT o_orderkey, i%5=0 AS evaluation FROM h""")
 def split_skip(spark, d):
-    t = ordering.global_index(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], F.col("o_orderkey"), "i")
+    t = ordering.global_index(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], "i")
     return t.select("o_orderkey", (F.col("i") % 5 == 0).alias("evaluation"))
 
 
@@ -167,10 +167,10 @@ def split_skip(spark, d):
 def sort_episodes(spark, d):
     """Numeric episode order inside case-folded task order: tasks are numbered first, then both become one rank."""
     p = table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("task"), F.format_string("episode_%d", "p_partkey").alias("folder"))
-    tasks = ordering.global_index(p.select("task").distinct(), ["task"], ordering.text_rank(F.col("task")), "t")
+    tasks = ordering.global_index(p.select("task").distinct(), ["task"], "t")
     n = F.regexp_extract("folder", r"(\d+)$", 1).cast("bigint")
     t = p.withColumn("n", n).join(tasks, "task")
-    return ordering.global_index(t, ["t", "n"], F.col("t"), "position").select("p_partkey", "position")
+    return ordering.global_index(t, ["t", "n"], "position").select("p_partkey", "position")
 
 
 @query("limit_episodes", """SELECT l_suppkey, l_orderkey FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem) QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) <= 10""")
@@ -198,7 +198,7 @@ def custom_order(spark, d):
     t = table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
     at = F.coalesce(F.nullif(F.array_position(F.array(F.lit("view"), F.lit("signup"), F.lit("click")), F.col("event_type")), F.lit(0)), F.lit(99))
     # one row per registered task
-    return ordering.row_index(t.withColumns({"g": F.lit(0), "at": at}), ["g"], ["at", "event_type"], F.col("at"), "place").drop("g", "at")
+    return ordering.global_index(t.withColumn("at", at), ["at", "event_type"], "place").drop("at")
 
 
 @query("modal_value", """WITH c AS (SELECT l_orderkey AS episode_index, l_returnflag AS v, count(*) AS n FROM lineitem GROUP BY 1,2)

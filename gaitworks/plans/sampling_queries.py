@@ -161,7 +161,7 @@ SELECT o_orderkey, i, replica, chunk, row_number() OVER (PARTITION BY replica OR
 def chunk_shuffle_replicas(spark, d):
     from gaitworks.operators import ordering
 
-    o = ordering.global_index(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], F.col("o_orderkey"), "i")
+    o = ordering.global_index(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], "i")
     return K.chunk_shuffle_replicas(o, "i", 256, 3, "rep")
 
 

@@ -53,7 +53,7 @@ def stream_merge_robot_ik(spark, d):
     landed = N.finished(landed, waiting, ["event_id"])
     gap = F.abs(F.unix_micros("arm_ts") - F.unix_micros("ts"))
     best = landed.groupBy("user_id", "event_id", "ts").agg(F.min_by("ik_id", F.when(F.col("ik_id").isNotNull(), F.struct(gap, "ik_id"))).alias("ik"))
-    placed = ordering.row_index(best, ["user_id"], ["ts", "event_id"], F.unix_micros("ts"))
+    placed = ordering.row_index(best, ["user_id"], ["ts", "event_id"])
     carried = ordering.fill(placed, F.col("ik"), ["user_id"], forward="c")
     first = all_ik.groupBy("user_id").agg(F.min("arm_ts").alias("k0"), F.min_by("ik_id", F.struct("arm_ts", "ik_id")).alias("first_ik"))
     start = all_robot.groupBy("user_id").agg(F.min("ts").alias("t0"), F.count(F.lit(1)).alias("length")).join(first, "user_id")

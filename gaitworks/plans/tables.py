@@ -42,10 +42,8 @@ def steps(spark: SparkSession, d: str) -> DataFrame:
 def frames(spark: SparkSession, d: str) -> DataFrame:
     """lineitem as frames: an order is an episode, lines are its frames."""
     li = table(spark, d, "lineitem")
-    indexed = ordering.row_index(
-        li, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"],
-        rank=F.col("l_linenumber"),
-    )
+    li = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    indexed = ordering.row_index(li, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
     return indexed.select(
         F.col("l_orderkey").alias("episode_index"), "frame_index", state().alias("state"), action().alias("action"),
         F.col("l_returnflag").alias("embodiment"), F.col("l_partkey").alias("task_index"),
@@ -76,7 +74,7 @@ def emb(spark: SparkSession, d: str) -> DataFrame:
 def signal(spark: SparkSession, d: str) -> DataFrame:
     """events as a scalar signal: one user is one episode ordered by time."""
     ev = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value", "props", micros("ts").alias("us"))
-    return ordering.row_index(ev, ["user_id"], ["ts", "event_id"], rank=F.col("us"))
+    return ordering.row_index(ev, ["user_id"], ["ts", "event_id"])
 
 
 SIGNAL = """signal AS (SELECT event_id, ts, user_id, event_type, value, props, epoch_us(ts) AS us,

@@ -115,7 +115,7 @@ def absolute_chunk(spark, d):
 SELECT pack, old_index, row_number() OVER (PARTITION BY pack ORDER BY old_index) - 1 AS episode_index FROM e""")
 def reindex_episode(spark, d):
     e = steps(spark, d).select(F.col("episode_index").alias("old_index"), (F.col("episode_index") % 3).cast("bigint").alias("pack")).distinct()
-    return packs.reindex(e, ["old_index"], F.col("old_index"), "episode_index", packs_by=["pack"])
+    return packs.reindex(e, ["old_index"], "episode_index", packs_by=["pack"])
 
 
 @query("global_frame_index", f"""WITH {FRAMES}
@@ -133,7 +133,7 @@ def locate_global_index(spark, d):
     eps = steps(spark, d).groupBy("episode_index").agg(F.count(F.lit(1)).alias("length"))
     n = table(spark, d, "lineitem").agg(F.count(F.lit(1)))
     pts = table(spark, d, "events").select("event_id").withColumn("global_index", F.col("event_id") * 7 % n.scalar())
-    return packs.locate(pts, packs.episode_offsets(eps, F.col("episode_index"), ["episode_index"]), "global_index").select(
+    return packs.locate(pts, packs.episode_offsets(eps, ["episode_index"]), "global_index").select(
         "event_id", "global_index", "episode_index", "frame_index")
 
 
@@ -176,7 +176,7 @@ def initial_action(spark, d):
 SELECT episode_index, length, (sum(length) OVER (ORDER BY episode_index) - length)::bigint AS from_index, (sum(length) OVER (ORDER BY episode_index) - 1)::bigint AS to_index FROM e""")
 def episode_bounds(spark, d):
     eps = steps(spark, d).groupBy("episode_index").agg(F.count(F.lit(1)).alias("length"))
-    o = packs.episode_offsets(eps, F.col("episode_index"), ["episode_index"])
+    o = packs.episode_offsets(eps, ["episode_index"])
     return o.select("episode_index", "length", F.col("offset").alias("from_index"), (F.col("offset") + F.col("length") - 1).alias("to_index"))
 
 

@@ -9,7 +9,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: str = "8", shuffle_partitions: int = 8, memory: str = "16g") -> SparkSession:
@@ -44,6 +44,13 @@ def scratch_dir(spark: SparkSession, prefix: str) -> str:
     return f"{shared.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: it cuts lineage, fixes partitions and outlives lost executors."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def package_archive(path: str) -> str:
     """Zip the package to ``path`` for ``spark.sparkContext.addPyFile``; Python stages import it on the executors."""
     root = os.path.dirname(os.path.abspath(__file__))

@@ -65,7 +65,7 @@ def paired_files(spark: SparkSession, data_root: str, video_root: str, stem: str
         return files.where(n != "").select(n.cast("bigint").alias("episode"), "length").groupBy("episode").agg(F.count(F.lit(1)).alias("files"))
 
     both = listing(data_root).join(listing(video_root).select("episode"), "episode", "left_semi")
-    t = ordering.global_index(both, ["episode"], F.col("episode"), "position")
+    t = ordering.global_index(both, ["episode"], "position")
     return t.where(F.col("position") % every == 0)
 
 

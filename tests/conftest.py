@@ -18,13 +18,19 @@ def spark():
 
 
 @pytest.fixture
-def tiny_blocks(monkeypatch):
-    """Blocks of 4 rows, groups above 10 rows hot, cells of about 4 rows."""
+def many_parts(spark):
+    """Small tables keep their partitions, so that ranges are cut inside groups."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.fixture
+def tiny_blocks(many_parts, monkeypatch):
+    """Blocks of 4 rows, and as many ranges as there are shuffle partitions."""
     from gaitworks.operators import ordering
 
     monkeypatch.setattr(ordering, "BLOCK", 4)
-    monkeypatch.setattr(ordering, "HOT_ROWS", 10)
-    monkeypatch.setattr(ordering, "CELL_ROWS", 1)
 
 
 @pytest.fixture(scope="session")

@@ -14,43 +14,71 @@ def groups(df):
     return by
 
 
+def parts_of(df):
+    """Rows of each partition that a numbering wrote."""
+    folder, = {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/ranges-" in f}
+    return df.sparkSession.read.parquet(folder).groupBy(F.input_file_name()).count().collect()
+
+
 def test_row_index_splits_hot_groups(tiny_blocks, skewed):
-    got = ordering.row_index(skewed.withColumn("t", F.col("frame_index") * 7 + 3), ["episode_index"], ["t"], F.col("t"), "pos")
-    assert "percentile_approx" in got._jdf.queryExecution().toString()
+    got = ordering.row_index(skewed.withColumn("t", F.col("frame_index") * 7 + 3), ["episode_index"], ["t"], "pos")
     assert all(r.pos == r.frame_index for r in got.collect())
+    assert len(parts_of(got)) == 4 and max(r[1] for r in parts_of(got)) < 61  # one episode has 61 of 74 rows
 
 
-def test_row_index_survives_outlier_ranks(tiny_blocks, skewed):
-    t = F.when(F.col("frame_index") == 0, F.lit(-(10**15))).otherwise(F.col("frame_index"))
-    got = ordering.row_index(skewed.withColumn("t", t), ["episode_index"], ["t"], F.col("t"), "pos")
+def test_row_index_with_ties_nulls_and_outliers(tiny_blocks, spark, skewed):
+    t = F.when(F.col("frame_index") == 0, F.lit(-(10**15))).otherwise(F.lit(1))  # all but one are ties
+    got = ordering.row_index(skewed.withColumn("t", t), ["episode_index"], ["t", "frame_index"], "pos")
     assert all(r.pos == r.frame_index for r in got.collect())
+    rows = [(k, None if k % 3 else 1, None if k % 5 else "x") for k in range(200)]
+    got = ordering.row_index(spark.createDataFrame(rows, "k long, a int, b string"), ["a", "b"], [F.desc("k")], "pos").collect()
+    for a in (None, 1):
+        for b in (None, "x"):
+            assert [r.pos for r in sorted((r for r in got if (r.a, r.b) == (a, b)), key=lambda r: -r.k)] == list(range(sum(x[1:] == (a, b) for x in rows)))
+    assert ordering.row_index(skewed.limit(0), ["episode_index"], ["frame_index"], "pos").count() == 0
 
 
-def test_positions_are_the_same_hot_or_not_and_nothing_runs_early(spark, skewed, monkeypatch):
-    t = skewed.withColumn("t", F.col("frame_index") - F.col("frame_index") % 5)  # ties in the rank
-    want = {(r.episode_index, r.frame_index) for r in skewed.collect()}
-    for hot in (1 << 20, 10, 0):
-        monkeypatch.setattr(ordering, "HOT_ROWS", hot)
-        spark.sparkContext.setJobGroup(f"build-{hot}", "")
-        got = ordering.row_index(t, ["episode_index"], ["t", "frame_index"], F.col("t"), "pos")
-        assert not spark.sparkContext.statusTracker().getJobIdsForGroup(f"build-{hot}")
-        assert {(r.episode_index, r.pos) for r in got.collect()} == want
-        assert all(r.pos == r.frame_index for r in got.collect())
+def test_the_input_is_in_the_plan_once(tiny_blocks, spark, skewed):
+    """Numberings in a chain do not multiply: each starts from what the one before has written."""
+    t = skewed
+    for name in ("a", "b", "c"):
+        t = ordering.row_index(t, ["episode_index"], ["frame_index"], name)
+    assert t._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2
+    assert all(r.a == r.b == r.c == r.frame_index for r in t.collect())
 
 
-def test_large_keys_keep_their_order(spark, monkeypatch):
-    monkeypatch.setattr(ordering, "HOT_ROWS", 10)
-    rows = [(1, k % 7, 10**11 + 37 * k) for k in range(500)]
-    df = spark.createDataFrame(rows, "g long, line int, part long")
-    got = ordering.row_index(df, ["g"], ["line", "part"], F.col("line"), "pos").collect()
-    assert [(r.line, r.part) for r in sorted(got, key=lambda r: r.pos)] == sorted((b, c) for _, b, c in rows)
+def test_texts_with_one_beginning_are_split(many_parts, spark):
+    texts = spark.range(50_000).select(F.format_string("pick up the object number %06d", (F.col("id") * 7919) % 50_000).alias("text"), "id")
+    got = ordering.global_index(texts, ["text"], "g", {"before": F.lit(2)})
+    assert len(parts_of(got)) == 4
+    assert got.where("g <> cast(right(text, 6) as long) or before <> 2 * g").count() == 0 and got.select("g").distinct().count() == 50_000
 
 
-def test_global_index(skewed):
-    rank = F.col("episode_index") * 1000 + F.col("frame_index")
-    got = ordering.global_index(skewed, ["episode_index", "frame_index"], rank, "g", cells=64).collect()
+def test_global_index(many_parts, skewed):
+    got = ordering.global_index(skewed, ["episode_index", "frame_index"], "g", {"s": F.col("x")}).collect()
     got.sort(key=lambda r: (r.episode_index, r.frame_index))
     assert [r.g for r in got] == list(range(len(got)))
+    assert [r.s for r in got] == [sum(q.x for q in got[:i]) for i in range(len(got))]
+    assert ordering.global_index(skewed.limit(0), ["frame_index"], "g").count() == 0
+
+
+def test_merge_keeps_frames_without_a_task(many_parts, spark):
+    rows = [(e, f, t) for e, ts in ((3, ["b", None]), (1, [None, "a"]), (7, ["b", "b"])) for f, t in enumerate(ts)]
+    one = spark.createDataFrame(rows, "episode_index long, frame_index long, task string")
+    got = packs.merge_packs({"p": one, "q": one.where("episode_index > 1")}).collect()
+    got.sort(key=lambda r: r["index"])
+    assert [r["index"] for r in got] == list(range(10)) and [r.episode_index for r in got] == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4]
+    assert [(r.task, r.task_index) for r in got] == [(None, 0), ("a", 1), ("b", 2), (None, 0), ("b", 2), ("b", 2), ("b", 2), (None, 0), ("b", 2), ("b", 2)]
+    assert [(r.source_dataset, r.source_episode_index) for r in got[::2]] == [("p", 1), ("p", 3), ("p", 7), ("q", 3), ("q", 7)]
+
+
+def test_chunks_stay_whole_when_hashes_collide(many_parts, spark, monkeypatch):
+    from gaitworks.operators import sampling
+
+    draw = sampling.hashing.draw32
+    monkeypatch.setattr(sampling.hashing, "draw32", lambda seed, *c: F.lit(5) if seed.endswith("-c") else draw(seed, *c))
+    got = sampling.chunk_shuffle(spark.range(20_000), "id", 10_000, "s").orderBy("position").collect()
+    assert sum(a.chunk != b.chunk for a, b in zip(got, got[1:])) == 1
 
 
 def test_running_sum_and_fill(tiny_blocks, skewed):
@@ -141,10 +169,3 @@ def test_forward_asof_and_spans(tiny_blocks, spark):
     spans = spark.createDataFrame([(1, 2, 8, 1, "x"), (1, 5, 9, 0, "y")], "episode_index long, a long, z long, o long, text string")
     got = {r.frame_index: r.text for r in joins.first_span(frames, spans, ["episode_index"], "frame_index", "a", "z", "o", "text", width=4).collect()}
     assert got == {i: "y" if 5 <= i <= 9 else "x" if 2 <= i <= 8 else "" for i in range(23)}
-
-
-def test_text_rank_follows_byte_order(spark):
-    words = ["", "a", "ab", "abcdefgh", "abcdefgz", "b", "Zed", "\u00e9t\u00e9", "z\u00fcrich", "~"]
-    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", ordering.text_rank(F.col("w")).alias("r")).collect()
-    ranks = [r.r for r in sorted(got, key=lambda r: r.w.encode())]
-    assert ranks == sorted(ranks)
