@@ -129,7 +129,7 @@ def group_text(a: np.ndarray, b: np.ndarray, ca: np.ndarray, cb: np.ndarray, nam
     return "".join(names[words].tolist())[:-1]
 
 
-def align_tokens(episodes: DataFrame, byte_level: str, pieces: str, block_bytes: int = 4 << 20) -> DataFrame:
+def align_tokens(episodes: DataFrame, byte_level: str, pieces: str, block_bytes: int = 2 << 20) -> DataFrame:
     """Align the tokens of two tokenizers over whole instructions of ``episodes`` (episode_index, instruction).
 
     A is the byte-level vocabulary file ``byte_level`` over space + instruction, B the sentencepiece model ``pieces``,
