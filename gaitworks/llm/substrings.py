@@ -1,21 +1,24 @@
-"""Repeated passages: paragraph MinHash banding, confirmed on full shingle sets."""
+"""Repeated passages: MinHash banding of content-chosen paragraphs, confirmed on full shingle sets."""
 
 from __future__ import annotations
 
-from hashlib import blake2b
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaitworks.llm.common import components, stored, text_rows
-from gaitworks.llm.neardup import BLOCK, _links, shingle_set
+from gaitworks.llm.neardup import _MUL, _WORDS, _links
 
+WIDTH = 5  # words of a shingle
+REACH = 6  # shingles on either side that a cut must undercut
+MEMBERS = 4096  # paragraphs of a group that are compared in one task
 _FACTORS = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def choose_bands(similarity: float, miss: float = 1e-5, rows: int = 3) -> tuple[int, int]:
+def choose_bands(similarity: float, miss: float = 0.05, rows: int = 2) -> tuple[int, int]:
     """(bands, rows): the fewest bands of ``rows`` coordinates that miss a pair at ``similarity`` less often than ``miss``."""
     bands = 1
     while (1 - similarity**rows) ** bands > miss:
@@ -23,89 +26,174 @@ def choose_bands(similarity: float, miss: float = 1e-5, rows: int = 3) -> tuple[
     return bands, rows
 
 
-def paragraphs(text: str | None, least: int):
-    """(number, start, end, words, shingles) of the lines of a text that have ``least`` words; code points, end exclusive."""
-    at = 0
-    for k, line in enumerate((text or "").split("\n")):
-        n = len(line.split(None, least))
-        if n >= least:
-            yield k, at, at + len(line), line
-        at += len(line) + 1
+def _mixed(v: np.ndarray) -> np.ndarray:
+    v = v ^ (v >> np.uint64(32))
+    v *= _MUL
+    return v ^ (v >> np.uint64(29))
+
 
+class Paragraphs:
+    """Content-chosen paragraphs of a batch of texts.
 
-def _key(shingles: np.ndarray) -> bytes:
-    return blake2b(shingles.tobytes(), digest_size=16).digest()
+    Line breaks are white space like any other. A paragraph begins at a word whose 5-word shingle hashes lower than those
+    of the ``REACH`` words on either side, so that the same words are cut alike wherever they stand; the first begins with
+    the text. They have about 13 words. Those of fewer than ``WIDTH`` words have no shingle and are left out.
 
+    Arrays with an entry per paragraph: doc, number (in its text), start and end (code points), n (shingles); ``shingles``
+    is the hash of each word's shingle, ``first`` and ``last`` border a paragraph's in it.
+    """
 
-def repeated_passages(episodes: DataFrame, percent: int = 80, least_words: int = 20) -> DataFrame:
+    def __init__(self, texts: list[bytes]):
+        raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)  # a space ends each text
+        lower = np.where((raw >= 65) & (raw <= 90), raw | 32, raw)
+        white = _WHITE[raw]
+        edge = np.flatnonzero(white[1:] != white[:-1]) + 1
+        if len(raw) and not white[0]:
+            edge = np.concatenate([[0], edge])
+        starts, ends = edge[::2], edge[1::2]
+        text_end = np.cumsum([len(t) + 1 for t in texts])
+        n_words = np.diff(np.searchsorted(starts, text_end), prepend=0)
+        base = np.cumsum(n_words) - n_words
+        doc_of = np.repeat(np.arange(len(texts)), n_words)
+        self.shingles = v = self._hashes(lower, starts, ends)
+        n = len(v)
+        left = n_words[doc_of] - (np.arange(n) - base[doc_of])  # words to the end of the text
+        at = np.arange(n) - base[doc_of]
+        low_before, low_behind = np.full(n, ~np.uint64(0)), np.full(n, ~np.uint64(0))
+        for k in range(1, REACH + 1):
+            low_before[k:] = np.minimum(low_before[k:], v[:-k])
+            low_behind[:-k] = np.minimum(low_behind[:-k], v[k:])
+        cut = (at >= REACH) & (left >= REACH + WIDTH) & (v < low_before) & (v <= low_behind)
+        cut[base[n_words > 0]] = True
+        first = np.flatnonzero(cut)
+        stop = np.append(first[1:], n)
+        doc = doc_of[first]
+        number = np.arange(len(first)) - np.searchsorted(doc, doc)
+        ok = stop - first >= WIDTH
+        self.first, stop, self.doc, self.number = first[ok], stop[ok], doc[ok], number[ok]
+        self.last = stop - (WIDTH - 1)
+        self.n = self.last - self.first
+        point = np.cumsum((raw & 0xC0) != 0x80)
+        begin = np.concatenate([[0], point[text_end - 1]])[self.doc]  # code points before the text
+        self.start = point[starts[self.first]] - 1 - begin
+        self.end = point[ends[stop - 1] - 1] - begin
+
+    @staticmethod
+    def _hashes(lower: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if not len(starts):
+            return np.empty(0, np.uint64)
+        bounds = np.append(np.stack([starts, ends], 1).ravel(), len(lower)).astype(np.int32)
+        parts = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(lower))])
+        coded = parts.take(pa.array(np.arange(0, len(bounds) - 1, 2))).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))[coded.indices.to_numpy()]
+        v = np.full(len(h), WIDTH, np.uint64)
+        for i in range(WIDTH):
+            v[:len(h) - i] = (v[:len(h) - i] ^ (v[:len(h) - i] >> np.uint64(31))) * _MUL + h[i:]
+        return _mixed(v)
+
+    def _fold(self, values: np.ndarray, by: np.ufunc) -> np.ndarray:
+        if not len(self.first):
+            return np.empty(0, np.uint64)
+        between = np.stack([self.first, self.last], 1).ravel()
+        return by.reduceat(np.append(values, values[:1]), between)[::2]
+
+    def keys(self) -> np.ndarray:
+        """A hash of each paragraph's shingles, in whatever order."""
+        return self._fold(_mixed(self.shingles * np.uint64(0x9E3779B97F4A7C15)), np.add)
+
+    def bands(self, bands: int, rows: int) -> list[np.ndarray]:
+        out = []
+        for b in range(bands):
+            h = np.full(len(self.first), b, np.uint64)
+            for r in range(rows):
+                h = (h ^ (h >> np.uint64(29))) * _MUL + self._fold(self.shingles * _FACTORS[b * rows + r], np.minimum)
+            out.append(h)
+        return out
+
+    def set_of(self, k: int) -> np.ndarray:
+        return np.unique(self.shingles[self.first[k]:self.last[k]])
+
+
+def repeated_passages(episodes: DataFrame, percent: int = 80, batch_bytes: int = 2 << 20) -> DataFrame:
     """Paragraphs of instructions (episode_index, instruction) that occur again, in the same or another episode.
 
-    A paragraph is a line of at least ``least_words`` words. Two are linked when the Jaccard of their 5-word shingle
-    sets is ``percent`` or more. Bands of MinHash coordinates are chosen for high recall at that similarity; paragraphs
-    that collide in a band meet in a group named by the band's smallest member, and full sets confirm the links. Groups
-    up to ``BLOCK`` shingles are compared in one task, larger ones are cut into blocks that are compared pair by pair;
-    links that change no component are left out. Equal sets are one class from the start, so copies are not compared.
-    Components of the links are the clusters: the first paragraph (by episode_index, then place) stays.
-
-    Returns a row for each paragraph that shares its cluster: episode_index, paragraph (line from 0), start, end (code
-    points, end exclusive), component_index and component_paragraph (the one that stays), kept. What is not kept is what
-    a removal would cut. Null text has no paragraphs; a null index sorts last. Repeated rows repeat their paragraphs.
-    No rows: no rows. Further columns are ignored.
+    ``Paragraphs`` cuts whole texts into paragraphs of about 13 words at places that the words themselves choose, whatever
+    the line breaks, so that a passage inside different longer texts gives the same paragraphs. Two are linked when the
+    Jaccard of their 5-word shingle sets is ``percent`` or more. Paragraphs of equal shingles, which is what a repeated
+    passage leaves, are one class from the start, folded map-side, so copies are never compared. One of each class is
+    posted under its bands of MinHash coordinates (``choose_bands``); classes that collide in a band meet in a group named
+    by the smallest, and full sets confirm the links. Groups are compared in blocks of ``MEMBERS``, block by block; links
+    that change no component are left out. Components of the links are the clusters: the first paragraph (by
+    episode_index, then place) stays.
+
+    Returns a row for each paragraph that shares its cluster: episode_index, paragraph (number in its text, from 0),
+    start, end (code points, end exclusive), component_index and component_paragraph (the one that stays), kept. What is
+    not kept is what a removal would cut. The ends of a passage, up to the first and from the last cut inside it, belong
+    to paragraphs that go on beyond it and are not returned.
+
+    Null text and texts of fewer than five words have no paragraphs; a null index sorts last. Repeated rows repeat their
+    paragraphs. Very long texts are cut whole, a batch of their own. No rows: no rows. Further columns are ignored.
     """
     bands, width = choose_bands(percent / 100)
-    factors = _FACTORS[:bands * width]
+    names = [f"band{b}" for b in range(bands)]
     schema = pa.schema([("episode_index", pa.int64()), ("paragraph", pa.int32()), ("start", pa.int64()), ("end", pa.int64()),
-                        ("n", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64()))])
+                        ("n", pa.int32()), ("key", pa.int64()), *[(b, pa.int64()) for b in names]])
 
-    def sign(tables):
+    def batches(tables):
+        """(other columns as lists, texts) of about ``batch_bytes``."""
+        held, texts, size = [], [], 0
         for t in tables:
-            rows = []
-            for episode, text in zip(t.column(0).to_pylist(), t.column(1)):
-                for k, start, end, line in paragraphs(text.as_py(), least_words):
-                    s = shingle_set(line)
-                    if not len(s):
-                        continue
-                    low = np.full(len(factors), ~np.uint64(0))
-                    for i in range(0, len(s), 4096):
-                        low = np.minimum(low, (s[i:i + 4096, None] * factors).min(0))
-                    mixed = low.reshape(bands, width)
-                    h = np.arange(bands, dtype=np.uint64)
-                    for c in range(width):
-                        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) + mixed[:, c]
-                    rows.append((episode, k, start, end, len(s), _key(s), h.view(np.int64)))
-                if len(rows) >= 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            long = pc.fill_null(pc.binary_length(t.column(1)), 0).to_pylist()
+            others = list(zip(*[t.column(c).to_pylist() for c in range(t.num_columns) if c != 1]))
+            for k, b in enumerate(long):
+                if not b:
+                    continue
+                held.append(others[k])
+                texts.append(t.column(1)[k].as_buffer().to_pybytes())
+                size += b
+                if size >= batch_bytes:
+                    yield held, texts
+                    held, texts, size = [], [], 0
+        if texts:
+            yield held, texts
+
+    def sign(tables):
+        for held, texts in batches(tables):
+            p = Paragraphs(texts)
+            index = pa.array([h[0] for h in held], pa.int64()).take(pa.array(p.doc))
+            made = [p.number, p.start, p.end, p.n, p.keys().view(np.int64), *[b.view(np.int64) for b in p.bands(bands, width)]]
+            if len(p.doc):
+                yield pa.RecordBatch.from_arrays([index, *[pa.array(c, f.type) for c, f in zip(made, list(schema)[1:])]], schema=schema)
 
     texts = text_rows(episodes, ("episode_index", "long", "episode_index"), ("instruction", "string", "instruction"))
-    found = texts.mapInArrow(sign, "episode_index long, paragraph int, start long, `end` long, n long, key binary, bands array<long>")
-    found = stored(found.withColumn("row_no", F.monotonically_increasing_id()), "passages")
+    spec = "episode_index long, paragraph int, start long, `end` long, n int, key long, " + ", ".join(f"{b} long" for b in names)
+    found = stored(texts.mapInArrow(sign, spec).withColumn("row_no", F.monotonically_increasing_id()), "passages")
 
-    # classes of equal sets, folded map-side; their first row stands for them
-    classes = stored(found.groupBy("key").agg(F.min("row_no").alias("rep"), F.count(F.lit(1)).alias("copies")), "passage-classes")
-    reps = found.join(classes.select(F.col("rep").alias("row_no")), "row_no")
-    posted = reps.select("row_no", "n", F.explode("bands").alias("post"))
+    # classes of equal shingles, told by key, size and bands together; their first row stands for them
+    same = ["key", "n", *names]
+    classes = stored(found.groupBy(*same).agg(F.min("row_no").alias("rep"), F.count(F.lit(1)).alias("copies")), "passage-classes")
+    posted = classes.select(F.col("rep").alias("row_no"), F.explode(F.array(*names)).alias("post")).repartition("post")
     hubs = posted.groupBy("post").agg(F.min("row_no").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("post", "hub")
-    members = stored(posted.join(hubs, "post").select("hub", "row_no", "n").distinct(), "passage-members")
-    blocks = members.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    members = stored(posted.join(hubs, "post").select("hub", "row_no").distinct(), "passage-members")
+    blocks = members.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks"))
     members = members.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("row_no"), "blocks").cast("int"))
 
-    wanted = members.select("row_no").distinct().join(found.select("row_no", "episode_index", "key"), "row_no")
-    wanted = wanted.groupBy(F.col("episode_index").alias("e")).agg(F.collect_list(F.struct("row_no", "key")).alias("w"))
+    wanted = found.join(members.select("row_no").distinct(), "row_no").groupBy(F.col("episode_index").alias("e")).agg(
+        F.collect_list(F.struct("row_no", "paragraph", "key")).alias("w"))
     set_schema = pa.schema([("row_no", pa.int64()), ("sig", pa.binary()), ("shingles", pa.binary())])
 
     def full(tables):
-        for t in tables:
-            for text, w in zip(t.column(0), t.column(1).to_pylist()):
-                by_key = {x["key"]: x["row_no"] for x in w}  # a key's rows in wanted are one class, so one row
-                sets = (shingle_set(line) for *_, line in paragraphs(text.as_py(), least_words))
-                out = [{"row_no": by_key[k], "sig": b"", "shingles": s.astype("<u8").tobytes()} for s in sets if (k := _key(s)) in by_key]
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, set_schema)
-
-    sets = texts.join(wanted, F.col("episode_index").eqNullSafe(F.col("e"))).select("instruction", "w").mapInArrow(full, "row_no long, sig binary, shingles binary")
+        """Shingle sets of the wanted paragraphs; of texts with one index, those that have the paragraph where it was."""
+        for held, texts in batches(tables):
+            p = Paragraphs(texts)
+            keys, at = p.keys().view(np.int64).tolist(), {pair: k for k, pair in enumerate(zip(p.doc.tolist(), p.number.tolist()))}
+            out = [{"row_no": x["row_no"], "sig": b"", "shingles": p.set_of(k).astype("<u8").tobytes()} for d, h in enumerate(held) for x in h[0]
+                   if (k := at.get((d, x["paragraph"]))) is not None and keys[k] == x["key"]]
+            if out:
+                yield pa.RecordBatch.from_pylist(out, set_schema)
+
+    sets = texts.join(wanted, F.col("episode_index").eqNullSafe(F.col("e"))).select("w", "instruction").mapInArrow(full, "row_no long, sig binary, shingles binary")
     sets = stored(sets, "passage-sets").dropDuplicates(["row_no"])
     # every pair of blocks of a group, the smaller number on side 0
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
@@ -117,8 +205,8 @@ def repeated_passages(episodes: DataFrame, percent: int = 80, least_words: int =
 
     placed = classes.join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sizes = placed.groupBy("component").agg(F.sum("copies").alias("size")).where("size > 1").select("component")
-    placed = placed.join(sizes, "component").select("key", "component")
-    members = stored(found.select("key", "episode_index", "paragraph", "start", "end", "row_no").join(placed, "key").drop("key"), "passage-clusters")
+    placed = placed.join(sizes, "component").select(*same, "component")
+    members = stored(found.select(*same, "episode_index", "paragraph", "start", "end", "row_no").join(placed, same).drop(*same), "passage-clusters")
     order = F.struct(F.col("episode_index").isNull().alias("x"), "episode_index", "paragraph", "row_no")
     first = members.groupBy("component").agg(F.min(order).alias("f"))
     return members.join(first, "component").select(
