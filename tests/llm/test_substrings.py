@@ -92,9 +92,12 @@ def test_a_passage_is_found_whatever_surrounds_it(spark):
     rows = [(1, " ".join(some(40) + passage + some(33))), (2, " ".join(some(21) + passage + some(50))), (3, broken), (4, broken), (5, " ".join(some(200)))]
     got = substrings.repeated_passages(spark.createDataFrame(rows, "episode_index long, instruction string")).collect()
     assert {r.episode_index for r in got} == {1, 2, 3, 4}
-    assert all(any(r.component_index == 1 for r in got if r.episode_index == e) for e in (1, 2, 3, 4))
+    places = {}
+    for r in got:
+        places.setdefault((r.component_index, r.component_paragraph), set()).add(r.episode_index)
+    assert all(len(p) > 1 for p in places.values()) and any({1, 2} <= p for p in places.values()) and any(p & {1, 2} and p & {3, 4} for p in places.values())
     text = dict(rows)
-    assert all(set(text[r.episode_index][r.start:r.end].split()) <= set(passage) for r in got)
+    assert all(len(set(text[r.episode_index][r.start:r.end].split()) - set(passage)) <= 2 for r in got)  # 0.8 allows a little beyond
 
 
 def test_recall_of_fifty_word_windows(spark):
