@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from hashlib import blake2b
 
 import numpy as np
@@ -55,21 +56,16 @@ class CuckooIndex:
 
     def add(self, entry: list) -> None:
         """Store an entry whose digest is not there yet."""
-        while (left := self._place(entry)) is not None:
-            kept = [e for e in self.entries if e is not None] + [left]
-            self._make(self.buckets * 2)
-            entry = kept.pop()
-            for e in kept:
-                if (out := self._place(e)) is not None:  # full again: start over with twice the room
-                    rest = [x for x in kept if self._slot(x[0]) is None and x is not out]
-                    self._grow_with([*rest, out])
-        self.n += 1
-
-    def _grow_with(self, waiting: list[list]) -> None:
+        waiting = [entry]
         while waiting:
-            kept = [e for e in self.entries if e is not None] + waiting
-            self._make(self.buckets * 2)
-            waiting = [out for e in kept if (out := self._place(e)) is not None]
+            out = self._place(waiting[-1])
+            if out is None:
+                waiting.pop()
+            else:  # full: whatever is in the table, and the one that found no room, wait for one twice as large
+                waiting[-1] = out
+                waiting += [e for e in self.entries if e is not None]
+                self._make(self.buckets * 2)
+        self.n += 1
 
     def _place(self, entry: list) -> list | None:
         """None, or the entry that found no room."""
@@ -110,7 +106,7 @@ def normalised(text: Column | str) -> Column:
     return F.regexp_replace(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
 
 
-def exact_duplicates(episodes: DataFrame, retired: DataFrame | None = None, salts: int = 64) -> DataFrame:
+def exact_duplicates(episodes: DataFrame, retired: DataFrame | None = None, salts: int = 64, task_rows: int = 1_000_000) -> DataFrame:
     """Equal instructions among ``episodes`` (episode_index, instruction).
 
     Texts are equal when the same after white-space normalisation; of equal ones the smallest episode_index stays.
@@ -158,20 +154,22 @@ def exact_duplicates(episodes: DataFrame, retired: DataFrame | None = None, salt
 
     def merge(tables):
         index = CuckooIndex()
-        salted: dict[bytes, list[int]] = {}
         for t in tables:
             for digest, salt, episode, n in zip(*[c.to_pylist() for c in t.columns]):
                 entry = index.find(digest)
                 if entry is None:
-                    index.add([digest, episode, n])
+                    index.add([digest, episode, n, array("H", [salt])])
                 else:
                     entry[1], entry[2] = least(entry[1], episode), entry[2] + n
-                salted.setdefault(digest, []).append(salt)
-        yield from _rows(([d, s, *index.find(d)[1:]] for d, all_salts in salted.items() for s in all_salts), part)
+                    entry[3].append(salt)
+        yield from _rows(([e[0], s, e[1], e[2]] for e in index.entries if e is not None for s in e[3]), part)
 
     schema = "digest binary, salt int, keep_index long, group_size long"
-    partial = marked.select("digest", "salt", "episode_index", "live").repartition("digest", "salt").mapInArrow(fold, schema)
-    groups = partial.repartition("digest").mapInArrow(merge, schema)
+    # an index is held in a task's memory: beyond ``task_rows`` rows a task there are more tasks than the session asks for
+    tasks = -(-marked.count() // task_rows)
+    many = (tasks,) if tasks > int(marked.sparkSession.conf.get("spark.sql.shuffle.partitions")) else ()
+    partial = marked.select("digest", "salt", "episode_index", "live").repartition(*many, "digest", "salt").mapInArrow(fold, schema)
+    groups = partial.repartition(*many, "digest").mapInArrow(merge, schema)
     return marked.join(groups, ["digest", "salt"], "left").select(
         "episode_index", F.when(F.col("live") == 1, F.col("keep_index")).alias("keep_index"),
         F.when(F.col("live") == 1, F.col("group_size")).otherwise(0).cast("long").alias("group_size"),

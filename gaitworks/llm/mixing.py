@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,7 +83,7 @@ def mix_sources(
     targets = mix_targets(rows.groupBy("source_dataset").agg(F.sum("size").alias("source_size")), weights, share, most)
     # slots of each source: rounded targets, at most the whole passes that its limit leaves
     targets = targets.withColumn("blocks", F.ceil(F.col("source_size") / F.lit(block)).cast("long"))
-    targets = targets.withColumn("slots", F.least(F.round(F.col("target") / F.lit(block)), F.col("blocks") * F.lit(int(most))).cast("long"))
+    targets = targets.withColumn("slots", F.least(F.round(F.col("target") / F.lit(block)), F.col("blocks") * F.lit(ceil(most))).cast("long"))
     targets = stored(targets, "mix-targets")
     n_slots = targets.agg(F.sum("slots")).first()[0] or 0
     counts = rows.groupBy("source_dataset", F.pmod("h", F.lit(cells)).alias("cell")).agg(F.sum("size").alias("cell_size"))
@@ -140,3 +142,34 @@ def mix_sources(
     took = covers.join(taken_blocks, ["source_no", "block_no"]).groupBy("row_no").agg(F.sum(F.col("times") * words).alias("taken"))
     return placed.join(took, "row_no", "left").select(
         "episode_index", "size", "source_dataset", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "row_no")
+
+
+def whole_episode_times(episodes: DataFrame, seed: int = 11) -> DataFrame:
+    """How often each whole episode of ``episodes`` goes into the mixture of ``mix_sources``, so that the words of each
+    dataset meet its target to half an episode: source_dataset, episode_index, times (above 0).
+
+    An episode is there as often as the mixture takes all of it. What its dataset then lacks is made up of episodes of
+    which the mixture takes a part more, in the order of a hash draw divided by that part: the larger the part, the
+    likelier the episode. Episodes without words weigh nothing and stay once. Repeated rows of one episode and dataset
+    are one here. Null index and dataset are values of their own. No rows: no rows.
+    """
+    mixed = mix_sources(episodes, seed=seed).groupBy("source_dataset", "episode_index").agg(
+        F.sum("taken").alias("taken"), F.sum("size").alias("size"), F.first("target").alias("target"))
+    mixed = mixed.withColumn("whole", F.when(F.col("size") == 0, 1).otherwise(F.expr("taken div size")))
+    mixed = stored(mixed.withColumn("part", F.col("taken") - F.col("whole") * F.col("size")), "mixed")
+    lack = mixed.groupBy("source_dataset").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("lack"))
+    draw = (F.pmod(F.xxhash64(F.lit(seed), F.lit("whole"), "episode_index"), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52)) * F.col("size") / F.col("part")
+    # words before each episode in that order, in cells of the draw as in mix_sources
+    cells = max(8, int(mixed.count() ** 0.5))
+    parts = mixed.where("part > 0").withColumn("draw", draw).withColumn("cell", F.floor(F.col("draw") / (F.col("draw") + 1) * cells))
+    to_cell = Window.partitionBy("source_dataset").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.groupBy("source_dataset", "cell").agg(F.sum("size").alias("words"))
+    base = base.select(F.col("source_dataset").alias("s"), F.col("cell").alias("c"), F.coalesce(F.sum("words").over(to_cell), F.lit(0)).alias("base"))
+    in_cell = Window.partitionBy("source_dataset", "cell").orderBy("draw", "episode_index").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("within", F.coalesce(F.sum("size").over(in_cell), F.lit(0)))
+    parts = parts.join(base, F.col("source_dataset").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c")))
+    parts = parts.join(lack.withColumnRenamed("source_dataset", "s2"), F.col("source_dataset").eqNullSafe(F.col("s2")))
+    once_more = F.when(F.col("base") + F.col("within") + F.col("size") / 2 <= F.col("lack"), 1).otherwise(0)
+    times = parts.select("source_dataset", "episode_index", (F.col("whole") + once_more).alias("times"))
+    times = times.unionByName(mixed.where("part <= 0 or size = 0").select("source_dataset", "episode_index", F.col("whole").alias("times")))
+    return times.where("times > 0").withColumn("times", F.col("times").cast("int"))

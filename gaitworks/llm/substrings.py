@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -115,6 +116,34 @@ class Paragraphs:
         return np.unique(self.shingles[self.first[k]:self.last[k]])
 
 
+def _links_of_groups(percent: int):
+    """Links inside many small groups of one frame (hub, row_no, sig, shingles)."""
+    one_by_one = _links(percent, 0)
+
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["hub", "row_no"], kind="stable")
+        no, border = rows["row_no"].to_numpy(np.int64), np.flatnonzero(np.diff(rows["hub"].to_numpy(), prepend=-1, append=-1))
+        sets = [np.frombuffer(x, "<u8") for x in rows["shingles"]]
+        a, b, more = [], [], []
+        for lo, hi in zip(border.tolist(), border[1:].tolist()):
+            if hi - lo > 8:
+                more.append(one_by_one(rows.iloc[lo:hi].assign(side=0, first=False)))
+                continue
+            for i in range(lo, hi):
+                for j in range(i + 1, hi):
+                    x, y = sets[i], sets[j]
+                    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                        continue
+                    both = np.sort(np.concatenate([x, y]))
+                    both = int((both[1:] == both[:-1]).sum())
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        a.append(no[i])
+                        b.append(no[j])
+        return pd.concat([pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(b, dtype="int64")}), *more])
+
+    return link
+
+
 def repeated_passages(episodes: DataFrame, percent: int = 80, batch_bytes: int = 2 << 20) -> DataFrame:
     """Paragraphs of instructions (episode_index, instruction) that occur again, in the same or another episode.
 
@@ -123,7 +152,8 @@ def repeated_passages(episodes: DataFrame, percent: int = 80, batch_bytes: int =
     Jaccard of their 5-word shingle sets is ``percent`` or more. Paragraphs of equal shingles, which is what a repeated
     passage leaves, are one class from the start, folded map-side, so copies are never compared. One of each class is
     posted under its bands of MinHash coordinates (``choose_bands``); classes that collide in a band meet in a group named
-    by the smallest, and full sets confirm the links. Groups are compared in blocks of ``MEMBERS``, block by block; links
+    by the smallest, and full sets confirm the links. Groups above ``MEMBERS`` are cut into blocks that are compared pair by pair, smaller ones go
+    many to a frame; links
     that change no component are left out. Components of the links are the clusters: the first paragraph (by
     episode_index, then place) stays.
 
@@ -195,13 +225,16 @@ def repeated_passages(episodes: DataFrame, percent: int = 80, batch_bytes: int =
 
     sets = texts.join(wanted, F.col("episode_index").eqNullSafe(F.col("e"))).select("w", "instruction").mapInArrow(full, "row_no long, sig binary, shingles binary")
     sets = stored(sets, "passage-sets").dropDuplicates(["row_no"])
-    # every pair of blocks of a group, the smaller number on side 0
+    # groups of one block go many to a frame; of others every pair of blocks, the smaller number on side 0
+    frames = max(1, members.count() // 20_000)
+    few = members.where("blocks = 1").select(F.pmod(F.xxhash64("hub"), F.lit(frames)).alias("frame"), "hub", "row_no").join(sets, "row_no")
+    few = few.groupBy("frame").applyInPandas(_links_of_groups(percent), "a long, b long")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")
-    tasks = members.select("hub", "row_no", "block", other).select(
+    tasks = members.where("blocks > 1").select("hub", "row_no", "block", other).select(
         "hub", F.least("block", "o").alias("a"), F.greatest("block", "o").alias("b"), "row_no",
         F.when(F.col("block") <= F.col("o"), 0).otherwise(1).alias("side"), F.lit(False).alias("first"))
     links = tasks.join(sets, "row_no").groupBy("hub", "a", "b").applyInPandas(_links(percent, 0), "a long, b long")
-    joined = components(links, "passage-components").withColumnRenamed("node", "rep")
+    joined = components(few.unionByName(links), "passage-components").withColumnRenamed("node", "rep")
 
     placed = classes.join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sizes = placed.groupBy("component").agg(F.sum("copies").alias("size")).where("size > 1").select("component")

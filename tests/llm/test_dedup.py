@@ -146,3 +146,16 @@ def test_near_duplicates_of_few_equal_coordinates(spark):
     df = spark.createDataFrame(rows, "episode_index long, instruction string")
     assert sorted(map(tuple, neardup.near_duplicates(df, percent=80).collect())) == brute_near(rows, 80)
     assert sum(r[3] for r in brute_near(rows, 80)) == 3
+
+
+def test_a_table_that_overflows_while_it_is_rebuilt(monkeypatch):
+    from gaitworks.llm import cuckoo
+
+    monkeypatch.setattr(cuckoo, "KICKS", 0)
+    for seed in range(300):
+        rnd, index = random.Random(seed), CuckooIndex(1)
+        keys = [rnd.randbytes(8) for _ in range(60)]
+        for k in keys:
+            index.add([k])
+        assert sorted(e[0] for e in index.entries if e is not None) == sorted(keys) and index.n == 60
+        assert all(index.remove(k) and index.find(k) is None for k in keys)

@@ -67,3 +67,12 @@ def test_odd_rows(spark, odd, none):
 def test_built_in_functions_only(spark, odd):
     plan = mixing.mix_sources(odd)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_a_limit_between_whole_passes(spark):
+    rows = [(i, "w " * 100, "ab"[i % 10 == 0]) for i in range(200)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "episode_index long, instruction string, source_dataset string"), weights=(1, 9), share=1.2, most=1.5, shard_slots=256).collect()
+    target = {r.source_dataset: r.target for r in got}
+    assert target == {"a": 21_000.0, "b": 3_000.0}
+    for s, t in target.items():
+        assert abs(sum(r.taken for r in got if r.source_dataset == s) - t) <= 64

@@ -35,13 +35,18 @@ def test_stages_by_hand(spark, vocabulary):
 
     three = P.near_dedup(spark, two, D).cache()
     texts = [(r[0], r[1]) for r in rows_of(two)]
-    kept = {i for i, _, _, k in brute_near(texts) if k}
+    kept = {i for i, _, _, k in brute_near(texts, 80) if k}
     assert sorted(rows_of(three)) == sorted(r for r in rows_of(two) if r[0] in kept)
 
     four = P.mix_to_targets(spark, three, D).cache()
-    taken = {r.episode_index: round(r.taken / r.size) for r in mixing.mix_sources(queries.episodes(three)).collect()}
-    times = collections.Counter(r[0] for r in rows_of(four))
-    assert {i: n for i, n in taken.items() if n} == dict(times) and set(rows_of(four)) <= set(rows_of(three))
+    target = {r.source_dataset: r.target for r in mixing.mix_sources(queries.episodes(three)).collect()}
+    times, words, longest = collections.Counter(r[0] for r in rows_of(four)), collections.Counter(), collections.Counter()
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    for r in rows_of(four):
+        words[r[3]] += size(r[1])
+        longest[r[3]] = max(longest[r[3]], size(r[1]))
+    assert set(rows_of(four)) <= set(rows_of(three)) and max(times.values()) <= 2
+    assert all(abs(words[s] - t) <= max(longest[s], max(size(r[1]) for r in rows_of(three) if r[3] == s)) for s, t in target.items())
 
     five = P.pack(spark, four, D).collect()
     whole = {}
@@ -97,3 +102,24 @@ def test_near_dedup_from_80_percent(spark):
     texts = [w, w[:25] + ["x"] + w[26:], w[:20] + ["x"] + w[21:35] + ["y"] + w[36:]]  # 0.82 and 0.67 to the first
     docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r[0] for r in rows_of(P.near_dedup(spark, docs, D))) == [0, 2]
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_rows_that_share_an_id_are_judged_apart(spark):
+    rows = [(3, "b b", "en", "s", 3), (5, "a a", "en", "s", 3), (5, "b b", "en", "s", 3)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(rows_of(P.exact_dedup(spark, docs, D))) == rows[:2]
+    w = [f"w{k}" for k in range(60)]
+    near = [(3, " ".join(w), "en", "s", 1), (5, "all other words are in this one", "en", "s", 1), (5, " ".join(w[:-1] + ["x"]), "en", "s", 1)]
+    assert sorted(rows_of(P.near_dedup(spark, spark.createDataFrame(near, SCHEMA), D))) == near[:2]
+
+
+def test_stages_leave_clashing_columns_behind(spark):
+    rows = [(i, "pick the cup " * (1 + i % 3) + f"w{i}" + " long" * 40_000 * (i == 7), "en", "s", i, "x", "y") for i in range(12)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", episode_index string, digest string").selectExpr("*", "'z' as row_no", "'z' as times", "'z' as kept", "'z' as score", "'z' as size")
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, D)
+        assert out.columns == list(P.COLUMNS) and set(rows_of(out)) <= {r[:5] for r in rows}
+    assert {r.doc_id for r in P.pack(spark, docs, D).collect()} == set(range(12))
