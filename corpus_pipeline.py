@@ -6,23 +6,26 @@ returns packed pieces. A stage's result is written as Parquet and read again bef
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaitworks.llm import cuckoo, mixing, neardup, quality, queries
 from gaitworks.llm.common import stored
+from gaitworks.operators import ordering
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _chosen(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``kept`` (episode_index); null counts as an id."""
-    ids = kept.select(F.col("episode_index").alias("id")).distinct()
-    return docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+def _told(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` with a digest of the text as ``exact_duplicates`` sees it: with doc_id it tells a row from its like."""
+    return docs.select(*COLUMNS, F.sha2(cuckoo.normalised("text"), 256).alias("digest"))
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, trained on this input's labelled rows, predicts to be good."""
+    """Documents that the quality classifier, trained on this input's labelled rows, predicts to be good.
+
+    Null and empty texts are scored like any other; equal texts have equal scores; repeated rows stay or go together.
+    """
     rows = queries.episodes(docs)
     model = quality.fit(rows, queries.good_labels(spark, sf_dir))
     whole = docs.select(F.col("doc_id").alias("episode_index"), F.col("text").alias("instruction"), "lang", "source", "n_chars")
@@ -31,49 +34,42 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of equal texts: the smallest doc_id, once."""
+    """One row of equal texts: the smallest doc_id, once.
+
+    Null text is the empty text. A null doc_id stays only where all its equals have none. Of rows with one doc_id those
+    with different texts are judged apart; repeated rows, and rows whose texts differ in white space only, leave one.
+    """
     kept = cuckoo.exact_duplicates(queries.episodes(docs)).where("kept")
-    return _chosen(docs, kept).dropDuplicates(["doc_id", "text"])
+    kept = kept.select(F.col("episode_index").alias("id"), F.col("text_sha256").alias("sha")).distinct()
+    rows = _told(docs).join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("sha")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "digest"]).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (Jaccard of 0.8 or more): the smallest doc_id."""
-    return _chosen(docs, neardup.near_duplicates(queries.episodes(docs), percent=80).where("kept"))
+    """One document of each group of near-duplicates (Jaccard of 0.8 or more): the first by doc_id, then digest.
+
+    Rows are numbered in that order, null doc_id last, so that rows which share a doc_id are judged apart. Documents
+    without words stay.
+    """
+    order = [F.col("doc_id").asc_nulls_last(), "digest", "text", "source", "lang", "n_chars"]
+    rows = ordering.global_index(_told(docs), order, "row_no")
+    kept = neardup.near_duplicates(rows.select(F.col("row_no").alias("episode_index"), F.col("text").alias("instruction")), percent=80).where("kept")
+    return rows.join(kept.select(F.col("episode_index").alias("row_no")), "row_no", "left_semi").select(*COLUMNS)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, each 0, 1 or 2 times, so that the words of each source meet its target to half a document.
 
-    A document is there as often as the mixture takes all of it. What its source then lacks is made up of documents of
-    which the mixture takes a part more, in the order of a hash draw divided by that part: the larger the part, the
-    likelier the document. Documents without words weigh nothing in a mixture and stay once.
+    Documents without words (null or empty text too) weigh nothing and stay once; null is a source of its own. Rows of
+    one doc_id and source go together.
     """
-    mixed = mixing.mix_sources(queries.episodes(docs)).groupBy("source_dataset", F.col("episode_index").alias("id")).agg(
-        F.sum("taken").alias("taken"), F.sum("size").alias("size"), F.first("target").alias("target"))
-    mixed = mixed.withColumn("whole", F.when(F.col("size") == 0, 1).otherwise(F.expr("taken div size")))
-    mixed = stored(mixed.withColumn("part", F.col("taken") - F.col("whole") * F.col("size")), "mixed")
-    lack = mixed.groupBy("source_dataset").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("lack"))
-    draw = (F.pmod(F.xxhash64(F.lit(11), F.lit("whole"), "id"), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52)) * F.col("size") / F.col("part")
-    # words before each document in that order, in cells of the draw as in mix_sources
-    cells = max(8, int(mixed.count() ** 0.5))
-    parts = mixed.where("part > 0").withColumn("draw", draw).withColumn("cell", F.floor(F.col("draw") / (F.col("draw") + 1) * cells))
-    to_cell = Window.partitionBy("source_dataset").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    base = parts.groupBy("source_dataset", "cell").agg(F.sum("size").alias("words"))
-    base = base.select(F.col("source_dataset").alias("s"), F.col("cell").alias("c"), F.coalesce(F.sum("words").over(to_cell), F.lit(0)).alias("base"))
-    in_cell = Window.partitionBy("source_dataset", "cell").orderBy("draw", "id").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("within", F.coalesce(F.sum("size").over(in_cell), F.lit(0)))
-    parts = parts.join(base, F.col("source_dataset").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c")))
-    parts = parts.join(lack.withColumnRenamed("source_dataset", "s2"), F.col("source_dataset").eqNullSafe(F.col("s2")))
-    once_more = F.when(F.col("base") + F.col("within") + F.col("size") / 2 <= F.col("lack"), 1).otherwise(0)
-    times = parts.select("source_dataset", "id", (F.col("whole") + once_more).alias("times"))
-    times = times.unionByName(mixed.where("part <= 0 or size = 0").select("source_dataset", "id", F.col("whole").alias("times")))
-    times = times.where("times > 0").select(F.col("source_dataset").alias("s"), "id", F.col("times").cast("int").alias("times"))
+    times = mixing.whole_episode_times(queries.episodes(docs)).select(F.col("source_dataset").alias("s"), F.col("episode_index").alias("id"), "times")
     drawn = docs.select(*COLUMNS).join(times, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("s")))
     return drawn.select(*COLUMNS, F.explode(F.sequence(F.lit(1), "times")).alias("time")).drop("time")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 ids along the curve, a row per piece."""
+    """Sequences of at most 2048 ids along the curve, a row per piece. Null text is empty: its end id alone. Repeated rows are packed each."""
     return queries.packed(queries.episodes(docs))
 
 
