@@ -13,7 +13,7 @@ from gaitworks.llm.common import components, stored, text_rows
 from gaitworks.llm.neardup import _MUL, _WORDS, _links
 
 WIDTH = 5  # words of a shingle
-REACH = 6  # shingles on either side that a cut must undercut
+REACH = 7  # shingles on either side that a cut must undercut
 MEMBERS = 4096  # paragraphs of a group that are compared in one task
 _FACTORS = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -38,7 +38,7 @@ class Paragraphs:
 
     Line breaks are white space like any other. A paragraph begins at a word whose 5-word shingle hashes lower than those
     of the ``REACH`` words on either side, so that the same words are cut alike wherever they stand; the first begins with
-    the text. They have about 13 words. Those of fewer than ``WIDTH`` words have no shingle and are left out.
+    the text. They have about 15 words. Those of fewer than ``WIDTH`` words have no shingle and are left out.
 
     Arrays with an entry per paragraph: doc, number (in its text), start and end (code points), n (shingles); ``shingles``
     is the hash of each word's shingle, ``first`` and ``last`` border a paragraph's in it.
@@ -147,7 +147,7 @@ def _links_of_groups(percent: int):
 def repeated_passages(episodes: DataFrame, percent: int = 80, batch_bytes: int = 2 << 20) -> DataFrame:
     """Paragraphs of instructions (episode_index, instruction) that occur again, in the same or another episode.
 
-    ``Paragraphs`` cuts whole texts into paragraphs of about 13 words at places that the words themselves choose, whatever
+    ``Paragraphs`` cuts whole texts into paragraphs of about 15 words at places that the words themselves choose, whatever
     the line breaks, so that a passage inside different longer texts gives the same paragraphs. Two are linked when the
     Jaccard of their 5-word shingle sets is ``percent`` or more. Paragraphs of equal shingles, which is what a repeated
     passage leaves, are one class from the start, folded map-side, so copies are never compared. One of each class is
@@ -168,7 +168,7 @@ def repeated_passages(episodes: DataFrame, percent: int = 80, batch_bytes: int =
     bands, width = choose_bands(percent / 100)
     names = [f"band{b}" for b in range(bands)]
     schema = pa.schema([("episode_index", pa.int64()), ("paragraph", pa.int32()), ("start", pa.int64()), ("end", pa.int64()),
-                        ("n", pa.int32()), ("key", pa.int64()), *[(b, pa.int64()) for b in names]])
+                        ("key", pa.int64()), *[(b, pa.int64()) for b in names]])
 
     def batches(tables):
         """(other columns as lists, texts) of about ``batch_bytes``."""
@@ -192,17 +192,18 @@ def repeated_passages(episodes: DataFrame, percent: int = 80, batch_bytes: int =
         for held, texts in batches(tables):
             p = Paragraphs(texts)
             index = pa.array([h[0] for h in held], pa.int64()).take(pa.array(p.doc))
-            made = [p.number, p.start, p.end, p.n, p.keys().view(np.int64), *[b.view(np.int64) for b in p.bands(bands, width)]]
+            made = [p.number, p.start, p.end, p.keys().view(np.int64), *[b.view(np.int64) for b in p.bands(bands, width)]]
             if len(p.doc):
                 yield pa.RecordBatch.from_arrays([index, *[pa.array(c, f.type) for c, f in zip(made, list(schema)[1:])]], schema=schema)
 
     texts = text_rows(episodes, ("episode_index", "long", "episode_index"), ("instruction", "string", "instruction"))
-    spec = "episode_index long, paragraph int, start long, `end` long, n int, key long, " + ", ".join(f"{b} long" for b in names)
-    found = stored(texts.mapInArrow(sign, spec).withColumn("row_no", F.monotonically_increasing_id()), "passages")
+    spec = "episode_index long, paragraph int, start long, `end` long, key long, " + ", ".join(f"{b} long" for b in names)
+    found = stored(texts.mapInArrow(sign, spec).withColumn("row_no", F.monotonically_increasing_id()), "passages", "zstd")
 
-    # classes of equal shingles, told by key, size and bands together; their first row stands for them
-    same = ["key", "n", *names]
-    classes = stored(found.groupBy(*same).agg(F.min("row_no").alias("rep"), F.count(F.lit(1)).alias("copies")), "passage-classes")
+    # classes of equal shingles, told by 128 bits: the key and the first band; their first row stands for them
+    same = ["key", names[0]]
+    classes = stored(found.groupBy(*same).agg(
+        *[F.first(b).alias(b) for b in names[1:]], F.min("row_no").alias("rep"), F.count(F.lit(1)).alias("copies")), "passage-classes", "zstd")
     posted = classes.select(F.col("rep").alias("row_no"), F.explode(F.array(*names)).alias("post")).repartition("post")
     hubs = posted.groupBy("post").agg(F.min("row_no").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("post", "hub")
     members = stored(posted.join(hubs, "post").select("hub", "row_no").distinct(), "passage-members")
