@@ -127,39 +127,35 @@ def hand_from_openness(open_: Column, lo: Column, hi: Column, threshold: float =
     )
 
 
-# Sign flips of the 14 joints, gripper dims, linear and angular ranges, linkage lengths
+# Sign flips of the 14 joints, gripper dims; ranges of the slider (m) and of two angles (rad), lengths of the linkage (m)
 JOINT_FLIP = [1, -1, -1, 1, 1, 1, 1, 1, -1, -1, 1, 1, 1, 1]
 GRIPPER_DIMS = (6, 13)
-LINEAR_RANGE = (0.01844, 0.05800)
-ANGULAR_RANGE = (0.5476, 1.6296)
-JOINT_RANGE = (-0.6213, 1.4910)
-ARM_LENGTH, HORN_RADIUS = 0.036, 0.022
+SLIDER, TURN, JOINT = (0.01844, 0.05800), (0.5476, 1.6296), (-0.6213, 1.4910)
+ROD, HORN = 0.036, 0.022
 
 
-def linear_map(x: Column, source: tuple[float, float], target: tuple[float, float]) -> Column:
-    """The point of ``target`` that divides it as x divides ``source``."""
-    return (x - source[0]) * ((target[1] - target[0]) / (source[1] - source[0])) + target[0]
+def linkage_angle(slider: Column) -> Column:
+    """Angle of a horn that drives a slider through a rod: sin(angle) = (horn^2 + slider^2 - rod^2) / (2 horn slider)."""
+    return F.asin(V.clip((HORN**2 + slider * slider - ROD**2) / (2 * HORN * slider), -1, 1))
 
 
-def crank_angle(reach: Column) -> Column:
-    """Angle of the crank of a slider: horn, rod and slider distance form a triangle, and the law of cosines gives the
-    angle between horn and slider; the crank is measured from the slider's normal."""
-    between = (HORN_RADIUS**2 - ARM_LENGTH**2) / reach / (2 * HORN_RADIUS) + reach / (2 * HORN_RADIUS)
-    return math.pi / 2 - F.acos(V.clip(between, -1, 1))
+def _share_of(span: tuple[float, float]):
+    lo, hi = span
+    return lambda x: lo + x * (hi - lo), lambda angle: (angle - lo) / (hi - lo)
 
 
-def stroke_to_turn(x: Column) -> Column:
-    """Gripper opening as a share of the linear stroke, to the share of the angular range."""
-    return linear_map(crank_angle(linear_map(x, (0, 1), LINEAR_RANGE)), ANGULAR_RANGE, (0, 1))
+# How each unit of a gripper reading becomes an angle, and an angle that unit
+GRIPPER_UNITS = {
+    "slider share": (lambda x: linkage_angle(_share_of(SLIDER)[0](x)), None),
+    "turn share": _share_of(TURN),
+    "turn from start": (lambda x: x + TURN[0], lambda angle: angle - TURN[0]),
+    "joint share": _share_of(JOINT),
+}
 
 
-def turn_to_joint(x: Column) -> Column:
-    """Angle above the angular range's start, to the share of the joint range."""
-    return linear_map(x + ANGULAR_RANGE[0], JOINT_RANGE, (0, 1))
-
-
-def joint_to_turn(x: Column) -> Column:
-    return linear_map(x, (0, 1), JOINT_RANGE) - ANGULAR_RANGE[0]
+def gripper(x: Column, source: str, target: str) -> Column:
+    """A gripper reading in another unit, by way of the angle it stands for; swap the units for the way back."""
+    return GRIPPER_UNITS[target][1](GRIPPER_UNITS[source][0](x))
 
 
 def mirrored(v: Column, signs: Sequence[int] = tuple(JOINT_FLIP)) -> Column:

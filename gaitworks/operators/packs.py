@@ -236,6 +236,13 @@ def prune_features(frames: DataFrame, features: DataFrame, unread: Sequence[str]
     return frames.drop(*unread), features.where(~F.col(name).isin(*unread))
 
 
+def rename_feature(stats: DataFrame, old: str, new: str, feature: str = "feature") -> DataFrame:
+    """A statistics table with one feature under another name; a table that has both names is an error."""
+    clash = stats.agg(F.max(F.col(feature) == old) & F.max(F.col(feature) == new)).scalar()
+    told = F.raise_error(F.lit(f"{old} and {new} are both features")).cast("string")
+    return stats.withColumn(feature, F.when(~F.col(feature).eqNullSafe(old), F.col(feature)).when(clash, told).otherwise(F.lit(new)))
+
+
 def backfill_names(features: DataFrame, feature: str, groups: Mapping[str, Sequence[str]], order: Sequence[str], width: int) -> DataFrame:
     names = [n for g in order for n in groups[g]]
     if len(names) != width:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gaitworks.session import stored
 from gaitworks.operators import ordering, packs
 from gaitworks.plans.registry import query
 from gaitworks.plans.tables import FRAMES, SIGNAL, frames, signal, steps, table
@@ -114,12 +115,25 @@ def intersect_index_ranges(spark, d):
     return packs.intersect_ranges(r, "a", "z", lo, hi).select("episode_index", "from_index", "to_index")
 
 
+UNREAD = ["o_orderstatus", "o_totalprice", "o_orderpriority"]
+
+
+def _pruned(spark, d):
+    """orders as frames, and a features table of its columns with the values that each holds."""
+    o = table(spark, d, "orders")
+    features = o.agg(*[F.count(c).alias(c) for c in o.columns]).unpivot([], o.columns, "name", "values")
+    return packs.prune_features(o, features, UNREAD)
+
+
 @query("prune_features", """SELECT o_orderkey, o_custkey, o_orderdate FROM orders""")
 def prune_features(spark, d):
-    o = table(spark, d, "orders")
-    features = spark.createDataFrame([(n, t) for n, t in o.dtypes], "name string, dtype string")
-    frames_, kept = packs.prune_features(o, features, ["o_orderstatus", "o_totalprice", "o_orderpriority"])
-    return frames_
+    return _pruned(spark, d)[0]
+
+
+@query("prune_features_declared", """SELECT 'o_orderkey' AS name, count(o_orderkey) AS "values" FROM orders UNION ALL SELECT 'o_custkey', count(o_custkey) FROM orders
+UNION ALL SELECT 'o_orderdate', count(o_orderdate) FROM orders""")
+def prune_features_declared(spark, d):
+    return _pruned(spark, d)[1]
 
 
 @query("backfill_names", """WITH f AS (SELECT DISTINCT p_type AS name FROM part) SELECT name, CASE WHEN name='PROMO' THEN 'a0,a1,h0' ELSE '' END AS names FROM f""")
@@ -136,11 +150,12 @@ def group_spans(spark, d):
     return packs.group_spans(signal(spark, d).select("user_id", "frame_index", "event_type"), ["user_id"], "frame_index", "event_type")
 
 
-@query("stats_rename", """SELECT 'state/actions' AS feature, l_returnflag AS embodiment, round(avg(l_tax),6) AS mean FROM lineitem GROUP BY 2""")
+@query("stats_rename", """SELECT 'state/actions' AS feature, l_returnflag AS embodiment, round(avg(l_tax),6) AS mean FROM lineitem GROUP BY 2
+UNION ALL SELECT 'states', l_returnflag, round(avg(l_discount),6) FROM lineitem GROUP BY 2""")
 def stats_rename(spark, d):
-    t = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("embodiment")).agg(F.round(F.avg("l_tax"), 6).alias("mean"))
-    return t.withColumn("feature", F.lit("states/action")).withColumn(
-        "feature", F.when(F.col("feature") == "states/action", "state/actions").otherwise(F.col("feature")))
+    li = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("embodiment")).agg(F.avg("l_tax").alias("states/action"), F.avg("l_discount").alias("states"))
+    written = stored(li.unpivot("embodiment", ["states/action", "states"], "feature", "mean"), "stats")
+    return packs.rename_feature(written, "states/action", "state/actions").withColumn("mean", F.round("mean", 6))
 
 
 @query("nested_subsets", """WITH h AS (SELECT o_orderkey, row_number() OVER (ORDER BY ('0x'||substr(sha256('sub-'||o_orderkey::varchar),1,8))::bigint, o_orderkey)-1 AS rank FROM orders), s(share) AS (VALUES (0.1::double),(0.25::double),(0.5::double))

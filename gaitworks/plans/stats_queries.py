@@ -112,7 +112,7 @@ def mixture_stats_min_max(spark, d):
     return big(rounded(S.mix_stats(_mixture(spark, d), "weight", ["dim"], "min_max"), STAT), "dim")
 
 
-@query("merge_metadata_common", """WITH k AS (SELECT source AS pack, lang AS key, count(*) % 1 AS width FROM documents GROUP BY 1,2)
+@query("merge_metadata_common", """WITH k AS (SELECT source AS pack, lang AS key, max(length(lang)) AS width FROM documents GROUP BY 1,2)
 SELECT key, count(*) AS n_packs, max(width)::bigint AS width FROM k GROUP BY key
 HAVING count(*) = (SELECT count(DISTINCT pack) FROM k)""")
 def merge_metadata_common(spark, d):
@@ -120,7 +120,7 @@ def merge_metadata_common(spark, d):
 
     keys = (
         table(spark, d, "documents").groupBy(F.col("source").alias("pack"), F.col("lang").alias("key"))
-        .agg((F.count(F.lit(1)) % 1).alias("width"))
+        .agg(F.max(F.length("lang")).cast("long").alias("width"))
     )
     return packs.merge_common_keys(keys, pack="pack", key="key", config="width")
 

@@ -247,19 +247,19 @@ def flip_sql(expr: str) -> str:
 @query("joint_flip_and_gripper", flip_sql("((asin(least(greatest((0.022*0.022 + (($)*(0.05800-0.01844)+0.01844)*(($)*(0.05800-0.01844)+0.01844) - 0.036*0.036)/(2*0.022*(($)*(0.05800-0.01844)+0.01844)),-1),1)) - 0.5476)/(1.6296-0.5476))"))
 def joint_flip_and_gripper(spark, d):
     t = emb(spark, d).select("vec_id", F.slice("embedding", 1, 14).alias("v"))
-    return long(t.withColumn("f", P.on_dims(P.mirrored(F.col("v")), P.GRIPPER_DIMS, P.stroke_to_turn)), "f")
+    return long(t.withColumn("f", P.on_dims(P.mirrored(F.col("v")), P.GRIPPER_DIMS, lambda x: P.gripper(x, "slider share", "turn share"))), "f")
 
 
 @query("gripper_from_angle", flip_sql("((($)+0.5476+0.6213)/(1.4910+0.6213))"))
 def gripper_from_angle(spark, d):
     t = emb(spark, d).select("vec_id", F.slice("embedding", 1, 14).alias("v"))
-    return long(t.withColumn("f", P.on_dims(P.mirrored(F.col("v")), P.GRIPPER_DIMS, P.turn_to_joint)), "f")
+    return long(t.withColumn("f", P.on_dims(P.mirrored(F.col("v")), P.GRIPPER_DIMS, lambda x: P.gripper(x, "turn from start", "joint share"))), "f")
 
 
 @query("gripper_from_angle_inverse", flip_sql("(($)*(1.4910+0.6213)-0.6213-0.5476)"))
 def gripper_from_angle_inverse(spark, d):
     t = emb(spark, d).select("vec_id", F.slice("embedding", 1, 14).alias("v"))
-    return long(t.withColumn("f", P.on_dims(P.mirrored(F.col("v")), P.GRIPPER_DIMS, P.joint_to_turn)), "f")
+    return long(t.withColumn("f", P.on_dims(P.mirrored(F.col("v")), P.GRIPPER_DIMS, lambda x: P.gripper(x, "joint share", "turn from start"))), "f")
 
 
 @query("zero_tail_shift", long_sql("v[6:64] || [0,0,0,0,0]::double[]"))

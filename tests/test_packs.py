@@ -29,3 +29,33 @@ def test_epoch_length_fallbacks(spark):
     assert at([(10, 1.0, True), (50, 3.0, False)]) == 40.0
     assert at([(10, 0.0, True), (50, 3.0, False), (70, float("nan"), False)]) == 50.0
     assert at([(10, 0.0, True)]) == 0.0
+
+
+def test_conflicting_configs_are_an_error(spark):
+    rows = [("p", "arm", 7), ("q", "arm", 7), ("p", "hand", 1)]
+    keys = spark.createDataFrame(rows, "pack string, key string, width long")
+    assert packs.merge_common_keys(keys, "pack", "key", "width").collect() == [("arm", 2, 7)]
+    with pytest.raises(Exception, match="conflicting config for arm"):
+        packs.merge_common_keys(keys.replace(7, 8).limit(1).unionByName(keys.where("pack = 'q'")), "pack", "key", "width").collect()
+
+
+def test_a_renamed_feature_takes_no_other_name(spark):
+    stats = spark.createDataFrame([("states/action", 1.0), ("states", 2.0), (None, 3.0)], "feature string, mean double")
+    assert sorted(packs.rename_feature(stats, "states/action", "state/actions").collect(), key=lambda r: r.mean)[:2] == [("state/actions", 1.0), ("states", 2.0)]
+    with pytest.raises(Exception, match="are both features"):
+        packs.rename_feature(stats, "states/action", "states").collect()
+
+
+def test_gripper_units_there_and_back(spark):
+    from math import asin
+
+    from pyspark.sql import functions as F
+
+    from gaitworks.functions import projections as P
+
+    x = F.col("id") / 10
+    got = spark.range(11).select(P.gripper(P.gripper(x, "turn from start", "joint share"), "joint share", "turn from start").alias("same"), P.gripper(x, "slider share", "turn share").alias("turn")).collect()
+    for k, r in enumerate(got):
+        s = 0.01844 + k / 10 * (0.058 - 0.01844)
+        want = asin(min(1, max(-1, (0.022**2 + s**2 - 0.036**2) / (2 * 0.022 * s))))
+        assert abs(r.same - k / 10) < 1e-12 and abs(r.turn - (want - 0.5476) / (1.6296 - 0.5476)) < 1e-12
