@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaitworks.functions import vectors as V
 from gaitworks.operators import ordering
 
 
@@ -94,19 +95,60 @@ def interval_join(
     return joined.select(*kept)
 
 
-def first_span(
-    frames: DataFrame, spans: DataFrame, keys: Sequence[str], point: str, start: str, end: str, order: str, text: str,
-    width: int = 4096, row_key: Sequence[str] | None = None,
-) -> DataFrame:
-    """Text of the first span (by ``order``) with start <= point <= end, else the empty string."""
+TOP = 16  # log2 of the widest stretch that a span is cut into
+
+
+def _stretches(low: Column, high: Column) -> Column:
+    """The aligned stretches (level, node) that make up ``low <= x < high``; node n of level l is n * 2^l .. (n+1) * 2^l - 1.
+
+    At most two a level below ``TOP``, and there one for each whole stretch.
+    """
+    one = F.lit(1).cast("bigint")
+    shift = lambda x, level: F.call_function("shiftright", x, level)
+
+    def at(level: Column) -> Column:
+        ends = F.struct((-shift(-low, level)).alias("lo"), shift(high, level).alias("hi"))
+
+        def inside(e: Column) -> Column:
+            odd = F.array(F.when(e["lo"].bitwiseAND(one) == 1, e["lo"]), F.when(e["hi"].bitwiseAND(one) == 1, e["hi"] - 1))
+            nodes = F.when(level == TOP, F.sequence(e["lo"], e["hi"] - 1)).otherwise(F.array_distinct(F.array_compact(odd)))
+            return F.when(e["lo"] < e["hi"], F.transform(nodes, lambda n: F.struct(level.alias("_level"), n.alias("_node"))))
+
+        return V.let(ends, inside)
+
+    return F.flatten(F.array_compact(F.transform(_levels(high - low), at)))
+
+
+def _levels(length: Column) -> Column:
+    """Levels that a span of so many points can use."""
+    return F.sequence(F.lit(0), F.least(F.lit(TOP), F.floor(F.log2(length)).cast("int")))
+
+
+def first_span(frames: DataFrame, spans: DataFrame, keys: Sequence[str], point: str, start: str, end: str, order: str, text: str) -> DataFrame:
+    """Text of the first span (by ``order``, then text) with start <= point <= end, else the empty string.
+
+    ``point``, ``start`` and ``end`` are integers. What is open changes at starts and ends only: the first open span is
+    found for those marks and carried forward to the frames, so a frame is one row under however many spans. A span is
+    stored at the few aligned stretches that make it up, reduced to the first span of each; a mark asks the one stretch
+    that holds it at each level in use. No row per (frame, span) or (mark, span) arises, and a stretch holds at most
+    2^16 marks. A null point, key or bound meets nothing; an empty span neither; repeated frames stay.
+    """
     keys = list(keys)
-    row_key = list(row_key or [*keys, point])
-    half_open = spans.select(*keys, F.col(start).alias("_lo"), (F.col(end) + 1).alias("_hi"), F.struct(order, text).alias("_s"))
-    hits = (
-        interval_join(frames.select(*row_key), half_open, keys, point, "_lo", "_hi", width)
-        .groupBy(*row_key).agg(F.min("_s").alias("_s"))
+    s = spans.select(*keys, F.col(start).cast("bigint").alias("_lo"), (F.col(end).cast("bigint") + 1).alias("_hi"), F.struct(order, text).alias("_s"))
+    s = s.where(F.col("_lo") < F.col("_hi"))
+    nodes = s.select(*keys, "_s", F.inline(_stretches(F.col("_lo"), F.col("_hi")))).groupBy(*keys, "_level", "_node").agg(F.min("_s").alias("_s"))
+    levels = s.agg(_levels(F.max(F.col("_hi") - F.col("_lo")))).scalar()  # at most TOP + 1 numbers; null without spans
+    marks = s.select(*keys, F.explode(F.array("_lo", "_hi")).alias("_at")).distinct()
+    asked = marks.withColumn("_level", F.explode(levels)).withColumn("_node", F.expr("shiftright(_at, _level)"))
+    open_ = (
+        asked.join(nodes, [*keys, "_level", "_node"], "left")
+        .groupBy(*keys, F.col("_at")).agg(F.struct(F.min("_s").alias("s")).alias("_open"))
+        .select(*keys, (F.col("_at") * 2).alias("_pos"), "_open")
     )
-    return frames.join(hits, row_key, "left").withColumn(text, F.coalesce(F.col(f"_s.{text}"), F.lit(""))).drop("_s")
+    placed = frames.withColumns({"_pos": F.col(point).cast("bigint") * 2 + 1, "_frame": F.lit(True)})
+    both = ordering.fill(placed.unionByName(open_, allowMissingColumns=True), F.col("_open"), keys, "_pos", forward="_held")
+    found = F.coalesce(F.when(F.col("_pos").isNotNull(), F.col("_held.s")[text]), F.lit(""))
+    return both.where("_frame").withColumn(text, found).drop("_pos", "_frame", "_open", "_held")
 
 
 def keep_ranges(frames: DataFrame, ranges: DataFrame, keys: Sequence[str], point: str, low: str, high: str, width: int = 4096) -> DataFrame:

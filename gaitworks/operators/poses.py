@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -121,6 +122,80 @@ def resample_pose(a: Column, b: Column, f: Column) -> Column:
     )
 
 
+def _marks(chunk: Column, count: int, between) -> Column:
+    """``between(row before, row after, fraction)`` at ``count`` even marks from the first row to the last."""
+    step = 1.0 / max(count - 1, 1)
+
+    def over(rows: Column) -> Column:
+        last = F.size(rows) - 1
+
+        def mark(x: Column) -> Column:
+            i = F.greatest(F.least(F.floor(x + 1e-9).cast("int"), last - 1), F.lit(0))  # a mark on a row belongs to that row
+            pair = F.struct(F.get(rows, i).alias("a"), F.get(rows, F.least(i + 1, last)).alias("b"), F.greatest(x - i, F.lit(0.0)).alias("f"))
+            return V.let(pair, lambda p: between(p["a"], p["b"], p["f"]))
+
+        return F.transform(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda j: j * step * last), mark)
+
+    return V.let(chunk, over)
+
+
+def _unless_invalid(chunk: Column, count: int, width: int, made: Column) -> Column:
+    """``made``, or the reporting value everywhere when any value of the chunk is a marker; null for no rows."""
+    bad = F.exists(chunk, lambda row: F.exists(row, lambda x: x >= INVALID))
+    spoilt = F.array_repeat(F.array_repeat(F.lit(INVALID_OUT), width), count)
+    return F.when(bad, spoilt).when(F.size(chunk) > 0, made)
+
+
+def resample_pose_chunk(chunk: Column, count: int) -> Column:
+    """(T, 7) rows of xyz + wxyz to ``count`` even marks: linear translation, slerp along the short way.
+
+    A zero quaternion counts as no turn. Signs follow the row before, so the output is continuous over the chunk. One row
+    is repeated.
+    """
+
+    def whole(row: Column) -> Column:
+        q = F.transform(V.take_span(row, 3, 7), lambda x: x.cast("double"))
+        n = F.sqrt(V.vector_sum(V.multiply(q, q)))
+        return V.let(n, lambda m: F.when(m > 0, F.transform(q, lambda x: x / m)).otherwise(V.literal([1, 0, 0, 0])))
+
+    def signed(quats: Column) -> Column:
+        """Each row against the one before it, whose own sign counts: a running product of signs."""
+        after = lambda i: V.vector_sum(V.multiply(F.get(quats, i - 1), F.get(quats, i)))
+
+        def sign(done: Column, i: Column) -> Column:
+            against = F.get(done, i - 1) * after(i) < 0
+            return F.concat(done, F.array(F.when((i > 0) & against, -1.0).otherwise(1.0)))
+
+        signs = F.aggregate(F.sequence(F.lit(0), F.size(quats) - 1), F.array().cast("array<double>"), sign)
+        return F.zip_with(quats, signs, lambda q, s: F.transform(q, lambda x: x * s))
+
+    def between(a: Column, b: Column, f: Column) -> Column:
+        xyz = F.zip_with(V.take_span(a, 0, 3), V.take_span(b, 0, 3), lambda p, q: p + (q - p) * f)
+        return F.concat(xyz, R.slerp(V.take_span(a, 3, 7), V.take_span(b, 3, 7), f))
+
+    rows = F.zip_with(chunk, V.let(F.transform(chunk, whole), signed), lambda row, q: F.concat(V.take_span(row, 0, 3), q))
+    return _unless_invalid(chunk, count, 7, _marks(rows, count, between))
+
+
+def resample_euler_chunk(chunk: Column, count: int, width: int = 6) -> Column:
+    """(T, 6) rows of xyz + three angles, or (T, 7) with a gripper, to ``count`` even marks; angles take the short way
+    from row to row and come back in [-pi, pi)."""
+    turn = 2 * math.pi
+
+    def between(a: Column, b: Column, f: Column) -> Column:
+        def cell(x: Column, y: Column, i: Column) -> Column:
+            gap = y - x
+            short = gap - turn * F.floor((gap + math.pi) / turn)
+            # half a turn keeps the direction of the step
+            short = F.when((short == -math.pi) & (gap > 0), F.lit(math.pi)).otherwise(short)
+            at = x + short * f + math.pi
+            return F.when((i >= 3) & (i < 6), at - turn * F.floor(at / turn) - math.pi).otherwise(x + gap * f)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: cell(F.get(a, i), F.get(b, i), i))
+
+    return _unless_invalid(chunk, count, width, _marks(chunk, count, between))
+
+
 def head_to_world(p: Column, quat: Column, t: Column) -> Column:
     return V.add(R.rotate_by_quat(quat, p), t)
 

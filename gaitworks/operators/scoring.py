@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaitworks.functions import vectors as V
+
 
 def segment_of(dim: Column, segments: Mapping[str, tuple[int, int]]) -> Column:
     """Name of the half-open span holding ``dim``; null outside all."""
@@ -152,6 +154,100 @@ def frechet_moments(rows: DataFrame, keys: Sequence[str], predicted: Sequence[st
                     F.sqrt(gap).alias("cov_gap"), (dist + tp + tt - 2 * root).alias("frechet_diag"))
 
 
+def _cells(n: int) -> Column:
+    return F.sequence(F.lit(0), F.lit(n - 1))
+
+
+def _lower_root(m: Column, n: int) -> Column:
+    """Rows of the lower triangle L with L L^T = m; a direction without spread gives a column of zeros."""
+    largest = F.array_max(F.transform(_cells(n), lambda i: F.get(F.get(m, i), i)))
+
+    def row(done: Column, i: Column) -> Column:
+        def cell(made: Column, j: Column) -> Column:
+            mate = F.when(j == i, made).otherwise(F.get(done, j))
+            left = F.get(F.get(m, i), j) - F.aggregate(
+                F.zip_with(F.slice(made, 1, j), F.slice(mate, 1, j), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+            pivot = F.get(F.get(done, j), j)
+            value = F.when(j == i, F.when(left > largest * 1e-13, F.sqrt(left)).otherwise(0.0)).when(j > i, 0.0)
+            return F.concat(made, F.array(value.otherwise(F.when(pivot > 0, left / pivot).otherwise(0.0))))
+
+        return F.concat(done, F.array(F.aggregate(_cells(n), F.array().cast("array<double>"), cell)))
+
+    return F.aggregate(_cells(n), F.array().cast("array<array<double>>"), row)
+
+
+def _product(a: Column, b: Column, n: int) -> Column:
+    """a b of two n x n matrices held as rows."""
+    at = lambda row, j: F.aggregate(_cells(n), F.lit(0.0), lambda s, k: s + F.get(row, k) * F.get(F.get(b, k), j))
+    return F.transform(a, lambda row: F.transform(_cells(n), lambda j: at(row, j)))
+
+
+def _transposed(a: Column, n: int) -> Column:
+    return F.transform(_cells(n), lambda j: F.transform(a, lambda row: F.get(row, j)))
+
+
+def symmetric_eigenvalues(m: Column, n: int, sweeps: int = 12) -> Column:
+    """Eigenvalues, in no order, of a symmetric n x n matrix held as rows: cyclic Jacobi rotations.
+
+    A rotation whose off-diagonal cell is below 1e-15 of its diagonal pair is passed over, so settled matrices cost little.
+    """
+    pairs = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in range(n) for q in range(p + 1, n)])
+
+    def turned(row: Column, p: Column, q: Column, c: Column, s: Column) -> Column:
+        return F.transform(row, lambda x, k: F.when(k == p, c * x - s * F.get(row, q)).when(k == q, s * F.get(row, p) + c * x).otherwise(x))
+
+    def rotate(a: Column, pair: Column) -> Column:
+        p, q = pair["p"], pair["q"]
+        pp, qq, pq = (F.get(F.get(a, i), j) for i, j in ((p, p), (q, q), (p, q)))
+        tau = (qq - pp) / (2.0 * pq)
+        t = F.when(tau < 0, -1.0).otherwise(1.0) / (F.abs(tau) + F.sqrt(1.0 + tau * tau))
+        tan = F.when(F.abs(pq) > 1e-15 * F.sqrt(F.abs(pp * qq)), t)
+
+        def go(t: Column) -> Column:
+            c = 1.0 / F.sqrt(1.0 + t * t)
+            s = t * c
+            side = F.transform(a, lambda row: turned(row, p, q, c, s))
+
+            def rows(b: Column) -> Column:
+                mix = lambda f, g: F.zip_with(F.get(b, p), F.get(b, q), lambda x, y: f * x + g * y)
+                return F.transform(b, lambda row, k: F.when(k == p, mix(c, -s)).when(k == q, mix(s, c)).otherwise(row))
+
+            return V.let(side, rows)
+
+        return V.let(tan, lambda t: F.when(t.isNull(), a).otherwise(go(t)))
+
+    done = F.aggregate(F.flatten(F.array_repeat(pairs, sweeps)), m, rotate)
+    return V.let(done, lambda a: F.transform(_cells(n), lambda i: F.get(F.get(a, i), i)))
+
+
+def frechet_distance(rows: DataFrame, keys: Sequence[str], predicted: Sequence[str], truth: Sequence[str], eps: float = 1e-6) -> DataFrame:
+    """Squared Frechet distance between the normal fits of predicted and true actions of each group.
+
+    |m1 - m2|^2 + tr(C1) + tr(C2) - 2 tr((C2^(1/2) C1 C2^(1/2))^(1/2)), with ``eps`` on both diagonals and as the least
+    eigenvalue. The root's trace needs eigenvalues only, and with C2 = L L^T those of L^T C1 L are the same. Moments are one
+    aggregate; each group's matrices are n x n. One row has no spread. Rows with a null in any column take no part.
+    """
+    n = len(predicted)
+    whole = rows.dropna(subset=[*predicted, *truth])
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    aggs = [F.avg(c).alias(f"_m{k}{i}") for k, cs in (("p", predicted), ("t", truth)) for i, c in enumerate(cs)]
+    spread = lambda a, b: F.coalesce(F.nanvl(F.covar_samp(a, b), F.lit(None).cast("double")), F.lit(0.0))
+    aggs += [spread(cs[i], cs[j]).alias(f"_c{k}{i}_{j}") for k, cs in (("p", predicted), ("t", truth)) for i, j in pairs]
+    g = whole.groupBy(*keys).agg(F.count(F.lit(1)).alias("steps"), *aggs)
+
+    def matrix(k: str) -> Column:
+        cell = lambda i, j: F.col(f"_c{k}{min(i, j)}_{max(i, j)}") + (eps if i == j else 0.0)
+        return F.array(*[F.array(*[cell(i, j) for j in range(n)]) for i in range(n)])
+
+    total = lambda cs: sum(cs[1:], cs[0])
+    mean_sq = total([(F.col(f"_mp{i}") - F.col(f"_mt{i}")) ** 2 for i in range(n)])
+    trace = total([F.col(f"_cp{i}_{i}") + F.col(f"_ct{i}_{i}") for i in range(n)]) + 2 * n * eps
+    inner = V.let(F.struct(_lower_root(matrix("t"), n).alias("l"), matrix("p").alias("c")),
+                  lambda x: _product(_transposed(x["l"], n), _product(x["c"], x["l"], n), n))
+    root = F.aggregate(symmetric_eigenvalues(inner, n), F.lit(0.0), lambda s, x: s + F.sqrt(F.greatest(x, F.lit(float(eps)))))
+    return g.select(*keys, "steps", F.greatest(mean_sq + trace - 2 * root, F.lit(0.0)).alias("frechet"))
+
+
 def density_kl(samples: Column, target: Column) -> Column:
     """Reverse-KL estimate of one row holding its own sample vectors.
 

@@ -224,6 +224,52 @@ def resample_pose_slerp(spark, d):
     return out(t.withColumn("m", P.resample_pose(F.col("a"), F.col("b"), F.lit(0.3))), "m")
 
 
+def marks_out(df, digits: int = 5):
+    """One row per mark and dimension."""
+    t = df.select("vec_id", F.posexplode("m").alias("mark", "row")).select("vec_id", F.col("mark").cast("bigint").alias("mark"), F.posexplode("row").alias("dim", "x"))
+    return t.select("vec_id", "mark", F.col("dim").cast("bigint").alias("dim"), (F.round("x", digits) + 0.0).alias("value"))
+
+
+def chunk(rows: int, width: int):
+    """The vector as a chunk of poses; every ninth holds a marker."""
+    c = F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda i: F.slice("embedding", i * width + 1, width))
+    return F.transform(c, lambda row, i: F.when((F.col("vec_id") % 9 == 0) & (i == 4), F.array_repeat(F.lit(1e9), width)).otherwise(row))
+
+
+def marks_sql(rows: int, width: int, count: int, ctes: str, src: str, cells: list[str]) -> str:
+    """Row pairs (a, b) around each mark with its fraction f; ``src`` holds the rows."""
+    return f"""{BASE}, r AS (SELECT vec_id, i, [v[{width}*i+k] for k in range(1,{width + 1})] AS x FROM e, range({rows}) t(i)), {ctes}
+ mk AS (SELECT j AS mark, least(j*{rows - 1}//{count - 1},{rows - 2}) AS i, j*{rows - 1}/{count - 1}.0::double - least(j*{rows - 1}//{count - 1},{rows - 2}) AS f FROM range({count}) t(j)),
+ ab AS (SELECT a.vec_id, mark, f, a AS a, b AS b FROM mk JOIN {src} a ON a.i=mk.i JOIN {src} b ON b.vec_id=a.vec_id AND b.i=mk.i+1),
+ l AS (SELECT vec_id, mark, CASE WHEN vec_id%9=0 THEN [1e9 for k in range({width})] ELSE [{', '.join(cells)}] END AS l FROM ab), u AS (SELECT vec_id, mark, unnest(range(len(l))) AS dim, unnest(l) AS value FROM l)
+SELECT vec_id, mark, dim, round(value,5)+0.0 AS value FROM u"""
+
+
+CONTINUOUS = """n AS (SELECT *, sqrt(x[4]*x[4]+x[5]*x[5]+x[6]*x[6]+x[7]*x[7]) AS m FROM r), q AS (SELECT vec_id, i, x, [x[4]/m,x[5]/m,x[6]/m,x[7]/m] AS q FROM n),
+ g AS (SELECT *, CASE WHEN list_dot_product(q, lag(q) OVER (PARTITION BY vec_id ORDER BY i)) < 0 THEN -1 ELSE 1 END AS g FROM q),
+ c AS (SELECT vec_id, i, x, q, product(g) OVER (PARTITION BY vec_id ORDER BY i) AS s FROM g),"""
+TH = "acos(least(abs(list_dot_product(a.q,b.q)),1))"
+CHUNKED = [f"a.x[{k}]+(b.x[{k}]-a.x[{k}])*f" for k in (1, 2, 3)] + [
+    f"(sin((1-f)*{TH})*a.s*a.q[{k}]+sin(f*{TH})*b.s*b.q[{k}])/sin({TH})" for k in (1, 2, 3, 4)]
+
+
+@query("resample_pose_chunk", marks_sql(9, 7, 14, CONTINUOUS, "c", CHUNKED))
+def resample_pose_chunk(spark, d):
+    return marks_out(emb(spark, d).select("vec_id", P.resample_pose_chunk(chunk(9, 7), 14).alias("m")))
+
+
+TURN = "((b.x[{k}]*4-a.x[{k}]*4) - 2*pi()*floor((b.x[{k}]*4-a.x[{k}]*4+pi())/(2*pi())))"
+ANGLES = [f"a.x[{k}]*4+(b.x[{k}]*4-a.x[{k}]*4)*f" for k in (1, 2, 3)] + [
+    f"(a.x[{k}]*4+{TURN.format(k=k)}*f+pi()) - 2*pi()*floor((a.x[{k}]*4+{TURN.format(k=k)}*f+pi())/(2*pi())) - pi()" for k in (4, 5, 6)]
+
+
+@query("resample_euler_chunk", marks_sql(10, 6, 7, "", "r", ANGLES))
+def resample_euler_chunk(spark, d):
+    """Angles of four times the components, so that many steps pass half a turn."""
+    wide = F.transform(chunk(10, 6), lambda row: F.transform(row, lambda x: x * 4))
+    return marks_out(emb(spark, d).select("vec_id", P.resample_euler_chunk(wide, 7).alias("m")))
+
+
 @query("head_to_world", emit(QCTE, "m", [f"{a} + {b}" for a, b in zip(mv(EX, PT), T1)]))
 def head_to_world(spark, d):
     t = emb(spark, d).select("vec_id", R.matrix_to_quat(R.quat_to_matrix(span(0, 4))).alias("q"), span(7, 10).alias("p"), span(4, 7).alias("t"))

@@ -185,6 +185,27 @@ def frechet_moments(spark, d):
     return r(m, 5, "mean_sq", "trace_pred", "trace_true", "cov_gap", "frechet_diag")
 
 
+FIT = range(4)
+PULL = [[{0: 2.0, 1: 0.5}.get(abs(i - j), 0.0) for j in FIT] for i in FIT]  # positive definite, not diagonal
+
+
+def frechet_distance_sql() -> str:
+    """For p = S t + c with S symmetric and positive definite, C1 C2 = (S C2)^2: the root's trace is the trace of S C2."""
+    made = ", ".join("+".join(f"{PULL[i][j]}*v[{j + 1}]" for j in FIT) + f"+{i} AS p{i}, v[{i + 1}] AS t{i}" for i in FIT)
+    gap = "+".join(f"power(avg(p{i})-avg(t{i}),2)" for i in FIT)
+    trace = "+".join(f"var_samp(p{i})+var_samp(t{i})" for i in FIT)
+    root = "+".join(f"{PULL[i][j]}*covar_samp(t{i},t{j})" for i in FIT for j in FIT if PULL[i][j])
+    return f"""WITH e AS (SELECT label, embedding::double[] AS v FROM embeddings), p AS (SELECT label, {made} FROM e)
+SELECT label, count(*) AS steps, round({gap}+{trace}-2*({root}),6) AS frechet FROM p GROUP BY 1"""
+
+
+@query("frechet_distance", frechet_distance_sql())
+def frechet_distance(spark, d):
+    v = lambda j: F.get("embedding", j)
+    t = emb(spark, d).select("label", *[(sum(PULL[i][j] * v(j) for j in FIT) + float(i)).alias(f"p{i}") for i in FIT], *[v(i).alias(f"t{i}") for i in FIT])
+    return r(X.frechet_distance(t, ["label"], [f"p{i}" for i in FIT], [f"t{i}" for i in FIT], eps=0.0), 6, "frechet")
+
+
 @query("sample_density_kl", """WITH s AS (SELECT vec_id, unnest(range(3)) AS m, embedding::double[] AS v FROM embeddings),
  p AS (SELECT a.vec_id, a.m AS i, b.m AS j, list_sum(list_transform(range(16), lambda k: (a.v[a.m*16+k+1]-a.v[b.m*16+k+1])*(a.v[a.m*16+k+1]-a.v[b.m*16+k+1]))) AS d2,
   list_sum(list_transform(range(16), lambda k: (a.v[a.m*16+k+1]-a.v[48+k+1])*(a.v[a.m*16+k+1]-a.v[48+k+1]))) AS dt FROM s a JOIN s b ON a.vec_id=b.vec_id),

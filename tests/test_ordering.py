@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -167,5 +168,51 @@ def test_forward_asof_and_spans(tiny_blocks, spark):
     got = {r.frame_index: r.goal for r in joins.forward_asof(frames, marks, ["episode_index"], "frame_index", "at", "goal", F.lit("end")).collect()}
     assert got == {i: "a" if i <= 3 else "b" if i <= 11 else "c" if i <= 18 else "end" for i in range(23)}
     spans = spark.createDataFrame([(1, 2, 8, 1, "x"), (1, 5, 9, 0, "y")], "episode_index long, a long, z long, o long, text string")
-    got = {r.frame_index: r.text for r in joins.first_span(frames, spans, ["episode_index"], "frame_index", "a", "z", "o", "text", width=4).collect()}
+    got = {r.frame_index: r.text for r in joins.first_span(frames, spans, ["episode_index"], "frame_index", "a", "z", "o", "text").collect()}
     assert got == {i: "y" if 5 <= i <= 9 else "x" if 2 <= i <= 8 else "" for i in range(23)}
+
+
+def test_first_span_against_all_pairs(many_parts, spark, monkeypatch):
+    rnd = random.Random(11)
+    monkeypatch.setattr(ordering, "BLOCK", 16)
+    monkeypatch.setattr(joins, "TOP", 3)
+    frames = [(e, i, e * 100 + i) for e in (1, 2, 3) for i in range(-4, 90)] + [(1, 7, 0), (1, 7, 0), (None, 3, 0), (2, None, 0)]
+    spans = []
+    for _ in range(150):
+        a = rnd.randint(-6, 90)
+        spans.append((rnd.choice([1, 1, 1, 2]), a, a + rnd.choice([-1, 0, 1, 5, 40, 90]), rnd.randint(0, 60), rnd.choice(["x", "y", None])))
+    spans += [(1, None, 4, -9, "no"), (None, 0, 99, -9, "no"), (9, 0, 5, 0, "elsewhere")]
+    f = spark.createDataFrame(frames, "episode_index long, frame_index long, text_id long")
+    s = spark.createDataFrame(spans, "episode_index long, a long, z long, o long, text string")
+    got = joins.first_span(f, s, ["episode_index"], "frame_index", "a", "z", "o", "text")
+
+    def first(e, i):
+        open_ = [(o, text is not None, text or "") for k, a, z, o, text in spans if None not in (e, i, k, a, z) and k == e and a <= i <= z]
+        return min(open_)[2] if open_ else ""
+
+    rows = sorted(tuple(r) for r in got.where("episode_index is not null and frame_index is not null").collect())
+    assert rows == sorted((e, i, t, first(e, i)) for e, i, t in frames if e is not None and i is not None)
+    assert got.where("episode_index is null or frame_index is null").select("text").collect() == [("",), ("",)]
+    assert {r.text for r in joins.first_span(f, s.limit(0), ["episode_index"], "frame_index", "a", "z", "o", "text").collect()} == {""}
+
+
+def test_a_frame_under_many_spans_is_one_row(spark):
+    f = spark.range(2000).selectExpr("1L episode_index", "id frame_index")
+    s = spark.range(10_000).selectExpr("1L episode_index", "id % 7 a", "2000 + id % 5 z", "10000 - id o", "cast(id as string) text")
+    got = joins.first_span(f, s, ["episode_index"], "frame_index", "a", "z", "o", "text")
+    seen = []
+
+    def walk(node):
+        rows = node.metrics().get("numOutputRows")
+        if rows.isDefined() and "Join" in node.nodeName():
+            seen.append(rows.get().value())
+        kids = [node.finalPhysicalPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in node.nodeName() else []
+        children = node.children()
+        for kid in kids + [children.apply(i) for i in range(children.size())]:
+            walk(kid)
+
+    assert {r.text for r in got.where("frame_index > 6").collect()} == {"9999"}
+    df = got
+    df.collect()
+    walk(df._jdf.queryExecution().executedPlan())
+    assert seen and max(seen) < 3000

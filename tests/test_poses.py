@@ -66,3 +66,56 @@ def test_pose_delta_48(spark):
 def test_invalid_pose_marks(spark):
     df = spark.createDataFrame([([1e9] * 3 + [1.0, 0.0, 0.0, 0.0], [0.0] * 3 + [1.0, 0.0, 0.0, 0.0])], "a array<double>, b array<double>")
     assert df.select(poses.resample_pose(F.col("a"), F.col("b"), F.lit(0.5)).alias("m")).first().m == [1e9] * 7
+
+
+def slerp_marks(chunk, count):
+    """Plain loop: signs row after row, then the bracket of each mark."""
+    q = np.array([r[3:] if np.linalg.norm(r[3:]) > 0 else [1, 0, 0, 0] for r in chunk], float)
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    for i in range(1, len(q)):
+        if q[i - 1] @ q[i] < 0:
+            q[i] = -q[i]
+    at = np.linspace(0, len(chunk) - 1, count)
+    xyz = np.stack([np.interp(at, range(len(chunk)), chunk[:, k]) for k in range(3)], axis=1)
+    out = []
+    for x in at:
+        i = min(int(x + 1e-9), max(len(q) - 2, 0))
+        a, b, f = q[i], q[min(i + 1, len(q) - 1)], x - i
+        th = np.arccos(np.clip(a @ b, -1, 1))
+        out.append(a if th < 1e-9 else (np.sin((1 - f) * th) * a + np.sin(f * th) * b) / np.sin(th))
+    return np.hstack([xyz, out])
+
+
+def test_pose_chunks_against_a_loop(spark):
+    rng = np.random.default_rng(5)
+    chunks = [rng.normal(size=(t, 7)) for t in (1, 2, 3, 9, 30)]
+    chunks[3][4, 3:] = 0.0
+    chunks[2][1, 3:] = -chunks[2][0, 3:]
+    rows = [(i, [[float(x) for x in row] for row in c]) for i, c in enumerate(chunks)]
+    df = spark.createDataFrame(rows, "i int, c array<array<double>>")
+    for count in (1, 4, 9, 50):
+        for r in df.select("i", poses.resample_pose_chunk(F.col("c"), count).alias("m")).collect():
+            np.testing.assert_allclose(np.array(r.m), slerp_marks(chunks[r.i], count), atol=1e-9)
+
+
+def test_euler_chunks_against_a_loop(spark):
+    rng = np.random.default_rng(6)
+    chunks = [rng.normal(size=(t, 7)) * 3 for t in (1, 2, 5, 20)] + [np.array([[0.0] * 7, [0.0, 0, 0, np.pi, -np.pi, 9, 1]])]
+    rows = [(i, [[float(x) for x in row] for row in c]) for i, c in enumerate(chunks)]
+    df = spark.createDataFrame(rows, "i int, c array<array<double>>")
+    for count in (1, 5, 33):
+        for r in df.select("i", poses.resample_euler_chunk(F.col("c"), count, 7).alias("m")).collect():
+            c = chunks[r.i]
+            at, wound = np.linspace(0, len(c) - 1, count), np.hstack([c[:, :3], np.unwrap(c[:, 3:6], axis=0), c[:, 6:]])
+            want = np.stack([np.interp(at, range(len(c)), wound[:, k]) for k in range(7)], axis=1)
+            got = np.array(r.m)
+            np.testing.assert_allclose(got[:, [0, 1, 2, 6]], want[:, [0, 1, 2, 6]], atol=1e-9)
+            np.testing.assert_allclose(np.exp(1j * got[:, 3:6]), np.exp(1j * want[:, 3:6]), atol=1e-9)
+            assert (got[:, 3:6] >= -np.pi).all() and (got[:, 3:6] < np.pi).all()
+
+
+def test_a_marker_spoils_the_chunk_and_no_rows_give_null(spark):
+    ok = [1.0, 2.0, 3.0, 1.0, 0.0, 0.0, 0.0]
+    df = spark.createDataFrame([(0, [ok, ok[:6] + [1e8], ok]), (1, []), (2, None)], "i int, c array<array<double>>")
+    for made in (poses.resample_pose_chunk(F.col("c"), 2), poses.resample_euler_chunk(F.col("c"), 2, 7)):
+        assert [r.m for r in df.select("i", made.alias("m")).orderBy("i").collect()] == [[[1e9] * 7] * 2, None, None]

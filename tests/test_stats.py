@@ -6,7 +6,7 @@ from gaitworks.functions import embodiment, hashing
 from gaitworks.functions import projections as P
 from gaitworks.functions import vectors as V
 from gaitworks.operators import normalise as N
-from gaitworks.operators import sampling
+from gaitworks.operators import sampling, scoring
 from gaitworks.operators import stats as S
 
 
@@ -109,3 +109,40 @@ def test_repack_rejects_duplicates(spark):
         P.rename_by_patterns(df, {"a": "c", "b": "c"})
     with pytest.raises(ValueError):
         P.repack(df, {"x": "a", "x/y": "b"})
+
+
+def test_frechet_against_whole_matrix_roots(spark):
+    rng = np.random.default_rng(8)
+    n, groups = 5, {"wide": (40, 40), "flat": (3, 3), "one": (1, 1), "same": (30, 30)}
+    rows, data = [], {}
+    for name, (steps, _) in groups.items():
+        x = rng.normal(size=(steps, n)) @ rng.normal(size=(n, n))
+        y = x if name == "same" else rng.normal(size=(steps, n)) @ rng.normal(size=(n, n)) + 1
+        data[name] = x, y
+        rows += [(name, *map(float, a), *map(float, b)) for a, b in zip(x, y)]
+    rows.append(("wide", None, *[1.0] * (2 * n - 1)))
+    p, t = [f"p{i}" for i in range(n)], [f"t{i}" for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, " + ", ".join(f"{c} double" for c in p + t))
+
+    def root(m, eps):
+        w, v = np.linalg.eigh(m)
+        return v @ np.diag(np.sqrt(np.maximum(w, eps))) @ v.T
+
+    eps = 1e-6
+    got = {r.g: r for r in scoring.frechet_distance(df, ["g"], p, t, eps).collect()}
+    for name, (x, y) in data.items():
+        a, b = (np.cov(z.T) if len(z) > 1 else np.zeros((n, n)) for z in (x, y))
+        a, b = a + eps * np.eye(n), b + eps * np.eye(n)
+        s = root(b, eps)
+        want = ((x.mean(0) - y.mean(0)) ** 2).sum() + np.trace(a) + np.trace(b) - 2 * np.trace(root(s @ a @ s, eps))
+        assert got[name].steps == len(x)
+        assert got[name].frechet == pytest.approx(max(want, 0), rel=1e-6, abs=1e-6)
+    assert scoring.frechet_distance(df.limit(0), ["g"], p, t).count() == 0
+
+
+def test_eigenvalues_of_equal_and_zero_matrices(spark):
+    rng = np.random.default_rng(9)
+    ms = [np.zeros((4, 4)), np.eye(4) * 3, np.diag([1e8, 1.0, 1e-8, 0.0])] + [(lambda b: b @ b.T)(rng.normal(size=(4, 4))) for _ in range(20)]
+    df = spark.createDataFrame([(i, m.tolist()) for i, m in enumerate(ms)], "i int, m array<array<double>>")
+    for r in df.select("i", scoring.symmetric_eigenvalues(F.col("m"), 4).alias("e")).collect():
+        np.testing.assert_allclose(sorted(r.e), np.linalg.eigvalsh(ms[r.i]), rtol=1e-10, atol=1e-9 * np.abs(ms[r.i]).max())
