@@ -8,6 +8,7 @@ from gaitworks.operators import ordering
 from gaitworks.plans.registry import query
 from gaitworks.plans.tables import FRAMES, SIGNAL, frames, signal, table
 from gaitworks.streaming import jobs as N
+from gaitworks.streaming import recorder as W
 
 
 def events(spark, d):
@@ -111,6 +112,18 @@ def stream_episode_sessions(spark, d):
     return t.select("user_id", plain("session_window.start").alias("start"), plain("session_window.end").alias("stop"), "rows")
 
 
+@query("stream_recorded_episodes", """WITH o AS (SELECT *, event_type = 'purchase' AS flag, lag(ts) OVER w AS pt, lag(event_type) OVER w AS pe FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ r AS (SELECT *, sum(CASE WHEN pt IS NULL OR pe = 'purchase' OR ts - pt >= INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS episode FROM o),
+ s AS (SELECT user_id, episode::bigint AS episode, min(ts) AS start, max(ts) AS stop, count(*) AS frames, bool_or(flag) AS flagged FROM r GROUP BY 1,2)
+SELECT user_id, episode, start, stop, frames, CASE WHEN flagged THEN 'flag' WHEN lead(episode) OVER (PARTITION BY user_id ORDER BY episode) IS NOT NULL
+ OR stop + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) THEN 'gap' ELSE 'open' END AS ended FROM s""")
+def stream_recorded_episodes(spark, d):
+    """Users as recorders: a purchase flags the end of an episode, six hours of silence end it as well."""
+    e = events(spark, d).select("user_id", "event_id", "ts", (F.col("event_type") == "purchase").alias("flag"))
+    t = W.run_recorder(W.recorded_episodes(e, "user_id", "ts", "event_id", "flag", "6 hours"), "user_id")
+    return t.withColumns({"start": plain("start"), "stop": plain("stop")})
+
+
 @query("stream_dedup", "SELECT event_id, user_id, value FROM events")
 def stream_dedup(spark, d):
     e = events(spark, d).select("event_id", "user_id", "ts", "value")

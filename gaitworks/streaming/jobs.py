@@ -22,12 +22,13 @@ def file_stream(spark: SparkSession, folder: str, name: str, files_per_trigger:
     return source.parquet(folder)
 
 
-def run_available(df: DataFrame, mode: str, keys: Sequence[str] = (), path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+def run_available(df: DataFrame, mode: str, keys: Sequence[str] = (), path: str | None = None, checkpoint: str | None = None,
+                  newest: str = "_batch") -> DataFrame:
     """Process what is there and stop; results land as Parquet under ``path``.
 
     With the same ``path`` and ``checkpoint`` a later call goes on where the last one stopped, and each source row takes
-    part once.  Without them both are fresh folders in the shared folder.  In update mode the newest row per key is
-    kept: one aggregate over the landed batches.
+    part once.  Without them both are fresh folders in the shared folder.  In update mode the newest row per key, by
+    batch or by the column ``newest``, is kept: one aggregate over the landed batches.
     """
     spark = df.sparkSession
     if (path is None) != (checkpoint is None):
@@ -48,8 +49,8 @@ def run_available(df: DataFrame, mode: str, keys: Sequence[str] = (), path: str
     writer.foreachBatch(land).start().awaitTermination()
     rows = spark.read.parquet(path).drop("b")
     rest = [c for c in df.columns if c not in keys]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r"))
-    return newest.select(*keys, "_r.*")
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), newest).alias("_r"))
+    return last.select(*keys, "_r.*")
 
 
 def finished(landed: DataFrame, whole: DataFrame, keys: Sequence[str]) -> DataFrame:
