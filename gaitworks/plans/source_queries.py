@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gaitworks.functions import vectors as V
 from gaitworks.operators import sampling
 from gaitworks.plans.registry import query
 from gaitworks.plans.tables import FRAMES, emb, frames, steps, table
 from gaitworks.session import scratch_dir
+from gaitworks.sources import captures
 from gaitworks.sources import packs_io as IO
 
 
@@ -39,6 +41,21 @@ def ingest_raw_episodes(spark, d):
                     F.round(F.get("states.arm_state", 0), 6).alias("arm0"), F.round("torso_height", 6).alias("height"))
 
 
+@query("ingest_indented_captures", """WITH f AS (SELECT vec_id // 16 AS episode_index, row_number() OVER (PARTITION BY vec_id // 16 ORDER BY vec_id) - 1 AS frame_index,
+ count(*) OVER (PARTITION BY vec_id // 16) AS n, embedding::double[] AS v FROM embeddings)
+SELECT episode_index, frame_index, round(frame_index/30.0,6) AS timestamp, frame_index = n-1 AS done, round(list_sum(v[1:56]),5) AS arm_sum, round(v[64],6) AS height FROM f""")
+def ingest_indented_captures(spark, d):
+    """Sixteen vectors become the indented document of an episode folder, as a recorder writes it."""
+    frame = F.struct("vec_id", F.struct(F.slice("embedding", 1, 56).alias("arm_state")).alias("states"), F.get("embedding", 63).alias("torso_height"))
+    episodes = emb(spark, d).groupBy(F.expr("vec_id div 16").alias("episode")).agg(F.sort_array(F.collect_list(frame)).alias("data"))
+    document = F.struct(F.struct(F.lit("1.0.0").alias("version"), F.lit(30).alias("fps")).alias("info"), "data")
+    root = scratch_dir(spark, "captures")
+    episodes.select("episode", F.to_json(document, {"pretty": "true"}).alias("value")).write.partitionBy("episode").text(root)
+    t = captures.scan_captures(spark, root, "states struct<arm_state: array<double>>, torso_height double", 30.0, suffix=".txt")
+    return t.select("episode_index", "frame_index", F.round("timestamp", 6).alias("timestamp"), "done",
+                    F.round(V.vector_sum(F.col("states.arm_state")), 5).alias("arm_sum"), F.round("torso_height", 6).alias("height"))
+
+
 @query("scan_catalogue", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority IN ('1-URGENT','5-LOW') AND o_orderstatus <> 'P'")
 def scan_catalogue(spark, d):
     t = IO.scan_catalogue(spark, f"{d}/orders.parquet", ["1-URGENT", "5-LOW"], "o_orderpriority", F.col("o_orderstatus") == "P")
