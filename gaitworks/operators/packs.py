@@ -167,10 +167,17 @@ def union_common(sources: Mapping[str, DataFrame]) -> tuple[DataFrame, dict[str,
 
 
 def split_train_val(episodes: DataFrame, val: DataFrame, key: str = "episode_index") -> DataFrame:
-    """Both splits with dense new numbers; the given validation episodes must be a subset."""
-    v = val.select(key).distinct().withColumn("_v", F.lit(True))
-    t = episodes.join(v, key, "left").withColumn("split", F.when(F.col("_v"), "val").otherwise("train")).drop("_v")
-    return ordering.row_index(t, ["split"], [key], "new_index")
+    """Both splits with dense new numbers; a validation episode that the source lacks raises when it is read."""
+    v = val.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_v", F.lit(True))
+    t = episodes.withColumn("_e", F.lit(True)).join(v, key, "full")
+    unknown = F.raise_error(F.concat(F.lit("validation episode not in the source: "), F.col(key).cast("string"))).cast("string")
+    split = F.when(F.col("_e").isNull(), unknown).when(F.col("_v"), "val").otherwise("train")
+    return ordering.row_index(t.withColumn("split", split).drop("_v", "_e"), ["split"], [key], "new_index")
+
+
+def split_statistics(statistics: DataFrame, splits: Sequence[str] = ("train", "val")) -> DataFrame:
+    """Statistics of the whole data kept with each split, so that both are normalised alike."""
+    return statistics.withColumn("split", F.explode(F.array(*[F.lit(s) for s in splits])))
 
 
 def split_by_task(frames: DataFrame, tasks: DataFrame, task: str = "task_index", key: str = "episode_index") -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gaitworks.session import stored
 from gaitworks.operators import ordering, packs
 from gaitworks.plans.registry import query
-from gaitworks.plans.tables import FRAMES, SIGNAL, frames, signal, steps, table
+from gaitworks.plans.tables import FRAMES, SIGNAL, STATE_LONG, frames, signal, steps, table
 
 
 def _episodes(spark, d):
@@ -37,8 +37,24 @@ def union_common_columns(spark, d):
 @query("split_train_val", f"""WITH {EPS}, s AS (SELECT episode_index, length, CASE WHEN episode_index IN (SELECT o_orderkey FROM orders WHERE o_orderpriority='1-URGENT') THEN 'val' ELSE 'train' END AS split FROM eps)
 SELECT *, row_number() OVER (PARTITION BY split ORDER BY episode_index)-1 AS new_index FROM s""")
 def split_train_val(spark, d):
+    episodes = _episodes(spark, d)
     val = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("episode_index"))
-    return packs.split_train_val(_episodes(spark, d), val)
+    return packs.split_train_val(episodes, val.join(episodes, "episode_index", "left_semi"))  # orders without lines are no episodes
+
+
+@query("split_train_val_stats", f"""WITH {STATE_LONG}, d AS (SELECT dim::bigint AS dim, count(*) AS count, round(avg(value),6) AS mean, round(stddev_pop(value),6) AS std,
+ round(quantile_cont(value,0.01),6) AS q01, round(quantile_cont(value,0.99),6) AS q99 FROM state_long GROUP BY 1),
+ s AS (SELECT CASE WHEN o_orderpriority='1-URGENT' THEN 'val' ELSE 'train' END AS split, count(DISTINCT l_orderkey) AS episodes, count(*) AS frames FROM lineitem JOIN orders ON l_orderkey=o_orderkey GROUP BY 1)
+SELECT split, episodes, frames, dim, count, mean, std, q01, q99 FROM s, d""")
+def split_train_val_stats(spark, d):
+    """The meta data of both splits: own counts, statistics of the whole source."""
+    from gaitworks.functions import vectors as V
+    from gaitworks.operators import stats as S
+
+    own = split_train_val(spark, d).groupBy("split").agg(F.count(F.lit(1)).alias("episodes"), F.sum("length").alias("frames"))
+    whole = S.full_stats(V.explode_vector(steps(spark, d), "state"), ["dim"], few_groups=True)
+    t = packs.split_statistics(whole).join(own, "split")
+    return t.select("split", "episodes", "frames", F.col("dim").cast("bigint").alias("dim"), "count", *[F.round(c, 6).alias(c) for c in ("mean", "std", "q01", "q99")])
 
 
 @query("split_by_task", """WITH k AS (SELECT p_partkey AS task_index, row_number() OVER (ORDER BY p_partkey)-1 AS new_task_index FROM part WHERE p_type='PROMO')

@@ -59,3 +59,18 @@ def test_gripper_units_there_and_back(spark):
         s = 0.01844 + k / 10 * (0.058 - 0.01844)
         want = asin(min(1, max(-1, (0.022**2 + s**2 - 0.036**2) / (2 * 0.022 * s))))
         assert abs(r.same - k / 10) < 1e-12 and abs(r.turn - (want - 0.5476) / (1.6296 - 0.5476)) < 1e-12
+
+
+def test_split_of_unknown_validation_episodes_raises(spark):
+    episodes = spark.createDataFrame([(1, 4), (2, 6), (5, 1)], "episode_index long, length long")
+    val = lambda *ids: spark.createDataFrame([(i,) for i in ids], "episode_index long")
+    got = packs.split_train_val(episodes, val(2, 2, None)).select("episode_index", "length", "split", "new_index")
+    assert sorted(map(tuple, got.collect())) == [(1, 4, "train", 0), (2, 6, "val", 0), (5, 1, "train", 1)]
+    with pytest.raises(Exception, match="not in the source: 7"):
+        packs.split_train_val(episodes, val(2, 7)).collect()
+
+
+def test_both_splits_carry_the_statistics_of_the_whole(spark):
+    whole = spark.createDataFrame([(0, 1.5), (1, None)], "dim int, mean double")
+    got = packs.split_statistics(whole).select("split", "dim", "mean").collect()
+    assert sorted(map(tuple, got), key=lambda r: r[:2]) == [("train", 0, 1.5), ("train", 1, None), ("val", 0, 1.5), ("val", 1, None)]
