@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaitworks.functions import hashing
 from gaitworks.operators import joins, ordering
+from gaitworks.session import stored
 
 
 def rule_weight(text: Column, rules: Mapping[str, float]) -> Column:
@@ -48,20 +49,61 @@ def mixture_weights(episodes: DataFrame, weights: DataFrame, dataset: str, balan
     )
 
 
-def pick_registered(draws: DataFrame, options: DataFrame, order: str, weight: str, u: Column) -> DataFrame:
-    """Weighted choice among registered datasets: the registry travels as one literal array, no join.
+REGISTRY = 10_000  # cells of an alias table that are sent to every task; a larger table is joined by an exchange
 
-    A registry has one row per dataset, so its running total is a small window.
+
+def alias_table(options: DataFrame, order: str, weight: str) -> DataFrame:
+    """One cell per option of positive weight: ``cell`` from 0, ``own`` and ``other`` (structs of the remaining columns),
+    and ``keep``, the share of the cell that is its own.
+
+    A cell drawn evenly, then its own option below ``keep`` and the other one above it, gives each option its share of the
+    total exactly. With n options and total t, an option of weight w holds n * w of the cells' n * t. Light options lack
+    t - n * w, heavy ones have n * w - t to give; both are laid end to end along one line, so a light cell is filled by the
+    heavy option that stands where its gap begins, and a heavy one that has to give beyond its own end is filled by the
+    next. Running totals and two interval joins, whatever the size. Weights are integers; null, zero and negative ones are
+    no options; ``order`` is unique.
     """
-    live = options.where(F.col(weight) > 0)
+    if dict(options.dtypes)[weight] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{weight} must be an integer column")
     rest = [c for c in options.columns if c != weight]
-    w = Window.partitionBy(F.lit(0)).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = live.select(F.sum(weight).over(w).alias("_hi"), *rest)
-    table = rows.agg(F.sort_array(F.collect_list(F.struct("_hi", *rest))).alias("_t")).scalar()
-    got = draws.withColumn("_t", table)
-    p = F.floor(u * F.element_at("_t", -1)["_hi"])
-    got = got.withColumn("_p", p).withColumn("_o", F.get(F.filter("_t", lambda x: x["_hi"] > F.col("_p")), 0))
-    return got.select(*draws.columns, *[F.col(f"_o.{c}").alias(c) for c in rest])
+    live = stored(options.where(F.col(weight) > 0).select(F.col(weight).cast("bigint").alias("_w"), F.struct(*rest).alias("own"), F.col(order).alias("_o")), "registry")
+    n, total = live.agg(F.count(F.lit(1))).scalar(), live.agg(F.sum("_w")).scalar()
+    mass = live.withColumns({"_m": F.col("_w") * n, "_t": total})
+    mass = mass.withColumns({"_rank": F.signum(F.col("_m") - F.col("_t")).cast("int"), "_d": F.abs(F.col("_m") - F.col("_t"))})
+    # light options, even ones, which lack and give nothing, and heavy ones
+    cells = stored(ordering.global_index(mass, ["_rank", "_o"], "cell", {"_lo": F.col("_d")}), "cells")
+    light, heavy = cells.where("_rank = -1"), cells.where("_rank = 1")
+    lacking = F.coalesce(light.agg(F.sum("_d")).scalar(), F.lit(0))
+    heavy = heavy.withColumn("_lo", F.col("_lo") - lacking)
+    line = lambda t: t.withColumns({"_hi": F.col("_lo") + F.col("_d"), "_at": F.lit(0)})
+    light, heavy = line(light), line(heavy)
+    width = lambda t: joins.span_width(t, F.col("_d"))
+    givers = heavy.select("_at", F.col("_lo").alias("_from"), F.col("_hi").alias("_to"), F.col("own").alias("other"))
+    filled = joins.interval_join(light, givers, ["_at"], "_lo", "_from", "_to", width(heavy))
+    gaps = light.select("_at", F.col("_lo").alias("_from"), F.col("_hi").alias("_to"))
+    ends = joins.interval_join(heavy.withColumn("_last", F.col("_hi") - 1), gaps, ["_at"], "_last", "_from", "_to", width(light))
+    following = heavy.select((F.col("cell") - 1).alias("cell"), F.col("own").alias("other"))
+    ends = ends.join(following, "cell", "left")
+    kept = lambda t, keep: t.select("cell", "own", F.coalesce("other", "own").alias("other"), (keep / F.col("_t")).alias("keep"))
+    return (
+        kept(cells.where("_rank = 0").withColumn("other", F.col("own")), F.col("_t"))
+        .unionByName(kept(filled, F.col("_m")))
+        .unionByName(kept(ends, F.col("_t") - (F.col("_to") - F.col("_hi"))))
+    )
+
+
+def pick_registered(draws: DataFrame, options: DataFrame, order: str, weight: str, u: Column, coin: Column) -> DataFrame:
+    """Weighted choice among registered datasets by an alias table: ``u`` names the cell, ``coin`` one of its two options.
+
+    A table of at most ``REGISTRY`` cells is broadcast after they were counted; a larger one is joined on the cell, which
+    spreads evenly whatever the weights. Without an option of positive weight nothing is drawn.
+    """
+    table = stored(alias_table(options, order, weight), "alias")
+    n = table.count()
+    cells = F.broadcast(table) if n <= REGISTRY else table
+    at = draws.withColumns({"_cell": F.floor(u * n).cast("bigint"), "_coin": coin})
+    got = at.join(cells, F.col("_cell") == F.col("cell")).withColumn("_o", F.when(F.col("_coin") < F.col("keep"), F.col("own")).otherwise(F.col("other")))
+    return got.select(*draws.columns, *[F.col(f"_o.{c}").alias(c) for c in options.columns if c != weight])
 
 
 def pick_weighted(draws: DataFrame, options: DataFrame, key: str, order: str, weight: str, u: Column) -> DataFrame:
@@ -82,6 +124,10 @@ def pick_weighted(draws: DataFrame, options: DataFrame, key: str, order: str, we
     return joins.interval_join(at, spans.drop("_i"), [key], "_p", "_lo", "_hi", joins.span_width(live, F.col(weight))).drop("_p", "_lo", "_hi")
 
 
+def _cell_and_coin(seed: str, *key: Column) -> tuple[Column, Column]:
+    return hashing.uniform(seed, *key), hashing.uniform(f"{seed}-coin", *key)
+
+
 def mixture_sample(draws: DataFrame, draw: str, datasets: DataFrame, episodes: DataFrame, seed: str) -> DataFrame:
     """Dataset by weight times length, episode by usable steps, step uniform in [0, usable).
 
@@ -92,7 +138,7 @@ def mixture_sample(draws: DataFrame, draw: str, datasets: DataFrame, episodes: D
     per = e.groupBy("dataset").agg(F.sum("length").alias("_len"), F.sum("usable").alias("_use")).join(datasets, "dataset")
     per = per.where("_use > 0").select("dataset", (F.col("weight") * F.col("_len")).cast("bigint").alias("weight"))
     episodes = e
-    d = pick_registered(draws, per, "dataset", "weight", hashing.uniform(f"{seed}-d", F.col(draw)))
+    d = pick_registered(draws, per, "dataset", "weight", *_cell_and_coin(f"{seed}-d", F.col(draw)))
     e = pick_weighted(
         d.select(draw, "dataset"), episodes.select("dataset", "episode_index", "usable"), "dataset", "episode_index", "usable",
         hashing.uniform(f"{seed}-e", F.col(draw)))
@@ -102,7 +148,7 @@ def mixture_sample(draws: DataFrame, draw: str, datasets: DataFrame, episodes: D
 
 def batch_mixture(draws: DataFrame, draw: str, datasets: DataFrame, seed: str, batch: int, world: int) -> DataFrame:
     """Dataset by ratio, uniform local index, rank = draw % world, batches of B inside a rank."""
-    d = pick_registered(draws, datasets, "dataset", "weight", hashing.uniform(f"{seed}-d", F.col(draw)))
+    d = pick_registered(draws, datasets, "dataset", "weight", *_cell_and_coin(f"{seed}-d", F.col(draw)))
     local = F.floor(hashing.uniform(f"{seed}-i", F.col(draw)) * F.col("length")).cast("bigint")
     i = F.col(draw)
     return d.select(draw, "dataset", local.alias("local_index"), (i % world).alias("rank"), F.expr(f"({draw} div {world}) div {batch}").alias("batch"))
@@ -110,7 +156,7 @@ def batch_mixture(draws: DataFrame, draw: str, datasets: DataFrame, seed: str, b
 
 def token_batches(batches: DataFrame, batch: str, datasets: DataFrame, budget: int, world: int, seed: str, epoch: int = 0) -> DataFrame:
     """Per batch one dataset on every rank; batch size fits the token budget; samples differ by rank and epoch."""
-    d = pick_registered(batches, datasets, "dataset", "weight", hashing.uniform(f"{seed}-d-{epoch}", F.col(batch)))
+    d = pick_registered(batches, datasets, "dataset", "weight", *_cell_and_coin(f"{seed}-d-{epoch}", F.col(batch)))
     size = F.greatest(F.lit(1), F.expr(f"{budget} div tokens")).cast("int")
     t = d.withColumn("batch_size", size).withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(world - 1))))
     t = t.withColumn("slot", F.explode(F.expr("sequence(0, batch_size - 1)")))
@@ -129,7 +175,7 @@ def shard_schedule_train(draws: DataFrame, draw: str, shards: DataFrame, weights
     """Datasets drawn by weight / mean shard size; within a dataset shards come in hash-shuffled rounds."""
     per = shards.groupBy("dataset").agg(F.avg("length").alias("_mean"), F.count(F.lit(1)).alias("_n")).join(weights, "dataset")
     ratio = per.select("dataset", F.round(F.col("weight") / F.col("_mean") * 1e9).cast("bigint").alias("weight"), "_n")
-    d = pick_registered(draws, ratio, "dataset", "weight", hashing.uniform(f"{seed}-d", F.col(draw)))
+    d = pick_registered(draws, ratio, "dataset", "weight", *_cell_and_coin(f"{seed}-d", F.col(draw)))
     d = ordering.row_index(d.select(draw, "dataset", "_n"), ["dataset"], [draw], "_k")
     d = d.withColumns({"round": F.expr("_k div _n"), "_place": F.expr("_k % _n")}).drop("_n")
     rounds = d.groupBy("dataset").agg(F.max("round").alias("_r"))

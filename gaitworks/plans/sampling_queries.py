@@ -20,6 +20,14 @@ W_SQL = "w(dataset, weight) AS (VALUES (0::bigint,1),(1,2),(2,3),(3,1),(4,5))"
 EPS = f"""ep AS (SELECT l_suppkey%5 AS dataset, l_orderkey AS episode_index, count(*) AS length, greatest(count(*)-1,0) AS usable, l_orderkey%11=0 AS bad FROM lineitem GROUP BY 1,2,5)"""
 
 
+# the registry: regions as datasets, weighing what their nations weigh
+R_SQL = "w AS (SELECT n_regionkey::bigint AS dataset, sum(1 + n_nationkey % 4)::bigint AS weight FROM nation GROUP BY 1)"
+
+
+def _registry(spark, d):
+    return table(spark, d, "nation").groupBy(F.col("n_regionkey").cast("bigint").alias("dataset")).agg(F.sum(1 + F.col("n_nationkey") % 4).cast("bigint").alias("weight"))
+
+
 def _weights(spark, d):
     s = table(spark, d, "supplier").select((F.col("s_suppkey") % 5).alias("dataset")).distinct()
     w = F.element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col("dataset").cast("int"))
@@ -39,19 +47,30 @@ def mixture_weights(spark, d):
     return t.select("dataset", "episode_index", F.round("dataset_weight", 9).alias("dataset_weight"), F.round("episode_weight", 9).alias("episode_weight"))
 
 
-CUM = "cw AS (SELECT dataset, sum(weight) OVER (ORDER BY dataset)-weight AS lo, sum(weight) OVER (ORDER BY dataset) AS hi, sum(weight) OVER () AS t FROM w)"
+def ALIAS(source: str) -> str:
+    """Alias table ``al`` of (dataset, weight): lights take from the heavy one at their gap's start, a heavy one that gives too much from the next."""
+    return f"""g AS (SELECT dataset, (weight*count(*) OVER ())::bigint AS m, (sum(weight) OVER ())::bigint AS t FROM {source} WHERE weight > 0),
+ g1 AS (SELECT *, sign(m-t) AS side FROM g),
+ g2 AS (SELECT *, row_number() OVER (ORDER BY side, dataset)-1 AS cell, (sum(abs(m-t)) OVER (PARTITION BY side ORDER BY dataset))::bigint AS hi, lead(dataset) OVER (PARTITION BY side ORDER BY dataset) AS nxt FROM g1),
+ al AS (SELECT x.cell, x.dataset AS own, (SELECT count(*) FROM g) AS cells,
+  CASE side WHEN 0 THEN t WHEN -1 THEN m ELSE t - ((SELECT min(l.hi) FROM g2 l WHERE l.side=-1 AND l.hi >= x.hi) - x.hi) END / t AS keep,
+  CASE side WHEN -1 THEN (SELECT arg_min(h.dataset, h.hi) FROM g2 h WHERE h.side=1 AND h.hi > x.hi-abs(x.m-x.t)) ELSE coalesce(nxt, dataset) END AS other FROM g2 x)"""
+
+
+def DRAW(seed: str, key: str, rows: str, name: str) -> str:
+    return f"""SELECT {key} AS {name}, CASE WHEN {H(seed + '-coin', key)}/4294967296.0 < keep THEN own ELSE other END AS dataset FROM {rows} JOIN al ON floor({H(seed, key)}/4294967296.0*cells)::bigint = cell"""
 
 
-@query("mixture_sample", f"""WITH {EPS}, {W_SQL}, k AS (SELECT ep.dataset, weight*sum(length) AS weight FROM ep JOIN w ON ep.dataset=w.dataset GROUP BY ep.dataset, w.weight HAVING sum(CASE WHEN bad THEN 0 ELSE usable END)>0),
- cw AS (SELECT dataset, sum(weight) OVER (ORDER BY dataset)-weight AS lo, sum(weight) OVER (ORDER BY dataset) AS hi, sum(weight) OVER () AS t FROM k),
+@query("mixture_sample", f"""WITH {EPS}, {R_SQL}, k AS (SELECT ep.dataset, weight*sum(length) AS weight FROM ep JOIN w ON ep.dataset=w.dataset GROUP BY ep.dataset, w.weight HAVING sum(CASE WHEN bad THEN 0 ELSE usable END)>0),
+ {ALIAS('k')},
  ce AS (SELECT dataset, episode_index, usable, sum(usable) OVER (PARTITION BY dataset ORDER BY episode_index)-usable AS lo, sum(usable) OVER (PARTITION BY dataset ORDER BY episode_index) AS hi, sum(usable) OVER (PARTITION BY dataset) AS t FROM ep WHERE usable>0 AND NOT bad),
  tt AS (SELECT dataset, max(hi) AS t FROM ce GROUP BY 1),
- a AS (SELECT event_id, dataset FROM events JOIN cw ON floor({H('mix-d','event_id')}/4294967296.0*t) >= lo AND floor({H('mix-d','event_id')}/4294967296.0*t) < hi),
+ a AS ({DRAW('mix-d', 'event_id', 'events', 'event_id')}),
  b AS (SELECT a.*, floor({H('mix-e','event_id')}/4294967296.0*t)::bigint AS p FROM a JOIN tt ON a.dataset=tt.dataset)
 SELECT event_id, b.dataset, episode_index, floor({H('mix-s','event_id')}/4294967296.0*usable)::bigint AS step FROM b ASOF JOIN ce ON b.dataset=ce.dataset AND b.p >= ce.lo""")
 def mixture_sample(spark, d):
     """One draw per event row; steps are drawn below n - max_delta."""
-    return K.mixture_sample(table(spark, d, "events").select("event_id"), "event_id", _weights(spark, d), _episodes(spark, d), "mix")
+    return K.mixture_sample(table(spark, d, "events").select("event_id"), "event_id", _registry(spark, d), _episodes(spark, d), "mix")
 
 
 LEN = "ln AS (SELECT l_suppkey%5 AS dataset, count(*) AS length FROM lineitem GROUP BY 1)"
@@ -61,18 +80,18 @@ def _lengths(spark, d):
     return _episodes(spark, d).groupBy("dataset").agg(F.sum("length").alias("length"))
 
 
-@query("batch_mixture", f"""WITH {W_SQL}, {CUM}, {LEN}, a AS (SELECT event_id, dataset FROM events JOIN cw ON floor({H('bat-d','event_id')}/4294967296.0*t) >= lo AND floor({H('bat-d','event_id')}/4294967296.0*t) < hi)
+@query("batch_mixture", f"""WITH {R_SQL}, {ALIAS('w')}, {LEN}, a AS ({DRAW('bat-d', 'event_id', 'events', 'event_id')})
 SELECT event_id, a.dataset, floor({H('bat-i','event_id')}/4294967296.0*length)::bigint AS local_index, event_id%4 AS rank, event_id//4//16 AS batch FROM a JOIN ln ON a.dataset=ln.dataset""")
 def batch_mixture(spark, d):
-    ds = _weights(spark, d).join(_lengths(spark, d), "dataset")
+    ds = _registry(spark, d).join(_lengths(spark, d), "dataset")
     return K.batch_mixture(table(spark, d, "events").select("event_id"), "event_id", ds, "bat", 16, 4)
 
 
-@query("token_budget_batches", f"""WITH {W_SQL}, {CUM}, {LEN}, a AS (SELECT c_custkey AS batch, dataset FROM customer JOIN cw ON floor({H('tok-d-0','c_custkey')}/4294967296.0*t) >= lo AND floor({H('tok-d-0','c_custkey')}/4294967296.0*t) < hi),
+@query("token_budget_batches", f"""WITH {R_SQL}, {ALIAS('w')}, {LEN}, a AS ({DRAW('tok-d-0', 'c_custkey', 'customer', 'batch')}),
  b AS (SELECT *, greatest(1, 2000//(300+100*dataset))::int AS batch_size FROM a), r AS (SELECT *, unnest(range(4))::int AS rank FROM b), s AS (SELECT *, unnest(range(batch_size))::int AS slot FROM r)
 SELECT batch, s.dataset, batch_size, rank, slot, floor({H('tok-s-0','batch','rank','slot')}/4294967296.0*length)::bigint AS local_index FROM s JOIN ln ON s.dataset=ln.dataset""")
 def token_budget_batches(spark, d):
-    ds = _weights(spark, d).join(_lengths(spark, d), "dataset").withColumn("tokens", 300 + 100 * F.col("dataset"))
+    ds = _registry(spark, d).join(_lengths(spark, d), "dataset").withColumn("tokens", 300 + 100 * F.col("dataset"))
     return K.token_batches(table(spark, d, "customer").select(F.col("c_custkey").alias("batch")), "batch", ds, 2000, 4, "tok")
 
 
@@ -125,15 +144,15 @@ def _shards(spark, d):
     return li.groupBy("dataset", "shard").agg(F.count(F.lit(1)).alias("length"))
 
 
-@query("shard_schedule", f"""WITH {W_SQL}, {SH}, p AS (SELECT sh.dataset, round(max(weight)/avg(length)*1e9)::bigint AS rw, count(*) AS n FROM sh JOIN w ON sh.dataset=w.dataset GROUP BY 1),
- c AS (SELECT dataset, n, sum(rw) OVER (ORDER BY dataset)-rw AS lo, sum(rw) OVER (ORDER BY dataset) AS hi, sum(rw) OVER () AS t FROM p),
- a AS (SELECT c_custkey AS draw, dataset, n FROM customer JOIN c ON floor({H('sch-d','c_custkey')}/4294967296.0*t) >= lo AND floor({H('sch-d','c_custkey')}/4294967296.0*t) < hi),
+@query("shard_schedule", f"""WITH {R_SQL}, {SH}, p AS (SELECT sh.dataset, round(max(weight)/avg(length)*1e9)::bigint AS weight, count(*) AS n FROM sh JOIN w ON sh.dataset=w.dataset GROUP BY 1),
+ {ALIAS('p')},
+ a AS (SELECT x.*, n FROM ({DRAW('sch-d', 'c_custkey', 'customer', 'draw')}) x JOIN p ON x.dataset=p.dataset),
  k AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY draw)-1 AS k FROM a), rr AS (SELECT DISTINCT dataset, k//n AS round FROM k),
  o AS (SELECT sh.dataset, shard, round, row_number() OVER (PARTITION BY sh.dataset, round ORDER BY {H('sch-o','sh.dataset','round','shard')}, shard)-1 AS place FROM sh JOIN rr ON sh.dataset=rr.dataset)
 SELECT draw, k.dataset, (k//n) AS round, shard FROM k JOIN o ON o.dataset=k.dataset AND o.round=k//n AND o.place=k%n""")
 def shard_schedule(spark, d):
     draws = table(spark, d, "customer").select(F.col("c_custkey").alias("draw"))
-    return K.shard_schedule_train(draws, "draw", _shards(spark, d), _weights(spark, d), "sch")
+    return K.shard_schedule_train(draws, "draw", _shards(spark, d), _registry(spark, d), "sch")
 
 
 EV = f"{SH}, t AS (SELECT dataset, shard, row_number() OVER (PARTITION BY dataset ORDER BY shard)-1 AS turn FROM sh), ev AS (SELECT dataset, shard, row_number() OVER (ORDER BY turn, dataset)-1 AS position FROM t)"
