@@ -9,10 +9,11 @@ from gaitworks.plans.registry import query
 from gaitworks.plans.tables import FRAMES, SIGNAL, frames, signal, table
 from gaitworks.streaming import jobs as N
 from gaitworks.streaming import recorder as W
+from gaitworks.streaming import settled as S
 
 
-def events(spark, d):
-    e = N.file_stream(spark, d, "events.parquet")
+def events(spark, d, **limits):
+    e = N.file_stream(spark, d, "events.parquet", **limits)
     return e.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -71,8 +72,9 @@ SELECT g.user_id, g.event_id, round(filtered,6) AS filtered FROM g JOIN w ON g.u
 
 @query("stream_weighted_filter", WMA)
 def stream_weighted_filter(spark, d):
-    e = events(spark, d).select("user_id", "event_id", (F.round(F.col("value") / 40) * 40).alias("x"))
-    t = N.run_available(N.weighted_filter(e, "user_id", "event_id", "x", [0.5, 0.3, 0.2]), "append")
+    """State goes ten years after a user's last row, longer than the table's time."""
+    e = events(spark, d, bytes_per_trigger=S.TRIGGER_BYTES).select("user_id", "event_id", "ts", (F.round(F.col("value") / 40) * 40).alias("x"))
+    t = S.run_settled(S.weighted_filter(e, "user_id", "ts", "event_id", "x", [0.5, 0.3, 0.2], "3650 days"), "user_id", "event_id")
     return t.withColumn("filtered", F.round("filtered", 6))
 
 
@@ -160,7 +162,8 @@ SELECT user_id, event_id, out AS committed FROM f WHERE out IS NOT NULL"""
 def stream_confirmed_switch(spark, d):
     """Two votes from distinct fresh captures commit a subtask."""
     k = F.col("event_id")
-    e = events(spark, d).select(
-        "user_id", "event_id", F.when(k % 97 == 0, "done").when(F.col("event_type") == "error", "continue").otherwise("switch").alias("decision"),
+    e = events(spark, d, bytes_per_trigger=S.TRIGGER_BYTES).select(
+        "user_id", "event_id", "ts", F.when(k % 97 == 0, "done").when(F.col("event_type") == "error", "continue").otherwise("switch").alias("decision"),
         F.concat(F.lit(" "), F.upper("event_type"), F.lit(" ")).alias("next_subtask"), (k % 50).cast("string").alias("capture_key"), (k % 9 != 0).alias("capture_fresh"))
-    return N.run_available(N.confirmed_switch(e, "user_id", "event_id", 2), "append")
+    t = S.run_settled(S.confirmed_switch(e, "user_id", "ts", "event_id", 2, "3650 days"), "user_id", "event_id")
+    return t.where("committed is not null")

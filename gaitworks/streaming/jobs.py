@@ -8,18 +8,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gaitworks.session import scratch_dir
 
 WATERMARK = "10 minutes"
 
 
-def file_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1000) -> DataFrame:
-    """A Parquet file source with the schema of the landed files; a trigger takes at most so many files."""
+def file_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1000, bytes_per_trigger: int | None = None) -> DataFrame:
+    """A Parquet file source with the schema of the landed files; a trigger takes at most so many files, or bytes of files
+    where that is given (one file at least)."""
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", files_per_trigger)
-    return source.parquet(folder)
+    source = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    limit = ("maxBytesPerTrigger", bytes_per_trigger) if bytes_per_trigger else ("maxFilesPerTrigger", files_per_trigger)
+    return source.option(*limit).parquet(folder)
 
 
 def run_available(df: DataFrame, mode: str, keys: Sequence[str] = (), path: str | None = None, checkpoint: str | None = None,
@@ -117,53 +118,6 @@ def write_episodes(stream: DataFrame, partition: str, path: str | None = None, c
     return spark.read.parquet(path)
 
 
-def _timed(stream: DataFrame, time: str | None) -> DataFrame:
-    return stream.withWatermark(time, WATERMARK) if time else stream
-
-
-def _timeout(time: str | None) -> str:
-    """Event time only: with a processing-time timeout an ``availableNow`` run would wait for it for ever."""
-    return GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
-
-
-def _expire(state: GroupState, rows: pd.DataFrame, time: str | None, idle: str) -> None:
-    if time:
-        end = int((rows[time].max() + pd.Timedelta(idle)).timestamp() * 1000)
-        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
-
-
-def weighted_filter(stream: DataFrame, key: str, order: str, value: str, weights: Sequence[float], time: str | None = None, idle: str = "1 day") -> DataFrame:
-    """Weighted moving average of the last W distinct-in-a-row values; newest value times weights[0].
-
-    State per key is the last W values; with an event-time column ``time`` it
-    goes ``idle`` after the key's last row.  Until W values are there the last
-    value passes; a repeated value keeps the previous output.
-    """
-    w = np.asarray(weights, float)
-    if not np.isclose(w.sum(), 1.0):
-        raise ValueError("weights must sum to 1")
-
-    def step(key_, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        queue = list(state.get[0]) if state.exists else []
-        # rows of one trigger arrive unordered; a key's share of a trigger is bounded by the source's rate limit
-        pdf = pd.concat(list(frames)).sort_values(order)
-        out = []
-        for x in pdf[value].to_numpy():
-            if not queue or x != queue[-1]:
-                queue = (queue + [float(x)])[-len(w):]
-            out.append(float(np.dot(w, queue[::-1])) if len(queue) == len(w) else queue[-1])
-        state.update((queue,))
-        _expire(state, pdf, time, idle)
-        yield pd.DataFrame({key: key_[0], order: pdf[order].to_numpy(), "filtered": out})
-
-    kinds = dict(stream.dtypes)
-    return _timed(stream, time).groupBy(key).applyInPandasWithState(
-        step, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, filtered double", "queue array<double>", "append", _timeout(time))
-
-
 def proposals(votes: pd.DataFrame, current: str) -> pd.Series:
     """What each vote proposes while ``current`` is the subtask: "done", a folded subtask after ">", or nothing ("")."""
     text = votes["next_subtask"].fillna("").str.split().str.join(" ").str.casefold()
@@ -204,29 +158,3 @@ def count_votes(votes: pd.DataFrame, state: tuple, need: Mapping[str, int]) -> t
         commits.append((at + row, "done" if done else current))
         run, captures, at = "", [], at + row + 1
     return (current, bool(done), run, captures), commits
-
-
-def confirmed_switch(stream: DataFrame, key: str, order: str, votes: int | Mapping[str, int], time: str | None = None, idle: str = "1 day") -> DataFrame:
-    """A proposed subtask is committed after so many votes from distinct fresh captures; ``votes`` may differ for the
-    first subtask, a switch and done.
-
-    Columns: decision, next_subtask, capture_key, capture_fresh.  State per episode is bounded by the number of votes;
-    with an event-time column ``time`` it goes ``idle`` after the episode's last vote.
-    """
-    need = dict.fromkeys(("first", "switch", "done"), votes) if isinstance(votes, int) else dict(votes)
-
-    def step(key_, frames, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pd.concat(list(frames)).sort_values(order).reset_index(drop=True)
-        held = (*state.get[:3], list(state.get[3])) if state.exists else ("", False, "", [])
-        held, commits = count_votes(pdf, held, need)
-        state.update(held)
-        _expire(state, pdf, time, idle)
-        yield pd.DataFrame([(key_[0], pdf[order].iloc[i], text) for i, text in commits], columns=[key, order, "committed"])
-
-    kinds = dict(stream.dtypes)
-    return _timed(stream, time).groupBy(key).applyInPandasWithState(
-        step, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, committed string",
-        "current string, done boolean, run string, captures array<string>", "append", _timeout(time))
